@@ -26,14 +26,23 @@ def _content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in df.columns])
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan (an upper estimate after joins)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def source_bytes(df: DataFrame) -> int:
+    """Total size of the relations a plan reads: a bound for filters, projections, aggregations
+    and N:1 lookups, far tighter than the optimizer's product estimate for joins."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return planned_bytes(df) <= int(limit)
+def is_small(df: DataFrame) -> bool:
+    """Whether a lookup side is below the session's broadcast threshold.
+
+    A true answer never forces a broadcast: Spark still decides by its own estimate, or, at run
+    time, by the measured size of the shuffled side.
+    """
+    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if source_bytes(df) <= limit:
+        return True
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -45,14 +54,14 @@ def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str =
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Equi join of a possibly skewed row side with a lookup side.
 
-    Spark broadcasts the lookup when its estimated size is below the session's threshold. Beyond
-    it, hot keys of the row side are salted and the lookup rows of those keys alone are repeated
-    once per salt. For semi and anti joins the lookup is first reduced to distinct keys.
+    A small lookup is left to Spark, which broadcasts it or splits skewed partitions. Beyond the
+    threshold hot keys of the row side are salted and the lookup rows of those keys alone are
+    repeated once per salt. For semi and anti joins the lookup is first reduced to distinct keys.
     """
     on = list(on)
     if how in ("left_semi", "left_anti"):
         other = other.select(*on).distinct()
-    if fits_broadcast(other):
+    if is_small(other):
         return rows.join(other, on, how)
     order = rows.columns + [c for c in other.columns if c not in on
                             and how not in ("left_semi", "left_anti")]

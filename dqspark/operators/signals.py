@@ -170,17 +170,23 @@ def fire_rates(df: DataFrame, rule: Rule, band: Sequence | None = None,
         "shape", "fired", "n_rows", F.coalesce(ratio("fired", "n_rows"), F.lit(0.0)).alias("rate"))
 
 
-def derive_band(df: DataFrame, col: str, margin: float = 2.0) -> tuple[float, float]:
-    """[0, margin x observed maximum]; the maximum is one value read by the driver."""
-    top = df.agg(F.max(col).cast("double").alias("m")).first()["m"]
-    return 0.0, float(top or 0.0) * margin
+def band_table(tables: Mapping[str, DataFrame], rules: Mapping[str, Rule],
+               margin: float = 2.0) -> DataFrame:
+    """[0, margin x observed maximum] for every table whose rule names a numeric column."""
+    out = None
+    for name, rule in rules.items():
+        if rule.numeric and name in tables:
+            row = tables[name].agg(F.max(rule.numeric).cast("double").alias("top")).select(
+                F.lit(name).alias("name"), F.lit(rule.numeric).alias("numeric"),
+                F.lit(0.0).alias("low"), (F.coalesce("top", F.lit(0.0)) * margin).alias("high"))
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 def derive_bands(tables: Mapping[str, DataFrame], rules: Mapping[str, Rule],
                  margin: float = 2.0) -> dict[str, tuple[float, float]]:
-    """A band for every table whose rule names a numeric column."""
-    return {name: derive_band(tables[name], rule.numeric, margin)
-            for name, rule in rules.items() if rule.numeric and name in tables}
+    """The band table as literals: one short row per table, read in one job."""
+    return {r["name"]: (r["low"], r["high"]) for r in band_table(tables, rules, margin).collect()}
 
 
 def margin_sweep(df: DataFrame, col: str, margins: Sequence[float]) -> DataFrame:

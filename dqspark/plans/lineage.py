@@ -44,11 +44,21 @@ class Lineage:
     def names(self) -> list[str]:
         return [n.name for n in self.nodes]
 
-    def build(self, sources: Tables) -> dict[str, DataFrame]:
-        """Every table as one composed plan over the sources."""
+    def ancestors(self, names: Sequence[str]) -> set[str]:
+        """``names`` and every table they are built from."""
+        need = set(names)
+        for n in reversed(self.nodes):
+            if n.name in need:
+                need.update(n.parents)
+        return need
+
+    def build(self, sources: Tables, wanted: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """The wanted tables (all by default) as composed plans over the sources."""
+        need = self.ancestors(wanted if wanted is not None else self.names())
         tables = dict(sources)
         for n in self.nodes:
-            tables[n.name] = n.build(tables)
+            if n.name in need:
+                tables[n.name] = n.build(tables)
         return tables
 
     def descendants(self, names: Sequence[str]) -> list[str]:

@@ -14,12 +14,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return tune(spark).read.schema(star.SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All star tables as lazy plans."""
-    return star.STAR.build(star.sources(tune(spark), sf_dir))
+def star_tables(spark: SparkSession, sf_dir: str, *wanted: str) -> dict[str, DataFrame]:
+    """The wanted star tables (default all) as lazy plans."""
+    return star.STAR.build(star.sources(tune(spark), sf_dir), wanted or None)
+
+
+def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return star_tables(spark, sf_dir, name)[name]
 
 
 def plain(df: DataFrame) -> DataFrame:

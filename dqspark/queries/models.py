@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dqspark.plans.star import STAR
-from dqspark.queries.common import SQL_NODES, plain, star_ctes, star_tables, with_sql
+from dqspark.queries.common import SQL_NODES, plain, star_ctes, star_table, with_sql
 
 QUERIES = {}
 ORACLES = {}
@@ -14,7 +14,7 @@ _DATES = {"stg_orders": ["order_date"], "fact_order": ["order_date"],
 
 
 def _table(name):
-    return lambda spark, sf_dir: plain(star_tables(spark, sf_dir)[name])
+    return lambda spark, sf_dir: plain(star_table(spark, sf_dir, name))
 
 
 def _sql(name):

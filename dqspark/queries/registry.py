@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dqspark.queries import models
+from dqspark.queries import branches, errors, models
 
-MODULES = (models,)
+MODULES = (models, errors, branches)
 
 
 def queries() -> dict:
