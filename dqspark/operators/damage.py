@@ -160,8 +160,17 @@ def sink_damage(clean: Mapping[str, DataFrame], dirty: Mapping[str, DataFrame],
     """Per sink: kind, counts and damage (and the two distance variants)."""
     out = None
     for name, sink in sinks.items():
-        row = exact_damage(clean[name], dirty[name], sink.key, form)
-        if distances:
+        same = dirty[name] is clean[name]          # an untouched table: only its size is needed
+        if same:
+            none = [F.lit(0).cast("long").alias(x) for x in ("changed", "added", "lost")]
+            row = clean[name].agg(F.count(F.lit(1)).alias("n_clean")).select(
+                *none, "n_clean", F.lit(0.0).alias("damage"))
+        else:
+            row = exact_damage(clean[name], dirty[name], sink.key, form)
+        if distances and same:
+            row = row.withColumns({x: F.lit(0.0) for x in (
+                "damage_value_weighted", "damage_relative_error")})
+        elif distances:
             more = distance_damage(clean[name], dirty[name], sink.key, sink.values)
             row = row.withColumn("_one", F.lit(1)).join(
                 more.withColumn("_one", F.lit(1)), "_one").drop("_one")

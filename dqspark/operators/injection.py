@@ -79,10 +79,11 @@ def injection_report(df: DataFrame, spec: Injection) -> DataFrame:
 
 def require_hits(df: DataFrame, spec: Injection) -> None:
     """Every target key must hit exactly one row at the moment of injection."""
-    hits = _hit(df, spec).filter("_hit").agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    wanted = spec.targets.count()
-    if hits != wanted:
-        raise ValueError(f"injection hits {hits} rows of {spec.node}, expected {wanted}")
+    hits = _hit(df, spec).agg(F.count_if("_hit").alias("n"), F.lit(1).alias("_one"))
+    wanted = spec.targets.agg(F.count(F.lit(1)).alias("wanted"), F.lit(1).alias("_one"))
+    row = hits.join(wanted, "_one").first()
+    if row["n"] != row["wanted"]:
+        raise ValueError(f"injection hits {row['n']} rows of {spec.node}, expected {row['wanted']}")
 
 
 def inject_all(df: DataFrame, specs: Sequence[Injection], strict: bool = True) -> DataFrame:

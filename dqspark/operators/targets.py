@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dqspark.functions.scalars import rank_hash
 from dqspark.functions.skew import lookup_join
+from dqspark.session import materialize
 
 
 def pick_targets(df: DataFrame, key: Sequence[str], k: int, salt: str,
@@ -24,6 +25,11 @@ def pick_targets(df: DataFrame, key: Sequence[str], k: int, salt: str,
     return ranked.withColumn("position", F.row_number().over(order)).drop("_hash")
 
 
+def pin(targets: DataFrame) -> DataFrame:
+    """Write a target set once: it is not ranked again at every use, and its size is known."""
+    return materialize(targets, "targets")
+
+
 def split_targets(targets: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
     """Two disjoint target sets by rank position."""
     return (targets.filter(F.col("position") <= first),

@@ -11,6 +11,7 @@ from dqspark.operators.damage import nrd, sink_damage
 from dqspark.operators.dispositions import route_live, route_snapshot, route_verdict
 from dqspark.operators.injection import Injection, inject, require_hits
 from dqspark.operators.signals import Rule
+from dqspark.session import materialize
 
 Tables = Mapping[str, DataFrame]
 Plan = Mapping[str, Mapping[str, str]]     # table -> {shape or verdict: disposition}
@@ -180,7 +181,6 @@ def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence
             plans: Mapping[str, Plan], bands: Mapping, **options) -> DataFrame:
     """Measurement rows of one campaign: per plan the damage with errors, relative to doing
     nothing (``nrd``), and the damage the same plan does to clean data."""
-    spark = next(iter(clean.values())).sparkSession
     base = protected_run(lineage, clean, injections, {}, bands, **options)
     sinks = lineage.sinks
 
@@ -195,7 +195,7 @@ def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence
             lineage, clean, injections, plan, bands, **options), label, "dirty"))
         rows = rows.unionByName(mean(protected_run(
             lineage, clean, injections, plan, bands, with_errors=False, **options), label, "clean"))
-    rows = materialize_small(rows, spark)
+    rows = materialize(rows, "measurements")            # every branch runs once, here
     wide = rows.groupBy("plan").agg(*[
         F.max(F.when(F.col("role") == r, F.col(c))).alias(a) for r, c, a in (
             ("dirty", "damage", "absolute_damage"), ("clean", "damage", "clean_absolute_damage"),
@@ -211,11 +211,6 @@ def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence
         "availability_loss", "clean_availability_loss")
 
 
-def materialize_small(rows: DataFrame, spark) -> DataFrame:
-    """Run the branches once: the result is one short row per branch."""
-    return spark.createDataFrame(rows.collect(), rows.schema)
-
-
 def placement_grid(lineage: Lineage, clean: Tables, campaign: str,
                    injections: Sequence[Injection], policies: Mapping[str, Mapping[str, str]],
                    placements: Sequence[str], bands: Mapping, **options) -> DataFrame:

@@ -191,7 +191,7 @@ def damage_components(spark, sf_dir):
         row = dm.sink_damage(clean, run.tables, STAR.sinks).agg(F.avg("damage").alias("damage")) \
             .select(F.lit(name).alias("component"), "damage", F.lit(1).alias("_one"))
         out = row if out is None else out.unionByName(row)
-    out = spark.createDataFrame(out.collect(), out.schema)          # three short rows
+    out = materialize(out, "components")
     whole = out.filter("component = 'mixed'").select("_one", F.col("damage").alias("whole"))
     return out.filter("component <> 'mixed'").join(whole, "_one").select(
         "component", F.round("damage", 12).alias("damage"),

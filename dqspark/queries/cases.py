@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from dqspark.operators.injection import Injection
 from dqspark.operators.signals import Rule, derive_bands
-from dqspark.operators.targets import pick_targets, split_targets
+from dqspark.operators.targets import pick_targets, pin, split_targets
 from dqspark.plans.star import STAR
 from dqspark.queries.common import SQL_NODES, damage_sql, star_ctes, top_keys
 
@@ -24,7 +24,7 @@ QUARANTINE_ALL = {s: "quarantine" for s in
 
 
 def order_targets(orders: DataFrame, k: int = K, salt: str = "case.mixed") -> DataFrame:
-    return pick_targets(orders, ORDER_KEY, k, salt)
+    return pin(pick_targets(orders, ORDER_KEY, k, salt))
 
 
 def numeric(targets: DataFrame, operand: float = OPERAND) -> Injection:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dqspark.queries import branches, errors, models
+from dqspark.queries import branches, errors, models, snapshots
 
-MODULES = (models, errors, branches)
+MODULES = (models, errors, branches, snapshots)
 
 
 def queries() -> dict:
