@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import cumulate, ratio
 from dqspark.functions.skew import any_null
+from dqspark.session import materialize
 
 
 def value_columns(df: DataFrame, key: Sequence[str]) -> list[str]:
@@ -30,6 +31,19 @@ def key_groups(groups: DataFrame, key: Sequence[str]) -> DataFrame:
         F.sum(F.least("nc", "nd")).alias("matched"))
 
 
+def _counted(per_key: DataFrame, key: Sequence[str], form: str) -> DataFrame:
+    nc, nd, matched = F.col("nc"), F.col("nd"), F.col("matched")
+    if form == "keyset":
+        changed = F.when(any_null(key), F.lit(0)).otherwise(nc * nd - F.col("equal_pairs"))
+        added, lost = (nc == 0).cast("long"), (nd == 0).cast("long")
+    elif form == "multiset":
+        changed = F.least(nc - matched, nd - matched)
+        added, lost = nd - matched - changed, nc - matched - changed
+    else:
+        raise ValueError(f"unknown form {form}")
+    return per_key.withColumns({"changed": changed.cast("long"), "added": added, "lost": lost})
+
+
 def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
                     form: str = "keyset") -> DataFrame:
     """Per key the counts ``changed``, ``added``, ``lost``; two aggregations, no self join.
@@ -38,28 +52,24 @@ def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
     (NULL keys never pair). multiset: surplus and missing copies count one by one.
     """
     per_key = key_groups(row_groups(clean, dirty, key), key)
-    nc, nd = F.col("nc"), F.col("nd")
-    if form == "keyset":
-        changed = F.when(any_null(key), F.lit(0)).otherwise(nc * nd - F.col("equal_pairs"))
-        added, lost = (nc == 0).cast("long"), (nd == 0).cast("long")
-    elif form == "multiset":
-        changed = F.least(nc - F.col("matched"), nd - F.col("matched"))
-        added, lost = nd - F.col("matched") - changed, nc - F.col("matched") - changed
-    else:
-        raise ValueError(f"unknown form {form}")
-    return per_key.select(*key, "nc", "nd", changed.cast("long").alias("changed"),
-                          added.alias("added"), lost.alias("lost"))
+    return _counted(per_key, key, form).select(*key, "nc", "nd", "changed", "added", "lost")
+
+
+_TOTALS = {"changed": "changed", "added": "added", "lost": "lost", "nc": "n_clean"}
+
+
+def _damage(total: DataFrame) -> DataFrame:
+    num = 2 * F.col("changed") + F.col("added") + F.col("lost")
+    den = 2 * F.col("n_clean") + F.col("added") - F.col("lost")
+    return total.withColumn("damage", F.coalesce(ratio(num, den), F.lit(0.0)))
 
 
 def exact_damage(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
                  form: str = "keyset") -> DataFrame:
     """One row: changed, added, lost, clean rows and damage = (2C+A+L) / (2N+A-L)."""
     per_key = changes_per_key(clean, dirty, key, form)
-    total = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (
-        ("changed", "changed"), ("added", "added"), ("lost", "lost"), ("nc", "n_clean"))])
-    num = 2 * F.col("changed") + F.col("added") + F.col("lost")
-    den = 2 * F.col("n_clean") + F.col("added") - F.col("lost")
-    return total.withColumn("damage", F.coalesce(ratio(num, den), F.lit(0.0)))
+    return _damage(per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a)
+                                 for c, a in _TOTALS.items()]))
 
 
 def _magnitude(col: str) -> Column:
@@ -102,79 +112,112 @@ def _pair_distances(groups: DataFrame, key: Sequence[str], values: Sequence[str]
                                 / F.abs(v).cast("double"))), F.lit(0.0)).alias("relative"))
 
 
-def distance_damage(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
-                    values: Sequence[str]) -> DataFrame:
-    """One row with the value-weighted and the relative-error damage.
+def _settle(groups: DataFrame, key: Sequence[str], values: Sequence[str], form: str) -> DataFrame:
+    """One row: exact counts, and the distances of all keys with one row per side.
 
-    value weighted: (|c-d| on matched pairs + |c| of lost + |d| of added rows) / total |c|.
-    relative: per matched pair the mean of |c-d|/|c| over the columns (0 for the whole pair once a
-    clean value is 0 or NULL), plus added and lost keys, over the clean rows.
-    Keys with one row per side are settled inside the per-key aggregation.
+    ``dense`` counts the keys with several rows, whose distances are still open.
     """
-    values = list(values)
-    groups = row_groups(clean.select(*key, *values), dirty.select(*key, *values), key)
+    size = sum((_magnitude(v) for v in values[1:]), _magnitude(values[0]))
     sides = []
     for v in values:
         sides += [F.sum(F.col("nc") * _filled(v)).alias(f"c_{v}"),
                   F.sum(F.col("nd") * _filled(v)).alias(f"d_{v}")]
-    clean_size = sum((_magnitude(v) for v in values[1:]), _magnitude(values[0]))
-    per_key = groups.groupBy(*key).agg(
+    per_key = _counted(groups.groupBy(*key).agg(
         F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-        F.sum(F.col("nc") * clean_size).alias("clean_size"),
-        F.sum(F.col("nd") * clean_size).alias("dirty_size"), *sides)
+        F.sum(F.col("nc") * F.col("nd")).alias("equal_pairs"),
+        F.sum(F.least("nc", "nd")).alias("matched"),
+        F.sum(F.col("nc") * size).alias("clean_size"),
+        F.sum(F.col("nd") * size).alias("dirty_size"), *sides), key, form)
     joins = ~any_null(key)
-    single = joins & (F.col("nc") == 1) & (F.col("nd") == 1)
-    several = joins & (F.col("nc") > 0) & (F.col("nd") > 0) & ~single
+    paired = joins & (F.col("nc") > 0) & (F.col("nd") > 0)
+    single = paired & (F.col("nc") == 1) & (F.col("nd") == 1)
     gaps = [F.abs(F.col(f"c_{v}") - F.col(f"d_{v}")) for v in values]
-    zero = F.lit(False)
-    for v in values:
+    zero, rel = F.lit(False), F.lit(0.0)
+    for v, gap in zip(values, gaps):
         zero = zero | (F.col(f"c_{v}") == 0)
-    rel = sum((F.try_divide(g.cast("double"), F.abs(F.col(f"c_{v}")).cast("double"))
-               for g, v in zip(gaps[1:], values[1:])),
-              F.try_divide(gaps[0].cast("double"), F.abs(F.col(f"c_{values[0]}")).cast("double")))
+        rel = rel + F.try_divide(gap.cast("double"), F.abs(F.col(f"c_{v}")).cast("double"))
     lost, added = F.col("nd") == 0, F.col("nc") == 0
-    plain = per_key.agg(
-        F.sum("nc").alias("n_clean"),
-        F.sum(F.when(single, sum(gaps[1:], gaps[0]))).cast("double").alias("distance"),
-        F.sum(F.when(single & ~zero, rel)).alias("relative"),
-        F.sum(F.when(joins & lost, F.col("clean_size"))).cast("double").alias("lost_size"),
-        F.sum(F.when(joins & added, F.col("dirty_size"))).cast("double").alias("added_size"),
-        F.sum("clean_size").cast("double").alias("clean_size"),
-        F.count_if(lost).alias("lost"), F.count_if(added).alias("added"))
-    dense = groups.join(per_key.filter(several).select(*key), list(key), "left_semi")
-    extra = _pair_distances(dense, key, values)
-    zeros = [F.lit(0.0).alias(c) for c in ("lost_size", "added_size", "clean_size")]
-    both = plain.unionByName(extra.select(
-        F.lit(0).cast("long").alias("n_clean"), "distance", "relative", *zeros,
-        F.lit(0).cast("long").alias("lost"), F.lit(0).cast("long").alias("added")))
-    t = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
+    real = [F.sum(F.when(single, sum(gaps[1:], gaps[0]))).cast("double").alias("distance"),
+            F.sum(F.when(single & ~zero, rel)).alias("relative"),
+            F.sum(F.when(joins & lost, F.col("clean_size"))).cast("double").alias("lost_size"),
+            F.sum(F.when(joins & added, F.col("dirty_size"))).cast("double").alias("added_size"),
+            F.sum("clean_size").cast("double").alias("clean_size")]
+    total = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in _TOTALS.items()],
+                        *real, F.count_if(lost).alias("lost_keys"),
+                        F.count_if(added).alias("added_keys"),
+                        F.count_if(paired & ~single).alias("dense"))
+    return total.fillna(0.0, ["distance", "relative", "lost_size", "added_size", "clean_size"])
+
+
+def distances(pairs: Mapping[str, tuple], form: str = "keyset") -> DataFrame:
+    """Per name of ``pairs`` (clean, dirty, key, values) the exact, the value-weighted and the
+    relative-error damage.
+
+    value weighted: (|c-d| on matched pairs + |c| of lost + |d| of added rows) / total |c|.
+    relative: per matched pair the mean of |c-d|/|c| over the columns (0 for the whole pair once a
+    clean value is 0 or NULL), plus added and lost keys, over the clean rows.
+    All names are settled in one job; only those with keys of several rows need a second one.
+    """
+    grouped = {n: row_groups(c, d, key) for n, (c, d, key, _) in pairs.items()}
+    rows = None
+    for name, (_, _, key, values) in pairs.items():
+        row = _settle(grouped[name], list(key), list(values), form).select(
+            F.lit(name).alias("name"), F.lit(len(values)).alias("n_values"), "*")
+        rows = row if rows is None else rows.unionByName(row)
+    rows = materialize(rows, "distances")
+    dense = [r["name"] for r in rows.filter("dense > 0").select("name").collect()]
+    for name in dense:
+        _, _, key, values = pairs[name]
+        key, values, groups = list(key), list(values), grouped[name]
+        per_key = key_groups(groups, key)
+        several = per_key.filter(~any_null(key) & (F.col("nc") > 0) & (F.col("nd") > 0)
+                                 & (F.col("nc") + F.col("nd") > 2)).select(*key)
+        extra = _pair_distances(groups.join(several, key, "left_semi"), key, values).select(
+            F.lit(name).alias("name"), F.col("distance").alias("_dist"),
+            F.col("relative").alias("_rel"))
+        rows = rows.join(extra, "name", "left").withColumns({
+            "distance": F.col("distance") + F.coalesce("_dist", F.lit(0.0)),
+            "relative": F.col("relative") + F.coalesce("_rel", F.lit(0.0))}).drop("_dist", "_rel")
     far = F.col("distance") + F.col("lost_size") + F.col("added_size")
-    dev = F.col("relative") / len(values) + F.col("added") + F.col("lost")
-    return t.select(
+    dev = F.col("relative") / F.col("n_values") + F.col("added_keys") + F.col("lost_keys")
+    return _damage(rows).select(
+        "name", "changed", "added", "lost", "n_clean", "damage",
         F.coalesce(ratio(far, "clean_size"), F.lit(0.0)).alias("damage_value_weighted"),
         F.coalesce(ratio(dev, "n_clean"), F.lit(0.0)).alias("damage_relative_error"))
 
 
+def distance_damage(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
+                    values: Sequence[str], form: str = "keyset") -> DataFrame:
+    """One row with exact, value-weighted and relative-error damage of one table."""
+    return distances({"table": (clean, dirty, key, values)}, form).drop("name")
+
+
 def sink_damage(clean: Mapping[str, DataFrame], dirty: Mapping[str, DataFrame], sinks: Mapping,
-                form: str = "keyset", distances: bool = False) -> DataFrame:
-    """Per sink: kind, counts and damage (and the two distance variants)."""
+                form: str = "keyset", variants: bool = False) -> DataFrame:
+    """Per sink: kind, counts and damage (and the two distance variants).
+
+    A sink the branch never rebuilt is the clean DataFrame itself: only its size is read.
+    """
+    kinds = {n: F.lit(s.kind).alias("kind") for n, s in sinks.items()}
+    changed = {n: s for n, s in sinks.items() if dirty[n] is not clean[n]}
     out = None
+    if variants and changed:
+        got = distances({n: (clean[n], dirty[n], s.key, s.values) for n, s in changed.items()}, form)
+        kind = F.create_map(*[x for n, s in changed.items() for x in (F.lit(n), F.lit(s.kind))])
+        out = got.withColumn("kind", kind[F.col("name")]).withColumnRenamed("name", "sink")
     for name, sink in sinks.items():
-        same = dirty[name] is clean[name]          # an untouched table: only its size is needed
-        if same:
+        if name in changed and variants:
+            continue
+        if name in changed:
+            row = exact_damage(clean[name], dirty[name], sink.key, form)
+        else:
             none = [F.lit(0).cast("long").alias(x) for x in ("changed", "added", "lost")]
             row = clean[name].agg(F.count(F.lit(1)).alias("n_clean")).select(
                 *none, "n_clean", F.lit(0.0).alias("damage"))
-        else:
-            row = exact_damage(clean[name], dirty[name], sink.key, form)
-        if distances and same:
+        if variants:
             row = row.withColumns({x: F.lit(0.0) for x in (
                 "damage_value_weighted", "damage_relative_error")})
-        elif distances:
-            more = distance_damage(clean[name], dirty[name], sink.key, sink.values)
-            row = row.withColumn("_one", F.lit(1)).join(
-                more.withColumn("_one", F.lit(1)), "_one").drop("_one")
-        row = row.select(F.lit(name).alias("sink"), F.lit(sink.kind).alias("kind"), *row.columns)
+        row = row.select(F.lit(name).alias("sink"), kinds[name], *row.columns)
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -123,22 +123,24 @@ def route_live(df: DataFrame, rule: Rule, policy: Mapping[str, str], band: Seque
 
 
 def route_snapshot(df: DataFrame, rule: Rule, policy: Mapping[str, str],
-                   band: Sequence | None = None, parent: DataFrame | None = None) -> Acted:
+                   band: Sequence | None = None, parent: DataFrame | None = None,
+                   count: bool = False) -> Acted:
     """Detect all shapes on the arriving state, then treat the detected keys in the fixed order.
 
     One key profile feeds every shape. ``fail_closed`` changes nothing and suppresses what lies
-    downstream when its shape fires; only that decision needs a count.
+    downstream when its shape fires; only that decision (or ``count``) needs a count.
     """
     used = {s: policy.get(s, "no_op") for s in SHAPES}
     bad = set(used.values()) - set(DISPOSITIONS)
     if bad:
         raise ValueError(f"unknown disposition {sorted(bad)}")
     state = Acted(df)
-    if "fail_closed" in used.values():
+    if count or "fail_closed" in used.values():
         row = signal_report(df, rule, band, parent, unit="keys").first()
         state.fired = {s: row[s] for s in SHAPES}
         state.suppressed = any(a == "fail_closed" and row[s] > 0 for s, a in used.items())
-    moves = {s: a for s, a in used.items() if a not in ("no_op", "fail_closed")}
+    moves = {s: a for s, a in used.items() if a not in ("no_op", "fail_closed")
+             and state.fired.get(s, 1) > 0}
     if not moves:
         return state
     wanted = F.lit(False)

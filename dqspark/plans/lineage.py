@@ -62,6 +62,18 @@ class Lineage:
                 tables[n.name] = n.build(tables)
         return tables
 
+    def store(self, tables: Tables, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """Write the named tables (default all) and return the tables reading them back; tables
+        above are built from the written ones."""
+        names = set(self.names() if names is None else names)
+        out = {t: df for t, df in tables.items() if t not in self.names()}
+        for n in self.nodes:
+            if n.name in tables:
+                out[n.name] = n.build(out)
+                if n.name in names:
+                    out[n.name] = materialize(out[n.name], n.name)
+        return out
+
     def descendants(self, names: Sequence[str]) -> list[str]:
         """Tables below ``names`` in topological order."""
         reached = set(names)
@@ -96,7 +108,7 @@ def _act(lineage: Lineage, run: Run, name: str, policy: Mapping[str, str], bands
     if routing == "live":
         state = route_live(df, rule, policy, band, parent, targets, count)
     elif routing == "snapshot":
-        state = route_snapshot(df, rule, policy, band, parent)
+        state = route_snapshot(df, rule, policy, band, parent, count)
     elif routing == "verdict":
         state, run.verdicts[name] = route_verdict(df, rule, policy, band)
     else:
@@ -109,14 +121,15 @@ def _act(lineage: Lineage, run: Run, name: str, policy: Mapping[str, str], bands
 def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injection], plan: Plan,
                   bands: Mapping | None = None, *, with_errors: bool = True, scope: str = "cone",
                   routing: str | None = None, oracle: bool = False, strict: bool = True,
-                  count: bool = False,
+                  count: bool = True,
                   keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Run:
     """Inject, act where planned, rebuild what lies below; return the tables of the branch.
 
     scope ``cone``: the policy acts at the injected tables and at rebuilt tables below them; a
     planned table outside that cone is never touched, with or without errors. scope ``chain``:
     every planned table acts in topological order, and ``fail_closed`` leaves all later tables at
-    their clean (stale) state. Unchanged tables reuse the clean plan. ``keep`` (for example
+    their clean (stale) state. With ``count`` a shape that fires nowhere leaves the table, and what
+    is built from it alone, untouched. Unchanged tables reuse the clean plan. ``keep`` (for example
     ``session.materialize``) is applied to each changed table that others are built from.
     """
     bands = bands or {}
@@ -147,10 +160,13 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
                 _act(lineage, run, name, plan[name], bands, routing, targets, count)
             settle(name)
         for name in lineage.descendants(loci):
-            run.tables[name] = lineage.node(name).build(run.tables)
+            node = lineage.node(name)
+            if any(run.tables[p] is not clean[p] for p in node.parents):
+                run.tables[name] = node.build(run.tables)
             if name in plan:
                 _act(lineage, run, name, plan[name], bands, routing, None, count)
-            settle(name)
+            if run.tables[name] is not clean[name]:
+                settle(name)
         return run
     if scope != "chain":
         raise ValueError(f"unknown scope {scope}")
@@ -172,7 +188,9 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
             if _act(lineage, run, n.name, plan[n.name], bands, routing, None, count):
                 run.suppressed_at = n.name
                 break
-        if n.name in changed:
+        if run.tables[n.name] is clean[n.name]:
+            changed.discard(n.name)        # nothing fired on a clean table
+        elif n.name in changed:
             settle(n.name)
     return run
 

@@ -35,6 +35,12 @@ def _branch(spark, sf_dir, specs=c.mixed, plan=None, **options):
     return clean, run
 
 
+def _stored(spark, sf_dir):
+    """The clean snapshot as written tables: several branches are compared with it."""
+    clean = star_tables(spark, sf_dir)
+    return STAR.store(clean, c.TOUCHED + ["stg_orders", "fact_order"])
+
+
 MIXED = c.branch_ctes(c.sql_mixed(), "mixed")
 DETAIL = ("mart_order_detail", "mart_order_detail_d", ["orderkey"],
           c.SINK_VALUES["mart_order_detail"])
@@ -86,7 +92,7 @@ def _distances(sink: str, dirty: str) -> str:
 def damage_distances(spark, sf_dir):
     clean, run = _branch(spark, sf_dir)
     sinks = {n: STAR.sinks[n] for n in c.TOUCHED}
-    return dm.sink_damage(clean, run.tables, sinks, distances=True).select(
+    return dm.sink_damage(clean, run.tables, sinks, variants=True).select(
         "sink", F.round("damage_value_weighted", 12).alias("damage_value_weighted"),
         F.round("damage_relative_error", 9).alias("damage_relative_error"))
 
@@ -142,7 +148,7 @@ def protected_branch(spark, sf_dir):
     round(b, 12) no_validation_damage, round(p, 12) absolute_damage, round(p / b, 9) nrd,
     0.0::double clean_absolute_damage from m"""))
 def nrd_branch(spark, sf_dir):
-    clean = star_tables(spark, sf_dir)
+    clean = _stored(spark, sf_dir)
     rows = measure(STAR, clean, "mixed", c.mixed(clean["stg_orders"]),
                    {"conditional": {"stg_orders": c.CONDITIONAL}}, c.order_bands(clean),
                    keep=materialize)
@@ -184,7 +190,7 @@ _PARTS = [f"only_num as materialized ({c.sql_numeric('stg_orders', 'position <=
                 "select 'num_only' component, round(b, 12) damage, round(b / a, 9) share from m "
                 "union all select 'dup_only', round(d, 12), round(d / a, 9) from m"))
 def damage_components(spark, sf_dir):
-    clean = star_tables(spark, sf_dir)
+    clean = _stored(spark, sf_dir)
     specs, out = c.mixed(clean["stg_orders"]), None
     for name, part in (("mixed", specs), ("num_only", specs[:1]), ("dup_only", specs[1:])):
         run = protected_run(STAR, clean, part, {}, keep=materialize)
@@ -274,7 +280,7 @@ def _grid_sql() -> str:
 
 @query(_grid_sql())
 def placement_measurements(spark, sf_dir):
-    clean = star_tables(spark, sf_dir)
+    clean = _stored(spark, sf_dir)
     grid = placement_grid(STAR, clean, "mixed", c.mixed(clean["stg_orders"]),
                           {"quarantine": {"duplicate_shape": "quarantine",
                                           "numeric_shape": "quarantine",
