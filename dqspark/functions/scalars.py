@@ -40,12 +40,14 @@ def ratio(num: Column | str, den: Column | str) -> Column:
 
 
 def cumulate(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: Column,
-             sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None) -> DataFrame:
+             sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None,
+             inclusive: bool = True) -> DataFrame:
     """Running sums and maxima inside ``part`` without sorting a whole part in one task.
 
     ``bucket`` must not decrease along ``order`` and take few values per part. Rows are accumulated
     inside their bucket; bucket totals are accumulated over the buckets and added. Each sum ``s``
     also yields ``s_total``. Rows with a NULL bucket count in the totals only and are dropped.
+    ``inclusive=False`` leaves the current row out.
     """
     sums, maxima = sums or {}, maxima or {}
     part = list(part)
@@ -62,10 +64,10 @@ def cumulate(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: C
         *[F.sum(f"_t_{a}").over(whole).alias(f"{a}_total") for a in sums],
         *[F.max(f"_t_{a}").over(before).alias(f"_b_{a}") for a in maxima])
     within = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     inner = df.filter(F.col("_bucket").isNotNull()).select(
         *df.columns,
-        *[F.sum(c).over(within).alias(f"_w_{a}") for a, c in sums.items()],
+        *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w_{a}") for a, c in sums.items()],
         *[F.max(c).over(within).alias(f"_w_{a}") for a, c in maxima.items()])
     joined = inner.join(totals, [*part, "_bucket"])
     keep = [c for c in df.columns if c != "_bucket"]
@@ -74,3 +76,24 @@ def cumulate(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: C
         *[(F.col(f"_w_{a}") + F.col(f"_b_{a}")).alias(a) for a in sums],
         *[f"{a}_total" for a in sums],
         *[F.greatest(F.col(f"_w_{a}"), F.col(f"_b_{a}")).alias(a) for a in maxima])
+
+
+def value_bucket(col: str) -> Column:
+    """Non-decreasing bucket of a number: logarithmic, some thousands of values at most."""
+    size = F.col(col).cast("double")
+    return F.signum(size) * F.floor(64 * F.log2(1 + F.abs(size)))
+
+
+def ranked(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
+    """Rank of every row by ``value`` inside ``part`` and the part's size (``rank``, ``size``)."""
+    out = cumulate(df.withColumn("_c", F.lit(1)), part, [value], value_bucket(value),
+                   sums={"rank": "_c"})
+    return out.withColumnRenamed("rank_total", "size").drop("_c")
+
+
+def medians(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
+    """Exact median per part (mean of the two middle values), sorted bucket by bucket."""
+    r = ranked(df.filter(F.col(value).isNotNull()), part, value)
+    middle = (F.col("rank") == F.floor((F.col("size") + 1) / 2)) | (
+        F.col("rank") == F.floor(F.col("size") / 2) + 1)
+    return r.filter(middle).groupBy(*part).agg(F.avg(value).alias("median"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dqspark.queries import branches, errors, models, snapshots
+from dqspark.queries import branches, errors, models, responses, snapshots
 
-MODULES = (models, errors, branches, snapshots)
+MODULES = (models, errors, branches, snapshots, responses)
 
 
 def queries() -> dict:
