@@ -143,6 +143,7 @@ def mart_security_master(t: Tables) -> DataFrame:
 
 _QUARTER, _DAY = ("cik", "fin_year", "fin_qtr"), ("market_date", "symbol")
 
+# The deployed rules, and the scored sinks with key, kind and value columns.
 BROKERAGE = Lineage(
     nodes=(
         Node("stg_company", ("raw_finwire",), stg_company),

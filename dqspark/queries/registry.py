@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dqspark.queries import branches, errors, models, responses, snapshots
+from dqspark.queries import branches, errors, models, responses, snapshots, wire
 
-MODULES = (models, errors, branches, snapshots, responses)
+MODULES = (models, errors, branches, snapshots, responses, wire)
 
 
 def queries() -> dict:
