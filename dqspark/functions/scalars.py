@@ -7,18 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def money(col: str | Column) -> Column:
+def money(col: str) -> Column:
     """Two-decimal amount as DECIMAL, so sums are exact in any order."""
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(18,2)")
+    return F.col(col).cast("decimal(18,2)")
 
 
-def mean4(total: Column, n: Column) -> Column:
-    """Mean of two-decimal amounts rounded half up to four decimals, without floating point."""
-    cents = (total * 100).cast("decimal(38,0)")
-    count = n.cast("decimal(20,0)")
-    units = F.call_function("div", F.abs(cents) * 200 + count, count * 2)
-    signed = F.when(cents < 0, -units).otherwise(units).cast("decimal(19,0)")
-    return (signed * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(24,4)")
+def mean4(total: str, n: str) -> Column:
+    """total / n for a total with two decimals, rounded half up to four decimals without floating
+    point; NULL when n is 0."""
+    cents = f"cast({total} * 100 as decimal(38,0))"
+    units = f"((abs({cents}) * 200 + cast({n} as decimal(20,0))) div (2 * cast({n} as decimal(20,0))))"
+    signed = f"cast(if({total} < 0, -{units}, {units}) as decimal(19,0))"
+    return F.expr(f"if({n} > 0, cast({signed} * cast(0.0001 as decimal(5,4)) as decimal(18,4)), null)")
 
 
 def rank_hash(salt: str, cols: Sequence[str]) -> Column:

@@ -22,8 +22,12 @@ def any_null(cols: Sequence[str]) -> Column:
     return cond
 
 
-def _content_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in df.columns])
+def _spread_hash(df: DataFrame, spread: Sequence[str] | None) -> Column:
+    """Deterministic hash of a row that scatters the rows of a hot key.
+
+    ``spread`` names the columns to hash, so that the others can still be pruned; all by default.
+    """
+    return F.xxhash64(*(spread or df.columns))
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -51,7 +55,7 @@ def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                spread: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Equi join of a possibly skewed row side with a lookup side.
 
     A small lookup is left to Spark, which broadcasts it or splits skewed partitions. Beyond the
@@ -68,7 +72,7 @@ def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str =
     hot = key_counts(rows, on).filter(F.col("_n") > hot_rows).select(
         *on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     hot = F.broadcast(hot)
-    digest = _content_hash(rows)
+    digest = _spread_hash(rows, spread)
     salted = rows.join(hot, on, "left").withColumn(
         "_salt", F.when(any_null(on), -1 - F.pmod(digest, F.lit(SPREAD)))
         .otherwise(F.pmod(digest, F.coalesce("_parts", F.lit(1)).cast("long"))))
@@ -80,7 +84,7 @@ def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str =
 
 
 def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[str],
-         hot_rows: int = HOT_ROWS) -> DataFrame:
+         spread: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Attach boolean ``flags`` of ``keys`` to the rows carrying each key (false elsewhere).
 
     ``keys`` holds distinct key tuples, the flags, and ``_n``, the number of rows of the key.
@@ -91,7 +95,7 @@ def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[st
         *on, *[F.col(f).alias(f"_hot_{f}") for f in flags], F.lit(True).alias("_hot"))
     cold = keys.filter(F.col("_n") <= hot_rows).select(
         *on, F.lit(0).cast("long").alias("_salt"), *[F.col(f).alias(f"_cold_{f}") for f in flags])
-    digest = F.pmod(_content_hash(rows), F.lit(SPREAD)) + 1
+    digest = F.pmod(_spread_hash(rows, spread), F.lit(SPREAD)) + 1
     tagged = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_hot") | any_null(on), digest).otherwise(F.lit(0).cast("long")))
     joined = tagged.join(cold, [*on, "_salt"], "left")

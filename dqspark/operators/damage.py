@@ -18,30 +18,33 @@ def value_columns(df: DataFrame, key: Sequence[str]) -> list[str]:
 def row_groups(clean: DataFrame, dirty: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct (key, values) rows of both sides with their multiplicities ``nc`` and ``nd``."""
     cols = clean.columns
-    both = clean.select(*cols, F.lit(1).alias("_c"), F.lit(0).alias("_d")).unionAll(
-        dirty.select(*cols, F.lit(0).alias("_c"), F.lit(1).alias("_d")))
-    return both.groupBy(*cols).agg(F.sum("_c").alias("nc"), F.sum("_d").alias("nd"))
+    both = clean.select(*cols, F.expr("1 as _c"), F.expr("0 as _d")).unionAll(
+        dirty.select(*cols, F.expr("0 as _c"), F.expr("1 as _d")))
+    return both.groupBy(*cols).agg(F.expr("sum(_c) as nc"), F.expr("sum(_d) as nd"))
+
+
+# Per key: rows on both sides, equal pairs, rows matched as multisets.
+_PER_KEY = ("sum(nc) as nc", "sum(nd) as nd", "sum(nc * nd) as equal_pairs",
+            "sum(least(nc, nd)) as matched")
 
 
 def key_groups(groups: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Per key: rows on both sides, equal pairs, rows matched as multisets."""
-    return groups.groupBy(*key).agg(
-        F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-        F.sum(F.col("nc") * F.col("nd")).alias("equal_pairs"),
-        F.sum(F.least("nc", "nd")).alias("matched"))
+    """Rows, equal pairs and matched rows of every key."""
+    return groups.groupBy(*key).agg(*[F.expr(e) for e in _PER_KEY])
 
 
 def _counted(per_key: DataFrame, key: Sequence[str], form: str) -> DataFrame:
-    nc, nd, matched = F.col("nc"), F.col("nd"), F.col("matched")
     if form == "keyset":
-        changed = F.when(any_null(key), F.lit(0)).otherwise(nc * nd - F.col("equal_pairs"))
-        added, lost = (nc == 0).cast("long"), (nd == 0).cast("long")
+        null = " or ".join(f"{k} is null" for k in key)
+        exprs = (f"cast(if({null}, 0, nc * nd - equal_pairs) as bigint) as changed",
+                 "cast(nc = 0 as bigint) as added", "cast(nd = 0 as bigint) as lost")
     elif form == "multiset":
-        changed = F.least(nc - matched, nd - matched)
-        added, lost = nd - matched - changed, nc - matched - changed
+        changed = "least(nc - matched, nd - matched)"
+        exprs = (f"{changed} as changed", f"nd - matched - {changed} as added",
+                 f"nc - matched - {changed} as lost")
     else:
         raise ValueError(f"unknown form {form}")
-    return per_key.withColumns({"changed": changed.cast("long"), "added": added, "lost": lost})
+    return per_key.selectExpr("*", *exprs)
 
 
 def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
@@ -55,21 +58,21 @@ def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
     return _counted(per_key, key, form).select(*key, "nc", "nd", "changed", "added", "lost")
 
 
-_TOTALS = {"changed": "changed", "added": "added", "lost": "lost", "nc": "n_clean"}
+_TOTALS = ("coalesce(sum(changed), 0) as changed", "coalesce(sum(added), 0) as added",
+           "coalesce(sum(lost), 0) as lost", "coalesce(sum(nc), 0) as n_clean")
 
 
 def _damage(total: DataFrame) -> DataFrame:
-    num = 2 * F.col("changed") + F.col("added") + F.col("lost")
-    den = 2 * F.col("n_clean") + F.col("added") - F.col("lost")
-    return total.withColumn("damage", F.coalesce(ratio(num, den), F.lit(0.0)))
+    return total.withColumn("damage", F.expr(
+        "coalesce(try_divide(cast(2 * changed + added + lost as double), "
+        "cast(2 * n_clean + added - lost as double)), 0.0D)"))
 
 
 def exact_damage(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
                  form: str = "keyset") -> DataFrame:
     """One row: changed, added, lost, clean rows and damage = (2C+A+L) / (2N+A-L)."""
     per_key = changes_per_key(clean, dirty, key, form)
-    return _damage(per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a)
-                                 for c, a in _TOTALS.items()]))
+    return _damage(per_key.agg(*[F.expr(e) for e in _TOTALS]))
 
 
 def _magnitude(col: str) -> Column:
@@ -121,9 +124,7 @@ def _settle(groups: DataFrame, key: Sequence[str], values: Sequence[str], form:
         sides += [F.sum(F.col("nc") * _filled(v)).alias(f"c_{v}"),
                   F.sum(F.col("nd") * _filled(v)).alias(f"d_{v}")]
     per_key = _counted(groups.groupBy(*key).agg(
-        F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-        F.sum(F.col("nc") * F.col("nd")).alias("equal_pairs"),
-        F.sum(F.least("nc", "nd")).alias("matched"),
+        *[F.expr(e) for e in _PER_KEY],
         F.sum(F.col("nc") * size).alias("clean_size"),
         F.sum(F.col("nd") * size).alias("dirty_size"), *sides), key, form)
     joins = ~any_null(key)
@@ -140,8 +141,7 @@ def _settle(groups: DataFrame, key: Sequence[str], values: Sequence[str], form:
             F.sum(F.when(joins & lost, F.col("clean_size"))).cast("double").alias("lost_size"),
             F.sum(F.when(joins & added, F.col("dirty_size"))).cast("double").alias("added_size"),
             F.sum("clean_size").cast("double").alias("clean_size")]
-    total = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in _TOTALS.items()],
-                        *real, F.count_if(lost).alias("lost_keys"),
+    total = per_key.agg(*[F.expr(e) for e in _TOTALS], *real, F.count_if(lost).alias("lost_keys"),
                         F.count_if(added).alias("added_keys"),
                         F.count_if(paired & ~single).alias("dense"))
     return total.fillna(0.0, ["distance", "relative", "lost_size", "added_size", "clean_size"])

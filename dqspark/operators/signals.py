@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import ratio
-from dqspark.functions.skew import any_null, key_counts, lookup_join, mark
+from dqspark.functions.skew import key_counts, lookup_join, mark
 
 # The shapes, in the order policies are applied.
 SHAPES = ("duplicate_shape", "numeric_shape", "null_shape", "fk_shape")
@@ -76,7 +76,7 @@ def flag_shape(df: DataFrame, rule: Rule, shape: str, band: Sequence | None = No
     if shape == "fk_shape" and rule.fk is not None:
         col, _, parent_col = rule.fk
         keys = orphan_values(df, col, parent, parent_col, rule.parent_null_guard)
-        return mark(df, keys.withColumn(shape, F.lit(True)), [col], [shape])
+        return mark(df, keys.withColumn(shape, F.lit(True)), [col], [shape], spread=rule.key)
     return df.withColumn(shape, row_flags(rule, band)[shape])
 
 
@@ -90,29 +90,30 @@ def flag(df: DataFrame, rule: Rule, band: Sequence | None = None,
 
 
 def key_profile(df: DataFrame, rule: Rule, band: Sequence | None = None,
-                parent: DataFrame | None = None) -> DataFrame:
+                parent: DataFrame | None = None, references: bool = True) -> DataFrame:
     """Per key: rows ``_n`` and, per shape, the number of rows it fires on.
 
-    One aggregation with map-side combine serves counts, verdicts and key-level routing.
+    One aggregation with map-side combine serves counts, verdicts and key-level routing. Only the
+    columns of the rule are read. Without ``references`` the reference rule is left out.
     """
-    base = flag_shape(df, rule, "fk_shape", band, parent)
+    used = [*rule.key, rule.numeric, rule.null, rule.fk and rule.fk[0], rule.fk_payload]
+    base = df.select(*dict.fromkeys(c for c in used if c))
     flags = row_flags(rule, band)
-    base = base.select(*rule.key, flags["numeric_shape"].alias("_numeric"),
-                       flags["null_shape"].alias("_null"), F.col("fk_shape").alias("_fk"))
+    if not references:
+        flags["fk_shape"] = F.lit(False)
+    elif rule.fk is not None:
+        base = flag_shape(base, rule, "fk_shape", band, parent)
+        flags["fk_shape"] = F.col("fk_shape")
     grouped = base.groupBy(*rule.key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if("_numeric").alias("numeric_shape"),
-        F.count_if("_null").alias("null_shape"),
-        F.count_if("_fk").alias("fk_shape"))
-    return grouped.withColumn(
-        "duplicate_shape", F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0)))
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(flags[s]).alias(s) for s in SHAPES[1:]])
+    return grouped.withColumn("duplicate_shape", F.expr("if(_n > 1, _n, 0)"))
 
 
 def _verdict(multi: str) -> Column:
-    fired = F.filter(
-        F.array(*[F.when(F.col(s) > 0, F.lit(s)) for s in SHAPES]), lambda x: x.isNotNull())
-    return (F.when(F.size(fired) == 0, F.lit("clear"))
-            .when(F.size(fired) == 1, F.element_at(fired, 1)).otherwise(F.lit(multi)))
+    fired = ", ".join(f"if({s} > 0, '{s}', null)" for s in SHAPES)
+    return F.expr(
+        f"case size(array_compact(array({fired}))) when 0 then 'clear' "
+        f"when 1 then coalesce({fired}) else '{multi}' end")
 
 
 def signal_report(df: DataFrame, rule: Rule, band: Sequence | None = None,
@@ -122,16 +123,22 @@ def signal_report(df: DataFrame, rule: Rule, band: Sequence | None = None,
     ``unit='rows'`` counts rows (a key with a NULL part never fires as duplicate);
     ``unit='keys'`` counts distinct detected keys.
     """
-    profile = key_profile(df, rule, band, parent)
-    if unit == "rows":
-        clean_key = ~any_null(rule.key)
-        counts = [F.sum(F.when(clean_key, F.col(s)).otherwise(0) if s == "duplicate_shape"
-                        else F.col(s)) for s in SHAPES]
-    else:
-        counts = [F.count_if(F.col(s) > 0) for s in SHAPES]
-    report = profile.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        *[F.coalesce(c, F.lit(0)).alias(s) for c, s in zip(counts, SHAPES)])
+    by_rows = unit == "rows"
+    split = by_rows and rule.fk is not None         # orphan rows are counted without a row join
+    profile = key_profile(df, rule, band, parent, references=not split)
+    whole = " and ".join(f"{k} is not null" for k in rule.key)
+    count = "sum({0})" if by_rows else "count_if({0} > 0)"
+    counts = {s: count.format(s) for s in SHAPES}
+    if by_rows:
+        counts["duplicate_shape"] = f"sum(if({whole}, duplicate_shape, 0))"
+    report = profile.agg(F.expr("coalesce(sum(_n), 0) as n_rows"), *[
+        F.expr(f"coalesce({c}, 0) as {s}") for s, c in counts.items()])
+    if split:
+        col, _, parent_col = rule.fk
+        orphans = orphan_values(df, col, parent, parent_col, rule.parent_null_guard).agg(
+            F.expr("coalesce(sum(_n), 0) as fk_shape"), F.lit(1).alias("_one"))
+        report = report.drop("fk_shape").withColumn("_one", F.lit(1)).join(
+            F.broadcast(orphans), "_one").select("n_rows", *SHAPES)
     return report.withColumn("verdict", _verdict("multi"))
 
 

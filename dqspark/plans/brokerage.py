@@ -65,13 +65,14 @@ def dim_security(t: Tables) -> DataFrame:
 
 def fact_financials(t: Tables) -> DataFrame:
     company = t["dim_company"].select("cik", "company_name", "industry_name")
-    return lookup_join(t["stg_financial"], company, ["cik"]).select(
+    return lookup_join(t["stg_financial"], company, ["cik"],
+                       spread=["fin_year", "fin_qtr", "revenue"]).select(
         *FINANCIAL, "company_name", "industry_name")
 
 
 def fact_market_history(t: Tables) -> DataFrame:
     security = t["dim_security"].select("symbol", "cik", "company_name", "issue_type")
-    return lookup_join(t["stg_daily_market"], security, ["symbol"]).select(
+    return lookup_join(t["stg_daily_market"], security, ["symbol"], spread=["market_date"]).select(
         "market_date", "symbol", "close_price", "high_price", "low_price", "volume", "cik",
         "company_name", "issue_type")
 
@@ -79,7 +80,8 @@ def fact_market_history(t: Tables) -> DataFrame:
 def fact_trade(t: Tables) -> DataFrame:
     account = t["stg_account"].select("account_id", "customer_id")
     security = t["dim_security"].select("symbol", "cik", "company_name")
-    met = lookup_join(lookup_join(t["stg_trade"], account, ["account_id"]), security, ["symbol"])
+    met = lookup_join(t["stg_trade"], account, ["account_id"], spread=["trade_id"])
+    met = lookup_join(met, security, ["symbol"], spread=["trade_id"])
     return met.select("trade_id", "trade_dts", "symbol", "account_id", "quantity", "trade_price",
                       (F.col("quantity") * F.col("trade_price")).alias("trade_value"),
                       "customer_id", "cik", "company_name")

@@ -84,14 +84,15 @@ def dim_part(t: Tables) -> DataFrame:
 
 def fact_order(t: Tables) -> DataFrame:
     who = t["dim_customer"].select("custkey", "cust_name", "region_name")
-    return lookup_join(t["stg_orders"], who, ["custkey"]).select(
+    return lookup_join(t["stg_orders"], who, ["custkey"], spread=["orderkey"]).select(
         "orderkey", "custkey", "status", "total_price", "order_date", "cust_name", "region_name")
 
 
 def fact_lineitem(t: Tables) -> DataFrame:
     what = t["dim_part"].select("partkey", "part_name", "brand", "part_type")
     when = t["stg_orders"].select("orderkey", "custkey", "order_date")
-    lines = lookup_join(lookup_join(t["stg_lineitem"], what, ["partkey"]), when, ["orderkey"])
+    lines = lookup_join(t["stg_lineitem"], what, ["partkey"], spread=["orderkey", "linenumber"])
+    lines = lookup_join(lines, when, ["orderkey"], spread=["partkey", "suppkey", "linenumber"])
     net = F.col("extended_price") * (F.lit("1.00").cast("decimal(3,2)") - F.col("discount"))
     return lines.select(
         "orderkey", "partkey", "suppkey", "linenumber", "custkey", "quantity", "extended_price",
@@ -114,11 +115,7 @@ def mart_customer_report(t: Tables) -> DataFrame:
     return who.join(per_customer, "custkey", "left").select(      # one row per customer on each side
         "custkey", "cust_name", "region_name",
         F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders"),
-        _mean("latest.s", "latest.c").alias("latest_total"))
-
-
-def _mean(total: str, n: str):
-    return F.when(F.col(n) > 0, mean4(F.col(total), F.col(n))).cast("decimal(18,4)")
+        mean4("latest.s", "latest.c").alias("latest_total"))
 
 
 def mart_part_report(t: Tables) -> DataFrame:
@@ -127,7 +124,7 @@ def mart_part_report(t: Tables) -> DataFrame:
         F.max("extended_price").alias("max_price"),
         F.sum("quantity").cast("decimal(18,2)").alias("total_qty"),
         F.count(F.lit(1)).alias("n_lines"))
-    return g.select("partkey", "brand", "part_type", _mean("s", "c").alias("avg_price"),
+    return g.select("partkey", "brand", "part_type", mean4("s", "c").alias("avg_price"),
                     "max_price", "total_qty", "n_lines")
 
 
@@ -138,7 +135,7 @@ def mart_order_year(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_orders"))
     return g.select("custkey", "cust_name", "order_year",
                     F.col("s").cast("decimal(18,2)").alias("annual_total"),
-                    _mean("s", "c").alias("avg_total"), "n_orders")
+                    mean4("s", "c").alias("avg_total"), "n_orders")
 
 
 def mart_daily_ship(t: Tables) -> DataFrame:
@@ -146,7 +143,7 @@ def mart_daily_ship(t: Tables) -> DataFrame:
         F.sum("extended_price").alias("s"), F.count("extended_price").alias("c"),
         F.sum("quantity").cast("decimal(18,2)").alias("total_qty"),
         F.count_distinct("partkey").alias("n_parts"))
-    return g.select("ship_date", _mean("s", "c").alias("avg_price"), "total_qty", "n_parts")
+    return g.select("ship_date", mean4("s", "c").alias("avg_price"), "total_qty", "n_parts")
 
 
 def mart_region_report(t: Tables) -> DataFrame:
@@ -155,7 +152,7 @@ def mart_region_report(t: Tables) -> DataFrame:
         F.count("total_price").alias("c"), F.count_distinct("custkey").alias("n_customers"))
     return g.select("region_name", "n_orders",
                     F.col("s").cast("decimal(18,2)").alias("total_value"),
-                    _mean("s", "c").alias("avg_value"), "n_customers")
+                    mean4("s", "c").alias("avg_value"), "n_customers")
 
 
 def mart_order_detail(t: Tables) -> DataFrame:
