@@ -13,7 +13,10 @@ def spark():
     session = (SparkSession.builder.master("local[4]").appName("tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "8g").getOrCreate())
+               .config("spark.driver.memory", "8g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+               .config("spark.sql.codegen.wholeStage", "false")     # tiny inputs: compiling dominates
+               .config("spark.sql.codegen.factoryMode", "NO_CODEGEN").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
     session.stop()
