@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 
 from dqspark.operators import dispositions as act
 from dqspark.operators import signals as sig
-from dqspark.operators.damage import exact_damage
+from dqspark.operators.damage import exact_damage, sink_damage
 from dqspark.operators.injection import inject_all
+from dqspark.plans.lineage import protected_run
 from dqspark.plans.star import STAR, sources
 from dqspark.queries import cases, registry
 from dqspark.session import materialize, tune
@@ -40,9 +41,8 @@ def run(df) -> None:
 
 def main() -> None:
     spark = session()
-    tables = STAR.build(sources(spark, SF_DIR))
-    for name in ("stg_lineitem", "stg_part", "stg_orders", "stg_customer"):
-        tables[name] = materialize(tables[name], name)       # the costs are those of stored tables
+    # Costs are those of operators over a stored clean snapshot; storing it is not timed.
+    tables = STAR.store(STAR.build(sources(spark, SF_DIR)))
     lines, part, rule = tables["stg_lineitem"], tables["stg_part"], STAR.rules["stg_lineitem"]
     loose = cases.LOOSE_LINE
     band = sig.derive_bands({"l": lines}, {"l": rule})["l"]
@@ -62,6 +62,14 @@ def main() -> None:
         "damage_exact_lineitem": lambda: exact_damage(lines, lines.filter("linenumber < 7"),
                                                       rule.key),
     }
+    specs = cases.mixed(orders)
+
+    def branch():
+        done = protected_run(STAR, tables, specs, {"stg_orders": cases.CONDITIONAL},
+                             sig.derive_bands({"stg_orders": orders}, STAR.rules), keep=materialize)
+        return sink_damage(tables, done.tables, STAR.sinks)
+
+    jobs["branch_on_stored_snapshot"] = branch
     every = registry.queries()
     for name in REGISTERED:
         jobs[name] = lambda q=every[name]: q(spark, SF_DIR)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqspark.functions.scalars import cumulate, medians, ranked, ratio, value_bucket
+from dqspark.functions.skew import product
 
 TOL = 1e-9
 # Dispositions in the order in which ties are resolved.
@@ -194,8 +195,7 @@ def effective_signature(plans: DataFrame, fireable: DataFrame) -> DataFrame:
     text = F.concat_ws("/", "node", "shape", "disposition")
     sig = acting.groupBy("plan", "family").agg(
         F.concat_ws(";", F.array_sort(F.collect_set(text))).alias("signature"))
-    every = plans.select("plan").distinct().withColumn("_one", F.lit(1)).join(
-        _one(fireable.select("family").distinct()), "_one").drop("_one")
+    every = product(plans.select("plan").distinct(), fireable.select("family").distinct())
     return every.join(sig, ["plan", "family"], "left").fillna("", ["signature"])
 
 
@@ -231,17 +231,18 @@ def score(predictions: DataFrame, roster: DataFrame) -> DataFrame:
         "plan", ratio("_s", "_w").alias("score"))
 
 
-def best_per_budget(scored: DataFrame, budgets: Sequence[float]) -> DataFrame:
+def best_per_budget(scored: DataFrame, budgets: Sequence[float],
+                    by: Sequence[str] = ()) -> DataFrame:
     """The best given plan within each budget: lowest score (12 digits), cost, size, then name.
 
-    scored: (plan, score, cost, size). The short budget list is a literal, so each plan is
+    scored: (plan, score, cost, size), and ``by`` for separate selections. The short budget list is a literal, so each plan is
     repeated only for the budgets it fits, and a budget keeps one row per task.
     """
     grid = F.array(*[F.lit(float(b)) for b in budgets])
     fits = scored.withColumn("budget", F.explode(F.filter(grid, lambda b: b >= F.col("cost"))))
     rank = F.struct(F.round("score", 12).alias("r"), F.col("cost"), F.col("size"), F.col("plan"))
-    best = fits.groupBy("budget").agg(F.min(F.struct(rank.alias("rank"), "score")).alias("b"))
-    return best.select("budget", F.col("b.rank.plan").alias("plan"), F.col("b.score").alias("score"),
+    best = fits.groupBy(*by, "budget").agg(F.min(F.struct(rank.alias("rank"), "score")).alias("b"))
+    return best.select(*by, "budget", F.col("b.rank.plan").alias("plan"), F.col("b.score").alias("score"),
                        F.col("b.rank.cost").alias("cost"), F.col("b.rank.size").alias("size"))
 
 
@@ -250,7 +251,7 @@ def bind(methods: DataFrame, measured: DataFrame, campaigns: DataFrame) -> DataF
 
     methods: (method, budget, plan or NULL). Rows that stay NULL are missing measurements.
     """
-    every = _one(methods).join(_one(campaigns.select("campaign").distinct()), "_one").drop("_one")
+    every = product(campaigns.select("campaign").distinct(), methods)
     done = measured.filter(F.col("status") == "complete").select("campaign", "plan",
                                                                  F.col("nrd").alias("_nrd"))
     return every.join(done, ["campaign", "plan"], "left").select(
@@ -411,6 +412,35 @@ def map_stability(m: DataFrame, pure: DataFrame, grid: DataFrame) -> DataFrame:
         F.col("full") != F.col("reduced"))
 
 
+def selection_stability(changes: DataFrame, policy: DataFrame, candidates: DataFrame,
+                        fireable: DataFrame, measured: DataFrame, roster: DataFrame,
+                        costs: DataFrame, budgets: Sequence[float]) -> DataFrame:
+    """Budgets whose selected candidate differs once a cell is held out of the map derivation.
+
+    changes: output of ``map_stability``. policy: (node, shape, disposition). candidates:
+    (plan, node). measured, roster and costs score every candidate from the full data, so only the
+    derivation step is starved. Only held-out cells that change an entry can move a selection.
+    """
+    folds = changes.select(F.col("held_out").cast("string").alias("fold")).distinct()
+    base = candidates.join(policy.select("node", "shape", "disposition"), "node")
+    moved = changes.select(F.col("held_out").cast("string").alias("fold"), "node", "shape", "reduced")
+    each = product(base, folds).join(moved, ["fold", "node", "shape"], "left").select(
+        "fold", "plan", "node", "shape", F.coalesce("reduced", "disposition").alias("disposition"))
+    every = each.unionByName(base.select(F.lit("").alias("fold"), "plan", "node", "shape",
+                                         "disposition"))
+    named = every.withColumn("plan", F.concat_ws("|", "fold", "plan")).drop("fold")
+    scored = score(predict(effective_signature(named, fireable), measured), roster).select(
+        F.substring_index("plan", "|", 1).alias("fold"),
+        F.substring_index("plan", "|", -1).alias("plan"), "score").join(costs, "plan")
+    best = best_per_budget(scored, budgets, by=("fold",))
+    full = best.filter("fold = ''").select("budget", F.col("plan").alias("full"))
+    rest = best.filter("fold <> ''").select(F.col("fold").alias("held_out"), "budget",
+                                            F.col("plan").alias("reduced"))
+    return rest.join(full, "budget", "full_outer").filter(
+        ~F.col("full").eqNullSafe(F.col("reduced")) & F.col("held_out").isNotNull()).select(
+        "held_out", "budget", "full", "reduced")
+
+
 def dose_line(parts: DataFrame, n: int, x1: float) -> DataFrame:
     """Predicted against observed differences of a mixture round.
 

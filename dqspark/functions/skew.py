@@ -102,3 +102,18 @@ def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[st
     return joined.select(
         *rows.columns,
         *[F.coalesce(f"_hot_{f}", f"_cold_{f}", F.lit(False)).alias(f) for f in flags])
+
+
+def product(big: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of ``big`` with every row of ``few``, where the result is meant to hold each pair.
+
+    A small list is attached to each row without moving ``big``. A list too large for that is
+    repeated once per salt, and the pairs are formed in as many tasks.
+    """
+    if is_small(few):
+        one = F.lit(1).alias("_one")
+        return big.select("*", one).join(F.broadcast(few.select("*", one)), "_one").drop("_one")
+    salted = big.withColumn("_salt", F.pmod(_spread_hash(big, None), F.lit(SPREAD)))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return salted.join(repeated, "_salt").drop("_salt")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import ratio
-from dqspark.functions.skew import key_counts, lookup_join, mark
+from dqspark.functions.skew import key_counts, mark
 
 # The shapes, in the order policies are applied.
 SHAPES = ("duplicate_shape", "numeric_shape", "null_shape", "fk_shape")
@@ -50,7 +50,7 @@ def orphan_values(df: DataFrame, col: str, parent: DataFrame, parent_col: str,
     """
     values = key_counts(df, [col])
     known = parent.select(F.col(parent_col).alias(col))
-    orphans = lookup_join(values, known.filter(F.col(col).isNotNull()), [col], "left_anti")
+    orphans = values.join(known.filter(F.col(col).isNotNull()).distinct(), col, "left_anti")
     if not null_guard:
         silent = known.filter(F.col(col).isNull()).limit(1).select(F.lit(1).alias("_one"))
         orphans = orphans.withColumn("_one", F.lit(1)).join(

@@ -83,7 +83,7 @@ def closure_audit(tables: Mapping[str, DataFrame],
     for name, (table, col, other, other_col) in refs.items():
         values = tables[table].groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
         known = tables[other].select(F.col(other_col).alias(col))
-        row = lookup_join(values, known, [col], "left_anti").agg(
+        row = values.join(known.distinct(), col, "left_anti").agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans")).select(
             F.lit(name).alias("check"), "orphans")
         out = row if out is None else out.unionByName(row)

@@ -199,12 +199,12 @@ def response_escape(spark, sf_dir):
     return ra.escape(_frame(spark, sf_dir, "actions"))
 
 
-@query("cells", """select k, n, n / cast(2 * n - k as double) q from (select cell % 100 + 1 k,
-    count(*) n from cells group by 1)""")
+@query("cells", """select policy, error_type, k, n, n / cast(2 * n - k as double) q from (select policy,
+    error_type, count(*) filter (fired) k, count(*) n from cells group by 1, 2)""")
 def response_q_law(spark, sf_dir):
-    n = _frame(spark, sf_dir, "cells").groupBy((F.col("cell") % 100 + 1).alias("k")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return n.select("k", "n", ra.q_law("k", "n").alias("q"))
+    n = _frame(spark, sf_dir, "cells").groupBy("policy", "error_type").agg(
+        F.count_if("fired").alias("k"), F.count(F.lit(1)).alias("n"))
+    return n.withColumn("q", ra.q_law("k", "n"))
 
 
 KEY = ("family", "k", "node", "disposition")
@@ -432,6 +432,51 @@ def map_stability(spark, sf_dir):
     return ra.map_stability(*frames(spark, sf_dir, "tries", "pure", "fireable"))
 
 
+# Single tables as candidate plans, scored on what the full data says about each of them.
+_SELECT = f"""{_LAST}, c as (select distinct cell from tries),
+    f as (select '' fold, * from tries union all select c.cell, t.* from c join tries t
+      on t.cell <> c.cell),
+    b as (select fold, node, shape, arg_min(disposition, (nrd, {_ORDER})) d, min(nrd) v from f
+      join pure using (family) group by 1, 2, 3),
+    g as (select distinct node, shape from fireable),
+    e as (select fold, node, shape, case when v < 1 - 1e-12 then d else 'no_op' end d from b join g
+      using (node, shape)),
+    ch as (select distinct r.fold from e x join e r using (node, shape) where x.fold = '' and
+      r.fold <> '' and x.d <> r.d),
+    folds as (select fold from ch union all select ''),
+    m as (select family, node || '/' || p.shape || '/' || disposition signature, min(nrd) nrd from tries
+      join pure p using (family) group by 1, 2),
+    s as (select f.fold, e.node "plan", p.family, string_agg(e.node || '/' || e.shape || '/' || e.d, ';')
+      filter (e.d <> 'no_op' and not (e.d = 'dedup' and e.shape <> 'duplicate_shape') and fr.shape is not
+      null) signature from folds f join e on e.fold = f.fold cross join (select distinct family from
+      fireable) p left join fireable fr on fr.family = p.family and fr.node = e.node and
+      fr.shape = e.shape group by 1, 2, 3),
+    q as (select s.fold, s."plan", sum(case when s.signature is null then 1.0e0 else m.nrd end * weight)
+      / sum(weight) score from s left join m using (family, signature) join roster using (family)
+      group by 1, 2 having count(*) filter (s.signature is not null and m.nrd is null) = 0),
+    k as (select node "plan", cast(count(*) as double) cost, 1 size from resp group by 1),
+    w as (select fold, b.budget, arg_min("plan", (round(score, 12), cost, size, "plan")) p from q join k
+      using ("plan") join (values (0.0e0), (1000.0e0), (1e12)) b(budget) on k.cost <= b.budget
+      group by 1, 2)"""
+
+
+@query("tries pure fireable roster", f"""select * from (with {_SELECT} select r.fold held_out, budget,
+    x.p "full", r.p reduced from w r left join w x using (budget) where r.fold <> '' and x.fold = ''
+    and x.p <> r.p)""")
+def map_selection_stability(spark, sf_dir):
+    tries, pure, fire, roster = frames(spark, sf_dir, "tries", "pure", "fireable", "roster")
+    resp = ra.response_table(tries, KEY)
+    changes = ra.map_stability(tries, pure, fire)
+    policy = ra.derive_policy(tries, pure, fire)
+    measured = tries.join(pure, "family").groupBy("family", F.concat_ws(
+        "/", "node", "shape", "disposition").alias("signature")).agg(F.min("nrd").alias("nrd"))
+    costs = resp.groupBy(F.col("node").alias("plan")).agg(
+        F.count(F.lit(1)).cast("double").alias("cost"), F.lit(1).alias("size"))
+    candidates = fire.select(F.col("node").alias("plan"), "node").distinct()
+    return ra.selection_stability(changes, policy, candidates, fire, measured, roster, costs,
+                                  (0.0, 1000.0, 1e12))
+
+
 @query("parts", """select *, observed - predicted residual from (select campaign, k_num, q, share,
     (q - 1) * share * 0.875e0 predicted, observed from (select campaign, cast(regexp_extract(campaign,
     '-(\\d+)x[^-]*$', 1) as int) k_num, 10 / cast(20 - cast(regexp_extract(campaign, '-(\\d+)x[^-]*$', 1)
