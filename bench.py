@@ -42,7 +42,7 @@ def run(df) -> None:
 def main() -> None:
     spark = session()
     # Costs are those of operators over a stored clean snapshot; storing it is not timed.
-    tables = STAR.store(STAR.build(sources(spark, SF_DIR)))
+    tables = STAR.store(STAR.build(sources(spark, SF_DIR)), files=int(CPUS))
     lines, part, rule = tables["stg_lineitem"], tables["stg_part"], STAR.rules["stg_lineitem"]
     loose = cases.LOOSE_LINE
     band = sig.derive_bands({"l": lines}, {"l": rule})["l"]

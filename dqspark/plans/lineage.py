@@ -62,7 +62,8 @@ class Lineage:
                 tables[n.name] = n.build(tables)
         return tables
 
-    def store(self, tables: Tables, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    def store(self, tables: Tables, names: Sequence[str] | None = None,
+              files: int | None = None) -> dict[str, DataFrame]:
         """Write the named tables (default all) and return the tables reading them back; tables
         above are built from the written ones."""
         names = set(self.names() if names is None else names)
@@ -71,7 +72,7 @@ class Lineage:
             if n.name in tables:
                 out[n.name] = n.build(out)
                 if n.name in names:
-                    out[n.name] = materialize(out[n.name], n.name)
+                    out[n.name] = materialize(out[n.name], n.name, files)
         return out
 
     def descendants(self, names: Sequence[str]) -> list[str]:

@@ -36,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "node") -> DataFrame:
-    """Write ``df`` once and read it back.
+def materialize(df: DataFrame, name: str = "node", files: int | None = None) -> DataFrame:
+    """Write ``df`` once and read it back; ``files`` spreads a table whose source is one block.
 
     A written table keeps column pruning, filter push-down and size statistics for the plans
     above it, and survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dqspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from dqspark.functions.scalars import cumulate, medians, value_bucket
-from dqspark.functions.skew import lookup_join, mark
+from dqspark.functions.skew import lookup_join, mark, product
 
 
 def _skewed(spark, n=400):
@@ -67,3 +67,14 @@ def test_medians_match_statistics(spark):
     got = dict(map(tuple, medians(spark.createDataFrame(data, "k string, v double"), ["k"], "v").collect()))
     for k in "abc":
         assert abs(got[k] - statistics.median(v for x, v in data if x == k)) < 1e-9
+
+
+def test_product_both_ways(spark):
+    big, few = _skewed(spark, 30), _lookup(spark).select("name")
+    want = rows(big.crossJoin(few))
+    assert rows(product(big, few)) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(product(big, few)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
