@@ -109,3 +109,19 @@ def gather(flat: np.ndarray, first: np.ndarray, lens: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.arange(total) + np.repeat(first - (ends - lens), lens)]
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """The rows for which the function that ``make`` builds says true; it gets a batch with column
+    ``text`` alone, so other columns may have any names."""
+    small_batches(df.sparkSession)
+    at = df.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            if batch.num_rows:
+                text = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
+                yield batch.filter(pa.array(keep(text), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

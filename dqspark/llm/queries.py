@@ -2,13 +2,52 @@
 
 from __future__ import annotations
 
-from dqspark.llm import simhash
+from pyspark.sql import functions as F
+
+from dqspark.llm import bpe, langid, packing, ring, simhash, token_files
 from dqspark.llm.common import tables
 
 
+def op2_bpe(spark, sf_dir):
+    coded = bpe.decode(bpe.encode(tables(spark, sf_dir, "documents")))
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(decimal, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_ring(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    slim = tables(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"))
+    put = ring.assign(slim, "doc_id", "text_crc32")
+    return put.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op5_token_files(spark, sf_dir):
+    files = token_files.write(tables(spark, sf_dir, "documents"), token_files.folder(spark))
+    return token_files.read(files).select("doc_id", "start", "n_tokens",
+                                          F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_language(spark, sf_dir):
+    docs = tables(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
+    model = langid.learn(docs, ~langid.held_out())
+    return langid.predict(docs, model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_ring": op3_ring, "op4_simhash": op4_simhash,
+           "op5_token_files": op5_token_files, "op6_language": op6_language,
+           "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
