@@ -112,8 +112,8 @@ def gather(flat: np.ndarray, first: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
-    """The rows for which the function that ``make`` builds says true; it gets a batch with column
-    ``text`` alone, so other columns may have any names."""
+    """The rows for which the function that ``make`` builds says true; it gets a batch of the texts
+    alone, and the batch of whole rows."""
     small_batches(df.sparkSession)
     at = df.columns.index("text")
 
@@ -122,6 +122,6 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 text = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-                yield batch.filter(pa.array(keep(text), pa.bool_()))
+                yield batch.filter(pa.array(keep(text, batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

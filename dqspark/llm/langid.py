@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dqspark.llm.common import map_batches, texts
+from dqspark.llm.common import keep_rows, map_batches, texts
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
@@ -195,5 +195,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns."""
-    from dqspark.llm.common import keep_rows
-    return keep_rows(docs, lambda: lambda batch: [not r for _, _, r in _classify(batch, model)])
+    return keep_rows(docs, lambda: lambda batch, _: [not r for *_, r in _classify(batch, model)])

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import bpe, langid, packing, ring, simhash, token_files
+from dqspark.llm import (bpe, fertility, html_text, imatch, langid, licenses, packing, ring, simhash,
+                         token_files)
 from dqspark.llm.common import tables
 
 
+def op1_html(spark, sf_dir):
+    return html_text.extract(tables(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark, sf_dir):
     coded = bpe.decode(bpe.encode(tables(spark, sf_dir, "documents")))
     decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -43,11 +48,25 @@ def op6_language(spark, sf_dir):
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_imatch(spark, sf_dir):
+    return imatch.edited_neighbours(tables(spark, sf_dir, "documents"))
+
+
+def op8_fertility(spark, sf_dir):
+    return fertility.judge(tables(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark, sf_dir):
+    return licenses.find_licenses(tables(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_ring": op3_ring, "op4_simhash": op4_simhash,
-           "op5_token_files": op5_token_files, "op6_language": op6_language,
-           "op10_packing": op10_packing}
+QUERIES = {q.__name__: q for q in (
+    op1_html, op2_bpe, op3_ring, op4_simhash, op5_token_files, op6_language, op7_imatch,
+    op8_fertility, op9_licenses, op10_packing)}
+#: No operator's result can be stated in SQL: each rests on hashing, a vocabulary, a trained model,
+#: an alignment or an order of placement. They are tested against brute force instead.
 ORACLES: dict[str, str] = {}
