@@ -25,8 +25,9 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
-#: Quartile distances that a measure may lie outside the quartiles.
-REACH = 8.0
+#: Quartile distances that each measure may lie outside the quartiles. Evenness spreads widely, as
+#: it falls with a text's length, so it has a smaller reach.
+REACH = (7.0, 7.0, 7.0, 2.5)
 #: The most frequent languages have bands of their own, all others share those of their script.
 LANGUAGES = 256
 #: Rows of a group from which its bands count; below it only the base rules do.
@@ -159,9 +160,9 @@ def measures(docs: DataFrame, known: frozenset[str], pieces: str = PIECES, ranks
     return map_batches(slim, make, schema)
 
 
-def bands(measured: DataFrame, reach: float = REACH) -> dict[str, list[tuple[float, float]]]:
+def bands(measured: DataFrame, reach: tuple = REACH) -> dict[str, list[tuple[float, float]]]:
     """Lower and upper limit of every measure in every group: quartiles, widened by ``reach``
-    quartile distances (at least 5 % of the median each). Rows that fail the base rules don't
+    quartile distances (each at least 2 % of the median). Rows that fail the base rules don't
     count. There are at most ``LANGUAGES`` groups and the scripts."""
     sound = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     rows = sound.groupBy("band").agg(
@@ -172,9 +173,9 @@ def bands(measured: DataFrame, reach: float = REACH) -> dict[str, list[tuple[flo
         if r.n < LEAST_ROWS:
             continue
         out[r.band] = []
-        for c in MEASURES:
+        for c, times in zip(MEASURES, reach):
             low, middle, high = r[c]
-            step = reach * max(high - low, 0.05 * abs(middle), 0.005)
+            step = times * max(high - low, 0.02 * abs(middle), 0.005)
             low, high = low - step, high + step
             # few byte fallbacks and an even use of tokens are no fault
             out[r.band].append((-1.0 if c == "byte_share" else low, 1e9 if c == "evenness" else high))
