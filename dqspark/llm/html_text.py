@@ -93,10 +93,11 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     links = depth = articles = at = 0
 
-    def flush(tag: str) -> None:
+    def flush() -> None:
         nonlocal links
         text = " ".join(unescape("".join(parts)).split())
         if text:
+            tag = next((t for t, *_ in reversed(stack) if t in _BLOCKS), "")
             out.append(Block(text, tag, min(links, len(text)), stack[-1][1], stack[-1][2]))
         parts.clear()
         links = 0
@@ -134,12 +135,12 @@ def blocks(html: str) -> list[Block]:
         if end:
             where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if block:
-                flush(tag)
+                flush()
             elif tag in ("td", "th"):
                 parts.append(" ")
             if where:
                 if any(t in _BLOCKS for t, *_ in stack[where:]) or stack[where][1] != stack[where - 1][1]:
-                    flush(tag)
+                    flush()
                 close(where)
             continue
         if tag in _RAW:
@@ -151,7 +152,7 @@ def blocks(html: str) -> list[Block]:
         if tag in _VOID and tag != "hr":
             continue
         if block:
-            flush(stack[-1][0])
+            flush()
             # a block ends an open paragraph, a list item the one before it
             ends = "li" if tag == "li" else "p"
             for i in range(len(stack) - 1, 0, -1):
@@ -178,10 +179,10 @@ def blocks(html: str) -> list[Block]:
                 articles += 1
                 article = articles
         if never != stack[-1][1] and not block:
-            flush(stack[-1][0])
+            flush()
         stack.append((tag, never, article))
         depth += tag == "a"
-    flush(stack[-1][0])
+    flush()
     return out
 
 
@@ -242,7 +243,7 @@ def second_pass(found: list[Block]) -> None:
         elif label == "near" or b.article or re.fullmatch("h[1-6]", b.tag) and down == "good":
             b.label = "good"
         else:
-            b.label = up if i < k else down if k < i else "bad"
+            b.label = up if i < k else down if k < i else "good" if b.tag == "p" else "bad"
 
 
 def main_text(html: str) -> str:

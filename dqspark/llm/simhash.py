@@ -58,14 +58,20 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of every row, fp as a signed long; null and empty texts have zero."""
+    """``(doc_id, fp, other)`` of every row, fp as a signed long; null and empty texts have zero.
+    ``other`` tells texts without doc_id apart and is 0 for all others."""
     def make():
         def work(batch):
             fps = np.array([fingerprint(shingle_hashes(t, words)) for t in texts(batch)], np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": longs(fps.view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "fp": longs(fps.view(np.int64)),
+                    "other": batch.column("other")}
         return work
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make,
-                       "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                                   _other().alias("other")), make, "doc_id long, fp long, other long")
+
+
+def _other():
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).cast("long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -203,7 +209,7 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) ->
 
 
 def near_groups(signed: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of stored ``(doc_id, fp)`` rows.
+    """``(fp, root, component_id)`` for every distinct fingerprint of stored ``(doc_id, fp)`` rows.
 
     The component is named by its least doc_id; it is null if no row of it has one.
     """
@@ -212,7 +218,7 @@ def near_groups(signed: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(named, "root").select("fp", "component_id")
+    return placed.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS,
@@ -234,16 +240,18 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFra
     """The rows of ``docs`` without near duplicates: the least doc_id of each group stays.
 
     Columns stay as they are. Rows that repeat a doc_id are one document, of which one row stays.
-    A row without doc_id stays only where no row of its group has one.
+    Where no row of a group has a doc_id, one of its rows stays.
     """
     signed = materialize(signatures(docs, words), "signed")
     groups = near_groups(signed, bits)
-    chosen = signed.join(groups, "fp").filter("doc_id <=> component_id").groupBy("doc_id").agg(
-        F.count("*").alias("rows"))
     key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
-    chosen = chosen.select(*key, F.col("rows").alias("_rows"))
-    row = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = row.join(chosen, ["_none", "_id"])
+    rows = signed.join(groups, "fp").groupBy("root", *key, F.col("other").alias("_other")).agg(
+        F.count("*").alias("_rows"))
+    chosen = rows.groupBy("root").agg(F.min(F.struct("_none", "_id", "_other", "_rows")).alias("k"))
+    chosen = chosen.select("k.*")
+    row = docs.select(*key, _other().alias("_other"),
+                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = row.join(chosen, ["_none", "_id", "_other"])
     once = kept.filter("_rows = 1").select("_row.*")
-    again = kept.filter("_rows > 1").groupBy("_none", "_id").agg(F.first("_row").alias("_row"))
+    again = kept.filter("_rows > 1").groupBy("_none", "_id", "_other").agg(F.first("_row").alias("_row"))
     return once.unionByName(again.select("_row.*"))
