@@ -21,6 +21,20 @@ def mean4(total: str, n: str) -> Column:
     return F.expr(f"if({n} > 0, cast({signed} * cast(0.0001 as decimal(5,4)) as decimal(18,4)), null)")
 
 
+def micros(col: str) -> Column:
+    """Sum of a number as millionths, exact in any order of the rows; NULL over no value."""
+    return F.expr(f"sum(cast(cast({col} as decimal(28,6)) * 1000000 as decimal(28,0)))")
+
+
+def rounded(total: str, n: str, digits: int) -> Column:
+    """Millionths ``total`` / ``n`` as double, rounded half up to ``digits`` without floating
+    point; NULL when n is 0."""
+    unit = 10 ** (6 - digits)
+    n = f"cast({n} as decimal(20,0))"
+    units = f"((abs({total}) * 2 + {unit} * {n}) div ({2 * unit} * {n}))"
+    return F.expr(f"if({n} > 0, cast(if({total} < 0, -{units}, {units}) as double) / {10 ** digits}, null)")
+
+
 def rank_hash(salt: str, cols: Sequence[str]) -> Column:
     """sha256 of the salt and the key values joined by ``|``."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols]

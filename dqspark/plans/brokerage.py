@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dqspark.functions.scalars import micros, rounded
 from dqspark.functions.skew import lookup_join
 from dqspark.operators.signals import Rule
 from dqspark.plans.lineage import Lineage, Node, Sink, Tables
@@ -11,8 +12,17 @@ from dqspark.sources.contracts import COMPANY, FINANCIAL, SECURITY
 from dqspark.sources.readers import latest, slice_records
 
 
-def _mean(col: str, digits: int) -> Column:
-    return F.round(F.avg(col), digits)
+def _exact(rows: DataFrame, keys: tuple, means: dict[str, tuple[str, int]],
+           sums: dict[str, tuple[str, int]], rest: dict[str, Column]) -> DataFrame:
+    """Groups with rounded means and sums of doubles that do not depend on the order of rows."""
+    measured = {c for c, _ in [*means.values(), *sums.values()]}
+    held = rows.groupBy(*keys).agg(
+        *[micros(c).alias(f"_sum_{c}") for c in sorted(measured)],
+        *[F.count(c).alias(f"_n_{c}") for c in sorted(measured)],
+        *[c.alias(n) for n, c in rest.items()])
+    out = {n: rounded(f"_sum_{c}", f"_n_{c}", d) for n, (c, d) in means.items()}
+    out |= {n: F.when(F.col(f"_n_{c}") > 0, rounded(f"_sum_{c}", "1", d)) for n, (c, d) in sums.items()}
+    return held.select(*keys, *[c.alias(n) for n, c in out.items()], *rest)
 
 
 def stg_company(t: Tables) -> DataFrame:
@@ -90,7 +100,8 @@ def fact_trade(t: Tables) -> DataFrame:
 def mart_company_report(t: Tables) -> DataFrame:
     """Per company the number of securities and the mean figures of its latest reported quarter."""
     quarter = F.col("fin_year") * 10 + F.col("fin_qtr")
-    sums = [f(c).alias(f"{f.__name__}_{c}") for c in ("revenue", "eps") for f in (F.sum, F.count)]
+    sums = [f(c).alias(f"{name}_{c}") for c in ("revenue", "eps")
+            for name, f in (("sum", micros), ("count", F.count))]
     per_quarter = t["fact_financials"].groupBy("cik", quarter.alias("_q")).agg(*sums)
     last = per_quarter.groupBy("cik").agg(F.max_by(F.struct(
         "sum_revenue", "count_revenue", "sum_eps", "count_eps"), "_q").alias("f"))
@@ -100,35 +111,32 @@ def mart_company_report(t: Tables) -> DataFrame:
     met = company.join(held, "cik", "left").join(last, "cik", "left")
     return met.select(
         "cik", "company_name", "industry_name", F.coalesce("n", F.lit(0)).alias("n_securities"),
-        F.round(F.try_divide("f.sum_revenue", "f.count_revenue"), 2).alias("latest_revenue"),
-        F.round(F.try_divide("f.sum_eps", "f.count_eps"), 4).alias("latest_eps"))
+        rounded("f.sum_revenue", "f.count_revenue", 2).alias("latest_revenue"),
+        rounded("f.sum_eps", "f.count_eps", 4).alias("latest_eps"))
 
 
 def mart_financial_summary(t: Tables) -> DataFrame:
-    return t["fact_financials"].groupBy("cik", "company_name", "fin_year").agg(
-        F.round(F.sum("revenue"), 2).alias("annual_revenue"), _mean("eps", 4).alias("avg_eps"),
-        F.count(F.lit(1)).alias("n_quarters"))
+    return _exact(t["fact_financials"], ("cik", "company_name", "fin_year"),
+                  {"avg_eps": ("eps", 4)}, {"annual_revenue": ("revenue", 2)},
+                  {"n_quarters": F.count(F.lit(1))})
 
 
 def mart_security_report(t: Tables) -> DataFrame:
-    return t["fact_market_history"].groupBy("symbol", "company_name", "issue_type").agg(
-        _mean("close_price", 4).alias("avg_close"),
-        F.round(F.max("high_price"), 4).alias("max_high"), F.sum("volume").alias("total_volume"),
-        F.count(F.lit(1)).alias("n_days"))
+    return _exact(t["fact_market_history"], ("symbol", "company_name", "issue_type"),
+                  {"avg_close": ("close_price", 4)}, {},
+                  {"max_high": F.round(F.max("high_price"), 4), "total_volume": F.sum("volume"),
+                   "n_days": F.count(F.lit(1))})
 
 
 def mart_market_daily(t: Tables) -> DataFrame:
-    return t["fact_market_history"].groupBy("market_date").agg(
-        _mean("close_price", 4).alias("avg_close"), F.sum("volume").alias("total_volume"),
-        F.count_distinct("symbol").alias("n_symbols"))
+    return _exact(t["fact_market_history"], ("market_date",), {"avg_close": ("close_price", 4)}, {},
+                  {"total_volume": F.sum("volume"), "n_symbols": F.count_distinct("symbol")})
 
 
 def mart_customer_report(t: Tables) -> DataFrame:
-    return t["fact_trade"].filter("customer_id is not null").groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n_trades"),
-        F.round(F.sum("trade_value"), 2).alias("total_trade_value"),
-        _mean("trade_price", 4).alias("avg_trade_price"),
-        F.count_distinct("symbol").alias("n_symbols"))
+    return _exact(t["fact_trade"].filter("customer_id is not null"), ("customer_id",),
+                  {"avg_trade_price": ("trade_price", 4)}, {"total_trade_value": ("trade_value", 2)},
+                  {"n_trades": F.count(F.lit(1)), "n_symbols": F.count_distinct("symbol")})
 
 
 def mart_financial_detail(t: Tables) -> DataFrame:

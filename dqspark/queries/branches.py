@@ -12,7 +12,7 @@ from dqspark.operators.signals import signal_report
 from dqspark.plans.lineage import measure, placement_grid, protected_run
 from dqspark.plans.star import STAR
 from dqspark.queries import cases as c
-from dqspark.queries.common import damage_sql, star_ctes, star_tables, with_sql
+from dqspark.queries.common import damage_sql, keyed, star_ctes, star_tables, with_sql
 from dqspark.session import materialize
 
 QUERIES = {}
@@ -68,24 +68,25 @@ def damage_multiset(spark, sf_dir):
 
 
 def _distances(sink: str, dirty: str) -> str:
+    """Both distances from one full join by key."""
     s = STAR.sinks[sink]
-    k, on = ", ".join(s.key), " and ".join(f"c.{x} = d.{x}" for x in s.key)
-    far = " + ".join(f"abs(coalesce(c.{v}, 0) - coalesce(d.{v}, 0))" for v in s.values)
-    size = " + ".join(f"abs(coalesce({v}, 0))" for v in s.values)
-    rel = " + ".join(f"cast(abs(coalesce(c.{v}, 0) - coalesce(d.{v}, 0)) as double) / "
-                     f"nullif(cast(abs(coalesce(c.{v}, 0)) as double), 0)" for v in s.values)
-    only = "(select {k} from {a} except select {k} from {b})"
-    keys = k if len(s.key) == 1 else f"({k})"
-    lost = only.format(k=k, a=sink, b=dirty)
-    added = only.format(k=k, a=dirty, b=sink)
+
+    def total(pattern: str) -> str:
+        return " + ".join(f"({pattern.replace('@', v)})" for v in s.values)
+
+    zero = " or ".join(f"coalesce(c.{v}, 0) = 0" for v in s.values)
+    sums = (f"sum({total('abs(coalesce(c.@, 0) - coalesce(d.@, 0))')}) filter (pair) gap, "
+            f"sum({total('cast(abs(c.@ - coalesce(d.@, 0)) as double) / nullif(cast(abs(c.@) as double), 0)')}) "
+            f"filter (pair and not ({zero})) part, "
+            f"sum({total('abs(coalesce(c.@, 0))')}) c_size, sum({total('abs(coalesce(d.@, 0))')}) d_size")
+    known = " and ".join(f"{k} is not null" for k in s.key)
     return f"""select '{sink}' sink,
-      round((cast((select coalesce(sum({far}), 0) from {sink} c join {dirty} d on {on}) as double)
-       + cast((select coalesce(sum({size}), 0) from {sink} where {keys} in {lost}) as double)
-       + cast((select coalesce(sum({size}), 0) from {dirty} where {keys} in {added}) as double))
-       / cast((select sum({size}) from {sink}) as double), 12) damage_value_weighted,
-      round(((select coalesce(sum(coalesce({rel}, 0)), 0) from {sink} c join {dirty} d on {on})
-       / {len(s.values)} + (select count(*) from {lost}) + (select count(*) from {added}))
-       / (select count(*) from {sink}), 9) damage_relative_error"""
+      round(cast(coalesce(sum(gap), 0) + coalesce(sum(c_size) filter (not in_dirty and {known}), 0)
+        + coalesce(sum(d_size) filter (not in_clean and {known}), 0) as double)
+        / cast((select sum({total('abs(coalesce(@, 0))')}) from {sink}) as double), 12) damage_value_weighted,
+      round((coalesce(sum(part), 0) / {len(s.values)} + count(*) filter (not in_dirty)
+        + count(*) filter (not in_clean)) / (select count(*) from {sink}), 9) damage_relative_error
+      from ({keyed(sink, dirty, list(s.key), list(s.values), sums)})"""
 
 
 @query(with_sql(MIXED, " union all ".join(_distances(s, s + "_d") for s in c.TOUCHED)))

@@ -149,17 +149,27 @@ def top_keys(table: str, key: list[str], k: int, salt: str, extra: str = "") ->
             f"order by h, {cols} limit {k})")
 
 
+def keyed(clean: str, dirty: str, key: list[str], values: list[str], sums: str = "") -> str:
+    """Per key of either side: whether each side has it, and the number of unequal row pairs.
+
+    One full join; NULL keys meet each other, but their rows are never pairs. ``sums`` adds columns
+    over the joined rows ``c`` and ``d``; ``pair`` is true where both are there.
+    """
+    meet = " and ".join(f"c.{k} is not distinct from d.{k}" for k in key)
+    known = " and ".join(f"c.{k} is not null" for k in key)
+    unequal = " or ".join(f"c.{v} is distinct from d.{v}" for v in values)
+    names = ", ".join(f"coalesce(c.{k}, d.{k}) {k}" for k in key)
+    more = f", {sums.replace('pair', f'(c.here and d.here and {known})')}" if sums else ""
+    return (f"select {names}, bool_or(c.here is not null) in_clean, bool_or(d.here is not null) in_dirty, "
+            f"count(*) filter (c.here and d.here and {known} and ({unequal})) changed{more} from "
+            f"(select *, true here from {clean}) c full join (select *, true here from {dirty}) d "
+            f"on {meet} group by {', '.join(str(i + 1) for i in range(len(key)))}")
+
+
 def damage_counts(clean: str, dirty: str, key: list[str], values: list[str]) -> str:
-    """The four counts of the key-set damage by plain set operations and a join."""
-    k = ", ".join(key)
-    on = " and ".join(f"c.{x} = d.{x}" for x in key)
-    c = ", ".join(f"c.{v}" for v in values)
-    d = ", ".join(f"d.{v}" for v in values)
-    return (f"select (select count(*) from {clean} c join {dirty} d on {on} "
-            f"where row({c}) is distinct from row({d})) changed, "
-            f"(select count(*) from (select {k} from {dirty} except select {k} from {clean})) added, "
-            f"(select count(*) from (select {k} from {clean} except select {k} from {dirty})) lost, "
-            f"(select count(*) from {clean}) n_clean")
+    return (f"select cast(coalesce(sum(changed), 0) as bigint) changed, count(*) filter (not in_clean) added, "
+            f"count(*) filter (not in_dirty) lost, (select count(*) from {clean}) n_clean "
+            f"from ({keyed(clean, dirty, key, values)})")
 
 
 def damage_sql(clean: str, dirty: str, key: list[str], values: list[str]) -> str:
