@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqspark.functions.scalars import cumulate, medians, ranked, ratio, value_bucket
+from dqspark.functions.scalars import cumulate, medians, ranked, ratio
 from dqspark.functions.skew import product
 
 TOL = 1e-9
@@ -354,8 +354,8 @@ def extrapolate(responses: DataFrame, forks: DataFrame) -> DataFrame:
     met = met.withColumn("_up", F.struct("k", "nrd")).withColumn("_nk", -F.col("k")).withColumn(
         "_down", F.struct("_nk", "nrd"))
     part = ["family", "node", "disposition"]
-    met = cumulate(met, part, ["k"], value_bucket("k"), maxima={"_below": "_up"}, inclusive=False)
-    met = cumulate(met, part, ["_nk"], value_bucket("_nk"), maxima={"_above": "_down"},
+    met = cumulate(met, part, ["k"], maxima={"_below": "_up"}, inclusive=False)
+    met = cumulate(met, part, ["_nk"], maxima={"_above": "_down"},
                    inclusive=False)
     below, above = F.col("k") - F.col("_below.k"), -F.col("_above._nk") - F.col("k")
     near = (F.when(below.isNull(), F.col("_above.nrd")).when(above.isNull(), F.col("_below.nrd"))

@@ -14,12 +14,11 @@ def bootstrap_means(diffs: DataFrame, resamples: int = 10_000, seed: str = "0")
 
     Draw j of resample r of a comparison takes the difference at index sha256(seed, r, j) mod n.
     The draw index is the join key, so the draws of one comparison spread over all tasks. The
-    position of a difference is its campaign's rank, found from running counts over hash buckets.
+    position of a difference is its campaign's rank, found from running counts.
     """
     placed = diffs.select("comparison", "campaign", "diff").withColumn("_c", F.lit(1))
-    bucket = F.floor(hash_number(F.col("campaign").cast("string")) / F.lit(1 << 48))
     placed = placed.withColumn("_h", hash_number(F.col("campaign").cast("string")))
-    placed = cumulate(placed, ["comparison"], ["_h", "campaign"], bucket, sums={"_pos": "_c"})
+    placed = cumulate(placed, ["comparison"], ["_h", "campaign"], sums={"_pos": "_c"})
     values = placed.select("comparison", (F.col("_pos") - 1).alias("_i"), "diff",
                            F.col("_pos_total").alias("n"))
     draws = values.select("comparison", "n", F.col("_i").alias("_j")).withColumn(
@@ -50,14 +49,14 @@ def bootstrap_ci(diffs: DataFrame, resamples: int = 10_000, seed: str = "0") ->
 def sign_flip(diffs: DataFrame) -> DataFrame:
     """Exact one-sided sign-flip p per comparison over all 2^n sign assignments.
 
-    n is at most 22 (more is refused), so a comparison's differences fit one short array; its sign
-    masks are spread by rows.
+    Returns comparison, n, p and status: a comparison of more than ``FLIP_LIMIT`` differences has
+    p NULL and status ``refused``, which leaves all others as they are. The differences of one
+    comparison fit a short array; its sign masks are spread by rows.
     """
     sized = diffs.groupBy("comparison").agg(F.count("diff").alias("n"))
     few = diffs.join(sized.filter(F.col("n") <= FLIP_LIMIT), "comparison")
-    refused = sized.filter(F.col("n") > FLIP_LIMIT).select("comparison", "n").withColumn(
-        "p", F.raise_error(F.concat(F.lit("too many differences for exact flips: "),
-                                    F.col("n").cast("string"))).cast("double"))
+    refused = sized.filter(F.col("n") > FLIP_LIMIT).select(
+        "comparison", "n", F.lit(None).cast("double").alias("p"), F.lit("refused").alias("status"))
     lists = few.groupBy("comparison").agg(F.transform(F.array_sort(F.array_agg(
         F.struct("campaign", "diff"))), lambda x: x["diff"]).alias("d"))
     lists = lists.withColumn("n", F.size("d")).withColumn(
@@ -76,21 +75,19 @@ def sign_flip(diffs: DataFrame) -> DataFrame:
     out = met.groupBy("comparison", "n").agg(F.count_if("hit").alias("hits"),
                                              F.count(F.lit(1)).alias("masks"))
     out = out.select("comparison", F.col("n").cast("long").alias("n"), ratio("hits", "masks")
-                     .alias("p"))
-    return out.unionByName(refused.select("comparison", "n", "p"))
+                     .alias("p"), F.lit("exact").alias("status"))
+    return out.unionByName(refused)
 
 
 def holm(pvals: DataFrame) -> DataFrame:
     """Holm-adjusted p per family: running maximum of min(1, (m - i) p) in ascending order.
 
-    pvals: (family, name, p). Ranks and maxima are accumulated over 1,024 p-value buckets, so a
-    family of any size is sorted in parts.
+    pvals: (family, name, p). Ranks and maxima are accumulated over ranges of (family, p, name), so
+    a family of any size is sorted in parts, also where all its p-values are equal.
     """
-    bucket = F.floor(F.col("p") * 1024)
-    ranked = cumulate(pvals.withColumn("_c", F.lit(1)), ["family"], ["p", "name"], bucket,
-                      sums={"rank": "_c"})
+    ranked = cumulate(pvals.withColumn("_c", F.lit(1)), ["family"], ["p", "name"], sums={"rank": "_c"})
     ranked = ranked.withColumn("_raw", F.least(F.lit(1.0), (
         F.col("rank_total") - F.col("rank") + 1) * F.col("p")))
-    out = cumulate(ranked.drop("_c", "rank_total"), ["family"], ["p", "name"], bucket,
+    out = cumulate(ranked.drop("_c", "rank_total"), ["family"], ["p", "name"],
                    maxima={"adjusted": "_raw"})
     return out.select("family", "name", "p", "rank", "adjusted")

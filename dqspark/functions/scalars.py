@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dqspark.session import materialize
+
 
 def money(col: str) -> Column:
     """Two-decimal amount as DECIMAL, so sums are exact in any order."""
@@ -53,60 +55,58 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def cumulate(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: Column,
+def cumulate(df: DataFrame, part: Sequence[str], order: Sequence[str],
              sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None,
              inclusive: bool = True) -> DataFrame:
-    """Running sums and maxima inside ``part`` without sorting a whole part in one task.
+    """Running sums and maxima inside ``part``; no part and no value is sorted in one task.
 
-    ``bucket`` must not decrease along ``order`` and take few values per part. Rows are accumulated
-    inside their bucket; bucket totals are accumulated over the buckets and added. Each sum ``s``
-    also yields ``s_total``. Rows with a NULL bucket count in the totals only and are dropped.
-    ``inclusive=False`` leaves the current row out.
+    Rows are dealt into ranges of (part, order) with a tie-break, so that equal values spread too,
+    and stored with the number of their range. Rows accumulate inside their range; the totals of
+    the ranges, one row for each part and range, accumulate over the ranges and are added. Each sum
+    ``s`` also yields ``s_total``. Rows whose first order column is NULL count in the totals only
+    and are dropped. ``inclusive=False`` leaves the current row out.
     """
     sums, maxima = sums or {}, maxima or {}
-    part = list(part)
-    df = df.withColumn("_bucket", bucket)
-    totals = df.groupBy(*part, "_bucket").agg(
+    part, kept = list(part), list(df.columns)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(
+        ranges, *part, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    totals = dealt.groupBy(*part, "_range").agg(
         *[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()],
-        *[F.max(c).alias(f"_t_{a}") for a, c in maxima.items()])
-    across = Window.partitionBy(*part).orderBy(F.col("_bucket").asc_nulls_last())
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
+        *[F.max(c).alias(f"_t_{a}") for a, c in maxima.items()],
+        *[F.sum(F.when(F.col(order[0]).isNotNull(), F.col(c))).alias(f"_k_{a}") for a, c in sums.items()],
+        *[F.max(F.when(F.col(order[0]).isNotNull(), F.col(c))).alias(f"_k_{a}") for a, c in maxima.items()])
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
     totals = totals.select(
-        *part, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in sums],
+        *part, "_range",
+        *[F.coalesce(F.sum(f"_k_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in sums],
         *[F.sum(f"_t_{a}").over(whole).alias(f"{a}_total") for a in sums],
-        *[F.max(f"_t_{a}").over(before).alias(f"_b_{a}") for a in maxima])
-    within = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(
+        *[F.max(f"_k_{a}").over(before).alias(f"_b_{a}") for a in maxima])
+    within = Window.partitionBy(*part, "_range").orderBy(*order, "_tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    inner = df.filter(F.col("_bucket").isNotNull()).select(
-        *df.columns,
+    inner = dealt.filter(F.col(order[0]).isNotNull()).select(
+        *kept, "_range",
         *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w_{a}") for a, c in sums.items()],
         *[F.max(c).over(within).alias(f"_w_{a}") for a, c in maxima.items()])
-    joined = inner.join(totals, [*part, "_bucket"])
-    keep = [c for c in df.columns if c != "_bucket"]
+    met = [F.col(f"i.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*part, "_range"]]
+    joined = inner.alias("i").join(totals.alias("t"), met)
     return joined.select(
-        *keep,
+        *[f"i.{c}" for c in kept],
         *[(F.col(f"_w_{a}") + F.col(f"_b_{a}")).alias(a) for a in sums],
         *[f"{a}_total" for a in sums],
         *[F.greatest(F.col(f"_w_{a}"), F.col(f"_b_{a}")).alias(a) for a in maxima])
 
 
-def value_bucket(col: str) -> Column:
-    """Non-decreasing bucket of a number: logarithmic, some thousands of values at most."""
-    size = F.col(col).cast("double")
-    return F.signum(size) * F.floor(64 * F.log2(1 + F.abs(size)))
-
-
 def ranked(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
     """Rank of every row by ``value`` inside ``part`` and the part's size (``rank``, ``size``)."""
-    out = cumulate(df.withColumn("_c", F.lit(1)), part, [value], value_bucket(value),
-                   sums={"rank": "_c"})
+    out = cumulate(df.withColumn("_c", F.lit(1)), part, [value], sums={"rank": "_c"})
     return out.withColumnRenamed("rank_total", "size").drop("_c")
 
 
 def medians(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
-    """Exact median per part (mean of the two middle values), sorted bucket by bucket."""
+    """Exact median per part (mean of the two middle values), sorted range by range."""
     r = ranked(df.filter(F.col(value).isNotNull()), part, value)
     middle = (F.col("rank") == F.floor((F.col("size") + 1) / 2)) | (
         F.col("rank") == F.floor(F.col("size") / 2) + 1)

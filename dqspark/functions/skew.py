@@ -1,8 +1,8 @@
 """Keyed lookups that stay balanced when one key holds a large part of the rows.
 
-A key is *hot* above ``HOT_ROWS`` rows, so a table of n rows has at most ``n / HOT_ROWS`` hot keys
-(10,000 keys for 10 billion rows): only this list is ever broadcast by hint. Rows of hot keys are
-spread by a salt taken from their content; all other keys fit one task.
+Lookups are plain equi joins: Spark broadcasts a side that it measures as small, and otherwise
+splits the partitions of hot keys at run time (``session.SETTINGS`` asks for that wherever a join
+can be split). Nothing here depends on the number of rows, and no side is ever broadcast by hint.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000
-SPREAD = 4096
+#: Ways in which the larger side of a product is spread.
+SPREAD = 64
 
 
 def any_null(cols: Sequence[str]) -> Column:
@@ -22,98 +22,40 @@ def any_null(cols: Sequence[str]) -> Column:
     return cond
 
 
-def _spread_hash(df: DataFrame, spread: Sequence[str] | None) -> Column:
-    """Deterministic hash of a row that scatters the rows of a hot key.
-
-    ``spread`` names the columns to hash, so that the others can still be pruned; all by default.
-    """
-    return F.xxhash64(*(spread or df.columns))
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Total size of the relations a plan reads: a bound for filters, projections, aggregations
-    and N:1 lookups, far tighter than the optimizer's product estimate for joins."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a lookup side is below the session's broadcast threshold.
-
-    A true answer never forces a broadcast: Spark still decides by its own estimate, or, at run
-    time, by the measured size of the shuffled side.
-    """
-    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    if source_bytes(df) <= limit:
-        return True
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-
-
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows per key (NULL keys left out), combined on the map side."""
     return df.filter(~any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left",
-                spread: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join of a possibly skewed row side with a lookup side.
 
-    A small lookup is left to Spark, which broadcasts it or splits skewed partitions. Beyond the
-    threshold hot keys of the row side are salted and the lookup rows of those keys alone are
-    repeated once per salt. For semi and anti joins the lookup is first reduced to distinct keys.
+    The columns of ``rows`` come first and keep their order. For semi and anti joins the lookup is
+    first reduced to distinct keys.
     """
     on = list(on)
     if how in ("left_semi", "left_anti"):
-        other = other.select(*on).distinct()
-    if is_small(other):
-        return rows.join(other, on, how)
-    order = rows.columns + [c for c in other.columns if c not in on
-                            and how not in ("left_semi", "left_anti")]
-    hot = key_counts(rows, on).filter(F.col("_n") > hot_rows).select(
-        *on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
-    hot = F.broadcast(hot)
-    digest = _spread_hash(rows, spread)
-    salted = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(any_null(on), -1 - F.pmod(digest, F.lit(SPREAD)))
-        .otherwise(F.pmod(digest, F.coalesce("_parts", F.lit(1)).cast("long"))))
-    repeated = other.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    repeated = repeated.withColumn("_salt", F.col("_salt").cast("long")).drop("_parts")
-    joined = salted.drop("_parts").join(repeated, [*on, "_salt"], how)
-    return joined.select(*order)
-
-
-def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[str],
-         spread: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+        return rows.join(other.select(*on).distinct(), on, how).select(*rows.columns)
+    return rows.join(other, on, how).select(
+        *rows.columns, *[c for c in other.columns if c not in on])
+
+
+def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Attach boolean ``flags`` of ``keys`` to the rows carrying each key (false elsewhere).
 
-    ``keys`` holds distinct key tuples, the flags, and ``_n``, the number of rows of the key.
-    NULL never matches.
+    ``keys`` holds distinct key tuples and the flags. NULL never matches.
     """
-    on, flags = list(on), list(flags)
-    hot = keys.filter(F.col("_n") > hot_rows).select(
-        *on, *[F.col(f).alias(f"_hot_{f}") for f in flags], F.lit(True).alias("_hot"))
-    cold = keys.filter(F.col("_n") <= hot_rows).select(
-        *on, F.lit(0).cast("long").alias("_salt"), *[F.col(f).alias(f"_cold_{f}") for f in flags])
-    digest = F.pmod(_spread_hash(rows, spread), F.lit(SPREAD)) + 1
-    tagged = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | any_null(on), digest).otherwise(F.lit(0).cast("long")))
-    joined = tagged.join(cold, [*on, "_salt"], "left")
-    return joined.select(
-        *rows.columns,
-        *[F.coalesce(f"_hot_{f}", f"_cold_{f}", F.lit(False)).alias(f) for f in flags])
+    found = keys.select(*on, *[F.col(f).alias(f"_{f}") for f in flags])
+    return rows.join(found, list(on), "left").select(
+        *rows.columns, *[F.coalesce(f"_{f}", F.lit(False)).alias(f) for f in flags])
 
 
 def product(big: DataFrame, few: DataFrame) -> DataFrame:
     """Every row of ``big`` with every row of ``few``, where the result is meant to hold each pair.
 
-    A small list is attached to each row without moving ``big``. A list too large for that is
-    repeated once per salt, and the pairs are formed in as many tasks.
+    The list is repeated once per salt, and the pairs are formed in as many tasks.
     """
-    if is_small(few):
-        one = F.lit(1).alias("_one")
-        return big.select("*", one).join(F.broadcast(few.select("*", one)), "_one").drop("_one")
-    salted = big.withColumn("_salt", F.pmod(_spread_hash(big, None), F.lit(SPREAD)))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SPREAD)))
     repeated = few.withColumn("_salt", F.explode(F.sequence(
         F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     return salted.join(repeated, "_salt").drop("_salt")

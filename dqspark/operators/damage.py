@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dqspark.functions.scalars import cumulate, ratio, value_bucket
+from dqspark.functions.scalars import cumulate, ratio
 from dqspark.functions.skew import any_null
 from dqspark.session import materialize
 
@@ -104,7 +104,7 @@ def _pair_distances(groups: DataFrame, key: Sequence[str], values: Sequence[str]
         F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
         F.sum(F.when(~F.col("_zero"), F.col("nc")).otherwise(0)).alias("nr"))
     long = long.withColumn("_w", F.col("nd") * F.col("v"))
-    long = cumulate(long, [*key, "i"], ["v"], value_bucket("v"), sums={"cn": "nd", "cs": "_w"})
+    long = cumulate(long, [*key, "i"], ["v"], sums={"cn": "nd", "cs": "_w"})
     v = F.col("v")
     apart = v * (2 * F.col("cn") - F.col("cn_total")) + (F.col("cs_total") - 2 * F.col("cs"))
     return long.agg(

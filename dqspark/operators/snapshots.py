@@ -10,25 +10,19 @@ from dqspark.functions.scalars import cumulate, ratio
 from dqspark.functions.skew import lookup_join
 
 
-def day_bucket(col: str) -> Column:
-    """Coarse, non-decreasing bucket of a date or timestamp: one value per month."""
-    return F.year(col) * 12 + F.month(col)
-
-
-def running_counts(df: DataFrame, time: str, bucket: Column | None = None) -> DataFrame:
+def running_counts(df: DataFrame, time: str) -> DataFrame:
     """Rows at or before each time value, with the table total (NULL times count there only).
 
-    The table collapses to its time histogram first; the histogram is accumulated bucket by bucket.
+    The table collapses to its time histogram first; the histogram is accumulated range by range.
     """
     hist = df.groupBy(F.col(time).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    return cumulate(hist, [], ["t"], day_bucket("t") if bucket is None else bucket,
-                    sums={"running": "n"}).withColumnRenamed("running_total", "total")
+    return cumulate(hist, [], ["t"], sums={"running": "n"}).withColumnRenamed("running_total", "total")
 
 
-def cut_point(df: DataFrame, time: str, q: float, bucket: Column | None = None) -> DataFrame:
+def cut_point(df: DataFrame, time: str, q: float) -> DataFrame:
     """One row: the largest time whose running count is at most q of the table (at least the
-    first time), the rows up to it and the total. ``bucket`` is an expression over ``t``."""
-    run = running_counts(df, time, bucket)
+    first time), the rows up to it and the total."""
+    run = running_counts(df, time)
     fits = F.col("running") <= F.lit(float(q)) * F.col("total")
     got = run.agg(F.max(F.when(fits, F.struct("t", "running"))).alias("last"),
                   F.min(F.struct("t", "running")).alias("first"), F.max("total").alias("total"))

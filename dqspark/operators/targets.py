@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from dqspark.functions.scalars import rank_hash
 from dqspark.functions.skew import lookup_join
@@ -57,14 +58,23 @@ def fanout_pools(fan: DataFrame, key: str, size: int = 4) -> DataFrame:
 
 
 def take_from_pool(pool: DataFrame, key: str, salts: Sequence[str]) -> DataFrame:
-    """One pick per salt, smallest hash first, without replacement. A pool is a few keys."""
-    left, picks = pool.select(key), None
-    for salt in salts:
-        pick = left.withColumn("_hash", rank_hash(salt, [key])).orderBy("_hash", key).limit(1) \
-            .select(F.lit(salt).alias("salt"), key)
-        picks = pick if picks is None else picks.unionByName(pick)
-        left = left.join(pick.select(key), key, "left_anti")
-    return picks
+    """One pick per salt, smallest hash first, without replacement. A pool is a few keys.
+
+    All (salt, hash, key) triples are ranked once; salts then take turns over that short list.
+    """
+    turns = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(s).alias("salt"))
+                      for i, s in enumerate(salts)])
+    tries = pool.select(key, F.explode(turns).alias("t")).select(
+        "t.turn", "t.salt", F.sha2(F.concat_ws("|", "t.salt", F.coalesce(
+            F.col(key).cast("string"), F.lit("None"))), 256).alias("hash"), F.col(key).alias("key"))
+    kind = tries.select(F.struct("turn", "salt", "hash", "key").alias("x")).schema["x"].dataType
+    none = F.array().cast(ArrayType(kind))
+    picked = F.aggregate("tries", none, lambda got, x: F.when(F.exists(
+        got, lambda g: (g["turn"] == x["turn"]) | (g["key"] == x["key"])), got).otherwise(
+        F.array_append(got, x)))
+    ranked = tries.agg(F.sort_array(F.collect_list(F.struct("turn", "salt", "hash", "key"))).alias("tries"))
+    return ranked.select(F.explode(picked).alias("x")).select(
+        "x.salt", F.col("x.key").alias(key))
 
 
 def argmax_row(df: DataFrame, value: str, key: str) -> DataFrame:

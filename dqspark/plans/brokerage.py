@@ -75,14 +75,13 @@ def dim_security(t: Tables) -> DataFrame:
 
 def fact_financials(t: Tables) -> DataFrame:
     company = t["dim_company"].select("cik", "company_name", "industry_name")
-    return lookup_join(t["stg_financial"], company, ["cik"],
-                       spread=["fin_year", "fin_qtr", "revenue"]).select(
+    return lookup_join(t["stg_financial"], company, ["cik"]).select(
         *FINANCIAL, "company_name", "industry_name")
 
 
 def fact_market_history(t: Tables) -> DataFrame:
     security = t["dim_security"].select("symbol", "cik", "company_name", "issue_type")
-    return lookup_join(t["stg_daily_market"], security, ["symbol"], spread=["market_date"]).select(
+    return lookup_join(t["stg_daily_market"], security, ["symbol"]).select(
         "market_date", "symbol", "close_price", "high_price", "low_price", "volume", "cik",
         "company_name", "issue_type")
 
@@ -90,8 +89,8 @@ def fact_market_history(t: Tables) -> DataFrame:
 def fact_trade(t: Tables) -> DataFrame:
     account = t["stg_account"].select("account_id", "customer_id")
     security = t["dim_security"].select("symbol", "cik", "company_name")
-    met = lookup_join(t["stg_trade"], account, ["account_id"], spread=["trade_id"])
-    met = lookup_join(met, security, ["symbol"], spread=["trade_id"])
+    met = lookup_join(t["stg_trade"], account, ["account_id"])
+    met = lookup_join(met, security, ["symbol"])
     return met.select("trade_id", "trade_dts", "symbol", "account_id", "quantity", "trade_price",
                       (F.col("quantity") * F.col("trade_price")).alias("trade_value"),
                       "customer_id", "cik", "company_name")
@@ -118,7 +117,8 @@ def mart_company_report(t: Tables) -> DataFrame:
 def mart_financial_summary(t: Tables) -> DataFrame:
     return _exact(t["fact_financials"], ("cik", "company_name", "fin_year"),
                   {"avg_eps": ("eps", 4)}, {"annual_revenue": ("revenue", 2)},
-                  {"n_quarters": F.count(F.lit(1))})
+                  {"n_quarters": F.count(F.lit(1))}).select(
+        "cik", "company_name", "fin_year", "annual_revenue", "avg_eps", "n_quarters")
 
 
 def mart_security_report(t: Tables) -> DataFrame:
@@ -136,7 +136,8 @@ def mart_market_daily(t: Tables) -> DataFrame:
 def mart_customer_report(t: Tables) -> DataFrame:
     return _exact(t["fact_trade"].filter("customer_id is not null"), ("customer_id",),
                   {"avg_trade_price": ("trade_price", 4)}, {"total_trade_value": ("trade_value", 2)},
-                  {"n_trades": F.count(F.lit(1)), "n_symbols": F.count_distinct("symbol")})
+                  {"n_trades": F.count(F.lit(1)), "n_symbols": F.count_distinct("symbol")}).select(
+        "customer_id", "n_trades", "total_trade_value", "avg_trade_price", "n_symbols")
 
 
 def mart_financial_detail(t: Tables) -> DataFrame:

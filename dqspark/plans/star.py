@@ -84,15 +84,15 @@ def dim_part(t: Tables) -> DataFrame:
 
 def fact_order(t: Tables) -> DataFrame:
     who = t["dim_customer"].select("custkey", "cust_name", "region_name")
-    return lookup_join(t["stg_orders"], who, ["custkey"], spread=["orderkey"]).select(
+    return lookup_join(t["stg_orders"], who, ["custkey"]).select(
         "orderkey", "custkey", "status", "total_price", "order_date", "cust_name", "region_name")
 
 
 def fact_lineitem(t: Tables) -> DataFrame:
     what = t["dim_part"].select("partkey", "part_name", "brand", "part_type")
     when = t["stg_orders"].select("orderkey", "custkey", "order_date")
-    lines = lookup_join(t["stg_lineitem"], what, ["partkey"], spread=["orderkey", "linenumber"])
-    lines = lookup_join(lines, when, ["orderkey"], spread=["partkey", "suppkey", "linenumber"])
+    lines = lookup_join(t["stg_lineitem"], what, ["partkey"])
+    lines = lookup_join(lines, when, ["orderkey"])
     net = F.col("extended_price") * (F.lit("1.00").cast("decimal(3,2)") - F.col("discount"))
     return lines.select(
         "orderkey", "partkey", "suppkey", "linenumber", "custkey", "quantity", "extended_price",

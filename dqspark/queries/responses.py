@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 QUERIES = {}
 ORACLES = {}
 
-LINES = """select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag rf, l_linestatus ls,
+_COLUMNS = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag rf, l_linestatus ls,
     cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint) cents,
-    cast(l_quantity as bigint) qty, p_type kind, p_brand brand, p_size size
-    from lineitem join part on p_partkey = l_partkey"""
-NRD = "cast(sum(cents) % 2048 as double) / 1024"
+    cast(l_quantity as bigint) qty"""
+LINES = f"select {_COLUMNS} from lineitem"
+#: For the tables that use the part's columns; lines without a part have kind and brand 'none'.
+PART_LINES = f"""select {_COLUMNS}, coalesce(p_type, 'none') kind, coalesce(p_brand, 'none') brand,
+    coalesce(p_size, 0) size from lineitem left join part on p_partkey = l_partkey"""
+#: Mean price of a unit in 1,024ths.
+NRD = "cast(sum(cents) div (sum(qty) * 100) as double) / 1024"
 
 BASE = {
     # one row per policy and cell
@@ -71,25 +75,31 @@ BASE = {
         end status, 0.0e0 clean_absolute_damage, 0.0e0 availability_loss,
         0.0e0 clean_availability_loss from lines group by 1, 2, 3, 5""",
     # one comparison per brand, twelve campaigns each
-    "diffs": """select brand comparison, concat(rf, ls, case when qty > 25 then 'h' else 'l' end) campaign,
-        cast(sum(cents) % 2048 as double) / 1024 - 1.25e0 diff from lines
+    "diffs": f"""select brand comparison, concat(rf, ls, case when qty > 25 then 'h' else 'l' end) campaign,
+        {NRD} - 1.25e0 diff from lines
         group by 1, 2""",
     "pvals": """select kind family, cast(l_partkey as varchar(20)) as "name",
-        cast(sum(cents) % 65536 as double) / 65536 p from lines group by 1, 2""",
+        cast((sum(qty) * 65536) div (50 * count(*) + 1) as double) / 65536 p from lines group by 1, 2""",
     "trials": """select concat('node', l_linenumber) node, case rf when 'A' then 'deploy' when 'N' then
         'detect' else concat('act', ls) end step, l_suppkey workload, cast(cents as double) micros
         from lines""",
     "parts": f"""select concat('camp-', l_linenumber, 'x', 8 - l_linenumber) campaign,
-        cast(sum(case when rf = 'A' then cents end) % 1024 as double) / 1024 d_num,
-        cast(sum(cents) % 1024 + 1024 as double) / 1024 d_mixed, {NRD} - 1 observed
+        cast(sum(case when rf = 'A' then cents end) div (sum(case when rf = 'A' then qty end) * 100) as double)
+        / 1024 d_num, {NRD} + 1 d_mixed, {NRD} - 1 observed
         from lines group by l_linenumber""",
 }
 
 
+def _parts(name: str) -> bool:
+    return any(w in BASE[name] for w in ("kind", "brand", "size k"))
+
+
 def _frame(spark, sf_dir, name: str):
-    args = {"lineitem": read(spark, sf_dir, "lineitem"), "part": read(spark, sf_dir, "part")}
-    text = LINES.replace("from lineitem join part", "from {lineitem} join {part}")
-    lines = spark.sql(text, **args)
+    args = {"lineitem": read(spark, sf_dir, "lineitem")}
+    if _parts(name):
+        args["part"] = read(spark, sf_dir, "part")
+    text = (PART_LINES if _parts(name) else LINES).replace("from lineitem", "from {lineitem}")
+    lines = spark.sql(text.replace("join part", "join {part}"), **args)
     sql = BASE[name].replace('"plan"', "`plan`").replace('"name"', "`name`").replace(
         "from lines", "from {lines}")
     return spark.sql(sql, lines=lines)
@@ -100,8 +110,8 @@ def frames(spark, sf_dir, *names):
 
 
 def query(names: str, sql: str):
-    ctes = [f"lines as materialized ({LINES})"] + [
-        f"{n} as materialized ({BASE[n]})" for n in names.split()]
+    ctes = [f"lines as materialized ({PART_LINES})"] + [
+        f"{n} as materialized ({BASE[n].replace(' div ', ' // ')})" for n in names.split()]
 
     def add(fn):
         QUERIES[fn.__name__] = fn
@@ -543,7 +553,7 @@ _FLIP = """s as (select comparison, list(diff order by campaign) d, count(*) n,
 
 
 @query("diffs", f"""select * from (with {_FLIP} select comparison, n, count(*) filter (t / n <= o + 1e-15)
-    / cast(count(*) as double) p from m group by 1, 2)""")
+    / cast(count(*) as double) p, 'exact' status from m group by 1, 2)""")
 def sign_flip(spark, sf_dir):
     return stats.sign_flip(_frame(spark, sf_dir, "diffs"))
 

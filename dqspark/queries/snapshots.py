@@ -10,6 +10,7 @@ from dqspark.operators.injection import inject_all
 from dqspark.operators.signals import signal_report
 from dqspark.queries import cases as c
 from dqspark.queries.common import (plain, read, star_ctes, star_table, star_tables, with_sql)
+from dqspark.session import materialize
 from dqspark.sources.manifest import load_manifest, load_profile
 
 QUERIES = {}
@@ -47,8 +48,7 @@ def cut_running_counts(spark, sf_dir):
        f"validation_rows from ({_cut_sql('e', 'events', 'ts', 0.8)})")
 def cut_quantile(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    day = F.datediff(F.to_date("t"), F.lit("1970-01-01").cast("date"))
-    return sn.cut_point(events, "ts", 0.8, bucket=day).select(
+    return sn.cut_point(events, "ts", 0.8).select(
         F.date_format("cut", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("cut"), "train_rows",
         "total_rows", "validation_rows")
 
@@ -178,9 +178,9 @@ def snapshot_identity(spark, sf_dir):
 # --- load checks -------------------------------------------------------------------------------
 
 @query("""select 'orders' as "table", 'orders.parquet' as file, (select count(*) from orders) as rows,
-    'ok' status union all select 'customer', 'customer.parquet', (select count(*) from customer),
-    'ok' union all select 'events', 'events.parquet', (select count(*) from events), 'ok'
-    union all select 'invoices', 'invoices.parquet', 0, 'missing'""")
+    0::bigint rejected, 'ok' status union all select 'customer', 'customer.parquet',
+    (select count(*) from customer), 0, 'ok' union all select 'events', 'events.parquet',
+    (select count(*) from events), 0, 'ok' union all select 'invoices', 'invoices.parquet', 0, 0, 'missing'""")
 def load_manifest_report(spark, sf_dir):
     tables = {t: (f"{t}.parquet", read(spark, sf_dir, t)) for t in ("orders", "customer", "events")}
     return load_manifest(spark, {**tables, "invoices": ("invoices.parquet", None)})
@@ -262,30 +262,39 @@ def _tests(orders, customers):
 _IN_BAND = ("shifted as materialized (" + c.sql_numeric("stg_orders", "true", 1000) + ")")
 
 
+_CASES = {"clean": "stg_orders", "mixed": "mixed", "copied": "copied", "shifted": "shifted", "far": "far"}
+
+
 def _agree_sql() -> str:
+    """Every test of the suite and every rule on every case, written alike for each."""
     rows = []
-    for case in ("clean", "mixed", "copied", "shifted"):
-        src = {"clean": "stg_orders", "mixed": "mixed", "copied": "copied",
-               "shifted": "shifted"}[case]
-        fired = (f"exists (select 1 from {src} group by orderkey having count(*) > 1) or exists "
-                 f"(select 1 from {src} where {c.SQL_OUT})")
-        fails = (f"exists (select 1 from {src} group by orderkey having count(*) > 1) or exists "
-                 f"(select 1 from {src} s join stg_orders o using (orderkey) where "
-                 f"s.total_price <> o.total_price and '{case}' = 'shifted')")
-        rows.append(f"select '{case}' as \"case\", case when ({fired}) and ({fails}) then 'both' when "
-                    f"({fired}) then 'contract only' when ({fails}) then 'suite only' else 'none' end "
-                    f"seen_by")
+    for case, src in _CASES.items():
+        many = f"(select count(*) from (select 1 from {src} group by orderkey having count(*) > 1))"
+        fired = (f"({many} > 0 or exists (select 1 from {src} where {c.SQL_OUT}) or exists (select 1 from {src} "
+                 f"where total_price is null) or exists (select 1 from {src} where custkey not in "
+                 "(select custkey from stg_customer)))")
+        tests = {
+            "unique_orderkey": many,
+            "not_null_total": f"(select count(*) from {src} where total_price is null)",
+            "customer_known": f"(select count(*) from {src} where custkey not in (select custkey from stg_customer))",
+            "status_accepted": f"(select count(distinct status) from {src} where status not in ('O', 'F', 'P'))",
+            "identity": f"(select count(*) from {src} s join stg_orders o using (orderkey) "
+                        "where s.total_price <> o.total_price)"}
+        rows += [f"select '{case}' as \"case\", '{test}' test, {n} failing_rows, {fired} fired" for test, n in tests.items()]
     copied = f"copied as materialized ({c.sql_duplicate('stg_orders', 'true')})"
     far = f"far as materialized ({c.sql_numeric('stg_orders', 'true')})"
-    rows.append(f"select 'far', case when exists (select 1 from far where {c.SQL_OUT}) "
-                "then 'contract only' else 'none' end")
-    return with_sql(ORDERS + c.sql_mixed() + [_IN_BAND, copied, far], " union all ".join(rows))
+    every = " union all ".join(rows)
+    return with_sql(ORDERS + c.sql_mixed() + [_IN_BAND, copied, far, f"every_test as ({every})"], """
+        select *, case when fired and bool_or(failing_rows > 0) over (partition by "case") then 'both' when fired
+        then 'contract only' when bool_or(failing_rows > 0) over (partition by "case") then 'suite only'
+        else 'none' end seen_by from every_test""")
 
 
 @query(_agree_sql())
 def suite_agreement(spark, sf_dir):
-    """A copy is seen by both, a far shift by the band only, a shift inside the band only by an
-    accounting identity (here: the total equals its booked value)."""
+    """The whole suite, an accounting identity (the total equals its booked value) among its
+    tests, and all rules on every case: a copy is seen by both, a shift inside the band only by
+    the identity, a far shift by the band and the identity."""
     t = star_tables(spark, sf_dir, "stg_orders", "stg_customer")
     orders = t["stg_orders"]
     band = c.order_bands({"stg_orders": orders})["stg_orders"]
@@ -299,11 +308,11 @@ def suite_agreement(spark, sf_dir):
     for name, df in cases.items():
         s = signal_report(df, c.ORDERS_RULE, band, t["stg_customer"]).select(
             F.lit(name).alias("case"), (F.col("verdict") != "clear").alias("fired"))
-        tests = {"unique": st.unique(df, "orderkey")}
-        if name == "shifted":
-            tests["identity"] = st.expression_is_true(df.join(booked, "orderkey"),
-                                                      "total_price = booked")
-        r = st.run_suite(tests).select(F.lit(name).alias("case"), "fails")
+        tests = _tests(df, t["stg_customer"]) | {"identity": st.expression_is_true(
+            df.join(booked, "orderkey"), "total_price = booked")}
+        r = st.run_suite(tests).select(F.lit(name).alias("case"), "test", "failing_rows", "fails")
         signals = s if signals is None else signals.unionByName(s)
         suite = r if suite is None else suite.unionByName(r)
-    return st.agreement(signals, suite)
+    suite = materialize(suite, "suite")
+    seen = st.agreement(signals, suite)
+    return suite.drop("fails").join(signals, "case").join(seen, "case")

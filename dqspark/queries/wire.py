@@ -117,7 +117,7 @@ def _mean(x: str, digits: int) -> str:
     return _half_up(_sum(x), f"count({x})", digits)
 
 
-_BASE = [
+BASE = [
     f"firm as (select {_ID.format('s_suppkey')} cik, s_name company_name, {_INDUSTRY} industry_id, "
     "n_name industry_name from supplier left join nation on n_nationkey = s_nationkey)",
     f"share as (select 'S' || p_partkey symbol, p_name security_name, cast(coalesce(qty, 0) as bigint) qty, "
@@ -215,7 +215,7 @@ def _table(name: str):
 
 for _name, _sql in EXPECTED.items():
     QUERIES[f"wire_{_name}"] = _table(_name)
-    ORACLES[f"wire_{_name}"] = with_sql(_BASE, _sql)
+    ORACLES[f"wire_{_name}"] = with_sql(BASE, _sql)
 
 
 def query(sql: str):
@@ -255,7 +255,7 @@ _DAMAGE = " union all ".join(
     + ")" for n, s in BROKERAGE.sinks.items())
 
 
-@query(with_sql([*_BASE, _TARGETS, _DIRTY, *_BRANCH, *_UNTOUCHED], _DAMAGE))
+@query(with_sql([*BASE, _TARGETS, _DIRTY, *_BRANCH, *_UNTOUCHED], _DAMAGE))
 def wire_protected_branch(spark, sf_dir):
     """Twenty shifted and twenty copied quarterly records; copies are merged, shifts withheld."""
     clean = wire_tables(spark, sf_dir)

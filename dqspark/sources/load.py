@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dqspark.sources.contracts import FLAT_FILES, SHOP_FILES
 from dqspark.sources.manifest import load_manifest, load_profile, require_profile
-from dqspark.sources.readers import (path_exists, read_actions_xml, read_contract, read_delimited,
-                                     read_fixed_width_lines)
+from dqspark.sources.readers import (CORRUPT, no_actions, path_exists, read_actions_xml,
+                                     read_contract, read_delimited, read_fixed_width_lines)
 
 EMPTY_LINES = "source_file string, line_no bigint, pts string, rec_type string, line string"
 
 
 def load_brokerage(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All raw tables of a brokerage batch, and the manifest. Absent files are listed as missing."""
+    """All raw tables of a brokerage batch, and the manifest. Absent files are listed as missing and
+    give empty tables; flat tables keep lines that do not fit in ``_corrupt``."""
     tables, listed = {}, {}
     for name, (file, sep, schema) in FLAT_FILES.items():
         df = read_delimited(spark, f"{folder}/{file}", schema, sep)
         listed[name] = (file, df)
-        tables[name] = df if df is not None else spark.createDataFrame([], schema)
+        tables[name] = df if df is not None else spark.createDataFrame([], f"{schema}, {CORRUPT} string")
     if path_exists(spark, f"{folder}/FINWIRE*"):
         tables["raw_finwire"] = read_fixed_width_lines(spark, folder, "FINWIRE*")
         listed["raw_finwire"] = ("FINWIRE*", tables["raw_finwire"])
@@ -27,9 +28,8 @@ def load_brokerage(spark: SparkSession, folder: str) -> tuple[dict[str, DataFram
         listed["raw_finwire"] = ("FINWIRE*", None)
     actions = read_actions_xml(spark, f"{folder}/CustomerMgmt.xml")
     for i, name in enumerate(("raw_customer_actions", "raw_account_actions")):
-        if actions is not None:
-            tables[name] = actions[i]
-        listed[name] = ("CustomerMgmt.xml", tables.get(name))
+        tables[name] = (actions or no_actions(spark))[i]
+        listed[name] = ("CustomerMgmt.xml", tables[name] if actions else None)
     return tables, load_manifest(spark, listed)
 
 

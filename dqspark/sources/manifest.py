@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def load_manifest(spark: SparkSession,
                   tables: Mapping[str, tuple[str, DataFrame | None]]) -> DataFrame:
-    """Per table (file, DataFrame or None when the source is absent): rows and status."""
+    """Per table (file, DataFrame or None when the source is absent): rows, rejected lines, status.
+
+    Rejected are the lines that a flat table keeps in ``_corrupt``; they count as rows too.
+    """
     out = None
     for name, (file, df) in tables.items():
         if df is None:
-            row = spark.range(1).select(F.lit(0).cast("long").alias("rows"),
-                                        F.lit("missing").alias("status"))
+            row = spark.range(1).select(
+                F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("rejected"),
+                F.lit("missing").alias("status"))
         else:
-            row = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("status", F.lit("ok"))
-        row = row.select(F.lit(name).alias("table"), F.lit(file).alias("file"), "rows", "status")
+            bad = F.col("_corrupt").isNotNull() if "_corrupt" in df.columns else F.lit(False)
+            row = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejected")).withColumn(
+                "status", F.when(F.col("rejected") > 0, "rejected lines").otherwise("ok"))
+        row = row.select(F.lit(name).alias("table"), F.lit(file).alias("file"), "rows", "rejected", "status")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -15,37 +15,65 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+CORRUPT = "_corrupt"
+
+
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|") -> DataFrame | None:
     """A headerless delimited file with declared names and types; None when it is absent.
 
-    A column named ``_corrupt`` in the schema keeps lines that do not fit.
+    One record is one line. ``_corrupt`` keeps the whole line where a field does not fit its type
+    or the number of fields is wrong, and is NULL elsewhere, so no value is lost unseen. Lines are
+    parsed whole whatever columns are read later.
     """
     if not path_exists(spark, path):
         return None
-    reader = spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE")
-    return reader.option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    declared = StructType.fromDDL(schema)
+    if CORRUPT not in declared.names:
+        declared = declared.add(CORRUPT, StringType())
+    row = F.from_csv("value", _ddl(declared), {
+        "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    return lines.select(row.alias("r")).select("r.*")
 
 
 def read_contract(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with header whose column names and order must equal the declared schema."""
-    wanted = [f.strip().split()[0] for f in schema.split(",")]
-    found = spark.read.option("header", True).csv(path).columns      # reads the first line only
-    if found != wanted:
-        raise ValueError(f"columns of {path} are {found}, the contract says {wanted}")
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """A CSV with header whose column names and order must equal the declared schema.
+
+    One record is one line. A line that breaks the schema in any column stops the job that reads.
+    """
+    wanted = StructType.fromDDL(schema)
+    lines = spark.read.text(path)
+    head = lines.first()                                              # reads the first line only
+    found = [] if head is None else spark.range(1).select(
+        F.from_csv(F.lit(head["value"]), ", ".join(f"c{i} string" for i in range(len(wanted) + 1))).alias("r")
+    ).first()["r"]
+    found = [x for x in found if x is not None]
+    if found != wanted.names:
+        raise ValueError(f"columns of {path} are {found}, the contract says {wanted.names}")
+    row = F.from_csv("value", _ddl(wanted), {"mode": "FAILFAST"})
+    body = lines.filter((F.col("value") != head["value"]) & (F.trim("value") != ""))
+    return body.select(row.alias("r")).select("r.*")
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def numbered(df: DataFrame, each: Column | None = None) -> DataFrame:
     """Add ``source_file`` and the 0-based position ``line_no`` of each record in its file.
 
+    ``each`` is an array of the records in one line of ``df``, which take its place as ``value``.
+
     Records of one split are read in order by one task, so a record's place in its split is its
     distance from the split's first id; split sizes (one short row per split) give the offset. No
     file passes through one task. Hidden file columns are consumed here.
     """
     raw = df.select("*", F.col("_metadata.file_path").alias("_path"),
                     F.col("_metadata.file_name").alias("source_file"),
-                    F.col("_metadata.file_block_start").alias("_block"),
-                    F.monotonically_increasing_id().alias("_id"))
+                    F.col("_metadata.file_block_start").alias("_block"))
+    if each is not None:
+        raw = raw.select("_path", "source_file", "_block", F.explode(each).alias("value"))
+    raw = raw.withColumn("_id", F.monotonically_increasing_id())
     splits = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"),
                                                 F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(
@@ -112,24 +140,42 @@ def _action_schema() -> StructType:
                        StructField("Customer", customer), StructField("Account", account)])
 
 
+_START, _END = "<TPCDI:Action ", "</TPCDI:Action>"
+
+
 def read_actions_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """(customer actions, account actions) of customer-management XML; None when absent.
 
-    ``action_seq`` numbers the actions in document order, files in path order. XML documents are
-    read one task per file, so large feeds should come as many files.
+    ``action_seq`` numbers the actions in document order, files in path order. A document is read
+    as text cut at the ends of its actions, so one large document is many tasks; an action that is
+    not well-formed raises.
     """
     if not path_exists(spark, path):
         return None
-    actions = spark.read.format("xml").option("rowTag", "TPCDI:Action").schema(
-        _action_schema()).load(path)
-    placed = numbered(actions)
+    chunks = spark.read.option("lineSep", _END).text(path)
+    parts = F.filter(F.split("value", f"(?={_START})"), lambda x: x.startswith(_START))
+    closed = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_START}[^>]*/>\s*$"), x).otherwise(
+        F.concat(x, F.lit(_END))))
+    placed = numbered(chunks, closed)
     per_file = placed.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))     # one row per file
     earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    action = F.from_xml(F.col("value"), _action_schema(), {"mode": "FAILFAST"})
     placed = placed.join(offsets, "_path").select(
-        (F.col("_o") + F.col("line_no") + 1).alias("action_seq"),
-        F.col("_ActionType").alias("action_type"), F.col("_ActionTS").alias("action_ts"),
-        F.col("_C_ID").alias("_own"), "Customer", "Account")
+        (F.col("_o") + F.col("line_no") + 1).alias("action_seq"), action.alias("a"))
+    return _actions(placed)
+
+
+def no_actions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The two action tables without rows."""
+    schema = StructType([StructField("action_seq", LongType()), StructField("a", _action_schema())])
+    return _actions(spark.createDataFrame([], schema))
+
+
+def _actions(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    placed = placed.select(
+        "action_seq", F.col("a._ActionType").alias("action_type"), F.col("a._ActionTS").alias("action_ts"),
+        F.col("a._C_ID").alias("_own"), "a.Customer", "a.Account")
 
     def text(c: str) -> Column:
         return F.trim(F.col(c))

@@ -25,8 +25,9 @@ def test_sign_flip_closed_form(spark):
 
 
 def test_sign_flip_refuses_long_lists(spark):
-    with pytest.raises(Exception, match="too many differences"):
-        stats.sign_flip(diffs(spark, a=[-1] * 23)).collect()
+    got = stats.sign_flip(diffs(spark, a=[-1] * 23, b=[-1] * 3)).collect()
+    assert {r["comparison"]: (r["n"], r["p"], r["status"]) for r in got} == {
+        "a": (23, None, "refused"), "b": (3, 0.125, "exact")}
 
 
 def test_bootstrap(spark):

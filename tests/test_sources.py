@@ -3,7 +3,7 @@ from conftest import rows
 
 from dqspark.plans.brokerage import BROKERAGE
 from dqspark.sources.load import load_brokerage, load_shop
-from dqspark.sources.manifest import read_shards, shard_counts, write_shard
+from dqspark.sources.manifest import load_manifest, read_shards, shard_counts, write_shard
 from dqspark.sources.readers import read_contract, read_delimited, read_fixed_width_lines
 
 NS = 'xmlns:TPCDI="http://www.tpc.org/tpc-di"'
@@ -144,9 +144,46 @@ def test_header_contract(spark, tmp_path):
 
 def test_absent_file_is_none_and_bad_lines_are_kept(spark, tmp_path):
     assert read_delimited(spark, str(tmp_path / "No.txt"), "a int") is None
-    (tmp_path / "T.txt").write_text("1|x\nbad|y\n")
-    df = read_delimited(spark, str(tmp_path / "T.txt"), "a int, b string, _corrupt string").cache()
-    assert rows(df) == [(1, "x", None), (None, "y", "bad|y")]
+    (tmp_path / "T.txt").write_text("1|x\nbad|y\n2\n3|z|more\n\n")
+    df = read_delimited(spark, str(tmp_path / "T.txt"), "a int, b string")
+    assert rows(df) == [(1, "x", None), (2, None, "2"), (3, "z", "3|z|more"), (None, "y", "bad|y")]
+    assert df.filter("_corrupt is not null").count() == 3 and df.select("b").count() == 4
+    bad = load_manifest(spark, {"t": ("T.txt", df)}).first()
+    assert (bad["rows"], bad["rejected"], bad["status"]) == (4, 3, "rejected lines")
+
+
+def test_decimal_contract_and_broken_lines(spark, tmp_path):
+    (tmp_path / "P.csv").write_text("a,b\n1.50,x\n")
+    schema = "a decimal(18,2), b string"
+    assert str(read_contract(spark, str(tmp_path / "P.csv"), schema).first()["a"]) == "1.50"
+    (tmp_path / "P.csv").write_text("a,b\n1.50,x\nten,y\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_contract(spark, str(tmp_path / "P.csv"), schema).select("b").collect()
+
+
+def test_lineage_builds_without_the_xml(spark, tmp_path):
+    (tmp_path / "DailyMarket.txt").write_text("2000-01-03|AAA|11,5|12|11|50.0\n2000-01-03|AAA|11|12|11|50\n")
+    raw, manifest = load_brokerage(spark, str(tmp_path))
+    status = {r["table"]: (r["rows"], r["rejected"], r["status"]) for r in manifest.collect()}
+    assert status["raw_dailymarket"] == (2, 1, "rejected lines")
+    assert status["raw_account_actions"] == (0, 0, "missing")
+    t = BROKERAGE.build(raw)
+    assert t["mart_customer_report"].count() == 0 and t["mart_market_daily"].count() == 1
+    assert raw["raw_customer_actions"].columns[:3] == ["action_seq", "action_type", "action_ts"]
+
+
+def test_xml_is_cut_into_many_tasks(spark, batch):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        raw, _ = load_brokerage(spark, batch)
+        got = rows(raw["raw_account_actions"], "action_seq", "c_id", "ca_id", "ca_name")
+        assert spark.read.text(batch + "/CustomerMgmt.xml", lineSep="</TPCDI:Action>").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(1, "1", "10", "first"), (1, "1", "11", "second"), (3, "1", "10", "renamed"),
+                   (4, "1", "11", None)]
 
 
 def test_result_shards(spark, tmp_path):
