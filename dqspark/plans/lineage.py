@@ -123,7 +123,8 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
                   bands: Mapping | None = None, *, with_errors: bool = True, scope: str = "cone",
                   routing: str | None = None, oracle: bool = False, strict: bool = True,
                   count: bool = True,
-                  keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Run:
+                  keep: Callable[[DataFrame, str], DataFrame] | None = None,
+                  injected: Tables | None = None) -> Run:
     """Inject, act where planned, rebuild what lies below; return the tables of the branch.
 
     scope ``cone``: the policy acts at the injected tables and at rebuilt tables below them; a
@@ -132,6 +133,8 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
     their clean (stale) state. With ``count`` a shape that fires nowhere leaves the table, and what
     is built from it alone, untouched. Unchanged tables reuse the clean plan. ``keep`` (for example
     ``session.materialize``) is applied to each changed table that others are built from.
+    ``injected`` holds tables of the same campaign with their errors in place; they are taken as
+    they are where nothing planned stands above them.
     """
     bands = bands or {}
     run = Run(dict(clean))
@@ -143,6 +146,10 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
             run.tables[name] = keep(run.tables[name], name)
 
     def put_errors(name: str) -> None:
+        if with_errors and name in (injected or {}) and not (
+                (lineage.ancestors([name]) - {name}) & set(plan)):
+            run.tables[name] = injected[name]
+            return
         for spec in injections:
             if spec.node == name and with_errors:
                 if strict:
@@ -201,6 +208,7 @@ def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence
     """Measurement rows of one campaign: per plan the damage with errors, relative to doing
     nothing (``nrd``), and the damage the same plan does to clean data."""
     base = protected_run(lineage, clean, injections, {}, bands, **options)
+    options = {**options, "injected": {s.node: base.tables[s.node] for s in injections}}
     sinks = lineage.sinks
 
     def mean(run: Run, label: str, role: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dqspark.functions.scalars import ratio
 from dqspark.operators import damage as dm
 from dqspark.operators.dispositions import route_live
 from dqspark.operators.injection import inject_all
-from dqspark.operators.signals import signal_report
+from dqspark.operators.signals import derive_bands, margin_sweep, signal_report
 from dqspark.plans.lineage import measure, placement_grid, protected_run
 from dqspark.plans.star import STAR
 from dqspark.queries import cases as c
@@ -262,6 +262,48 @@ def act_fail_closed(spark, sf_dir):
         "damage", F.lit(run.suppressed_at).alias("suppressed_at"))
 
 
+MARGINS = (2.0, 0.5)
+ARMS = {"withhold": {"numeric_shape": "quarantine"}, "conditional": c.CONDITIONAL}
+
+
+def _margin_sql() -> str:
+    """Every margin with every arm, on the dirty and on the clean orders."""
+    ctes, rows = [*MIXED, c.sql_sinks("_d", "s_base")], []
+    for i, m in enumerate(MARGINS):
+        out = f"(total_price < 0 or total_price > (select max(total_price) * {m} from stg_orders))"
+        for arm in ARMS:
+            for side, src in (("e", "mixed"), ("k", "stg_orders")):
+                name = f"g{i}_{arm}_{side}"
+                # nothing is doubled in the clean orders, so a merge leaves them as they are
+                rest = c.sql_dedup(src, "orderkey", c.ORDER_COLUMNS) if arm == "conditional" else f"select * from {src}"
+                ctes += [f"{name} as materialized (select * from ({rest}) where not coalesce({out}, false))",
+                         *star_ctes({"stg_orders": f"select * from {name}"}, f"_{name}"),
+                         c.sql_sinks(f"_{name}", f"s_{name}")]
+            rows.append(
+                f"select cast({m} as double) margin, '{arm}' arm, (select count(*) from stg_orders where {out}) "
+                f"clean_fires, round((select avg(damage) from s_g{i}_{arm}_e) / (select avg(damage) from s_base), 9) "
+                f"nrd, round((select avg(damage) from s_g{i}_{arm}_k), 12) clean_collateral")
+    return with_sql(ctes, " union all ".join(rows))
+
+
+@query(_margin_sql())
+def margin_policy_grid(spark, sf_dir):
+    """Per band margin and arm: rows that fire on clean data, NRD, and damage done to clean data."""
+    clean = _stored(spark, sf_dir)
+    orders, out = clean["stg_orders"], None
+    specs = c.mixed(orders)
+    for m in MARGINS:
+        bands = derive_bands({"stg_orders": orders}, {"stg_orders": c.ORDERS_RULE}, m)
+        fires = margin_sweep(orders, "total_price", [m]).select("margin", F.col("fired").alias("clean_fires"))
+        rows = measure(STAR, clean, "mixed", specs, {a: {"stg_orders": p} for a, p in ARMS.items()}, bands,
+                       keep=materialize)
+        rows = rows.withColumn("margin", F.lit(m)).join(fires, "margin").select(
+            "margin", F.col("plan").alias("arm"), "clean_fires", F.round("nrd", 9).alias("nrd"),
+            F.round("clean_absolute_damage", 12).alias("clean_collateral"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _grid_sql() -> str:
     ctes = [*MIXED]
     hit = "(select orderkey from {t} group by 1 having count(*) > 1)"
