@@ -86,3 +86,23 @@ def test_product_both_ways(spark):
         assert rows(product(big, few)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pool_picks_take_turns_in_one_plan(spark):
+    import hashlib
+
+    from dqspark.operators.targets import take_from_pool
+    keys = [3, 1, 4, 15, 9, 26]
+    pool = spark.createDataFrame([(k,) for k in keys], "k int")
+    salts = [f"s{i}" for i in range(8)]
+    left, want = set(keys), []
+    for s in salts:
+        if left:
+            pick = min(left, key=lambda k: (hashlib.sha256(f"{s}|{k}".encode()).hexdigest(), k))
+            left.remove(pick)
+            want.append((s, pick))
+    assert rows(take_from_pool(pool, "k", salts)) == want
+
+    def size(n):
+        return len(take_from_pool(pool, "k", salts[:n])._jdf.queryExecution().optimizedPlan().toString())
+    assert size(8) <= 4 * size(2)
