@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dqspark.analytics.responses import derive_policy
 from dqspark.functions.scalars import ratio
 from dqspark.operators import damage as dm
 from dqspark.operators.dispositions import route_live
@@ -304,6 +305,53 @@ def margin_policy_grid(spark, sf_dir):
     return out
 
 
+#: One family of errors for each of two shapes, with what may be done about it.
+FAMILIES = {"shifts": ("numeric_shape", ("quarantine", "null_out")),
+            "copies": ("duplicate_shape", ("quarantine", "dedup"))}
+
+
+def _measured_sql() -> str:
+    hit = "(select orderkey from fam_copies group by 1 having count(*) > 1)"
+    acts = {("shifts", "quarantine"): c.sql_quarantine_numeric("fam_shifts"),
+            ("shifts", "null_out"): f"select * replace (case when {c.SQL_OUT} then null else total_price end as "
+                                    "total_price) from fam_shifts",
+            ("copies", "quarantine"): f"select * from fam_copies where orderkey not in {hit}",
+            ("copies", "dedup"): c.sql_dedup("fam_copies", "orderkey", c.ORDER_COLUMNS)}
+    ctes = [*star_ctes(), c.sql_targets(),
+            f"fam_shifts as materialized ({c.sql_numeric('stg_orders', 'true')})",
+            f"fam_copies as materialized ({c.sql_duplicate('stg_orders', 'true')})"]
+    rows = []
+    for fam, (shape, _) in FAMILIES.items():
+        ctes += [*star_ctes({"stg_orders": f"select * from fam_{fam}"}, f"_b_{fam}"), c.sql_sinks(f"_b_{fam}", f"s_{fam}")]
+    for (fam, act), sql in acts.items():
+        name = f"{fam}_{act}"
+        ctes += [f"x_{name} as materialized ({sql})", *star_ctes({"stg_orders": f"select * from x_{name}"}, f"_{name}"),
+                 c.sql_sinks(f"_{name}", f"s_{name}")]
+        rows.append(f"select 'stg_orders' node, '{FAMILIES[fam][0]}' shape, '{act}' disposition, (select avg(damage) from "
+                    f"s_{name}) / (select avg(damage) from s_{fam}) nrd")
+    ctes.append("measured as (" + " union all ".join(rows) + ")")
+    return with_sql(ctes, """select node, shape, case when nrd < 1 - 1e-12 then disposition else 'no_op' end disposition,
+        round(least(nrd, 1.0e0), 9) nrd from measured qualify row_number() over (partition by node, shape order by nrd,
+        list_position(['dedup', 'quarantine', 'null_out'], disposition)) = 1""")
+
+
+@query(_measured_sql())
+def measured_policy(spark, sf_dir):
+    """The disposition of each shape that follows from measured branches of its own family."""
+    clean = _stored(spark, sf_dir)
+    targets = c.order_targets(clean["stg_orders"])
+    specs = {"shifts": [c.numeric(targets)], "copies": [c.duplicate(targets)]}
+    bands, out = c.order_bands(clean), None
+    for fam, (shape, acts) in FAMILIES.items():
+        rows = measure(STAR, clean, fam, specs[fam], {a: {"stg_orders": {shape: a}} for a in acts}, bands, keep=materialize)
+        rows = rows.select(F.col("campaign").alias("family"), F.lit(c.K).alias("k"), F.lit("stg_orders").alias("node"),
+                           F.col("plan").alias("disposition"), "nrd")
+        out = rows if out is None else out.unionByName(rows)
+    pure = spark.createDataFrame([(f, s) for f, (s, _) in FAMILIES.items()], "family string, shape string")
+    grid = pure.select(F.lit("stg_orders").alias("node"), "shape")
+    return derive_policy(out, pure, grid).withColumn("nrd", F.round("nrd", 9))
+
+
 def _grid_sql() -> str:
     ctes = [*MIXED]
     hit = "(select orderkey from {t} group by 1 having count(*) > 1)"
