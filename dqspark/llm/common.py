@@ -57,11 +57,12 @@ def longs(values) -> pa.Array:
 class CachedEncoder:
     """Token ids of words, each distinct word encoded once per worker while it stays cached.
 
-    ``encode`` turns a list of words into a list of id lists. The cache holds at most ``most``
-    words; beyond that it starts anew between two texts, which changes no result.
+    ``encode`` turns a list of words into all their ids and the number of each word's. The cache
+    holds about ``most`` words; beyond that it starts anew between two texts, which changes no
+    result.
     """
 
-    def __init__(self, encode: Callable[[list], list], most: int = 600_000):
+    def __init__(self, encode: Callable[[list], tuple], most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -73,16 +74,13 @@ class CachedEncoder:
 
     def add(self, words: list) -> None:
         """Encode the words that are not cached yet."""
-        found = self.encode(words)
-        n = len(self.index)
+        ids, lens = self.encode(words)
+        n, total = len(self.index), len(ids)
         while len(self.start) < n + len(words) + 1:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lens.sum())
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used:self.used + total] = np.fromiter(
-            (i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = ids
         self.start[n + 1:n + 1 + len(words)] = self.used + np.cumsum(lens)
         self.used += total
         self.index.update(zip(words, range(n, n + len(words))))

@@ -9,6 +9,7 @@ base rules: too few words, or too many words in repeated three-word windows.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -16,9 +17,10 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dqspark.llm.bpe import encoding, token_bytes
-from dqspark.llm.common import CachedEncoder, keep_rows, longs, map_batches, texts
+from dqspark.llm.common import CachedEncoder, longs, map_batches, small_batches, texts
 from dqspark.session import materialize
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,24 +42,68 @@ _SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in (
     "Hangul", "Thai")}
 
 
-class Meter:
-    """Measures of texts; words are encoded once while they stay cached."""
+class Words(CachedEncoder):
+    """Piece ids of words, with the tokens of the rank vocabulary and the byte tokens of both.
+
+    Words are encoded in one line, as no piece and no pre-token reaches over the space between two
+    words; where the starts of words cannot be told in the result, they are encoded one by one.
+    """
 
     def __init__(self, pieces: str, ranks: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        self.piece = CachedEncoder(
-            lambda words: model.encode([w.decode() for w in words], num_threads=1))
-        plain = encoding(ranks, public_tokenizers.PATTERN)
-        self.part = np.zeros(max(token_bytes(ranks)) + 1, bool)
-        for i, data in token_bytes(ranks).items():
-            self.part[i] = not _whole(data)
-        self.rank = CachedEncoder(lambda words: [plain.encode_ordinary(" " + w.decode()) for w in words])
+        self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        n = self.model.get_piece_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
+        self.begins = np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(n)])
+        self.plain = encoding(ranks, public_tokenizers.PATTERN)
+        table = token_bytes(ranks)
+        self.part, self.space = (np.zeros(max(table) + 1, bool) for _ in range(2))
+        for i, data in table.items():
+            self.part[i], self.space[i] = not _whole(data), data[:1] == b" "
+        super().__init__(lambda words: _cut(self.model.encode, self.begins, words, ""))
+
+    def clear(self) -> None:
+        super().clear()
+        self.more = np.zeros((2, 1 << 14), np.int64)      # rank tokens, byte tokens of both
+
+    def add(self, words: list) -> None:
+        n = len(self.index)
+        other, sizes = _cut(self.plain.encode_ordinary, self.space, words, " ")
+        super().add(words)
+        while self.more.shape[1] < len(self.index):
+            self.more = np.concatenate([self.more, np.zeros_like(self.more)], axis=1)
+        self.more[0, n:len(self.index)] = sizes
+        self.more[1, n:len(self.index)] = _sums(self.part[other], sizes)
+        ids, lens = self.ids(np.arange(n, len(self.index)))
+        self.more[1, n:len(self.index)] += _sums(self.is_byte[ids], lens)
+
+
+def _sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    stops = np.cumsum(lens)
+    return ends[stops] - ends[stops - lens]
+
+
+def _cut(encode, begins: np.ndarray, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words and how many each has, from one encoding of all of them."""
+    ids = np.array(encode(before + " ".join(words)), np.int64)
+    starts = np.nonzero(begins[ids])[0]
+    if len(starts) != len(words) or len(ids) and starts[0]:
+        each = [encode(before + w) for w in words]
+        return np.array([i for x in each for i in x], np.int64), np.array(list(map(len, each)), np.int64)
+    return ids, np.diff(np.append(starts, len(ids)))
+
+
+class Meter:
+    """Measures of texts; words are encoded once while they stay cached."""
+
+    def __init__(self, pieces: str, ranks: str):
+        self.words = Words(pieces, ranks)
 
     def measure(self, text: str) -> dict:
-        words = text.encode().split()  # ASCII white space only
+        words = split_words(text)
         n = len(words)
         chars = len(text) - sum(text.count(c) for c in SPACES)
         out = {"n_words": n, "word_chars": chars, "n_symbols": sum(text.count(c) for c in SYMBOLS),
@@ -65,22 +111,31 @@ class Meter:
                "chars_per_rank": 0.0, "byte_share": 0.0, "evenness": 0.0}
         if not n:
             return out
-        self.piece.room()
-        self.rank.room()
-        at = self.piece.places(words)
+        self.words.room()
+        at = self.words.places(words)
         out["n_repeat_words"] = repeated_words(at)
-        ids, _ = self.piece.ids(at)
-        other, _ = self.rank.ids(self.rank.places(words))
-        total = len(ids) + len(other)
+        ids, _ = self.words.ids(at)
+        other, partial = self.words.more[:, at].sum(1).tolist()
         out["chars_per_piece"] = chars / max(1, len(ids))
-        out["chars_per_rank"] = chars / max(1, len(other))
-        out["byte_share"] = float(self.is_byte[ids].sum() + self.part[other].sum()) / max(1, total)
-        counts = np.unique(ids, return_counts=True)[1] / max(1, len(ids))
+        out["chars_per_rank"] = chars / max(1, other)
+        out["byte_share"] = partial / max(1, len(ids) + other)
         if len(ids) > 1:
+            counts = np.bincount(ids)
+            counts = counts[counts > 0] / len(ids)
             out["evenness"] = float(-(counts * np.log(counts)).sum() / np.log(len(ids)))
         return out
 
 
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def split_words(text: str) -> list[str]:
+    """Words between ASCII white space; str.split() knows more white space than that."""
+    if _UNUSUAL.search(text):
+        return [w.decode() for w in text.encode().split()]
+    return text.split()
+
+
 def _whole(data: bytes) -> bool:
     try:
         data.decode()
@@ -105,6 +160,8 @@ def repeated_words(at: np.ndarray, size: int = 3) -> int:
         if int(key.max()) >= (1 << 62) // (int(at.max()) + 1):
             key = np.unique(key, return_inverse=True)[1]
         key = key * (int(at.max()) + 1) + at[i:i + n]
+    if len(set(key.tolist())) == n:
+        return 0
     _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
     start = counts[back] > 1
     cover = np.zeros(len(at), bool)
@@ -207,22 +264,35 @@ def judge(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFram
 
 
 def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    known = languages(docs)
-    limits = bands(materialize(measures(docs, known, pieces, ranks), "measures"))
-    at_lang = docs.columns.index("lang")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    def make():
+    Rows are stored with their measures, so that every text is measured once.
+    """
+    small_batches(docs.sparkSession)
+    known = languages(docs)
+    extra = "measured"
+    while extra in docs.columns:
+        extra += "_"
+    at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
+    kinds = StructType().add("band", "string").add("n_words", "long").add("n_repeat_words", "long")
+    for c in MEASURES:
+        kinds = kinds.add(c, "double")
+
+    def run(batches):
         gauge = meter(pieces, ranks)
-
-        def keep(batch, rows):
-            out = []
-            for text, lang in zip(texts(batch), rows.column(at_lang).to_pylist()):
-                r = gauge.measure(text)
-                pairs = limits.get(lang if lang in known else script(text), [])
-                out.append(not base_failed(r["n_words"], r["n_repeat_words"]) and all(
-                    low <= r[c] <= high for c, (low, high) in zip(MEASURES, pairs)))
-            return out
-        return keep
-
-    return keep_rows(docs, make)
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])
+            rows = []
+            for t, lang in zip(texts(text), batch.column(at_lang).to_pylist()):
+                rows.append(gauge.measure(t) | {"band": lang if lang in known else script(t)})
+            fields = [pa.array([r["band"] for r in rows], pa.string()),
+                      *[longs([r[c] for r in rows]) for c in ("n_words", "n_repeat_words")],
+                      *[pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, kinds.names)],
+                                             [*batch.schema.names, extra])
+
+    stored = materialize(docs.mapInArrow(run, StructType([*docs.schema, StructField(extra, kinds)])), "measured")
+    limits = bands(stored.select(f"{extra}.*"))
+    m = {c: F.col(f"{extra}.{c}") for c in kinds.names}
+    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & inside(limits, m["band"], [m[c] for c in MEASURES])
+    return stored.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
