@@ -45,6 +45,16 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {b: a for a, b in ranks(path).items()}
 
 
+@cache
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All token bytes one after another, and each id's start and length (-1: no such id)."""
+    table = token_bytes(path)
+    start, size, at = np.zeros(max(table) + 1, np.int64), np.full(max(table) + 1, -1), 0
+    for i, data in sorted(table.items()):
+        start[i], size[i], at = at, len(data), at + len(data)
+    return np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8), start, size
+
+
 @cache
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
@@ -56,8 +66,10 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", f"[{SPACE}]"))
 
 
-#: Where a space has no other white space at its side, a pre-token starts with it.
-_UNSURE = regex.compile(f" [{SPACE}]|[{SPACE}] ")
+def unsure(run: str) -> bool:
+    """Whether the space before a run has white space at its side, or the run ends in some: then
+    a pre-token may reach over a space. Elsewhere a space starts a pre-token."""
+    return not run or run[0].isspace() or run[-1].isspace()
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -83,41 +95,45 @@ def unpack_words(data: bytes) -> list[bytes]:
 
 
 class Block:
-    """Distinct pre-tokens of some texts and their positions."""
+    """Distinct pre-tokens of some texts and, if asked for, their positions.
 
-    def __init__(self, pattern: regex.Pattern):
-        self.split, self.size, self.texts = pattern.findall, 0, []
+    Texts are cut at spaces, and a run between spaces is split once; ``unsure`` runs make their
+    text be split whole. Words are numbered by first use, alike with and without positions.
+    """
+
+    def __init__(self, pattern: regex.Pattern, positions: bool):
+        self.split, self.size, self.texts = pattern.findall, 0, [] if positions else None
         self.words: dict[str, int] = {}
-        self.runs: dict[str, int] = {}      # a space and what follows, up to the next space
+        self.runs: dict[str, int] = {}
+        self.unsure: set[str] = set()
         self.run_words: list[int] = []
         self.run_ends = [0]
 
-    def _word(self, word: str) -> int:
-        return self.words.setdefault(word, len(self.words))
+    def _places(self, text: str) -> list[int]:
+        return [self.words.setdefault(w, len(self.words)) for w in self.split(text)]
 
     def add(self, text: str) -> None:
-        """Note the pre-tokens of one text, run by run where runs are sure."""
         self.size += len(text) + 16
-        if _UNSURE.search(text):
-            found = self.split(text)
-            self.texts.append((None, np.fromiter(map(self._word, found), np.int64, len(found))))
-            return
         head, *rest = text.split(" ")
-        first = np.fromiter(map(self._word, self.split(head)), np.int64)
-        for new in set(rest).difference(self.runs):
-            self._run(new)
-        self.texts.append((first, np.fromiter(map(self.runs.__getitem__, rest), np.int64, len(rest))))
-
-    def _run(self, run: str) -> None:
-        self.run_words.extend(map(self._word, self.split(" " + run)))
-        self.run_ends.append(len(self.run_words))
-        self.runs[run] = len(self.runs)
+        fresh = [r for r in dict.fromkeys(rest) if r not in self.runs]
+        for run in fresh:
+            if unsure(run):
+                self.unsure.add(run)
+            self.run_words += self._places(" " + run)
+            self.run_ends.append(len(self.run_words))
+            self.runs[run] = len(self.runs)
+        if rest and head[-1:].isspace() or self.unsure and not self.unsure.isdisjoint(rest):
+            whole, at = self._places(text), None
+        else:
+            whole, at = self._places(head), rest
+        if self.texts is not None:
+            at = np.fromiter(map(self.runs.__getitem__, at or ()), np.int64)
+            self.texts.append((np.array(whole, np.int64), at))
 
     def positions(self) -> list[np.ndarray]:
-        flat = np.array(self.run_words, np.int64)
-        ends = np.array(self.run_ends, np.int64)
-        return [at if first is None else np.concatenate(
-            [first, gather(flat, ends[at], ends[at + 1] - ends[at])]) for first, at in self.texts]
+        flat, ends = np.array(self.run_words, np.int64), np.array(self.run_ends, np.int64)
+        return [np.concatenate([first, gather(flat, ends[at], ends[at + 1] - ends[at])])
+                for first, at in self.texts]
 
 
 ROWS = "block long, part int, ids array<long>, counts binary, data binary"
@@ -155,7 +171,7 @@ def _blocks(docs: DataFrame, pattern: str, parts: int, words: bool) -> DataFrame
     def run(batches):
         first, n = 0, 0
         find = compiled(pattern)
-        block, ids = Block(find), []
+        block, ids = Block(find, not words), []
         for batch in batches:
             if batch.num_rows:
                 first = batch.column(2)[0].as_py() << 32
@@ -164,7 +180,7 @@ def _blocks(docs: DataFrame, pattern: str, parts: int, words: bool) -> DataFrame
                 ids.append(doc_id)
                 if block.size >= BLOCK_BYTES:
                     yield from close(first + n, block, ids)
-                    block, ids, n = Block(find), [], n + 1
+                    block, ids, n = Block(find, not words), [], n + 1
         if ids:
             yield from close(first + n, block, ids)
 
@@ -254,14 +270,18 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def run(batches):
-        table = token_bytes(path)
+        flat, start, size = _token_table(path)
         for batch in batches:
             lists = batch.column("ids")
-            flat, ends = lists.flatten().to_pylist(), lists.offsets.to_pylist()
-            ends = [e - ends[0] for e in ends]
-            texts = [b"".join([table[i] for i in flat[a:b]]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())],
-                                             [*batch.schema.names, "decoded"])
+            ids, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+                raise ValueError("an id that is not in the vocabulary")
+            lens = size[ids]
+            stops = np.concatenate([[0], np.cumsum(lens)])[cuts].astype(np.int32)
+            data = gather(flat, start[ids], lens)
+            texts = pa.Array.from_buffers(pa.binary(), len(lists), [
+                None, pa.py_buffer(stops), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
