@@ -138,7 +138,7 @@ def _segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _runs(keyed: DataFrame, full: DataFrame, node_rows: int) -> DataFrame:
+def _runs(keyed: DataFrame, full: DataFrame, bits: int, node_rows: int) -> DataFrame:
     """Units of the nodes that are too large: one for each pair of runs that may hold a link."""
     hot = keyed.join(full.select("seg", "val"), ["seg", "val"])
     x = F.col("fp")
@@ -155,7 +155,7 @@ def _runs(keyed: DataFrame, full: DataFrame, node_rows: int) -> DataFrame:
     a, b = nodes.alias("a"), nodes.alias("b")
     apart = F.expr("bit_count((a.low ^ b.low) & ~(a.low ^ a.high) & ~(b.low ^ b.high))")
     pairs = a.join(b, [F.col("a.seg") == F.col("b.seg"), F.col("a.val") == F.col("b.val"),
-                       F.col("a.run") <= F.col("b.run"), apart <= BITS])
+                       F.col("a.run") <= F.col("b.run"), apart <= bits])
     pairs = pairs.select("a.seg", "a.val", F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"))
     each = pairs.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b"))))
     return hot.join(each, ["seg", "val", "run"]).select("seg", "val", "run_a", "run_b", "fp")
@@ -176,7 +176,7 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) ->
     units = keyed.select("seg", "val", F.lit(0).alias("run_a"), F.lit(0).alias("run_b"), "fp")
     if not full.isEmpty():
         units = units.join(full, ["seg", "val"], "left_anti").unionByName(
-            _runs(keyed, full, node_rows))
+            _runs(keyed, full, bits, node_rows))
     key = ["seg", "val", "run_a", "run_b"]
     units = units.repartition(*key).sortWithinPartitions(*key)
 

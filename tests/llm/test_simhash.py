@@ -57,6 +57,11 @@ def test_large_nodes_are_cut_into_runs(documents):
     check(documents, node_rows=5)
 
 
+def test_large_nodes_keep_links_of_a_wider_radius(spark):
+    fps = spark.createDataFrame([(0x111 << 48,), (0x111 << 48 ^ 0xFFF << 20,)], "fp long")
+    assert simhash.near_links(fps, 12, node_rows=1).count() == 1
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.keep_one(empty).collect() == []
