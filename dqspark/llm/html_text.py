@@ -2,11 +2,11 @@
 
 The page is cut into blocks of text. Pass one decides each block on its own: parts that are never
 article text (navigation, footers, asides, forms, scripts, elements named as adverts, notices,
-comments and the like) are boilerplate, as is what stands outside the article element of a page
-that has one; elsewhere stop-word density, length and link density decide. Short blocks and such
-with few stop words stay open. Pass two gives every open block the label of its nearest decided
-neighbours; inside an article element the neighbours are those of the article, and its edges count
-as good.
+comments and the like) are boilerplate; elsewhere stop-word density, length and link density decide.
+Short blocks and such with few stop words stay open. Article elements frame the page if those with
+good text hold most of the page's good text: what stands outside them is boilerplate then. Pass two
+gives every open block the label of its nearest decided neighbours; inside a framing article the
+neighbours are those of the article, and its edges count as good.
 """
 
 from __future__ import annotations
@@ -72,8 +72,9 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(text)}
 
 
-def _named(attributes: dict[str, str]) -> bool:
-    """Whether class, id or role say that an element is no article text."""
+def _named(attributes: dict[str, str], last: bool = True) -> bool:
+    """Whether class, id or role say that an element is no article text, by the first or ``last``
+    part of a name."""
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes:
         return True
     if attributes.get("aria-hidden") == "true" or re.search(
@@ -81,7 +82,7 @@ def _named(attributes: dict[str, str]) -> bool:
         return True
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [p.lower() for p in _PIECES.findall(name)]
-        if parts and parts[0] not in _WRAPS and (parts[0] in _NAMES or parts[-1] in _NAMES):
+        if parts and parts[0] not in _WRAPS and (parts[0] in _NAMES or last and parts[-1] in _NAMES):
             return True
     return False
 
@@ -170,8 +171,8 @@ def blocks(html: str) -> list[Block]:
             never = False
         elif tag in _NEVER or tag == "header" and not article:
             never = True
-        elif given and tag not in ("html", "body", "article") and _named(given):
-            never = True
+        elif given and tag not in ("html", "body") and _named(given, tag != "article"):
+            never = True      # an article's classes end in its categories
         elif tag == "article" and "comment" in given.get("class", "").lower():
             never = True
         if not never and (main or tag == "article" or given.get("itemprop") == "articleBody"):
@@ -191,25 +192,48 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _alone(b: Block) -> str:
+    """The label of a block by its links, length and stop words."""
+    if b.links / len(b.text) > LINKS_MOST:
+        return "bad"
+    if len(b.text) < LENGTH_LOW:
+        return "bad" if b.links else "short"
+    stops = stop_density(b.text)
+    if stops >= STOPS_HIGH and len(b.text) > LENGTH_HIGH:
+        return "good"
+    return "near" if stops >= STOPS_LOW else "bad"
+
+
+def _frame(found: list[Block], unlinked: list[Block]) -> set[int]:
+    """The articles that have good text, if they hold most of it. A page without good text goes by
+    the nearly good, then by long texts and then by all."""
+    for some in ([b for b in found if b.label == "good"], [b for b in found if b.label == "near"],
+                 [b for b in unlinked if len(b.text) >= LENGTH_LOW], unlinked):
+        if some:
+            inside = [b for b in some if b.article]
+            most = 2 * sum(len(b.text) for b in inside) > sum(len(b.text) for b in some)
+            return {b.article for b in inside} if most else set()
+    return set()
+
+
 def first_pass(found: list[Block]) -> None:
-    """Decide each block on its own, or leave it open."""
-    framed = any(b.article and not b.never for b in found)
+    """Decide each block on its own, or leave it open. Blocks outside the frame lose their article."""
     for b in found:
-        linked = b.links / len(b.text)
-        if b.never or framed and not b.article:
-            b.label = "bad"
-        elif linked > LINKS_MOST:
-            b.label = "short" if b.article and b.tag != "li" else "bad"
-        elif len(b.text) < LENGTH_LOW:
-            b.label = "short" if b.article or not b.links else "bad"
-        else:
-            stops = stop_density(b.text)
-            if stops >= STOPS_HIGH and len(b.text) > LENGTH_HIGH:
-                b.label = "good"
-            elif stops >= STOPS_LOW or b.article:
-                b.label = "near"
-            else:
+        b.label = "bad" if b.never else _alone(b)
+    frame = _frame(found, [b for b in found if not b.never and b.links <= LINKS_MOST * len(b.text)])
+    for b in found:
+        if b.article not in frame:
+            b.article = 0
+            if frame:
                 b.label = "bad"
+        elif b.never:
+            continue
+        elif b.links > LINKS_MOST * len(b.text):
+            b.label = "short" if re.fullmatch("h[1-6]", b.tag) else "bad"
+        elif len(b.text) < LENGTH_LOW:
+            b.label = "short"
+        elif b.label == "bad":
+            b.label = "near"      # an article may hold text of names, or in a language of no known words
     if not any(b.label == "good" for b in found):
         for b in found:     # a page of few words: what is nearly good is all there is
             if b.label == "near":

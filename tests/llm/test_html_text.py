@@ -28,6 +28,29 @@ def test_articles(page):
     assert html_text.main_text(page) == f"Title\n\n{PROSE}\n\nShort."
 
 
+CARD = "<article class={}><h3><a href=a>Ten towns</a></h3><p>A short teaser.</p></article>"
+LINKED = "<p><a href=a>See what this offer has for you and for all of your friends</a> now</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><hr>" + CARD.format("card") * 3,
+    f"<article><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></article>" + CARD.format("card") * 3,
+    f"<article><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></article>"
+    f"<article class=related-post><p>{PROSE}</p></article>",
+    f"<article class='post category-social'><h1>Title</h1>{LINKED}<p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>{LINKED}"
+    "</article>",
+])
+def test_an_article_element_is_evidence_only(page):
+    text = html_text.main_text(page)
+    assert f"Title\n\n{PROSE}\n\nShort.\n\n{PROSE}" == text, text
+
+
+def test_articles_without_stop_words_stay_whole():
+    text = "Zamek królewski stoi nad rzeką, dokąd przyjeżdżają turyści oglądać stare mury oraz ogrody pełne kwiatów."
+    page = f"<div>{text[:60]}</div><article><h1>Zamek</h1><p>{text}</p><p>{text}</p></article>" + CARD.format("x")
+    assert html_text.main_text(page) == f"Zamek\n\n{text}\n\n{text}"
+
+
 def test_white_space_and_references():
     page = "<article><p>\n a&nbsp;&amp;&#x20AC; <i>b</i>c<br>d\t&lt;p&gt; </p>\n<p> </p></article>"
     assert html_text.main_text(page) == "a &€ bc d <p>"
