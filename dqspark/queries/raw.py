@@ -133,13 +133,13 @@ def raw_fixed_width_securities(spark, sf_dir):
 @query("""select o_orderstatus tax_status, count(*) n_accounts, count(distinct o_custkey) n_owners,
     count(*) n_actions from orders group by 1""")
 def raw_xml_actions(spark, sf_dir):
-    """One action for each customer and each order, in one document of many parts."""
+    """One action for each customer and each order, in one document of many parts; some wrap their attributes."""
     folder = _folder(spark)
     new = read(spark, sf_dir, "customer").select(F.format_string(
         '<TPCDI:Action ActionType="NEW" ActionTS="2007-07-07T05:00:00"><Customer C_ID="%s"><Name><C_L_NAME> %s '
         "</C_L_NAME></Name></Customer></TPCDI:Action>", "c_custkey", "c_name").alias("value"))
     add = read(spark, sf_dir, "orders").select(F.format_string(
-        '<TPCDI:Action ActionType="ADDACCT" ActionTS="2008-01-01T00:00:00"><Customer C_ID="%s"><Account CA_ID="%s" '
+        '<TPCDI:Action\n\tActionType="ADDACCT" ActionTS="2008-01-01T00:00:00"><Customer C_ID="%s"><Account CA_ID="%s" '
         'CA_TAX_ST="%s"><CA_NAME>%s</CA_NAME></Account></Customer></TPCDI:Action>',
         "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority").alias("value"))
     new.unionByName(add).write.text(f"{folder}/CustomerMgmt.xml")

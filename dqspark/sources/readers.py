@@ -140,7 +140,7 @@ def _action_schema() -> StructType:
                        StructField("Customer", customer), StructField("Account", account)])
 
 
-_START, _END = "<TPCDI:Action ", "</TPCDI:Action>"
+_START, _END = r"<TPCDI:Action(?=[\s/>])", "</TPCDI:Action>"
 
 
 def read_actions_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
@@ -153,7 +153,7 @@ def read_actions_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     if not path_exists(spark, path):
         return None
     chunks = spark.read.option("lineSep", _END).text(path)
-    parts = F.filter(F.split("value", f"(?={_START})"), lambda x: x.startswith(_START))
+    parts = F.filter(F.split("value", f"(?={_START})"), lambda x: x.rlike(f"^{_START}"))
     closed = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_START}[^>]*/>\s*$"), x).otherwise(
         F.concat(x, F.lit(_END))))
     placed = numbered(chunks, closed)

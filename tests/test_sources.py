@@ -4,7 +4,8 @@ from conftest import rows
 from dqspark.plans.brokerage import BROKERAGE
 from dqspark.sources.load import load_brokerage, load_shop
 from dqspark.sources.manifest import load_manifest, read_shards, shard_counts, write_shard
-from dqspark.sources.readers import read_contract, read_delimited, read_fixed_width_lines
+from dqspark.sources.readers import (read_actions_xml, read_contract, read_delimited,
+                                     read_fixed_width_lines)
 
 NS = 'xmlns:TPCDI="http://www.tpc.org/tpc-di"'
 
@@ -186,6 +187,16 @@ def test_xml_is_cut_into_many_tasks(spark, batch):
                    (4, "1", "11", None)]
 
 
+def test_xml_actions_with_wrapped_attributes(spark, tmp_path):
+    text = XML
+    for white in ("\n  ", "\t", "\r\n"):
+        text = text.replace('<TPCDI:Action ActionType', f'<TPCDI:Action{white}ActionType', 1)
+    (tmp_path / "CustomerMgmt.xml").write_bytes(text.encode())
+    customers, accounts = read_actions_xml(spark, str(tmp_path / "CustomerMgmt.xml"))
+    assert rows(customers, "action_seq", "c_id") == [(1, "1"), (2, "2"), (3, "1")]
+    assert rows(accounts, "action_seq", "ca_id") == [(1, "10"), (1, "11"), (3, "10"), (4, "11")]
+
+
 def test_result_shards(spark, tmp_path):
     folder = str(tmp_path / "results")
     schema = "campaign string, nrd double, status string"
