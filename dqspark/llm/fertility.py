@@ -32,7 +32,8 @@ REPEATED_PERCENT = 50
 REACH = (7.0, 7.0, 7.0, 2.5)
 #: The most frequent languages have bands of their own, all others share those of their script.
 LANGUAGES = 256
-#: Rows of a group from which its bands count; below it only the base rules do.
+#: Sound rows of a language or script from which its own bands count. Below it a language goes by the
+#: rows of its script, and a script by all rows.
 LEAST_ROWS = 20
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -42,6 +43,9 @@ _SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in (
     "Hangul", "Thai")}
 
 
+_ASCII, _LETTERS = re.compile("[\x00-\x7f]+"), re.compile("[A-Za-z]")
+
+
 class Words(CachedEncoder):
     """Piece ids of words, with the tokens of the rank vocabulary and the byte tokens of both.
 
@@ -177,7 +181,9 @@ def meter(pieces: str, ranks: str) -> Meter:
 
 def script(text: str) -> str:
     """Script of most of the text's letters; ``none`` without letters."""
-    counts = {name: len(p.findall(text)) for name, p in _SCRIPTS.items()}
+    other = _ASCII.sub("", text)
+    counts = {name: len(p.findall(other)) for name, p in _SCRIPTS.items()} if other else dict.fromkeys(_SCRIPTS, 0)
+    counts["Latin"] += len(_LETTERS.findall(text))
     best = max(counts, key=lambda k: (counts[k], k))
     return f"script {best}" if counts[best] else "script none"
 
@@ -197,56 +203,62 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def measures(docs: DataFrame, known: frozenset[str], pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
-    """``(doc_id, band, counts..., measures...)`` of every row of ``docs(doc_id, text, lang)``."""
+    """``(doc_id, band, counts..., measures..., script)`` of every row of ``docs(doc_id, text, lang)``."""
     def make():
         gauge = meter(pieces, ranks)
 
         def work(batch):
             rows = [gauge.measure(t) for t in texts(batch)]
-            band = [x if x in known else script(t)
-                    for x, t in zip(batch.column("lang").to_pylist(), texts(batch))]
+            scripts = [script(t) for t in texts(batch)]
+            band = [x if x in known else y for x, y in zip(batch.column("lang").to_pylist(), scripts)]
             return {"doc_id": batch.column("doc_id"), "band": pa.array(band, pa.string()),
                     **{c: longs([r[c] for r in rows]) for c in _COUNTS},
-                    **{c: pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES}}
+                    **{c: pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES},
+                    "script": pa.array(scripts, pa.string())}
         return work
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"),
                        F.col("lang").cast("string"))
     schema = ", ".join(["doc_id long", "band string", *[f"{c} long" for c in _COUNTS],
-                        *[f"{c} double" for c in MEASURES]])
+                        *[f"{c} double" for c in MEASURES], "script string"])
     return map_batches(slim, make, schema)
 
 
-def bands(measured: DataFrame, reach: tuple = REACH) -> dict[str, list[tuple[float, float]]]:
+def bands(measured: DataFrame, reach: tuple = REACH) -> list[dict[str, list[tuple[float, float]]]]:
     """Lower and upper limit of every measure in every group: quartiles, widened by ``reach``
     quartile distances (each at least 2 % of the median). Rows that fail the base rules don't
-    count. There are at most ``LANGUAGES`` groups and the scripts."""
+    count. Groups are those of ``band``, then the scripts, each from ``LEAST_ROWS`` rows on, then
+    all rows, however few; there are at most ``LANGUAGES`` groups and the scripts."""
     sound = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    rows = sound.groupBy("band").agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES]).collect()
-    out = {}
-    for r in rows:
-        if r.n < LEAST_ROWS:
-            continue
-        out[r.band] = []
-        for c, times in zip(MEASURES, reach):
-            low, middle, high = r[c]
-            step = times * max(high - low, 0.02 * abs(middle), 0.005)
-            low, high = low - step, high + step
-            # few byte fallbacks and an even use of tokens are no fault
-            out[r.band].append((-1.0 if c == "byte_share" else low, 1e9 if c == "evenness" else high))
+    out = []
+    for group, least in ((F.col("band"), LEAST_ROWS), (F.col("script"), LEAST_ROWS), (F.lit("all"), 1)):
+        rows = sound.groupBy(group.alias("name")).agg(
+            F.count("*").alias("n"),
+            *[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES]).collect()
+        out.append({r.name: _limits(r, reach) for r in rows if r.n >= least})
+    return out
+
+
+def _limits(row, reach: tuple) -> list[tuple[float, float]]:
+    out = []
+    for c, times in zip(MEASURES, reach):
+        low, middle, high = row[c]
+        step = times * max(high - low, 0.02 * abs(middle), 0.005)
+        low, high = low - step, high + step
+        # few byte fallbacks and an even use of tokens are no fault
+        out.append((-1.0 if c == "byte_share" else low, 1e9 if c == "evenness" else high))
     return out
 
 
-def inside(limits: dict, band: Column, values: list[Column]) -> Column:
-    """Whether a row's measures lie inside the limits of its group; groups without limits pass."""
+def inside(limits: list[dict], band: Column, script: Column, values: list[Column]) -> Column:
+    """Whether a row's measures lie inside the limits of its group, or of the next one that has any."""
     good = F.lit(True)
-    for name, pairs in sorted(limits.items()):
-        own = F.lit(True)
-        for value, (low, high) in zip(values, pairs):
-            own = own & value.between(low, high)
-        good = F.when(band == name, own).otherwise(good)
+    for group, own_limits in zip((F.lit("all"), script, band), reversed(limits)):
+        for name, pairs in sorted(own_limits.items()):
+            own = F.lit(True)
+            for value, (low, high) in zip(values, pairs):
+                own = own & value.between(low, high)
+            good = F.when(group == name, own).otherwise(good)
     return good
 
 
@@ -260,7 +272,7 @@ def judge(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFram
     limits = bands(stored)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return stored.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & inside(limits, F.col("band"), [F.col(c) for c in MEASURES]))
+        "kept", ~failed & inside(limits, F.col("band"), F.col("script"), [F.col(c) for c in MEASURES])).drop("script")
 
 
 def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
@@ -274,7 +286,7 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
     while extra in docs.columns:
         extra += "_"
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
-    kinds = StructType().add("band", "string").add("n_words", "long").add("n_repeat_words", "long")
+    kinds = StructType().add("band", "string").add("script", "string").add("n_words", "long").add("n_repeat_words", "long")
     for c in MEASURES:
         kinds = kinds.add(c, "double")
 
@@ -284,8 +296,9 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
             text = pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])
             rows = []
             for t, lang in zip(texts(text), batch.column(at_lang).to_pylist()):
-                rows.append(gauge.measure(t) | {"band": lang if lang in known else script(t)})
-            fields = [pa.array([r["band"] for r in rows], pa.string()),
+                own = script(t)
+                rows.append(gauge.measure(t) | {"band": lang if lang in known else own, "script": own})
+            fields = [*[pa.array([r[c] for r in rows], pa.string()) for c in ("band", "script")],
                       *[longs([r[c] for r in rows]) for c in ("n_words", "n_repeat_words")],
                       *[pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, kinds.names)],
@@ -294,5 +307,6 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
     stored = materialize(docs.mapInArrow(run, StructType([*docs.schema, StructField(extra, kinds)])), "measured")
     limits = bands(stored.select(f"{extra}.*"))
     m = {c: F.col(f"{extra}.{c}") for c in kinds.names}
-    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & inside(limits, m["band"], [m[c] for c in MEASURES])
+    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & inside(
+        limits, m["band"], m["script"], [m[c] for c in MEASURES])
     return stored.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])

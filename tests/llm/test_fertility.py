@@ -59,6 +59,19 @@ def test_far_from_the_band_is_rejected(spark):
     assert sum(r.kept for r in got.values()) >= 58
 
 
+@pytest.mark.parametrize("n", [60, 12])
+def test_a_rare_language_goes_by_its_script_or_by_all_rows(spark, n):
+    import random
+    rnd = random.Random(1)
+    words = "the house of a man and his dog stood near some old river where boats went by every morning".split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(150)), "rare" if i < 3 else "en") for i in range(n)]
+    rows.append((99, " ".join("".join(rnd.choice("xqzjkwvXQZ#%") for _ in range(7)) for _ in range(150)), "rare"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in fertility.judge(df).collect() if r.kept}
+    assert 99 not in kept and {0, 1, 2} <= kept
+    assert {r.doc_id for r in fertility.keep_good(df).collect()} == kept
+
+
 def test_empty(empty):
     assert fertility.judge(empty).collect() == [] and fertility.keep_good(empty).collect() == []
 
