@@ -4,7 +4,8 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -29,9 +30,3 @@ def always_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
-def rows(df, *cols):
-    """Sorted plain tuples of a small result."""
-    got = [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
-    return sorted(got, key=lambda t: tuple((x is None, str(x)) for x in t))

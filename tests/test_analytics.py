@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 
 from dqspark.analytics import responses as ra
 from dqspark.analytics import stats

@@ -24,6 +24,18 @@ def oracle():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def generated_code(spark):
+    """Queries run with code generation, as they do outside the tests."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None

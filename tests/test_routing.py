@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from plain_rows import rows
 
 from dqspark.operators.dispositions import (action_report, route_live, route_snapshot,
                                             route_verdict)

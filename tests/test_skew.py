@@ -1,7 +1,7 @@
 import random
 import statistics
 
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from dqspark.functions.scalars import cumulate, medians

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from plain_rows import rows
 
 from dqspark.plans.brokerage import BROKERAGE
 from dqspark.sources.load import load_brokerage, load_shop
