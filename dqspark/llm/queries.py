@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import (bpe, fertility, html_text, imatch, langid, licenses, packing, ring, simhash,
-                         token_files)
+from dqspark.llm import (bpe, fertility, fim, html_text, imatch, langid, licenses, mixture, packing,
+                         ring, simhash, token_files, variants)
 from dqspark.llm.common import tables
 
 
@@ -64,9 +64,25 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(tables(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark, sf_dir):
+    return variants.spelling_variants(tables(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark, sf_dir):
+    cut = fim.transform(tables(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(), 256).alias("restored_sha256"))
+
+
+def op13_mixture(spark, sf_dir):
+    mixed = mixture.mix(tables(spark, sf_dir, "documents"))
+    return mixture.taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_html, op2_bpe, op3_ring, op4_simhash, op5_token_files, op6_language, op7_imatch,
-    op8_fertility, op9_licenses, op10_packing)}
+    op8_fertility, op9_licenses, op10_packing, op11_variants, op12_fim, op13_mixture)}
 #: No operator's result can be stated in SQL: each rests on hashing, a vocabulary, a trained model,
 #: an alignment or an order of placement. They are tested against brute force instead.
 ORACLES: dict[str, str] = {}
