@@ -11,6 +11,12 @@ Only distinct fingerprints are indexed, and a node reports a spanning forest of
 most one edge for each of its fingerprints, so a large group of copies makes no pairs. A node
 with more than ``NODE_ROWS`` fingerprints is cut into runs by Gray rank; its work is one unit per
 pair of runs whose shared bits allow a link. Nothing is dropped at any size.
+
+Copies at a Jaccard similarity of 0.8 differ in about ten of 64 bits, a radius at which segments of one
+print select nothing. ``similar_groups`` therefore takes prints of 512 bits of the distinct shingles: pairs of
+their bytes are the masked patterns of the top nodes, the first 64 bits are indexed below each, the
+nearest first, and the links found there are measured on all 512 bits, where the similarity asked
+for lies far from chance.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.llm.common import longs, map_batches, small_batches, texts
 from dqspark.llm.components import components
@@ -32,6 +38,17 @@ SEED = 42
 NODE_ROWS = 65_536
 LEAF = 64
 _CHUNK = 1 << 15
+#: Words of 64 bits of a wide print, and what near copies share: shingles of five words.
+WORDS = 8
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Byte pairs of a wide print that make its top nodes: at least 0.97 of the pairs at similarity 0.8
+#: agree in one of them, and more above it.
+PAIRS = [(i, i + 32) for i in range(32)] + [(i, i + 16) for i in range(16)]
+#: Differing bits of the first word below a top node, the nearest linked first.
+REACH = (4, 8, 12, 16, 20)
+_BYTES = np.arange(8 * WORDS, dtype=np.intp) * 256
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -57,6 +74,21 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(np.uint64)[0])
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """Fingerprint of ``WORDS`` times 64 bits of the distinct hashes, each widened by a mixing function."""
+    x = np.unique(hashes)
+    ones = np.zeros((64 * WORDS,), np.int64)
+    for i in range(0, len(x), _CHUNK):
+        # every word of the print has its own mix of the hash
+        z = x[i:i + _CHUNK, None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        at = z.view(np.uint8).astype(np.intp) + _BYTES
+        ones += (np.bincount(at.ravel(), minlength=256 * 8 * WORDS).reshape(-1, 256) @ _BITS_OF).ravel()
+    return np.packbits(2 * ones > len(x), bitorder="little").view(np.uint64)
+
+
 def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, other)`` of every row, fp as a signed long; null and empty texts have zero.
     ``other`` tells texts without doc_id apart and is 0 for all others."""
@@ -88,8 +120,9 @@ def _nodes(value_and: np.ndarray, value_or: np.ndarray, size: int):
     return np.bitwise_and.reduceat(value_and, at), np.bitwise_or.reduceat(value_or, at)
 
 
-def forest(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all links among the fingerprints of one index node."""
+def forest(fps: np.ndarray, *reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all links among the fingerprints of one index node; of several
+    rising numbers of differing bits, what the first one links is settled before the next."""
     x = np.unique(fps)
     x = x[np.argsort(gray_rank(x), kind="stable")]
     n, out_a, out_b = len(x), [], []
@@ -101,33 +134,34 @@ def forest(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     up_mask = ~(up_low ^ up_high)
     first, last = comp[starts], np.minimum(starts + LEAF, n) - 1
     least, most = first.copy(), last.copy()
-    for a, lo in enumerate(starts):
-        hi = min(n, lo + LEAF)
-        up = np.nonzero(np.bitwise_count((up_low ^ low[a]) & up_mask & mask[a]) <= bits)[0]
-        leaf = (up[:, None] * LEAF + np.arange(LEAF)).ravel()
-        leaf = leaf[(leaf >= a) & (leaf < len(starts))]
-        leaf = leaf[np.bitwise_count((low[leaf] ^ low[a]) & mask[leaf] & mask[a]) <= bits]
-        if least[a] == most[a]:
-            leaf = leaf[(least[leaf] != least[a]) | (most[leaf] != least[a])]
-        changed = False
-        for part in range(0, len(leaf), 256):
-            some = leaf[part:part + 256]
-            j = (starts[some][:, None] + np.arange(LEAF)).ravel()
-            j = j[j < n]
-            near = np.bitwise_count(x[lo:hi, None] ^ x[None, j]) <= bits
-            near &= comp[lo:hi, None] != comp[None, j]
-            for r in np.nonzero(near.any(1))[0]:
-                own, others = comp[lo + r], j[near[r]]
-                others = others[comp[others] != own]
-                if not len(others):
-                    continue
-                joined, pick = np.unique(comp[others], return_index=True)
-                out_a.append(np.full(len(pick), x[lo + r]))
-                out_b.append(x[others[pick]])
-                comp[np.isin(comp, np.append(joined, own))] = min(own, joined[0])
-                changed = True
-        if changed:
-            least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+    for bits in reach or (BITS,):
+        for a, lo in enumerate(starts):
+            hi = min(n, lo + LEAF)
+            up = np.nonzero(np.bitwise_count((up_low ^ low[a]) & up_mask & mask[a]) <= bits)[0]
+            leaf = (up[:, None] * LEAF + np.arange(LEAF)).ravel()
+            leaf = leaf[(leaf >= a) & (leaf < len(starts))]
+            leaf = leaf[np.bitwise_count((low[leaf] ^ low[a]) & mask[leaf] & mask[a]) <= bits]
+            if least[a] == most[a]:
+                leaf = leaf[(least[leaf] != least[a]) | (most[leaf] != least[a])]
+            changed = False
+            for part in range(0, len(leaf), 256):
+                some = leaf[part:part + 256]
+                j = (starts[some][:, None] + np.arange(LEAF)).ravel()
+                j = j[j < n]
+                near = np.bitwise_count(x[lo:hi, None] ^ x[None, j]) <= bits
+                near &= comp[lo:hi, None] != comp[None, j]
+                for r in np.nonzero(near.any(1))[0]:
+                    own, others = comp[lo + r], j[near[r]]
+                    others = others[comp[others] != own]
+                    if not len(others):
+                        continue
+                    joined, pick = np.unique(comp[others], return_index=True)
+                    out_a.append(np.full(len(pick), x[lo + r]))
+                    out_b.append(x[others[pick]])
+                    comp[np.isin(comp, np.append(joined, own))] = min(own, joined[0])
+                    changed = True
+            if changed:
+                least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     none = np.empty(0, np.uint64)
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
@@ -161,15 +195,21 @@ def _runs(keyed: DataFrame, full: DataFrame, bits: int, node_rows: int) -> DataF
     return hot.join(each, ["seg", "val", "run"]).select("seg", "val", "run_a", "run_b", "fp")
 
 
-def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+def _segment_values(bits: int) -> list[Column]:
+    return [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in _segments(bits)]
+
+
+def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
+               values: list[Column] | None = None, reach: tuple[int, ...] = ()) -> DataFrame:
     """Edges ``(a, b)`` that connect what links of at most ``bits`` differing bits connect.
 
-    ``fps`` holds distinct fingerprints in column ``fp``.
+    ``fps`` holds distinct fingerprints in column ``fp``. The top nodes are those of bits + 1 segments,
+    or given ``values`` of its columns; then links join what meets in one of them. Links within the
+    smaller numbers of bits in ``reach`` are preferred.
     """
     small_batches(fps.sparkSession)
-    tops = [F.struct(F.lit(i).alias("seg"),
-                     F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("val"))
-            for i, (s, w) in enumerate(_segments(bits))]
+    values = _segment_values(bits) if values is None else values
+    tops = [F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in enumerate(values)]
     keyed = fps.select("fp", F.explode(F.array(*tops)).alias("k")).select("k.seg", "k.val", "fp")
     counts = keyed.groupBy("seg", "val").agg(F.count("*").alias("n"))
     full = materialize(counts.filter(F.col("n") > node_rows), "full")
@@ -185,7 +225,7 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) ->
         held_key, held = None, []
 
         def edges():
-            a, b = forest(np.concatenate(held).view(np.uint64), bits)
+            a, b = forest(np.concatenate(held).view(np.uint64), *(r for r in reach if r < bits), bits)
             return pa.RecordBatch.from_pydict({"a": longs(a.view(np.int64)),
                                                "b": longs(b.view(np.int64))})
 
@@ -236,17 +276,123 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS,
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def wide_signatures(docs: DataFrame, words: int = WIDE_SHINGLE) -> DataFrame:
+    """``(doc_id, other, fp, w1, ...)`` of every row: the wide print in words, the first named ``fp``."""
+    names = ["fp", *[f"w{i}" for i in range(1, WORDS)]]
+
+    def make():
+        def work(batch):
+            prints = np.array([wide_print(shingle_hashes(t, words)) for t in texts(batch)], np.uint64)
+            return {"doc_id": batch.column("doc_id"), "other": batch.column("other"),
+                    **{c: longs(prints[:, i].view(np.int64)) for i, c in enumerate(names)}}
+        return work
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _other().alias("other")),
+                       make, "doc_id long, other long, " + ", ".join(f"{c} long" for c in names))
+
+
+def expected_bits(similarity: float, deviations: float) -> int:
+    """Differing bits of the wide prints of two sets of equal size with a Jaccard ``similarity``, moved by
+    so many standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WORDS
+    return int(n * share + deviations * np.sqrt(n * share * (1 - share)))
+
+
+def _words(prefix: str = "") -> list[str]:
+    return [f"{prefix}w{i}" for i in range(1, WORDS)]
+
+
+def measured_links(prints: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``(a, b, apart)``: links below the top nodes of stored prints, with their differing bits."""
+    def byte(i: int) -> Column:
+        return F.shiftrightunsigned("fp" if i < 8 else f"w{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255))
+
+    values = [byte(i) * 256 + byte(j) for i, j in PAIRS]
+    found = materialize(near_links(prints, REACH[-1], node_rows, values, REACH), "links")
+    a = prints.toDF("a", *_words("a_"))
+    b = prints.toDF("b", *_words("b_"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    for x, y in zip(_words("a_"), _words("b_")):
+        apart = apart + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    return found.join(a, "a").join(b, "b").select("a", "b", apart.alias("apart"))
+
+
+def shingle_sets(docs: DataFrame, fps: DataFrame, signed: DataFrame, words: int) -> DataFrame:
+    """``(fp, set)``: the distinct shingle hashes of one text of every first word in ``fps``."""
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
+    own = signed.join(fps, "fp", "left_semi").groupBy("fp").agg(
+        F.min(F.struct(*key, F.col("other").alias("_other"))).alias("k")).select("fp", "k.*")
+    rows = docs.select(*key, _other().alias("_other"), "text").join(own, ["_none", "_id", "_other"])
+
+    def make():
+        def work(batch):
+            # rows that repeat an id may hold other texts
+            found = [shingle_hashes(t, words) for t in texts(batch)]
+            sets = [np.unique(h).view(np.int64) if int(wide_print(h)[0]) == fp % (1 << 64) else None
+                    for h, fp in zip(found, batch.column("fp").to_pylist())]
+            return {"fp": batch.column("fp"), "set": pa.array(sets, pa.list_(pa.int64()))}
+        return work
+
+    made = map_batches(rows.select("fp", "text"), make, "fp long, set array<long>")
+    return made.filter("set is not null").dropDuplicates(["fp"])
+
+
+def similar_groups(docs: DataFrame, signed: DataFrame, words: int = WIDE_SHINGLE, similarity: float = SIMILARITY,
+                   node_rows: int = NODE_ROWS) -> DataFrame:
+    """``(fp, root)`` for every ``fp`` of the stored wide signatures of ``docs`` that is similar to another.
+
+    Rows with the same first word are one group from the start: unrelated texts share 64 bits with a
+    probability of 2^-64. Links of prints far nearer than ``similarity`` demands hold at once. Of the
+    others, those that join two groups are decided by the Jaccard similarity of the shingle sets.
+    """
+    prints = signed.groupBy("fp").agg(F.min(F.struct(*_words())).alias("w")).select("fp", "w.*")
+    links = measured_links(materialize(prints, "prints"), node_rows)
+    links = materialize(links.filter(F.col("apart") <= expected_bits(similarity, 2.5)), "measured")
+    clear = links.filter(F.col("apart") <= expected_bits(similarity, -2.5)).select("a", "b")
+    first = components(clear)
+    left = links.filter(F.col("apart") > expected_bits(similarity, -2.5))
+    for end in ("a", "b"):
+        left = left.join(first.toDF(end, f"root_{end}"), end, "left")
+    left = left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    left = materialize(left.select("a", "b"), "open")
+    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = materialize(shingle_sets(docs, ends, signed, words), "sets")
+    met = left.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    either = F.size("set_a") + F.size("set_b") - both
+    links = clear.unionByName(met.filter(both >= similarity * either).select("a", "b"))
+    return components(links).withColumnRenamed("node", "fp")
+
+
+def keep_one_similar(docs: DataFrame, words: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near copies: of texts that links of the given Jaccard similarity of
+    word shingles connect, the row of least doc_id stays. All else is as for ``keep_one``."""
+    signed = materialize(wide_signatures(docs, words), "signed")
+    groups = similar_groups(docs, signed, words, similarity)
+    placed = signed.select("fp", "doc_id", "other").join(groups, "fp", "left")
+    return _keep(docs, placed.withColumn("root", F.coalesce("root", "fp")))
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE, bits: int = BITS,
+             node_rows: int = NODE_ROWS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: the least doc_id of each group stays.
 
     Columns stay as they are. Rows that repeat a doc_id are one document, of which one row stays.
     Where no row of a group has a doc_id, one of its rows stays.
     """
     signed = materialize(signatures(docs, words), "signed")
-    groups = near_groups(signed, bits)
+    distinct = materialize(signed.select("fp").distinct(), "fps")
+    roots = components(near_links(distinct, bits, node_rows)).withColumnRenamed("node", "fp")
+    placed = signed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _keep(docs, placed)
+
+
+def _keep(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``(doc_id, other)`` is the first of its ``root``. A root's first is a
+    minimum with map-side combine, so no root meets in one task."""
     key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
-    rows = signed.join(groups, "fp").groupBy("root", *key, F.col("other").alias("_other")).agg(
-        F.count("*").alias("_rows"))
+    rows = placed.groupBy("root", *key, F.col("other").alias("_other")).agg(F.count("*").alias("_rows"))
     chosen = rows.groupBy("root").agg(F.min(F.struct("_none", "_id", "_other", "_rows")).alias("k"))
     chosen = chosen.select("k.*")
     row = docs.select(*key, _other().alias("_other"),
