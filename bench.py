@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession
 
 from dqspark.operators import dispositions as act
 from dqspark.operators import signals as sig
-from dqspark.operators.damage import exact_damage, sink_damage
+from dqspark.operators.damage import exact_damage, sink_base, sink_damage
 from dqspark.operators.injection import inject_all
-from dqspark.plans.lineage import protected_run
+from dqspark.plans.delta import delta_run
 from dqspark.plans.star import STAR, sources
 from dqspark.queries import cases, registry
 from dqspark.session import materialize, tune
@@ -63,11 +63,12 @@ def main() -> None:
                                                       rule.key),
     }
     specs = cases.mixed(orders)
+    base = materialize(sink_base(tables, STAR.sinks), "base")      # belongs to the stored snapshot
 
     def branch():
-        done = protected_run(STAR, tables, specs, {"stg_orders": cases.CONDITIONAL},
-                             sig.derive_bands({"stg_orders": orders}, STAR.rules), keep=materialize)
-        return sink_damage(tables, done.tables, STAR.sinks)
+        done = delta_run(STAR, tables, specs, {"stg_orders": cases.CONDITIONAL},
+                         sig.derive_bands({"stg_orders": orders}, STAR.rules))
+        return sink_damage(tables, done.tables, STAR.sinks, changes=done.changes, base=base)
 
     jobs["branch_on_stored_snapshot"] = branch
     every = registry.queries()

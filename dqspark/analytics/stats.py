@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dqspark.functions.scalars import cumulate, hash_number, ratio
+from dqspark.functions.scalars import cumulate, hash_number
 
-FLIP_LIMIT = 22
+#: Differences of one comparison up to which all sign assignments are counted: 2^25 sums a half.
+FLIP_LIMIT = 50
+EXACT = "decimal(28,15)"
 
 
 def bootstrap_means(diffs: DataFrame, resamples: int = 10_000, seed: str = "0") -> DataFrame:
@@ -46,48 +48,70 @@ def bootstrap_ci(diffs: DataFrame, resamples: int = 10_000, seed: str = "0") ->
         (F.count_if(F.col("mean") < 0) / F.lit(float(resamples))).alias("below_zero"))
 
 
+def _half_sums(halves: DataFrame) -> DataFrame:
+    """``(comparison, side, total)``: the sums of ``d`` under all sign masks, in as many rows."""
+    width = 12                                       # masks come as high and low parts
+    halves = halves.withColumn("_n", F.size("d")).withColumn("_hi", F.expr(
+        f"explode(sequence(0, shiftleft(1, greatest(_n - {width}, 0)) - 1))"))
+    halves = halves.repartition("comparison", "side", "_hi").withColumn("_lo", F.expr(
+        f"explode(sequence(0, shiftleft(1, least(_n, {width})) - 1))"))
+    mask = F.col("_hi") * (1 << width) + F.col("_lo")
+    signed = F.transform("d", lambda x, i: F.when(F.call_function("getbit", mask, i) == 1, x).otherwise(-x))
+    total = F.aggregate(signed, F.lit(0).cast(EXACT), lambda a, x: (a + x).cast(EXACT))
+    return halves.select("comparison", "side", "bound", total.alias("total"))
+
+
 def sign_flip(diffs: DataFrame) -> DataFrame:
     """Exact one-sided sign-flip p per comparison over all 2^n sign assignments.
 
-    Returns comparison, n, p and status: a comparison of more than ``FLIP_LIMIT`` differences has
-    p NULL and status ``refused``, which leaves all others as they are. The differences of one
-    comparison fit a short array; its sign masks are spread by rows.
+    An assignment is a half for the first differences and one for the rest, so it counts where the
+    first half's sum is at most the bound less the second half's. Both sets of sums, 2^(n/2) each, are
+    merged in order of value: every second half counts the first halves up to its place. Equal sums
+    are one row, and a comparison's rows accumulate in ranges. Differences count with 15 decimals, so
+    sums are exact; NULL differences count nowhere.
+
+    Returns comparison, n, p and status: a comparison of no difference, or of more than ``FLIP_LIMIT``,
+    has p NULL and status ``refused``, which leaves all others as they are.
     """
     sized = diffs.groupBy("comparison").agg(F.count("diff").alias("n"))
-    few = diffs.join(sized.filter(F.col("n") <= FLIP_LIMIT), "comparison")
-    refused = sized.filter(F.col("n") > FLIP_LIMIT).select(
+    fits = (F.col("n") > 0) & (F.col("n") <= FLIP_LIMIT)
+    refused = sized.filter(~fits).select(
         "comparison", "n", F.lit(None).cast("double").alias("p"), F.lit("refused").alias("status"))
+    few = diffs.filter("diff is not null").join(sized.filter(fits), "comparison")
     lists = few.groupBy("comparison").agg(F.transform(F.array_sort(F.array_agg(
-        F.struct("campaign", "diff"))), lambda x: x["diff"]).alias("d"))
-    lists = lists.withColumn("n", F.size("d")).withColumn(
-        "observed", F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
-    width = 12                                       # masks come as high and low parts
-    lists = lists.withColumn("hi", F.expr(
-        f"explode(sequence(0, shiftleft(1, greatest(n - {width}, 0)) - 1))"))
-    lists = lists.repartition("comparison", "hi").withColumn("lo", F.expr(
-        f"explode(sequence(0, shiftleft(1, least(n, {width})) - 1))"))
-    mask = F.col("hi") * (1 << width) + F.col("lo")
-    signed = F.transform("d", lambda x, i: F.when(
-        F.call_function("getbit", mask, i) == 1, x).otherwise(-x))
-    total = F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
-    met = lists.select("comparison", "n", (total / F.col("n") <= F.col("observed") + 1e-15)
-                       .alias("hit"))
-    out = met.groupBy("comparison", "n").agg(F.count_if("hit").alias("hits"),
-                                             F.count(F.lit(1)).alias("masks"))
-    out = out.select("comparison", F.col("n").cast("long").alias("n"), ratio("hits", "masks")
-                     .alias("p"), F.lit("exact").alias("status"))
+        F.struct("campaign", "diff"))), lambda x: x["diff"].cast(EXACT)).alias("d"))
+    n, half = F.size("d"), F.floor(F.size("d") / 2).cast("int")
+    bound = F.aggregate("d", F.lit(0).cast(EXACT), lambda a, x: (a + x).cast(EXACT)) + (
+        n * F.lit("0.000000000000001").cast("decimal(16,15)"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.slice("d", F.lit(1), half).alias("d")),
+                    F.struct(F.lit(1).alias("side"), F.slice("d", half + 1, n - half).alias("d")))
+    halves = lists.select("comparison", bound.cast(EXACT).alias("bound"), F.explode(sides).alias("s"))
+    sums = _half_sums(halves.select("comparison", "bound", "s.side", "s.d"))
+    first = F.col("side") == 0
+    place = F.when(first, F.col("total")).otherwise((F.col("bound") - F.col("total")).cast(EXACT))
+    merged = sums.groupBy("comparison", place.alias("place")).agg(
+        F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
+    met = cumulate(merged, ["comparison"], ["place"], sums={"below": "a"})
+    hits = met.groupBy("comparison").agg(F.sum(F.col("b") * F.col("below")).alias("hits"))
+    out = hits.join(sized, "comparison").select(
+        "comparison", "n", (F.col("hits") / F.pow(F.lit(2.0), F.col("n"))).alias("p"), F.lit("exact").alias("status"))
     return out.unionByName(refused)
 
 
 def holm(pvals: DataFrame) -> DataFrame:
     """Holm-adjusted p per family: running maximum of min(1, (m - i) p) in ascending order.
 
-    pvals: (family, name, p). Ranks and maxima are accumulated over ranges of (family, p, name), so
-    a family of any size is sorted in parts, also where all its p-values are equal.
+    pvals: (family, name, p). Rows whose p is NULL (refused) are no tests of the family: they are
+    returned without rank and adjusted p, and m counts the others. Ranks and maxima are accumulated
+    over ranges of (family, p, name), so a family of any size is sorted in parts, also where all its
+    p-values are equal.
     """
-    ranked = cumulate(pvals.withColumn("_c", F.lit(1)), ["family"], ["p", "name"], sums={"rank": "_c"})
+    open_ = pvals.filter("p is null").select(
+        "family", "name", "p", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("adjusted"))
+    tests = pvals.filter("p is not null").withColumn("_c", F.lit(1))
+    ranked = cumulate(tests, ["family"], ["p", "name"], sums={"rank": "_c"})
     ranked = ranked.withColumn("_raw", F.least(F.lit(1.0), (
         F.col("rank_total") - F.col("rank") + 1) * F.col("p")))
     out = cumulate(ranked.drop("_c", "rank_total"), ["family"], ["p", "name"],
                    maxima={"adjusted": "_raw"})
-    return out.select("family", "name", "p", "rank", "adjusted")
+    return out.select("family", "name", "p", "rank", "adjusted").unionByName(open_)

@@ -8,6 +8,7 @@ can be split). Nothing here depends on the number of rows, and no side is ever b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,6 +41,22 @@ def lookup_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str =
         *rows.columns, *[c for c in other.columns if c not in on])
 
 
+def _matching(df: DataFrame, keys: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
+    names = [f"_k{i}" for i in range(len(cols))]
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(cols, names)))
+    return df.join(keys.toDF(*names), met, how)
+
+
+def within(df: DataFrame, keys: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose ``cols`` are among the keys, by place; NULL equals NULL."""
+    return _matching(df, keys, cols, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose ``cols`` are not among the keys, by place; NULL equals NULL."""
+    return _matching(df, keys, cols, "left_anti")
+
+
 def mark(rows: DataFrame, keys: DataFrame, on: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Attach boolean ``flags`` of ``keys`` to the rows carrying each key (false elsewhere).
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import cumulate, ratio
-from dqspark.functions.skew import any_null
+from dqspark.functions.skew import any_null, key_counts, within
 from dqspark.session import materialize
 
 
@@ -23,6 +23,19 @@ def row_groups(clean: DataFrame, dirty: DataFrame, key: Sequence[str]) -> DataFr
     return both.groupBy(*cols).agg(F.expr("sum(_c) as nc"), F.expr("sum(_d) as nd"))
 
 
+def _digested(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key with 128 bits of hash of all other columns, so that rows are compared without moving
+    them; whether a value is NULL is hashed too."""
+    values = value_columns(df, key)
+    cells = [*values, *[F.col(v).isNull() for v in values]]
+    return df.select(*key, F.xxhash64(F.lit(1), *cells).alias("_v1"), F.xxhash64(F.lit(2), *cells).alias("_v2"))
+
+
+def digest_groups(clean: DataFrame, dirty: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``row_groups`` with a digest of the values in their place."""
+    return row_groups(_digested(clean, key), _digested(dirty.select(*clean.columns), key), key)
+
+
 # Per key: rows on both sides, equal pairs, rows matched as multisets.
 _PER_KEY = ("sum(nc) as nc", "sum(nd) as nd", "sum(nc * nd) as equal_pairs",
             "sum(least(nc, nd)) as matched")
@@ -49,15 +62,54 @@ def _counted(per_key: DataFrame, key: Sequence[str], form: str) -> DataFrame:
 
 def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
                     form: str = "keyset") -> DataFrame:
-    """Per key the counts ``changed``, ``added``, ``lost``; two aggregations, no self join.
+    """Per key the counts ``changed``, ``added``, ``lost``; two aggregations, no self join. Rows meet
+    by key and digest, so no value column is shuffled.
 
     keyset: a key missing on one side counts once; changed counts unequal clean/dirty pairs
     (NULL keys never pair). multiset: surplus and missing copies count one by one.
     """
-    per_key = key_groups(row_groups(clean, dirty, key), key)
+    per_key = key_groups(digest_groups(clean, dirty, key), key)
     return _counted(per_key, key, form).select(*key, "nc", "nd", "changed", "added", "lost")
 
 
+def sink_base(clean: Mapping[str, DataFrame], sinks: Mapping) -> DataFrame:
+    """``(sink, n_clean, twins)``: rows of every clean sink, and how many pairs of rows of one key are
+    unequal in it. Branches over one snapshot share it; store it once."""
+    out = None
+    for name, sink in sinks.items():
+        df, key = clean[name], list(sink.key)
+        double = key_counts(df, key).filter("_n > 1").select(*key)
+        groups = _digested(within(df, double, key), key).groupBy(*key, "_v1", "_v2").agg(F.count("*").alias("n"))
+        per_key = groups.groupBy(*key).agg(F.expr("sum(n) as nc"), F.expr("sum(n * n) as squares"))
+        size = df.agg(F.count(F.lit(1)).alias("n_clean")).withColumn("twins", F.lit(0).cast("long"))
+        pairs = per_key.agg(F.expr("coalesce(sum(nc * nc - squares), 0) as twins")).select(F.lit(0).cast("long").alias("n_clean"), "twins")
+        row = size.unionByName(pairs).agg(F.sum("n_clean").alias("n_clean"), F.sum("twins").alias("twins")).select(
+            F.lit(name).alias("sink"), "n_clean", "twins")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _patched(clean: Mapping, changes: Mapping, sinks: Mapping, form: str, base: DataFrame) -> DataFrame:
+    """Damage of sinks of which only the rows of some keys can differ; all other keys are equal, and
+    keep the unequal pairs they have with themselves."""
+    out = None
+    for name, sink in sinks.items():
+        change, key = changes[name], list(sink.key)
+        known = ~any_null(key)
+        part = within(clean[name], change.keys, change.own)
+        groups = digest_groups(part, change.added, key)
+        per_key = groups.groupBy(*key).agg(*[F.expr(e) for e in _PER_KEY], F.expr("sum(nc * nc) as squares"))
+        counted = _counted(per_key, key, form)
+        row = counted.agg(*[F.expr(e) for e in _TOTALS[:3]],
+                          F.coalesce(F.sum(F.when(known, F.expr("nc * nc - squares"))), F.lit(0)).alias("own_twins"))
+        row = row.select(F.lit(name).alias("sink"), F.lit(sink.kind).alias("kind"), "changed", "added", "lost", "own_twins")
+        out = row if out is None else out.unionByName(row)
+    met = out.join(base, "sink")
+    if form == "keyset":
+        met = met.withColumn("changed", F.col("changed") + F.col("twins") - F.col("own_twins"))
+    return _damage(met).select("sink", "kind", "changed", "added", "lost", "n_clean", "damage")
+
+
 _TOTALS = ("coalesce(sum(changed), 0) as changed", "coalesce(sum(added), 0) as added",
            "coalesce(sum(lost), 0) as lost", "coalesce(sum(nc), 0) as n_clean")
 
@@ -191,14 +243,22 @@ def distance_damage(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
 
 
 def sink_damage(clean: Mapping[str, DataFrame], dirty: Mapping[str, DataFrame], sinks: Mapping,
-                form: str = "keyset", variants: bool = False) -> DataFrame:
+                form: str = "keyset", variants: bool = False, changes: Mapping | None = None,
+                base: DataFrame | None = None) -> DataFrame:
     """Per sink: kind, counts and damage (and the two distance variants).
 
-    A sink the branch never rebuilt is the clean DataFrame itself: only its size is read.
+    A sink the branch never rebuilt is the clean DataFrame itself: only its size is read. With the
+    ``changes`` of a delta run, sinks are compared on the changed keys alone, with ``base`` (see
+    ``sink_base``) for what the rest holds; distances read the whole sinks.
     """
+    partial = {n: s for n, s in sinks.items() if not variants and n in (changes or {})
+               and not changes[n].whole and set(changes[n].own) <= set(s.key)}
+    out = None
+    if partial:
+        out = _patched(clean, changes, partial, form, sink_base(clean, partial) if base is None else base)
+        sinks = {n: s for n, s in sinks.items() if n not in partial}
     kinds = {n: F.lit(s.kind).alias("kind") for n, s in sinks.items()}
     changed = {n: s for n, s in sinks.items() if dirty[n] is not clean[n]}
-    out = None
     if variants and changed:
         got = distances({n: (clean[n], dirty[n], s.key, s.values) for n, s in changed.items()}, form)
         kind = F.create_map(*[x for n, s in changed.items() for x in (F.lit(n), F.lit(s.kind))])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dqspark.functions.scalars import micros, rounded
 from dqspark.functions.skew import lookup_join
 from dqspark.operators.signals import Rule
-from dqspark.plans.lineage import Lineage, Node, Sink, Tables
+from dqspark.plans.lineage import Lineage, Node, Sink, Tables, cut
 from dqspark.sources.contracts import COMPANY, FINANCIAL, SECURITY
 from dqspark.sources.readers import latest, slice_records
 
@@ -160,22 +160,43 @@ BROKERAGE = Lineage(
         Node("stg_company", ("raw_finwire",), stg_company),
         Node("stg_security", ("raw_finwire",), stg_security),
         Node("stg_financial", ("raw_finwire",), stg_financial),
-        Node("stg_daily_market", ("raw_dailymarket",), stg_daily_market),
-        Node("stg_trade", ("raw_trade",), stg_trade),
-        Node("stg_account", ("raw_account_actions",), stg_account),
-        Node("dim_company", ("stg_company", "raw_industry"), dim_company),
-        Node("dim_security", ("stg_security", "dim_company"), dim_security),
-        Node("fact_financials", ("stg_financial", "dim_company"), fact_financials),
-        Node("fact_market_history", ("stg_daily_market", "dim_security"), fact_market_history),
-        Node("fact_trade", ("stg_trade", "stg_account", "dim_security"), fact_trade),
+        Node("stg_daily_market", ("raw_dailymarket",), stg_daily_market,
+             {"raw_dailymarket": cut("market_date symbol", raw_dailymarket="dm_date dm_s_symb")}),
+        Node("stg_trade", ("raw_trade",), stg_trade, {"raw_trade": cut("trade_id", raw_trade="t_id")}),
+        Node("stg_account", ("raw_account_actions",), stg_account,
+             {"raw_account_actions": cut("account_id", raw_account_actions="ca_id")}),
+        Node("dim_company", ("stg_company", "raw_industry"), dim_company,
+             {"stg_company": cut("cik", "stg_company"),
+              "raw_industry": cut("industry_id", raw_industry="in_id", stg_company="industry_id")}),
+        Node("dim_security", ("stg_security", "dim_company"), dim_security,
+             {"stg_security": cut("symbol", "stg_security"),
+              "dim_company": cut("co_name_or_cik", dim_company="cik", stg_security="co_name_or_cik")}),
+        Node("fact_financials", ("stg_financial", "dim_company"), fact_financials,
+             {"stg_financial": cut("cik fin_year fin_qtr", "stg_financial"),
+              "dim_company": cut("cik", "dim_company", "stg_financial")}),
+        Node("fact_market_history", ("stg_daily_market", "dim_security"), fact_market_history,
+             {"stg_daily_market": cut("market_date symbol", "stg_daily_market"),
+              "dim_security": cut("symbol", "dim_security", "stg_daily_market")}),
+        Node("fact_trade", ("stg_trade", "stg_account", "dim_security"), fact_trade,
+             {"stg_trade": cut("trade_id", "stg_trade"),
+              "stg_account": cut("account_id", "stg_account", "stg_trade"),
+              "dim_security": cut("symbol", "dim_security", "stg_trade")}),
         Node("mart_company_report", ("dim_company", "dim_security", "fact_financials"),
-             mart_company_report),
-        Node("mart_financial_summary", ("fact_financials",), mart_financial_summary),
-        Node("mart_security_report", ("fact_market_history",), mart_security_report),
-        Node("mart_market_daily", ("fact_market_history",), mart_market_daily),
-        Node("mart_customer_report", ("fact_trade",), mart_customer_report),
-        Node("mart_financial_detail", ("fact_financials",), mart_financial_detail),
-        Node("mart_security_master", ("dim_security",), mart_security_master),
+             mart_company_report,
+             {p: cut("cik", "dim_company", "dim_security", "fact_financials")
+              for p in ("dim_company", "dim_security", "fact_financials")}),
+        Node("mart_financial_summary", ("fact_financials",), mart_financial_summary,
+             {"fact_financials": cut("cik", "fact_financials")}),
+        Node("mart_security_report", ("fact_market_history",), mart_security_report,
+             {"fact_market_history": cut("symbol", "fact_market_history")}),
+        Node("mart_market_daily", ("fact_market_history",), mart_market_daily,
+             {"fact_market_history": cut("market_date", "fact_market_history")}),
+        Node("mart_customer_report", ("fact_trade",), mart_customer_report,
+             {"fact_trade": cut("customer_id", "fact_trade")}),
+        Node("mart_financial_detail", ("fact_financials",), mart_financial_detail,
+             {"fact_financials": cut("cik fin_year fin_qtr", "fact_financials")}),
+        Node("mart_security_master", ("dim_security",), mart_security_master,
+             {"dim_security": cut("symbol", "dim_security")}),
     ),
     rules={
         "stg_financial": Rule(_QUARTER, "revenue", "revenue", ("cik", "stg_company", "cik")),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from dqspark.operators.damage import nrd, sink_damage
 from dqspark.operators.dispositions import route_live, route_snapshot, route_verdict
 from dqspark.operators.injection import Injection, inject, require_hits
 from dqspark.operators.signals import Rule
@@ -17,11 +16,31 @@ Tables = Mapping[str, DataFrame]
 Plan = Mapping[str, Mapping[str, str]]     # table -> {shape or verdict: disposition}
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How a changed parent reaches a node: values of the parent's ``columns`` are those of the node's
+    columns ``own``, and the node's rows of some values follow from the rows of these values of
+    ``tables`` (parent: columns by place), with all other parents whole."""
+
+    columns: tuple[str, ...]
+    own: tuple[str, ...]
+    tables: Mapping[str, tuple[str, ...]]
+
+
+def cut(columns: str, *tables: str, **renamed: str) -> Cut:
+    """A cut by ``columns`` (separated by spaces) that hold the same values in the node and in
+    ``tables``; ``renamed`` gives the columns of parents that name them otherwise."""
+    own = tuple(columns.split())
+    given = {t: own for t in tables} | {t: tuple(c.split()) for t, c in renamed.items()}
+    return Cut(next(iter(given.values())), own, given)
+
+
 @dataclass(frozen=True)
 class Node:
     name: str
     parents: tuple[str, ...]
     build: Callable[[Tables], DataFrame]
+    cuts: Mapping[str, Cut] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -123,8 +142,7 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
                   bands: Mapping | None = None, *, with_errors: bool = True, scope: str = "cone",
                   routing: str | None = None, oracle: bool = False, strict: bool = True,
                   count: bool = True,
-                  keep: Callable[[DataFrame, str], DataFrame] | None = None,
-                  injected: Tables | None = None) -> Run:
+                  keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Run:
     """Inject, act where planned, rebuild what lies below; return the tables of the branch.
 
     scope ``cone``: the policy acts at the injected tables and at rebuilt tables below them; a
@@ -133,8 +151,7 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
     their clean (stale) state. With ``count`` a shape that fires nowhere leaves the table, and what
     is built from it alone, untouched. Unchanged tables reuse the clean plan. ``keep`` (for example
     ``session.materialize``) is applied to each changed table that others are built from.
-    ``injected`` holds tables of the same campaign with their errors in place; they are taken as
-    they are where nothing planned stands above them.
+    ``delta.delta_run`` gives the same tables and builds only what changes.
     """
     bands = bands or {}
     run = Run(dict(clean))
@@ -146,10 +163,6 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
             run.tables[name] = keep(run.tables[name], name)
 
     def put_errors(name: str) -> None:
-        if with_errors and name in (injected or {}) and not (
-                (lineage.ancestors([name]) - {name}) & set(plan)):
-            run.tables[name] = injected[name]
-            return
         for spec in injections:
             if spec.node == name and with_errors:
                 if strict:
@@ -201,50 +214,3 @@ def protected_run(lineage: Lineage, clean: Tables, injections: Sequence[Injectio
         elif n.name in changed:
             settle(n.name)
     return run
-
-
-def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence[Injection],
-            plans: Mapping[str, Plan], bands: Mapping, **options) -> DataFrame:
-    """Measurement rows of one campaign: per plan the damage with errors, relative to doing
-    nothing (``nrd``), and the damage the same plan does to clean data."""
-    base = protected_run(lineage, clean, injections, {}, bands, **options)
-    options = {**options, "injected": {s.node: base.tables[s.node] for s in injections}}
-    sinks = lineage.sinks
-
-    def mean(run: Run, label: str, role: str) -> DataFrame:
-        return sink_damage(clean, run.tables, sinks).agg(F.avg("damage").alias("damage")).select(
-            F.lit(label).alias("plan"), F.lit(role).alias("role"), "damage",
-            F.lit(run.availability_loss).alias("availability_loss"))
-
-    rows = mean(base, "no_validation", "base")
-    for label, plan in plans.items():
-        rows = rows.unionByName(mean(protected_run(
-            lineage, clean, injections, plan, bands, **options), label, "dirty"))
-        rows = rows.unionByName(mean(protected_run(
-            lineage, clean, injections, plan, bands, with_errors=False, **options), label, "clean"))
-    rows = materialize(rows, "measurements")            # every branch runs once, here
-    wide = rows.groupBy("plan").agg(*[
-        F.max(F.when(F.col("role") == r, F.col(c))).alias(a) for r, c, a in (
-            ("dirty", "damage", "absolute_damage"), ("clean", "damage", "clean_absolute_damage"),
-            ("dirty", "availability_loss", "availability_loss"),
-            ("clean", "availability_loss", "clean_availability_loss"),
-            ("base", "damage", "_base"))])
-    nothing = rows.filter(F.col("role") == "base").select(
-        F.col("damage").alias("no_validation_damage"), F.lit(1).alias("_one"))
-    return wide.filter(F.col("_base").isNull()).drop("_base").withColumn("_one", F.lit(1)).join(
-        nothing, "_one").select(
-        F.lit(campaign).alias("campaign"), "plan", "no_validation_damage", "absolute_damage",
-        nrd("absolute_damage", "no_validation_damage").alias("nrd"), "clean_absolute_damage",
-        "availability_loss", "clean_availability_loss")
-
-
-def placement_grid(lineage: Lineage, clean: Tables, campaign: str,
-                   injections: Sequence[Injection], policies: Mapping[str, Mapping[str, str]],
-                   placements: Sequence[str], bands: Mapping, **options) -> DataFrame:
-    """Each policy placed alone at each table: one measurement row per combination."""
-    plans = {f"{p}@{t}": {t: m} for p, m in policies.items() for t in placements}
-    options = {"scope": "chain", "routing": "verdict", **options}
-    rows = measure(lineage, clean, campaign, injections, plans, bands, **options)
-    return rows.select("campaign", F.substring_index("plan", "@", 1).alias("policy"),
-                       F.substring_index("plan", "@", -1).alias("placement"),
-                       *[c for c in rows.columns if c not in ("campaign", "plan")])

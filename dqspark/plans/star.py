@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dqspark.functions.scalars import mean4, money
 from dqspark.functions.skew import lookup_join
 from dqspark.operators.signals import Rule
-from dqspark.plans.lineage import Lineage, Node, Sink, Tables
+from dqspark.plans.lineage import Lineage, Node, Sink, Tables, cut
 
 # Declared, so that opening a table costs no schema pass.
 SCHEMAS = {
@@ -166,24 +166,41 @@ def mart_part_master(t: Tables) -> DataFrame:
 
 _LINE_KEY = ("orderkey", "partkey", "suppkey", "linenumber")
 
+_LINES = " ".join(_LINE_KEY)
+
 STAR = Lineage(
     nodes=(
-        Node("stg_part", ("part",), stg_part),
-        Node("stg_customer", ("customer",), stg_customer),
-        Node("stg_orders", ("orders",), stg_orders),
-        Node("stg_lineitem", ("lineitem",), stg_lineitem),
-        Node("stg_event", ("events",), stg_event),
-        Node("dim_customer", ("stg_customer", "nation", "region"), dim_customer),
-        Node("dim_part", ("stg_part",), dim_part),
-        Node("fact_order", ("stg_orders", "dim_customer"), fact_order),
-        Node("fact_lineitem", ("stg_lineitem", "dim_part", "stg_orders"), fact_lineitem),
-        Node("mart_customer_report", ("dim_customer", "fact_order"), mart_customer_report),
-        Node("mart_part_report", ("fact_lineitem",), mart_part_report),
-        Node("mart_order_year", ("fact_order",), mart_order_year),
-        Node("mart_daily_ship", ("fact_lineitem",), mart_daily_ship),
-        Node("mart_region_report", ("fact_order",), mart_region_report),
-        Node("mart_order_detail", ("fact_order",), mart_order_detail),
-        Node("mart_part_master", ("dim_part",), mart_part_master),
+        Node("stg_part", ("part",), stg_part, {"part": cut("partkey", part="p_partkey")}),
+        Node("stg_customer", ("customer",), stg_customer,
+             {"customer": cut("custkey", customer="c_custkey")}),
+        Node("stg_orders", ("orders",), stg_orders, {"orders": cut("orderkey", orders="o_orderkey")}),
+        Node("stg_lineitem", ("lineitem",), stg_lineitem,
+             {"lineitem": cut(_LINES, lineitem="l_orderkey l_partkey l_suppkey l_linenumber")}),
+        Node("stg_event", ("events",), stg_event, {"events": cut("event_id", "events")}),
+        Node("dim_customer", ("stg_customer", "nation", "region"), dim_customer,
+             {"stg_customer": cut("custkey", "stg_customer")}),
+        Node("dim_part", ("stg_part",), dim_part, {"stg_part": cut("partkey", "stg_part")}),
+        Node("fact_order", ("stg_orders", "dim_customer"), fact_order,
+             {"stg_orders": cut("orderkey", "stg_orders"),
+              "dim_customer": cut("custkey", "dim_customer", "stg_orders")}),
+        Node("fact_lineitem", ("stg_lineitem", "dim_part", "stg_orders"), fact_lineitem,
+             {"stg_lineitem": cut(_LINES, "stg_lineitem"),
+              "dim_part": cut("partkey", "dim_part", "stg_lineitem"),
+              "stg_orders": cut("orderkey", "stg_orders", "stg_lineitem")}),
+        Node("mart_customer_report", ("dim_customer", "fact_order"), mart_customer_report,
+             {p: cut("custkey", "dim_customer", "fact_order") for p in ("dim_customer", "fact_order")}),
+        Node("mart_part_report", ("fact_lineitem",), mart_part_report,
+             {"fact_lineitem": cut("partkey", "fact_lineitem")}),
+        Node("mart_order_year", ("fact_order",), mart_order_year,
+             {"fact_order": cut("custkey", "fact_order")}),
+        Node("mart_daily_ship", ("fact_lineitem",), mart_daily_ship,
+             {"fact_lineitem": cut("ship_date", "fact_lineitem")}),
+        Node("mart_region_report", ("fact_order",), mart_region_report,
+             {"fact_order": cut("region_name", "fact_order")}),
+        Node("mart_order_detail", ("fact_order",), mart_order_detail,
+             {"fact_order": cut("orderkey", "fact_order")}),
+        Node("mart_part_master", ("dim_part",), mart_part_master,
+             {"dim_part": cut("partkey", "dim_part")}),
     ),
     rules={
         "stg_orders": Rule(("orderkey",), "total_price", "total_price",

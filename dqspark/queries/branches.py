@@ -10,7 +10,7 @@ from dqspark.operators import damage as dm
 from dqspark.operators.dispositions import route_live
 from dqspark.operators.injection import inject_all
 from dqspark.operators.signals import derive_bands, margin_sweep, signal_report
-from dqspark.plans.lineage import measure, placement_grid, protected_run
+from dqspark.plans.delta import delta_run, measure, placement_grid
 from dqspark.plans.star import STAR
 from dqspark.queries import cases as c
 from dqspark.queries.common import damage_sql, keyed, star_ctes, star_tables, with_sql
@@ -31,11 +31,15 @@ def query(sql: str | None):
 
 def _branch(spark, sf_dir, specs=c.mixed, plan=None, **options):
     clean = star_tables(spark, sf_dir)
-    run = protected_run(STAR, clean, specs(clean["stg_orders"]), plan or {},
-                        c.order_bands(clean) if plan else {}, keep=materialize, **options)
+    run = delta_run(STAR, clean, specs(clean["stg_orders"]), plan or {},
+                    c.order_bands(clean) if plan else {}, **options)
     return clean, run
 
 
+def _per_sink(clean, run):
+    return dm.sink_damage(clean, run.tables, STAR.sinks, changes=run.changes)
+
+
 def _stored(spark, sf_dir):
     """The clean snapshot as written tables: several branches are compared with it."""
     clean = star_tables(spark, sf_dir)
@@ -50,7 +54,7 @@ DETAIL = ("mart_order_detail", "mart_order_detail_d", ["orderkey"],
 @query(with_sql(MIXED + [c.sql_sinks()], "select * from sinks"))
 def damage_exact(spark, sf_dir):
     clean, run = _branch(spark, sf_dir)
-    return dm.sink_damage(clean, run.tables, STAR.sinks)
+    return _per_sink(clean, run)
 
 
 @query(with_sql(MIXED + ["""
@@ -104,7 +108,7 @@ def damage_distances(spark, sf_dir):
                 "select 'all', round(avg(damage), 12) from sinks"))
 def damage_macro_by_kind(spark, sf_dir):
     clean, run = _branch(spark, sf_dir)
-    per_sink = dm.sink_damage(clean, run.tables, STAR.sinks)
+    per_sink = _per_sink(clean, run)
     return dm.macro_damage(per_sink).select("kind", F.round("damage", 12).alias("damage"))
 
 
@@ -143,7 +147,7 @@ _MEANS = [c.sql_sinks("_d", "s_base"), c.sql_sinks("_p", "s_prot"),
 @query(with_sql(BRANCH + [c.sql_sinks("_p")], "select * from sinks"))
 def protected_branch(spark, sf_dir):
     clean, run = _branch(spark, sf_dir, plan={"stg_orders": c.CONDITIONAL})
-    return dm.sink_damage(clean, run.tables, STAR.sinks)
+    return _per_sink(clean, run)
 
 
 @query(with_sql(BRANCH + _MEANS, """select 'mixed' campaign, 'conditional' as plan,
@@ -152,8 +156,7 @@ def protected_branch(spark, sf_dir):
 def nrd_branch(spark, sf_dir):
     clean = _stored(spark, sf_dir)
     rows = measure(STAR, clean, "mixed", c.mixed(clean["stg_orders"]),
-                   {"conditional": {"stg_orders": c.CONDITIONAL}}, c.order_bands(clean),
-                   keep=materialize)
+                   {"conditional": {"stg_orders": c.CONDITIONAL}}, c.order_bands(clean))
     return rows.select("campaign", "plan",
                        F.round("no_validation_damage", 12).alias("no_validation_damage"),
                        F.round("absolute_damage", 12).alias("absolute_damage"),
@@ -170,10 +173,10 @@ _TIGHT = """tight as materialized (select * from stg_orders where total_price <=
 def clean_collateral(spark, sf_dir):
     clean = star_tables(spark, sf_dir)
     low, high = c.order_bands(clean)["stg_orders"]
-    run = protected_run(STAR, clean, c.mixed(clean["stg_orders"]),
+    run = delta_run(STAR, clean, c.mixed(clean["stg_orders"]),
                         {"stg_orders": {"numeric_shape": "quarantine"}},
-                        {"stg_orders": (low, high / 4)}, with_errors=False, keep=materialize)
-    per_sink = dm.sink_damage(clean, run.tables, STAR.sinks)
+                        {"stg_orders": (low, high / 4)}, with_errors=False)
+    per_sink = _per_sink(clean, run)
     return per_sink.agg(F.round(F.avg("damage"), 12).alias("clean_collateral"),
                         F.bool_and(F.col("damage") == 0).alias("safe"))
 
@@ -195,8 +198,8 @@ def damage_components(spark, sf_dir):
     clean = _stored(spark, sf_dir)
     specs, out = c.mixed(clean["stg_orders"]), None
     for name, part in (("mixed", specs), ("num_only", specs[:1]), ("dup_only", specs[1:])):
-        run = protected_run(STAR, clean, part, {}, keep=materialize)
-        row = dm.sink_damage(clean, run.tables, STAR.sinks).agg(F.avg("damage").alias("damage")) \
+        run = delta_run(STAR, clean, part, {})
+        row = _per_sink(clean, run).agg(F.avg("damage").alias("damage")) \
             .select(F.lit(name).alias("component"), "damage", F.lit(1).alias("_one"))
         out = row if out is None else out.unionByName(row)
     out = materialize(out, "components")
@@ -254,10 +257,10 @@ def stress_magnitudes(spark, sf_dir):
        "'stg_orders' suppressed_at")
 def act_fail_closed(spark, sf_dir):
     clean = star_tables(spark, sf_dir)
-    run = protected_run(STAR, clean, c.mixed(clean["stg_orders"]),
+    run = delta_run(STAR, clean, c.mixed(clean["stg_orders"]),
                         {"stg_orders": {"duplicate_shape": "fail_closed"}}, c.order_bands(clean),
-                        scope="chain", keep=materialize)
-    per_sink = dm.sink_damage(clean, run.tables, STAR.sinks)
+                        scope="chain")
+    per_sink = _per_sink(clean, run)
     return per_sink.agg(F.avg("damage").alias("damage")).select(
         F.lit("mixed").alias("campaign"), F.lit(run.availability_loss).alias("availability_loss"),
         "damage", F.lit(run.suppressed_at).alias("suppressed_at"))
@@ -296,8 +299,7 @@ def margin_policy_grid(spark, sf_dir):
     for m in MARGINS:
         bands = derive_bands({"stg_orders": orders}, {"stg_orders": c.ORDERS_RULE}, m)
         fires = margin_sweep(orders, "total_price", [m]).select("margin", F.col("fired").alias("clean_fires"))
-        rows = measure(STAR, clean, "mixed", specs, {a: {"stg_orders": p} for a, p in ARMS.items()}, bands,
-                       keep=materialize)
+        rows = measure(STAR, clean, "mixed", specs, {a: {"stg_orders": p} for a, p in ARMS.items()}, bands)
         rows = rows.withColumn("margin", F.lit(m)).join(fires, "margin").select(
             "margin", F.col("plan").alias("arm"), "clean_fires", F.round("nrd", 9).alias("nrd"),
             F.round("clean_absolute_damage", 12).alias("clean_collateral"))
@@ -343,7 +345,7 @@ def measured_policy(spark, sf_dir):
     specs = {"shifts": [c.numeric(targets)], "copies": [c.duplicate(targets)]}
     bands, out = c.order_bands(clean), None
     for fam, (shape, acts) in FAMILIES.items():
-        rows = measure(STAR, clean, fam, specs[fam], {a: {"stg_orders": {shape: a}} for a in acts}, bands, keep=materialize)
+        rows = measure(STAR, clean, fam, specs[fam], {a: {"stg_orders": {shape: a}} for a in acts}, bands)
         rows = rows.select(F.col("campaign").alias("family"), F.lit(c.K).alias("k"), F.lit("stg_orders").alias("node"),
                            F.col("plan").alias("disposition"), "nrd")
         out = rows if out is None else out.unionByName(rows)
@@ -376,6 +378,6 @@ def placement_measurements(spark, sf_dir):
                           {"quarantine": {"duplicate_shape": "quarantine",
                                           "numeric_shape": "quarantine",
                                           "conflict": "quarantine"}},
-                          ("stg_orders", "fact_order"), c.order_bands(clean), keep=materialize)
+                          ("stg_orders", "fact_order"), c.order_bands(clean))
     return grid.select("campaign", "policy", "placement", F.round("nrd", 9).alias("nrd"),
                        "clean_absolute_damage")

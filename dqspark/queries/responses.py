@@ -78,6 +78,9 @@ BASE = {
     "diffs": f"""select brand comparison, concat(rf, ls, case when qty > 25 then 'h' else 'l' end) campaign,
         {NRD} - 1.25e0 diff from lines
         group by 1, 2""",
+    # three comparisons of up to 28 campaigns
+    "long_diffs": f"""select rf comparison, concat(ls, l_linenumber, case when qty > 25 then 'h' else 'l' end) campaign,
+        {NRD} - 1.25e0 diff from lines group by 1, 2""",
     "pvals": """select kind family, cast(l_partkey as varchar(20)) as "name",
         cast((sum(qty) * 65536) div (50 * count(*) + 1) as double) / 65536 p from lines group by 1, 2""",
     "trials": """select concat('node', l_linenumber) node, case rf when 'A' then 'deploy' when 'N' then
@@ -558,6 +561,39 @@ def sign_flip(spark, sf_dir):
     return stats.sign_flip(_frame(spark, sf_dir, "diffs"))
 
 
+_HALVES = """s as (select comparison, list(diff order by campaign) d, count(*) n, sum(diff) + count(*) * 1e-15 o
+    from long_diffs group by 1),
+    h as (select comparison, 0 side, d[1:n // 2] d, o from s union all select comparison, 1, d[n // 2 + 1:], o from s),
+    t as (select comparison, side, o, list_sum(list_transform(range(0, len(d)), lambda i:
+    case when (mask >> i) & 1 = 1 then d[i + 1] else -d[i + 1] end)) t from h, range(0, 16384) x(mask)
+    where mask < (1 << len(d))),
+    g as (select comparison, case side when 0 then t else o - t end v, count(*) filter (side = 0) a,
+    count(*) filter (side = 1) b from t group by 1, 2),
+    m as (select comparison, b * sum(a) over (partition by comparison order by v) hits from g)"""
+
+
+@query("long_diffs", f"""select * from (with {_HALVES} select comparison, n, cast(sum(hits) as double) / pow(2.0e0, n) p,
+    'exact' status from m join s using (comparison) group by 1, 2)""")
+def sign_flip_long(spark, sf_dir):
+    """Comparisons beyond what all single assignments could be listed for."""
+    return stats.sign_flip(_frame(spark, sf_dir, "long_diffs"))
+
+
+@query("long_diffs", f"""select * from (with {_HALVES}, f as (select comparison, n, sum(hits) / pow(2.0e0, n) p
+    from m join s using (comparison) group by 1, 2),
+    p as (select 'flags' family, comparison as "name", p from f union all select 'flags', 'none', null),
+    r as (select *, row_number() over (partition by family order by p, "name") rank, count(p) over (partition by family) m
+    from p where p is not null)
+    select family, "name", p, rank, max(least(1.0e0, (m - rank + 1) * p)) over (partition by family order by rank)
+    adjusted from r union all select family, "name", p, null, null from p where p is null)""")
+def holm_with_refused(spark, sf_dir):
+    """Adjusted p of the flips of all flags, with a comparison that was refused."""
+    flips = stats.sign_flip(_frame(spark, sf_dir, "long_diffs").unionByName(
+        _frame(spark, sf_dir, "long_diffs").select(F.lit("none").alias("comparison"), "campaign",
+                                                    F.lit(None).cast("double").alias("diff"))))
+    return stats.holm(flips.select(F.lit("flags").alias("family"), F.col("comparison").alias("name"), "p"))
+
+
 @query("pvals", """select family, "name", p, rank, max(least(1.0e0, (m - rank + 1) * p)) over (partition by
     family order by rank) adjusted from (select *, row_number() over (partition by family order by p,
     "name") rank, count(*) over (partition by family) m from pvals)""")

@@ -13,7 +13,7 @@ from dqspark.operators.injection import Injection
 from dqspark.operators.signals import derive_bands
 from dqspark.operators.targets import pick_targets, pin, split_targets
 from dqspark.plans.brokerage import BROKERAGE
-from dqspark.plans.lineage import protected_run
+from dqspark.plans.delta import delta_run
 from dqspark.queries.common import damage_sql, plain, read, with_sql
 from dqspark.session import materialize
 
@@ -266,6 +266,6 @@ def wire_protected_branch(spark, sf_dir):
     specs = [Injection(node, "numeric_add", first, tuple(_KEY), ("revenue",), 1e12),
              Injection(node, "duplicate_rows", second, tuple(_KEY))]
     bands = derive_bands({node: clean[node]}, {node: BROKERAGE.rules[node]})
-    run = protected_run(BROKERAGE, clean, specs, {node: {
-        "duplicate_shape": "dedup", "numeric_shape": "quarantine"}}, bands, keep=materialize)
-    return sink_damage(clean, run.tables, BROKERAGE.sinks)
+    run = delta_run(BROKERAGE, clean, specs, {node: {
+        "duplicate_shape": "dedup", "numeric_shape": "quarantine"}}, bands)
+    return sink_damage(clean, run.tables, BROKERAGE.sinks, changes=run.changes)

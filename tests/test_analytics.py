@@ -24,10 +24,33 @@ def test_sign_flip_closed_form(spark):
     assert got["a"] == 0.000244140625
 
 
-def test_sign_flip_refuses_long_lists(spark):
-    got = stats.sign_flip(diffs(spark, a=[-1] * 23, b=[-1] * 3)).collect()
-    assert {r["comparison"]: (r["n"], r["p"], r["status"]) for r in got} == {
-        "a": (23, None, "refused"), "b": (3, 0.125, "exact")}
+def test_sign_flip_beyond_listing(spark):
+    # 40 equal differences: the number of positive signs is binomial
+    import math
+    ones = [1] * 25 + [-1] * 15
+    hits = sum(math.comb(40, k) for k in range(26))
+    got = {r["comparison"]: (r["n"], r["p"], r["status"]) for r in stats.sign_flip(
+        diffs(spark, a=[-1] * 40, b=ones, c=[-1] * 51, d=[-1] * 3)).collect()}
+    assert got == {"a": (40, 2 ** -40, "exact"), "b": (40, hits / 2 ** 40, "exact"),
+                   "c": (51, None, "refused"), "d": (3, 0.125, "exact")}
+
+
+def test_sign_flip_against_listing(spark):
+    import itertools
+    import random
+    rng = random.Random(5)
+    groups = {f"g{n}": [rng.choice((-3, -1, 0, 1, 2)) / 10 for _ in range(n)] for n in (1, 2, 5, 9, 13)}
+    got = {r["comparison"]: r["p"] for r in stats.sign_flip(diffs(spark, **groups)).collect()}
+    for name, ds in groups.items():
+        tens = [round(10 * d) for d in ds]
+        hits = sum(sum(s * d for s, d in zip(signs, tens)) <= sum(tens)
+                   for signs in itertools.product((1, -1), repeat=len(ds)))
+        assert got[name] == hits / 2 ** len(ds)
+
+
+def test_sign_flip_leaves_null_differences_out(spark):
+    df = diffs(spark, a=[-1, -1]).unionByName(spark.createDataFrame([("a", "z", None), ("b", "z", None)], DIFFS))
+    assert {r["comparison"]: (r["n"], r["p"]) for r in stats.sign_flip(df).collect()} == {"a": (2, 0.25), "b": (0, None)}
 
 
 def test_bootstrap(spark):
@@ -50,6 +73,13 @@ def test_holm(spark):
     assert got[("f", "b")] == pytest.approx(0.06) and got[("g", "a")] == 0.6
 
 
+def test_holm_leaves_refused_out(spark):
+    df = spark.createDataFrame([("f", "a", 0.02), ("f", "b", None), ("f", "c", 0.5), ("g", "a", None)],
+                               "family string, name string, p double")
+    got = {(r["family"], r["name"]): (r["rank"], r["adjusted"]) for r in stats.holm(df).collect()}
+    assert got == {("f", "a"): (1, 0.04), ("f", "c"): (2, 0.5), ("f", "b"): (None, None), ("g", "a"): (None, None)}
+
+
 def test_area_under_curve(spark):
     bound = spark.createDataFrame([("m", 0.0, "c", 1.0), ("m", 2.0, "c", 0.5), ("m", 4.0, "c", 0.25),
                                    ("n", 0.0, "c", None), ("n", 4.0, "c", 1.0)],

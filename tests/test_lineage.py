@@ -5,7 +5,8 @@ from dqspark.operators.damage import macro_damage, sink_damage
 from dqspark.operators.injection import Injection
 from dqspark.operators.signals import Rule
 from dqspark.operators.targets import disjoint, pick_targets, split_targets, universe_report
-from dqspark.plans.lineage import Lineage, Node, Sink, measure, placement_grid, protected_run
+from dqspark.plans.delta import measure, placement_grid
+from dqspark.plans.lineage import Lineage, Node, Sink, protected_run
 from dqspark.session import materialize
 
 BANDS = {"items": (0, 100), "lines": (0, 100)}
