@@ -141,7 +141,8 @@ def taken(mixture: Mixture) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` of every document: the words that the
     mixture takes of it, repeats counted."""
     times = mixture.slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    cut = pieces(mixture.placed, mixture.block).join(times, ["number", "block"], "left")
+    # the planner takes what a few exploded rows become for small: it must not broadcast it
+    cut = pieces(mixture.placed, mixture.block).join(times.hint("merge"), ["number", "block"], "left")
     own = ["doc_id", "source", "size", "number", "source_size", "target", "start"]
     got = cut.groupBy(*own).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = mixture.placed.filter("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
@@ -158,5 +159,5 @@ def shard_texts(mixture: Mixture, docs: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", F.slice(words, (F.col("skip") + 1).cast("int"), F.col("words").cast("int")))
     said = cut.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select(
         "number", "block", (F.col("start") + F.col("skip")).alias("start"), "doc_id", text.alias("text"))
-    return mixture.slots.join(said, ["number", "block"]).select(
+    return mixture.slots.hint("merge").join(said, ["number", "block"]).select(
         "shard", "number", "slot", "start", "doc_id", "text")
