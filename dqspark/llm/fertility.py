@@ -2,8 +2,8 @@
 
 Public vocabularies measure how well a text's words split: characters per token, the share of
 tokens that fall back to bytes, and the entropy of the tokens as a share of the most they could
-have. Every language (every script where the language is unknown or rare) has bands for these,
-from quartiles over all its documents; what lies far outside is rejected, as is what fails the
+have. Every language (every script where the language is unknown) has bands for these, from
+quartiles over all its documents, drawn towards its script's where these are few; what lies far outside is rejected, as is what fails the
 base rules: too few words, or too many words in repeated three-word windows.
 """
 
@@ -30,11 +30,11 @@ REPEATED_PERCENT = 50
 #: Quartile distances that each measure may lie outside the quartiles. Evenness spreads widely, as
 #: it falls with a text's length, so it has a smaller reach.
 REACH = (7.0, 7.0, 7.0, 2.5)
-#: The most frequent languages have bands of their own, all others share those of their script.
-LANGUAGES = 256
-#: Sound rows of a language or script from which its own bands count. Below it a language goes by the
-#: rows of its script, and a script by all rows.
-LEAST_ROWS = 20
+#: Weight, in rows, of a script's quartiles in those of its languages, and of all rows' in those of a
+#: script: a group of few rows lies near the larger one, and the more it has the more it counts.
+PRIOR = 20
+#: Quartiles are those of measures rounded to this grid, so that they are exact and the same in any order.
+GRID = 1000
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_piece", "chars_per_rank", "byte_share", "evenness")
@@ -193,24 +193,19 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > REPEATED_PERCENT * n_words)
 
 
-def languages(docs: DataFrame, most: int = LANGUAGES) -> frozenset[str]:
-    """The ``most`` most frequent values of column ``lang``."""
-    sizes = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
-    return frozenset(r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(most).collect())
-
-
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measures(docs: DataFrame, known: frozenset[str], pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
-    """``(doc_id, band, counts..., measures..., script)`` of every row of ``docs(doc_id, text, lang)``."""
+def measures(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
+    """``(doc_id, band, counts..., measures..., script)`` of every row of ``docs(doc_id, text, lang)``; the
+    band is the language, or the script where it is not known."""
     def make():
         gauge = meter(pieces, ranks)
 
         def work(batch):
             rows = [gauge.measure(t) for t in texts(batch)]
             scripts = [script(t) for t in texts(batch)]
-            band = [x if x in known else y for x, y in zip(batch.column("lang").to_pylist(), scripts)]
+            band = [y if x is None else x for x, y in zip(batch.column("lang").to_pylist(), scripts)]
             return {"doc_id": batch.column("doc_id"), "band": pa.array(band, pa.string()),
                     **{c: longs([r[c] for r in rows]) for c in _COUNTS},
                     **{c: pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES},
@@ -224,55 +219,65 @@ def measures(docs: DataFrame, known: frozenset[str], pieces: str = PIECES, ranks
     return map_batches(slim, make, schema)
 
 
-def bands(measured: DataFrame, reach: tuple = REACH) -> list[dict[str, list[tuple[float, float]]]]:
-    """Lower and upper limit of every measure in every group: quartiles, widened by ``reach``
-    quartile distances (each at least 2 % of the median). Rows that fail the base rules don't
-    count. Groups are those of ``band``, then the scripts, each from ``LEAST_ROWS`` rows on, then
-    all rows, however few; there are at most ``LANGUAGES`` groups and the scripts."""
-    sound = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    out = []
-    for group, least in ((F.col("band"), LEAST_ROWS), (F.col("script"), LEAST_ROWS), (F.lit("all"), 1)):
-        rows = sound.groupBy(group.alias("name")).agg(
-            F.count("*").alias("n"),
-            *[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES]).collect()
-        out.append({r.name: _limits(r, reach) for r in rows if r.n >= least})
-    return out
-
+def bands(measured: DataFrame, reach: tuple = REACH) -> DataFrame:
+    """``(band, script, low, high)`` for every band and script that a sound row has: arrays with the
+    limits of every measure.
 
-def _limits(row, reach: tuple) -> list[tuple[float, float]]:
-    out = []
-    for c, times in zip(MEASURES, reach):
-        low, middle, high = row[c]
-        step = times * max(high - low, 0.02 * abs(middle), 0.005)
-        low, high = low - step, high + step
-        # few byte fallbacks and an even use of tokens are no fault
-        out.append((-1.0 if c == "byte_share" else low, 1e9 if c == "evenness" else high))
+    Limits are quartiles, widened by ``reach`` quartile distances (each at least 2 % of the median). The
+    quartiles of a script are weighed with those of all rows, and those of a language with its
+    script's, by their numbers of rows and ``PRIOR``. Rows that fail the base rules don't count. Quartiles
+    come from one count of the rounded values of each group.
+    """
+    sound = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), F.round(F.col(c) * GRID).alias("v")) for i, c in enumerate(MEASURES)])
+    found = sound.select("band", "script", F.explode(cells).alias("c")).groupBy("band", "script", "c.m", "c.v").agg(
+        F.count("*").alias("n"))
+    found = materialize(found, "values")
+
+    def quartiles(name: str, *group: str) -> DataFrame:
+        return found.groupBy(*group, "m").agg(
+            F.sum("n").alias(f"{name}_n"), F.expr("percentile(v, array(0.25, 0.5, 0.75), n)").alias(name))
+
+    met = found.select("band", "script", "m").distinct().join(quartiles("own", "band"), ["band", "m"])
+    met = met.join(quartiles("wide", "script"), ["script", "m"]).join(quartiles("every"), "m")
+
+    def quartile(i: int) -> Column:
+        n, k = F.col("wide_n"), F.col("own_n")
+        wide = (F.col("wide")[i] * n + F.col("every")[i] * PRIOR) / (n + PRIOR)
+        return (F.col("own")[i] * k + wide * PRIOR) / (k + PRIOR) / GRID
+
+    times = F.array(*[F.lit(float(r)) for r in reach])[F.col("m")]
+    met = met.select("band", "script", "m", quartile(0).alias("q1"), quartile(1).alias("q2"), quartile(2).alias("q3"))
+    step = times * F.greatest(F.col("q3") - F.col("q1"), 0.02 * F.abs("q2"), F.lit(0.005))
+    # few byte fallbacks and an even use of tokens are no fault
+    low = F.when(F.col("m") == MEASURES.index("byte_share"), F.lit(-1.0)).otherwise(F.col("q1") - step)
+    high = F.when(F.col("m") == MEASURES.index("evenness"), F.lit(1e9)).otherwise(F.col("q3") + step)
+    each = met.select("band", "script", F.struct("m", low.alias("low"), high.alias("high")).alias("x"))
+    rows = each.groupBy("band", "script").agg(F.array_sort(F.collect_list("x")).alias("x"))    # four a group
+    return materialize(rows.select("band", "script", F.col("x.low").alias("low"), F.col("x.high").alias("high")), "limits")
+
+
+def outside(low: Column, high: Column, values: list[Column]) -> Column:
+    """The first measure that lies outside its limits; null if none does."""
+    out = F.lit(None).cast("string")
+    for i in reversed(range(len(MEASURES))):
+        out = F.when(~values[i].between(low[i], high[i]), F.lit(MEASURES[i])).otherwise(out)
     return out
 
 
-def inside(limits: list[dict], band: Column, script: Column, values: list[Column]) -> Column:
-    """Whether a row's measures lie inside the limits of its group, or of the next one that has any."""
-    good = F.lit(True)
-    for group, own_limits in zip((F.lit("all"), script, band), reversed(limits)):
-        for name, pairs in sorted(own_limits.items()):
-            own = F.lit(True)
-            for value, (low, high) in zip(values, pairs):
-                own = own & value.between(low, high)
-            good = F.when(group == name, own).otherwise(good)
-    return good
-
-
 def judge(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
     """Counts, measures and verdict of every row of ``docs(doc_id, text, lang)``.
 
-    A null, empty or white text has no words and fails. Rows without a language go by their
-    script. Repeated rows are judged alike; an empty table stays empty.
+    ``rejected_by`` is the first measure outside its limits of a row that passes the base rules. A null,
+    empty or white text has no words and fails. Rows without a language go by their script. Repeated
+    rows are judged alike; an empty table stays empty.
     """
-    stored = materialize(measures(docs, languages(docs), pieces, ranks), "measures")
-    limits = bands(stored)
+    stored = materialize(measures(docs, pieces, ranks), "measures")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return stored.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & inside(limits, F.col("band"), F.col("script"), [F.col(c) for c in MEASURES])).drop("script")
+    met = stored.join(bands(stored), ["band", "script"], "left")
+    why = outside(F.col("low"), F.col("high"), [F.col(c) for c in MEASURES])
+    return met.select("doc_id", "band", *_COUNTS, *MEASURES, failed.alias("base_failed"),
+                      (~failed & why.isNull()).alias("kept"), F.when(~failed, why).alias("rejected_by"))
 
 
 def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
@@ -281,9 +286,8 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
     Rows are stored with their measures, so that every text is measured once.
     """
     small_batches(docs.sparkSession)
-    known = languages(docs)
     extra = "measured"
-    while extra in docs.columns:
+    while any(c.lower().startswith(extra) for c in docs.columns):
         extra += "_"
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
     kinds = StructType().add("band", "string").add("script", "string").add("n_words", "long").add("n_repeat_words", "long")
@@ -297,7 +301,7 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
             rows = []
             for t, lang in zip(texts(text), batch.column(at_lang).to_pylist()):
                 own = script(t)
-                rows.append(gauge.measure(t) | {"band": lang if lang in known else own, "script": own})
+                rows.append(gauge.measure(t) | {"band": own if lang is None else lang, "script": own})
             fields = [*[pa.array([r[c] for r in rows], pa.string()) for c in ("band", "script")],
                       *[longs([r[c] for r in rows]) for c in ("n_words", "n_repeat_words")],
                       *[pa.array([r[c] for r in rows], pa.float64()) for c in MEASURES]]
@@ -305,8 +309,10 @@ def keep_good(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> Data
                                              [*batch.schema.names, extra])
 
     stored = materialize(docs.mapInArrow(run, StructType([*docs.schema, StructField(extra, kinds)])), "measured")
-    limits = bands(stored.select(f"{extra}.*"))
+    limits = bands(stored.select(f"{extra}.*")).select(
+        F.struct("band", "script").alias(f"{extra}_k"), F.struct("low", "high").alias(f"{extra}_l"))
     m = {c: F.col(f"{extra}.{c}") for c in kinds.names}
-    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & inside(
-        limits, m["band"], m["script"], [m[c] for c in MEASURES])
-    return stored.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = stored.join(limits, (m["band"] == F.col(f"{extra}_k.band")) & (m["script"] == F.col(f"{extra}_k.script")))
+    why = outside(F.col(f"{extra}_l.low"), F.col(f"{extra}_l.high"), [m[c] for c in MEASURES])
+    good = ~base_failed(m["n_words"], m["n_repeat_words"]) & why.isNull()
+    return met.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
