@@ -4,13 +4,14 @@ A text is the mean of the embeddings of its subwords: byte n-grams of its lower-
 word's edge counting as a byte, hashed into a fixed number of buckets. Embeddings and softmax are
 trained together by stochastic gradient descent on a bounded sample of labelled rows. As the
 model is linear in the mean, prediction needs one table of bucket logits. A temperature fitted
-on a held part of the sample calibrates the scores; the rejection threshold comes from the same
-part and keeps every row that is predicted rightly there.
+on a held part of the sample calibrates the scores. The same part sets each label's threshold of
+rejection: a low quantile of the scores of what is predicted rightly, less a margin, so that a single
+hard row does not move it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,21 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.llm.common import keep_rows, map_batches, texts
+from dqspark.session import materialize
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 DIMENSION = 16
 EPOCHS = 12
 RATE = 4.0
-#: Bounds of the training sample: rows of each label, labels (the most frequent ones).
+#: Bounds of the training sample: about so many rows of each label, and fewer where all labels together
+#: would have more than ``ROWS`` (one of each at least). Every label is learned.
 SAMPLE = 500
-LABELS = 64
+ROWS = 10_000
+#: A text is rejected if its score lies below that of this share of the rightly predicted calibration rows
+#: of its label, by at least ``MARGIN`` in log-odds.
+REJECTED = 0.01
+MARGIN = 2.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters count as word edges.
@@ -63,7 +70,7 @@ class Model:
     logits: np.ndarray           # of every bucket
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray       # of every label
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Calibrated probability of every label."""
@@ -106,35 +113,46 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], labels: tuple[str, ...
 
     # separable samples would drive it to zero
     temperature = min(np.geomspace(1, 50, 60), key=loss) if len(y) else 1.0
-    model = Model(labels, table, bias, float(temperature), 0.0)
-    right = []
+    model = Model(labels, table, bias, float(temperature), np.zeros(len(labels)))
+    right: list[list[float]] = [[] for _ in labels]
     for label, at, counts in held:
         whole = np.zeros(BUCKETS, np.int64)
         whole[at] = counts
         p = model.scores(whole)
         if p.argmax() == label:
-            right.append(p.max())
-    return Model(labels, table, bias, float(temperature), float(min(0.5, *right)) if right else 0.0)
+            right[label].append(float(p.max()))
+    return replace(model, thresholds=thresholds(right))
 
 
-def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE, most_labels: int = LABELS) -> Model | None:
+def thresholds(right: list[list[float]]) -> np.ndarray:
+    """The score below which each label rejects, from the scores of its rightly predicted rows; a
+    label without any goes by those of all labels."""
+    every = [x for some in right for x in some]
+    if not every:
+        return np.zeros(len(right))
+    low = np.array([np.quantile(some or every, REJECTED) for some in right])
+    low = np.clip(low, 1e-6, 1 - 1e-6)
+    odds = low / (1 - low) * np.exp(-MARGIN)
+    return odds / (1 + odds)
+
+
+def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE, rows: int = ROWS) -> Model | None:
     """A model of column ``lang`` from the rows of ``docs(doc_id, text, lang)`` under ``labelled``.
 
-    Rows are chosen by a hash of id and text, about ``sample`` of each of the ``most_labels`` most
-    frequent labels; null labels teach nothing. None if there is no labelled row.
+    Rows are chosen by a hash of id and text, about ``sample`` of each label, within ``rows`` of all;
+    null labels teach nothing. None if there is no labelled row.
     """
     usable = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(
-        most_labels).collect()
-    if not sizes:
+    slim = usable.select(F.xxhash64("doc_id", "text").alias("_key"), "lang", "text")
+    sizes = materialize(slim.groupBy("lang").agg(F.count("*").alias("n"), F.min("_key").alias("_least")), "labels")
+    labels = tuple(sorted(r.lang for r in sizes.select("lang").collect()))
+    if not labels:
         return None
-    labels = tuple(sorted(r.lang for r in sizes))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, min(1.0, sample / r.n)).otherwise(share)
-    key = F.xxhash64("doc_id", "text")
-    chosen = usable.withColumn("_key", key).filter(
-        F.pmod("_key", F.lit(1 << 30)) < share * (1 << 30))
+    sample = min(sample, max(1, rows // len(labels)))
+    # the least of many hashes stands for a label whose share would choose none
+    share = F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)
+    chosen = slim.join(sizes, "lang").filter(
+        (F.pmod("_key", F.lit(1 << 30)) < share) | (F.col("_key") == F.col("_least")))
 
     def make():
         place = {x: i for i, x in enumerate(labels)}
@@ -149,11 +167,11 @@ def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE, most_labels:
                                        pa.binary())}
         return work
 
-    rows = map_batches(chosen.select("_key", "lang", "text"), make,
-                       "key long, label int, at binary, counts binary")
-    rows = rows.orderBy("key", "label", "at").limit(2 * sample * len(labels)).collect()
+    found = map_batches(chosen.select("_key", "lang", "text"), make,
+                        "key long, label int, at binary, counts binary")
+    found = found.orderBy("key", "label", "at").limit(2 * sample * len(labels)).collect()
     return train([(r.label, np.frombuffer(r.at, "<u4").astype(np.int64),
-                   np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in rows], labels)
+                   np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in found], labels)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -173,7 +191,7 @@ def _classify(batch: pa.RecordBatch, model: Model | None) -> list[tuple[str, flo
         else:
             p = model.scores(subwords(text))
             best = int(p.argmax())
-            out.append((model.labels[best], float(p[best]), bool(p[best] < model.threshold)))
+            out.append((model.labels[best], float(p[best]), bool(p[best] < model.thresholds[best])))
     return out
 
 
