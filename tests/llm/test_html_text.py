@@ -51,6 +51,40 @@ def test_articles_without_stop_words_stay_whole():
     assert html_text.main_text(page) == f"Zamek\n\n{text}\n\n{text}"
 
 
+POLISH = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+          "sumieniem i powinni postępować wobec innych w duchu braterstwa.")
+JAPANESE = "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 5
+
+
+@pytest.mark.parametrize("text", [f"{POLISH}\n\n{POLISH}", JAPANESE])
+def test_pages_in_a_language_of_no_list(text):
+    body = "".join(f"<p>{x}</p>" for x in text.split("\n\n"))
+    page = f"<nav><a href=/>Menu</a></nav><div>{body}</div><ul><li><a href=a>{POLISH}</a></li></ul><footer>x</footer>"
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="notice-board"><article><p>{PROSE}</p></article></div>',
+    f'<div id="ad-free-reading"><p>{PROSE}</p></div><div class="ad">Buy this now and save</div>',
+    f'<div class="social-page"><div><p>{PROSE}</p></div></div><div class="share">Share this with all of your friends</div>'])
+def test_names_around_the_article(page):
+    assert html_text.main_text(page) == PROSE
+
+
+@pytest.mark.parametrize("page", [
+    f'<div><p>{PROSE}</p></div><div class="comments"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>',
+    f'<article><p>{PROSE}</p></article><div class="ad"><p>{PROSE}</p><p>{PROSE}</p></div>',
+    f'<div><p>{PROSE}</p><p>{PROSE[:0]}</p></div><div class="related"><p>{PROSE}</p></div>'])
+def test_names_of_long_parts_beside_the_article(page):
+    assert html_text.main_text(page) == PROSE
+
+
+def test_pages_of_the_best_fitting_list():
+    found = html_text.blocks(f"<p>{PROSE}</p>")
+    assert html_text.page_stops(found) == html_text.STOP_WORDS["en"]
+    assert html_text.page_stops(html_text.blocks(f"<p>{POLISH}</p>")) == frozenset()
+
+
 def test_white_space_and_references():
     page = "<article><p>\n a&nbsp;&amp;&#x20AC; <i>b</i>c<br>d\t&lt;p&gt; </p>\n<p> </p></article>"
     assert html_text.main_text(page) == "a &€ bc d <p>"

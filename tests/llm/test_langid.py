@@ -17,6 +17,45 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in got) <= 0.01 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_label_is_learned(spark):
+    """Eighty made languages, each with letters of its own kind of words."""
+    import random
+    rng = random.Random(2)
+    rows = []
+    for k in range(80):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 8))) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=60)), f"l{k:02}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, ~langid.held_out())
+    assert len(model.labels) == 80
+    got = langid.predict(docs, model).join(docs, "doc_id").filter(langid.held_out()).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    """At 1 % of calibration scores less a margin: nearly no text of a learned language, nearly all others."""
+    import random
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = spark.createDataFrame([(-i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
+                                                 for _ in range(60)), "noise") for i in range(1, 101)], docs.schema)
+    model = langid.learn(docs.filter("lang <> 'fr'"), ~langid.held_out())
+    got = langid.predict(docs.unionByName(noise), model).join(docs.unionByName(noise), "doc_id").collect()
+    shares = {}
+    for r in got:
+        n = shares.setdefault(r.lang if r.lang in ("fr", "noise") else "learned", [0, 0])
+        n[0] += r.rejected
+        n[1] += 1
+    assert shares["noise"][0] >= 0.98 * shares["noise"][1] and shares["fr"][0] >= 0.95 * shares["fr"][1], shares
+    assert shares["learned"][0] <= 0.01 * shares["learned"][1], shares
+
+
+def test_one_hard_row_does_not_move_a_threshold():
+    sure = [0.99 + i / 1e5 for i in range(300)]
+    a, b = langid.thresholds([sure, []]), langid.thresholds([[0.3, *sure], sure])
+    assert abs(a[0] - b[0]) < 0.01 and a[0] > 0.9 and a[1] == a[0]
+
+
 def test_labels_of_held_out_rows_teach_nothing(documents):
     wrong = documents.withColumn("lang", F.when(langid.held_out(), "zz").otherwise(F.col("lang")))
     a, b = (langid.learn(d, ~langid.held_out()) for d in (documents, wrong))

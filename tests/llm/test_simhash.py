@@ -115,3 +115,85 @@ def test_group_without_ids_keeps_one_row(spark):
     df = spark.createDataFrame([(None, "no id here at all"), (None, "no id here at all"), (3, "other words")],
                                "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["3", "None"]
+
+
+def near_pairs(sets, least=0.8):
+    """All pairs of ids whose sets have that Jaccard similarity, by the rarest elements of each."""
+    from collections import Counter, defaultdict
+    from math import ceil
+    share = Counter(h for s in sets.values() for h in s)
+    places, out = defaultdict(list), {}
+    for i, s in sets.items():
+        for h in sorted(s, key=lambda h: (share[h], h))[:len(s) - ceil(least * len(s)) + 1]:
+            for k in places[h]:
+                if (k, i) not in out:
+                    t = sets[k]
+                    out[k, i] = min(len(s), len(t)) >= least * max(len(s), len(t)) and len(s & t) >= least * len(s | t)
+            places[h].append(i)
+    return [p for p, near in out.items() if near]
+
+
+def test_similar_groups_find_near_copies(spark):
+    """Recall on all texts of sf0.1; no two groups of true similarity are merged beyond it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = {r.doc_id: frozenset(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in docs.collect()}
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    pairs = near_pairs({i: s for s, i in first.items()})
+    top = {i: first[s] for i, s in sets.items()}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    signed = simhash.materialize(simhash.wide_signatures(docs), "signed")
+    groups = simhash.similar_groups(docs, signed)
+    rows = signed.join(groups, "fp", "left").selectExpr("doc_id", "coalesce(root, fp) root").collect()
+    root = {r.doc_id: r.root for r in rows}
+    found = sum(root[a] == root[b] for a, b in pairs)
+    assert found >= 0.9 * len(pairs) and all(root[i] == root[first[s]] for i, s in sets.items())
+    want, got = len({find(i) for i in sets}), len(set(root.values()))
+    assert want <= got <= want + 0.1 * len(pairs)
+    assert len({(find(i), root[i]) for i in sets}) == got            # every group lies within a true one
+    kept = {r.doc_id for r in simhash.keep_one_similar(docs).select("doc_id").collect()}
+    least = {}
+    for i, r in sorted(root.items()):
+        least.setdefault(r, i)
+    assert kept == set(least.values())
+
+
+def test_wide_print_is_a_majority():
+    import random
+    rng = random.Random(1)
+    hashes = np.array([rng.getrandbits(64) for _ in range(9)] * 2, np.uint64)
+    bits = np.zeros(512, int)
+    for h in set(hashes.tolist()):
+        for j in range(8):
+            z = (h + j * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            z ^= z >> 31
+            for k in range(64):
+                bits[64 * j + k] += z >> k & 1
+    want = [sum(1 << k for k in range(64) if 2 * bits[64 * j + k] > 9) for j in range(8)]
+    assert simhash.wide_print(hashes).tolist() == want
+
+
+def test_similar_odd_rows_and_small_nodes(spark, odd, empty):
+    kept = simhash.keep_one_similar(odd)
+    texts = {simhash.wide_print(simhash.shingle_hashes(r.text or "", 5)).tobytes() for r in odd.collect()}
+    assert kept.columns == odd.columns and kept.count() == len(texts)
+    assert simhash.keep_one_similar(empty).collect() == []
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    signed = simhash.materialize(simhash.wide_signatures(docs), "signed")
+    a, b = (simhash.similar_groups(docs, signed, node_rows=n) for n in (simhash.NODE_ROWS, 3))
+
+    def parts(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.root, set()).add(r.fp)
+        return sorted(map(sorted, out.values()))
+    assert parts(a) == parts(b) != []
