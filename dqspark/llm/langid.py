@@ -33,7 +33,7 @@ ROWS = 10_000
 #: A text is rejected if its score lies below that of this share of the rightly predicted calibration rows
 #: of its label, by at least ``MARGIN`` in log-odds.
 REJECTED = 0.01
-MARGIN = 2.0
+MARGIN = 3.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters count as word edges.
