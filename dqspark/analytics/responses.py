@@ -184,19 +184,24 @@ def inert(disposition: Column, shape: Column) -> Column:
     return (disposition == "no_op") | ((disposition == "dedup") & (shape != "duplicate_shape"))
 
 
-def effective_signature(plans: DataFrame, fireable: DataFrame) -> DataFrame:
-    """(plan, family) -> the plan's entries that can act on the family, as text; '' if none.
+def acting_signatures(plans: DataFrame, fireable: DataFrame) -> DataFrame:
+    """(plan, family, signature) where a plan has an entry that can act on the family: the entries as text.
 
     plans: (plan, node, shape, disposition). fireable: (family, node, shape). A plan has at most
-    one entry per node and shape, which bounds the list that is joined to text.
+    one entry per node and shape, which bounds the list that is joined to text. Pairs on which nothing
+    acts have no row: their response is 1.
     """
     acting = plans.join(fireable, ["node", "shape"]).filter(
         ~inert(F.col("disposition"), F.col("shape")))
     text = F.concat_ws("/", "node", "shape", "disposition")
-    sig = acting.groupBy("plan", "family").agg(
+    return acting.groupBy("plan", "family").agg(
         F.concat_ws(";", F.array_sort(F.collect_set(text))).alias("signature"))
+
+
+def effective_signature(plans: DataFrame, fireable: DataFrame) -> DataFrame:
+    """``acting_signatures`` for a report of every plan and family; '' where nothing acts."""
     every = product(plans.select("plan").distinct(), fireable.select("family").distinct())
-    return every.join(sig, ["plan", "family"], "left").fillna("", ["signature"])
+    return every.join(acting_signatures(plans, fireable), ["plan", "family"], "left").fillna("", ["signature"])
 
 
 def derive_policy(responses: DataFrame, pure: DataFrame, grid: DataFrame) -> DataFrame:
@@ -231,6 +236,21 @@ def score(predictions: DataFrame, roster: DataFrame) -> DataFrame:
         "plan", ratio("_s", "_w").alias("score"))
 
 
+def sparse_score(plans: DataFrame, fireable: DataFrame, measured: DataFrame, roster: DataFrame) -> DataFrame:
+    """``score`` of every plan of (plan, node, shape, disposition) without a row for what it leaves alone.
+
+    Inert families answer 1, so the mean is 1 + sum of w (nrd - 1) over the acting ones by all weight.
+    """
+    acting = predict(acting_signatures(plans, fireable), measured)
+    rated = roster.select("family", "weight").join(fireable.select("family").distinct(), "family", "left_semi")
+    whole = rated.agg(F.sum("weight").alias("_all")).withColumn("_one", F.lit(1))
+    moved = acting.join(rated, "family").groupBy("plan").agg(
+        F.sum((F.col("nrd") - 1) * F.col("weight")).alias("_s"), F.count_if(F.col("nrd").isNull()).alias("_open"))
+    every = plans.select("plan").distinct().join(moved, "plan", "left").filter("coalesce(_open, 0) = 0")
+    return every.withColumn("_one", F.lit(1)).join(whole, "_one").filter("_all is not null").select(
+        "plan", ratio(F.col("_all") + F.coalesce("_s", F.lit(0.0)), F.col("_all")).alias("score"))
+
+
 def best_per_budget(scored: DataFrame, budgets: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """The best given plan within each budget: lowest score (12 digits), cost, size, then name.
@@ -419,25 +439,40 @@ def selection_stability(changes: DataFrame, policy: DataFrame, candidates: DataF
 
     changes: output of ``map_stability``. policy: (node, shape, disposition). candidates:
     (plan, node). measured, roster and costs score every candidate from the full data, so only the
-    derivation step is starved. Only held-out cells that change an entry can move a selection.
+    derivation step is starved. Only held-out cells that change an entry can move a selection, and a
+    fold scores only the candidates that hold such an entry; its best one is the best of these and of
+    the first others in the full ranking.
     """
-    folds = changes.select(F.col("held_out").cast("string").alias("fold")).distinct()
-    base = candidates.join(policy.select("node", "shape", "disposition"), "node")
+    base = candidates.join(policy.select("node", "shape", "disposition"), "node").select(
+        "plan", "node", "shape", "disposition")
     moved = changes.select(F.col("held_out").cast("string").alias("fold"), "node", "shape", "reduced")
-    each = product(base, folds).join(moved, ["fold", "node", "shape"], "left").select(
-        "fold", "plan", "node", "shape", F.coalesce("reduced", "disposition").alias("disposition"))
-    every = each.unionByName(base.select(F.lit("").alias("fold"), "plan", "node", "shape",
-                                         "disposition"))
-    named = every.withColumn("plan", F.concat_ws("|", "fold", "plan")).drop("fold")
-    scored = score(predict(effective_signature(named, fireable), measured), roster).select(
-        F.substring_index("plan", "|", 1).alias("fold"),
-        F.substring_index("plan", "|", -1).alias("plan"), "score").join(costs, "plan")
-    best = best_per_budget(scored, budgets, by=("fold",))
-    full = best.filter("fold = ''").select("budget", F.col("plan").alias("full"))
-    rest = best.filter("fold <> ''").select(F.col("fold").alias("held_out"), "budget",
-                                            F.col("plan").alias("reduced"))
-    return rest.join(full, "budget", "full_outer").filter(
-        ~F.col("full").eqNullSafe(F.col("reduced")) & F.col("held_out").isNotNull()).select(
+    touched = base.join(moved, ["node", "shape"]).select("fold", "plan").distinct()
+    anew = base.join(touched, "plan").join(moved, ["fold", "node", "shape"], "left").select(
+        F.concat_ws("|", "fold", "plan").alias("plan"), "node", "shape",
+        F.coalesce("reduced", "disposition").alias("disposition"))
+
+    def rated(entries: DataFrame) -> DataFrame:
+        return sparse_score(entries, fireable, measured, roster)
+
+    def fitting(scored: DataFrame) -> DataFrame:
+        grid = F.array(*[F.lit(float(b)) for b in budgets])
+        return scored.join(costs, "plan").withColumn("budget", F.explode(F.filter(grid, lambda b: b >= F.col("cost")))) \
+            .withColumn("r", F.round("score", 12))
+
+    # among the first n + 1 candidates one is not among the n that a fold changes
+    order = ["r", "cost", "size", "plan"]
+    placed = cumulate(fitting(rated(base)).withColumn("_c", F.lit(1)), ["budget"], order, sums={"place": "_c"})
+    placed = placed.select("budget", *order, F.col("place").cast("long").alias("place"))
+    first = touched.groupBy("fold").agg(F.count("*").alias("_n")).select(
+        "fold", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") + 1)).alias("place"))
+    same = first.join(placed, "place").join(touched, ["fold", "plan"], "left_anti").select("fold", "budget", *order)
+    split = rated(anew).select(F.substring_index("plan", "|", 1).alias("fold"),
+                               F.substring_index("plan", "|", -1).alias("plan"), "score")
+    every = same.unionByName(fitting(split).select("fold", "budget", *order))
+    best = every.groupBy("fold", "budget").agg(F.min(F.struct(*order)).alias("b"))
+    full = placed.filter("place = 1").select("budget", F.col("plan").alias("full"))
+    rest = best.select(F.col("fold").alias("held_out"), "budget", F.col("b.plan").alias("reduced"))
+    return rest.join(full, "budget", "left").filter(~F.col("full").eqNullSafe(F.col("reduced"))).select(
         "held_out", "budget", "full", "reduced")
 
 

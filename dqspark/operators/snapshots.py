@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqspark.functions.scalars import cumulate, ratio
 from dqspark.functions.skew import lookup_join
@@ -19,17 +19,62 @@ def running_counts(df: DataFrame, time: str) -> DataFrame:
     return cumulate(hist, [], ["t"], sums={"running": "n"}).withColumnRenamed("running_total", "total")
 
 
+#: Rows of a bracket up to which its histogram is accumulated in one place; sketch accuracy.
+FEW_ROWS, ACCURACY = 100_000, 10_000
+
+
+def _near(share: float) -> list[float]:
+    """Quantiles just below and above a share, further apart than the sketch errs."""
+    return [min(1.0, max(0.0, share + d / ACCURACY)) for d in (-2, 2)]
+
+
 def cut_point(df: DataFrame, time: str, q: float) -> DataFrame:
     """One row: the largest time whose running count is at most q of the table (at least the
-    first time), the rows up to it and the total."""
-    run = running_counts(df, time)
-    fits = F.col("running") <= F.lit(float(q)) * F.col("total")
-    got = run.agg(F.max(F.when(fits, F.struct("t", "running"))).alias("last"),
-                  F.min(F.struct("t", "running")).alias("first"), F.max("total").alias("total"))
-    best = F.coalesce("last", "first")
-    return got.select(best["t"].alias("cut"), best["running"].alias("train_rows"),
-                      F.col("total").alias("total_rows"),
-                      (F.col("total") - best["running"]).alias("validation_rows"))
+    first time), the rows up to it and the total. Without any time the cut is NULL.
+
+    A quantile sketch brackets the cut and a counting pass says how many rows lie up to each side of
+    the bracket, so that the sketch's error does not matter; this repeats inside the bracket while it holds
+    many rows. The histogram of what is left gives the exact cut. Only the time column is read, and
+    the table is neither sorted nor stored.
+    """
+    kind = df.schema[time].dataType.simpleString()
+    plain = "timestamp" if kind == "timestamp_ntz" else kind
+    values = df.select(F.col(time).cast(plain).alias("t"))
+    t = F.col("t")
+    ends = values.agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("known"), F.max(t).alias("last"),
+                      F.percentile_approx(t, _near(q), ACCURACY).alias("near")).first()
+    goal, low, below, high, upper = q * ends["n"], None, 0, ends["last"], ends["known"]
+    near = ends["near"]
+    while upper - below > FEW_ROWS:
+        counts = values.agg(*[F.count_if(t <= F.lit(p)) for p in near]).first()
+        before = (low, high)
+        for p, n in zip(near, counts):
+            if n <= goal and (low is None or p > low):
+                low, below = p, n
+            elif n > goal and p < high:
+                high, upper = p, n
+        if before == (low, high):
+            break                       # few times hold all these rows, so their histogram is short
+        inside = values.filter((t <= F.lit(high)) & (F.lit(True) if low is None else t > F.lit(low)))
+        share = (goal - below) / max(1, upper - below)
+        near = inside.agg(F.percentile_approx(t, _near(share), ACCURACY).alias("near")).first()["near"]
+        if not near:
+            break
+    rest = values.filter((t <= F.lit(high).cast(plain)) & (F.lit(True) if low is None else t > F.lit(low)))
+    hist = rest.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    if upper - below <= FEW_ROWS:
+        run = hist.select("t", F.sum("n").over(Window.orderBy("t")).alias("running"))
+    else:
+        run = cumulate(hist, [], ["t"], sums={"running": "n"})
+    run = run.select("t", (F.col("running") + F.lit(below)).alias("running"))
+    got = run.agg(F.max(F.when(F.col("running") <= F.lit(float(goal)), F.struct("t", "running"))).alias("last"),
+                  F.min(F.struct("t", "running")).alias("first"))
+    known = F.col("first") if low is None else F.struct(
+        F.lit(low).cast(plain).alias("t"), F.lit(below).cast("long").alias("running"))
+    best = F.coalesce("last", known)
+    return got.select(best["t"].cast(kind).alias("cut"), best["running"].alias("train_rows"),
+                      F.lit(ends["n"]).cast("long").alias("total_rows"),
+                      (F.lit(ends["n"]).cast("long") - best["running"]).alias("validation_rows"))
 
 
 def temporal_split(df: DataFrame, time: str, cut) -> tuple[DataFrame, DataFrame]:

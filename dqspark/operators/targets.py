@@ -37,6 +37,11 @@ def split_targets(targets: DataFrame, first: int) -> tuple[DataFrame, DataFrame]
             targets.filter(F.col("position") > first))
 
 
+def shared_keys(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: how many distinct keys two target sets share."""
+    return a.select(*key).intersect(b.select(*key)).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def disjoint(a: DataFrame, b: DataFrame, key: Sequence[str]) -> bool:
     """Whether two target sets share no key."""
     return a.select(*key).intersect(b.select(*key)).isEmpty()

@@ -216,6 +216,29 @@ def delta_run(lineage: Lineage, clean: Tables, injections: Sequence[Injection],
     return run
 
 
+def responses(lineage: Lineage, clean: Tables, families: Mapping[str, tuple], bands: Mapping, **options) -> DataFrame:
+    """(family, node, shape, disposition, nrd): damage of every family of errors under every disposition
+    that may answer it, relative to doing nothing.
+
+    families: name -> (injections, node, shape, dispositions). Each branch is the policy of one entry; all
+    share the sizes of the clean sinks.
+    """
+    sizes, rows = materialize(sink_base(clean, lineage.sinks), "base"), None
+    for name, (injections, node, shape, acts) in families.items():
+        for act in (None, *acts):
+            plan = {node: {shape: act}} if act else {}
+            run = delta_run(lineage, clean, injections, plan, bands, **options)
+            row = sink_damage(clean, run.tables, lineage.sinks, changes=run.changes, base=sizes).agg(
+                F.avg("damage").alias("damage")).select(
+                F.lit(name).alias("family"), F.lit(node).alias("node"), F.lit(shape).alias("shape"),
+                F.lit(act).cast("string").alias("disposition"), "damage")
+            row = materialize(row, "response")        # short plans: one branch after another
+            rows = row if rows is None else rows.unionByName(row)
+    base = rows.filter("disposition is null").select("family", F.col("damage").alias("_base"))
+    return rows.filter("disposition is not null").join(base, "family").select(
+        "family", "node", "shape", "disposition", nrd("damage", "_base").alias("nrd"))
+
+
 def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence[Injection],
             plans: Mapping[str, Plan], bands: Mapping, **options) -> DataFrame:
     """Measurement rows of one campaign: per plan the damage with errors, relative to doing

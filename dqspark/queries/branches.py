@@ -253,8 +253,13 @@ def stress_magnitudes(spark, sf_dir):
     return out
 
 
-@query("select 'mixed' campaign, 1.0::double availability_loss, 0.0::double damage, "
-       "'stg_orders' suppressed_at")
+_SHUT = """shut as (select exists (select 1 from mixed group by orderkey having count(*) > 1) shut)"""
+
+
+@query(with_sql(MIXED + [c.sql_sinks("_d", "s_open"), c.sql_sinks("", "s_stale"), _SHUT], """select 'mixed' campaign,
+    case when shut then 1.0e0 else 0.0e0 end availability_loss, (select avg(damage) from (select damage, false stale from
+    s_open union all select damage, true from s_stale) where stale = shut) damage, case when shut then 'stg_orders' end
+    suppressed_at from shut"""))
 def act_fail_closed(spark, sf_dir):
     clean = star_tables(spark, sf_dir)
     run = delta_run(STAR, clean, c.mixed(clean["stg_orders"]),

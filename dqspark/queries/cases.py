@@ -180,11 +180,11 @@ SINK_VALUES = {
 TOUCHED = [n for n in SINK_KEYS if n != "mart_part_master"]
 
 
-def sql_sinks(suffix: str = "_d", name: str = "sinks") -> str:
-    """CTE with the damage row of every sink."""
+def sql_sinks(suffix: str = "_d", name: str = "sinks", touched: tuple = tuple(TOUCHED)) -> str:
+    """CTE with the damage row of every sink; those of ``touched`` have a version under the suffix."""
     parts = []
     for sink, (key, kind) in SINK_KEYS.items():
-        dirty = sink + suffix if sink in TOUCHED else sink
+        dirty = sink + suffix if sink in touched else sink
         parts.append(f"select '{sink}' sink, '{kind}' kind, * from "
                      f"({damage_sql(sink, dirty, key, SINK_VALUES[sink])})")
     return f"{name} as materialized (" + "\nunion all ".join(parts) + ")"

@@ -198,14 +198,23 @@ def raw_shards(spark, sf_dir):
     return shard_counts(read_shards(spark, folder, "campaign string, nrd double, status string"))
 
 
-@query("""select 'split' pair, true disjoint union all select 'self', count(*) = 0 from orders
-    union all select 'excluded', true""")
+_PICK = """(select o_orderkey k, row_number() over (order by h, o_orderkey) p from (select o_orderkey,
+    sha256('disjoint|' || o_orderkey) h from orders {rest} order by h, o_orderkey limit 40))"""
+
+
+@query(f"""select * from (with a as materialized {_PICK.format(rest='')}, b as materialized {_PICK.format(
+    rest='where o_orderkey not in (select k from a)')},
+    s as (select 'split' pair, k from a where p <= 20 union all select 'self', k from a union all select 'excluded', k from a),
+    t as (select 'split' pair, k from a where p > 20 union all select 'self', k from a union all select 'excluded', k from b)
+    select s.pair, count(t.k) = 0 disjoint from s left join t on t.pair = s.pair and t.k = s.k group by 1)""")
 def target_disjointness(spark, sf_dir):
     """Halves of a split share no key, a set shares all with itself, exclusion leaves none shared."""
     orders = read(spark, sf_dir, "orders")
     picked = tg.pin(tg.pick_targets(orders, ["o_orderkey"], 40, "disjoint"))
     first, second = tg.split_targets(picked, 20)
     later = tg.pick_targets(orders, ["o_orderkey"], 40, "disjoint", exclude=picked)
-    pairs = (("split", first, second), ("self", picked, picked), ("excluded", picked, later))
-    return spark.createDataFrame([(n, tg.disjoint(a, b, ["o_orderkey"])) for n, a, b in pairs],
-                                 "pair string, disjoint boolean")
+    pairs, out = (("split", first, second), ("self", picked, picked), ("excluded", picked, later)), None
+    for name, a, b in pairs:
+        row = tg.shared_keys(a, b, ["o_orderkey"]).select(F.lit(name).alias("pair"), (F.col("shared") == 0).alias("disjoint"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dqspark.queries import branches, errors, models, raw, responses, snapshots, wire
+from dqspark.queries import branches, campaigns, errors, models, raw, responses, snapshots, wire
 
-MODULES = (models, errors, branches, snapshots, responses, wire, raw)
+MODULES = (models, errors, branches, campaigns, snapshots, responses, wire, raw)
 
 
 def queries() -> dict:

@@ -165,13 +165,21 @@ def policy_vs_reference(spark, sf_dir):
     return ra.against_reference(ra.policy_summary(_frame(spark, sf_dir, "cells")), "A")
 
 
-@query("cells", """select error_type, m expected, m measured, true matches from (select error_type,
-    avg(nrd) m from cells where policy = 'A' group by 1) union all select 'null', 1.0e0, null, false""")
+@query("cells", """select error_type, expected, measured, coalesce(abs(measured - expected) < 1e-9, false) matches from
+    (select error_type, floor(avg(nrd) * 64) / 64 expected from cells where policy = 'N' group by 1
+    union all select 'null', 1.0e0) left join (select error_type, avg(nrd) measured from cells where policy = 'A' group by 1)
+    using (error_type) union all select error_type, avg(nrd), sum(nrd) / count(*), true from cells where policy = 'A' and
+    error_type = 'numeric' group by 1""")
 def anchor_check(spark, sf_dir):
-    means = ra.error_type_means(_frame(spark, sf_dir, "cells"))
-    again = means.filter("policy = 'A'").select("error_type", F.col("mean_nrd").alias("expected"))
+    """Policy A against the rounded means of another policy, a type without cells, and its own numeric mean
+    by another sum."""
+    cells = _frame(spark, sf_dir, "cells")
+    means = ra.error_type_means(cells)
+    known = cells.filter("policy = 'N'").groupBy("error_type").agg((F.floor(F.avg("nrd") * 64) / 64).alias("expected"))
     other = spark.range(1).select(F.lit("null").alias("error_type"), F.lit(1.0).alias("expected"))
-    return ra.anchor_check(means, "A", again.unionByName(other))
+    own = cells.filter("policy = 'A' and error_type = 'numeric'").groupBy("error_type").agg(
+        (F.sum("nrd") / F.count("nrd")).alias("expected"))
+    return ra.anchor_check(means, "A", known.unionByName(other).unionByName(own))
 
 
 @query("spread", """select policy, min(m) best, max(m) worst, max(m) - min(m) "range",
@@ -270,23 +278,23 @@ def plan_signature(spark, sf_dir):
     return ra.effective_signature(*frames(spark, sf_dir, "plans", "fireable"))
 
 
-def _predicted(spark, sf_dir):
+def _plan_frames(spark, sf_dir):
+    """Plans, what can fire, and the responses measured for the signatures that act."""
     plans, fire, runs = frames(spark, sf_dir, "plans", "fireable", "plan_runs")
-    sig = ra.effective_signature(plans, fire)
-    run = runs.join(sig, ["plan", "family"]).filter("status = 'complete'")
-    measured = ra.response_table(run, ["family", "signature"])
-    return ra.predict(sig, measured)
+    run = runs.join(ra.acting_signatures(plans, fire), ["plan", "family"]).filter("status = 'complete'")
+    return plans, fire, ra.response_table(run, ["family", "signature"])
 
 
 @query("plans fireable plan_runs", f"select * from (with {_MEAS} select * from pred)")
 def plan_predict(spark, sf_dir):
-    return _predicted(spark, sf_dir)
+    plans, fire, measured = _plan_frames(spark, sf_dir)
+    return ra.predict(ra.effective_signature(plans, fire), measured)
 
 
 @query("plans fireable plan_runs roster",
        f"select * from (with {_SCORE} select * from scored)")
 def plan_score(spark, sf_dir):
-    return ra.score(_predicted(spark, sf_dir), _frame(spark, sf_dir, "roster"))
+    return ra.sparse_score(*_plan_frames(spark, sf_dir), _frame(spark, sf_dir, "roster"))
 
 
 BUDGETS = (0.0, 40.0, 70.0, 80.0, 90.0, 1e12)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -59,10 +59,13 @@ def _ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
-def numbered(df: DataFrame, each: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, each: Column | None = None,
+             prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``source_file`` and the 0-based position ``line_no`` of each record in its file.
 
     ``each`` is an array of the records in one line of ``df``, which take its place as ``value``.
+    ``prepare`` may add columns that ``each`` uses to the lines, which have ``_path``, ``_block`` and, in
+    order within these, ``_id``.
 
     Records of one split are read in order by one task, so a record's place in its split is its
     distance from the split's first id; split sizes (one short row per split) give the offset. No
@@ -71,9 +74,16 @@ def numbered(df: DataFrame, each: Column | None = None) -> DataFrame:
     raw = df.select("*", F.col("_metadata.file_path").alias("_path"),
                     F.col("_metadata.file_name").alias("source_file"),
                     F.col("_metadata.file_block_start").alias("_block"))
+    if prepare is not None:
+        raw = prepare(raw.withColumn("_id", F.monotonically_increasing_id()))
     if each is not None:
-        raw = raw.select("_path", "source_file", "_block", F.explode(each).alias("value"))
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
+        raw = raw.select("_path", "source_file", "_block", F.explode(each).alias("value"),
+                         *(["_id"] if prepare is not None else []))
+    if prepare is not None:      # lines were dealt anew: their places follow from their old order
+        raw = raw.withColumn("_at", F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_id")))
+        raw = raw.withColumn("_id", F.col("_at").cast("long")).drop("_at")
+    else:
+        raw = raw.withColumn("_id", F.monotonically_increasing_id())
     splits = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"),
                                                 F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(
@@ -140,6 +150,34 @@ def _action_schema() -> StructType:
                        StructField("Customer", customer), StructField("Account", account)])
 
 
+_OPEN, _CLOSE = "<!--", "-->"
+
+
+def _open_before(raw: DataFrame) -> DataFrame:
+    """Add ``_open``: whether a comment stands open where a chunk begins.
+
+    The last comment mark before a chunk tells. Every split gives its last mark, one short row; those of
+    earlier splits reach a split by a window over these rows, and inside a split the chunks are
+    looked through in order, so no file passes through one task.
+    """
+    plain = F.regexp_replace("value", r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    mark = F.regexp_extract(plain, f"(?s)^.*({_OPEN}|{_CLOSE})", 1)
+    raw = raw.withColumn("_mark", F.when(mark != "", mark == _OPEN))
+    ends = raw.groupBy("_path", "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_id"))).alias("_end"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_path", "_block", F.last("_end", True).over(earlier).alias("_start"))
+    before = Window.partitionBy("_path", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = raw.withColumn("_last", F.last("_mark", True).over(before)).join(ends, ["_path", "_block"])
+    return met.withColumn("_open", F.coalesce("_last", "_start", F.lit(False))).drop("_last", "_start", "_mark")
+
+
+def _without_comments() -> Column:
+    """The text of a chunk that stands in no comment."""
+    text = F.when(F.col("_open"), F.when(F.instr("value", _CLOSE) == 0, F.lit("")).otherwise(
+        F.regexp_replace("value", f"(?s)^.*?{_CLOSE}", ""))).otherwise(F.col("value"))
+    return F.regexp_replace(text, f"(?s){_OPEN}.*?(?:{_CLOSE}|$)", "")
+
+
 _START, _END = r"<TPCDI:Action(?=[\s/>])", "</TPCDI:Action>"
 
 
@@ -148,15 +186,16 @@ def read_actions_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     ``action_seq`` numbers the actions in document order, files in path order. A document is read
     as text cut at the ends of its actions, so one large document is many tasks; an action that is
-    not well-formed raises.
+    not well-formed raises. Actions in comments are none; an action must not hold a commented end of
+    another, and CDATA sections must not hold ends of actions.
     """
     if not path_exists(spark, path):
         return None
     chunks = spark.read.option("lineSep", _END).text(path)
-    parts = F.filter(F.split("value", f"(?={_START})"), lambda x: x.rlike(f"^{_START}"))
+    parts = F.filter(F.split(_without_comments(), f"(?={_START})"), lambda x: x.rlike(f"^{_START}"))
     closed = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_START}[^>]*/>\s*$"), x).otherwise(
         F.concat(x, F.lit(_END))))
-    placed = numbered(chunks, closed)
+    placed = numbered(chunks, closed, _open_before)
     per_file = placed.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))     # one row per file
     earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))

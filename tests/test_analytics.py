@@ -146,6 +146,29 @@ def test_extrapolation_brute_force(spark):
     assert q["location"]["covered"] == 12 and math.isclose(q["inert"]["mae"], sum(errors) / 16)
 
 
+@pytest.mark.parametrize("few, accuracy", [(100_000, 10_000), (5, 10), (1, 100)])
+def test_cut_point_against_sorting(spark, monkeypatch, few, accuracy):
+    import datetime
+    import random
+    monkeypatch.setattr(sn, "FEW_ROWS", few)
+    monkeypatch.setattr(sn, "ACCURACY", accuracy)
+    rng, day = random.Random(few), datetime.datetime(2020, 1, 1)
+    lists = [[rng.randrange(300) for _ in range(200)], [5] * 60 + [7] * 3 + [9], [None] * 30 + list(range(20)), [None, None], []]
+    for times in lists:
+        df = spark.createDataFrame([(None if x is None else day + datetime.timedelta(hours=x, microseconds=x),) for x in times],
+                                   "d timestamp")
+        for q in (0.01, 0.4, 0.8, 1.0):
+            known = sorted(x for x in times if x is not None)
+            cuts = [x for x in known if sum(y <= x for y in known) <= q * len(times)] or known[:1]
+            got = sn.cut_point(df, "d", q).first()
+            if not known:
+                assert (got["cut"], got["train_rows"]) == (None, None)
+                continue
+            n = sum(y <= cuts[-1] for y in known)
+            assert got["cut"] == day + datetime.timedelta(hours=cuts[-1], microseconds=cuts[-1])
+            assert (got["train_rows"], got["total_rows"], got["validation_rows"]) == (n, len(times), len(times) - n)
+
+
 def test_cut_point_rules(spark):
     df = spark.sql("select date_add(date'2020-01-25', t) as d from values (0), (0), (1), (9), (40), "
                    "(null), (null) as v(t)")
