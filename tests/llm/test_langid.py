@@ -53,7 +53,7 @@ def test_noise_and_unlearned_languages_are_rejected(spark):
 def test_one_hard_row_does_not_move_a_threshold():
     sure = [0.99 + i / 1e5 for i in range(300)]
     a, b = langid.thresholds([sure, []]), langid.thresholds([[0.3, *sure], sure])
-    assert abs(a[0] - b[0]) < 0.01 and a[0] > 0.9 and a[1] == a[0]
+    assert abs(a[0] - b[0]) < 0.01 and a[0] > 0.8 and a[1] == a[0]
 
 
 def test_labels_of_held_out_rows_teach_nothing(documents):
