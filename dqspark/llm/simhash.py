@@ -7,8 +7,8 @@ share most bits; runs of 64 form leaves and runs of 64 leaves inner nodes, each
 value of the bits that all its members share. Differences of two nodes on the bits that both have
 decided add up on the way down, and a pair of nodes is dropped as soon as they exceed d.
 
-Only distinct fingerprints are indexed, and a node reports a spanning forest of its links, at
-most one edge for each of its fingerprints, so a large group of copies makes no pairs. A node
+Only distinct fingerprints are indexed, and a node of more than ``SMALL`` reports a spanning forest of its
+links, at most one edge for each of its fingerprints, so a large group of copies makes no pairs. A node
 with more than ``NODE_ROWS`` fingerprints is cut into runs by Gray rank; its work is one unit per
 pair of runs whose shared bits allow a link. Nothing is dropped at any size.
 
@@ -37,6 +37,9 @@ BITS = 4
 SEED = 42
 NODE_ROWS = 65_536
 LEAF = 64
+#: Members of a node up to which all its links are reported; rows after which whole nodes are solved.
+SMALL = 32
+_HELD = 16_384
 _CHUNK = 1 << 15
 #: Words of 64 bits of a wide print, and what near copies share: shingles of five words.
 WORDS = 8
@@ -220,30 +223,48 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
     key = ["seg", "val", "run_a", "run_b"]
     units = units.repartition(*key).sortWithinPartitions(*key)
 
-    def solve(batches):
-        """Runs of equal keys follow one another; the last one may go on in the next batch."""
-        held_key, held = None, []
-
-        def edges():
-            a, b = forest(np.concatenate(held).view(np.uint64), *(r for r in reach if r < bits), bits)
-            return pa.RecordBatch.from_pydict({"a": longs(a.view(np.int64)),
-                                               "b": longs(b.view(np.int64))})
+    steps = (*(r for r in reach if r < bits), bits)
+
+    def settle(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """Edges of whole units that follow one another; all links of a small one, a forest of others."""
+        cuts = np.append(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, len(fps))
+        starts = np.concatenate([[0], cuts[:-1]])
+        sizes = cuts - starts
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        small = (sizes <= SMALL)[unit]
+        out_a, out_b = [], []
+        for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+            at = np.nonzero(small[:-d] & (unit[:-d] == unit[d:]))[0]
+            at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= bits]
+            out_a.append(fps[at])
+            out_b.append(fps[at + d])
+        for i in np.nonzero(sizes > SMALL)[0]:
+            a, b = forest(fps[starts[i]:cuts[i]], *steps)
+            out_a.append(a)
+            out_b.append(b)
+        a, b = (np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (out_a, out_b))
+        return pa.RecordBatch.from_pydict({"a": longs(a), "b": longs(b)})
 
+    def solve(batches):
+        """The last unit of what is held may go on in the next batch."""
+        held_keys, held, rows, last = [], [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in key])
-            fp = batch.column("fp").to_numpy()
-            cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1), len(fp)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                k = tuple(keys[:, lo])
-                if k != held_key:
-                    if sum(map(len, held)) > 1:
-                        yield edges()
-                    held_key, held = k, []
-                held.append(fp[lo:hi])
-        if sum(map(len, held)) > 1:
-            yield edges()
+            held_keys.append(keys)
+            held.append(batch.column("fp").to_numpy().view(np.uint64))
+            rows += batch.num_rows
+            if rows < _HELD or last is not None and (keys[:, -1] == last).all() and (keys[:, 0] == last).all():
+                continue        # too few, or still inside one unit
+            keys, fps = np.concatenate(held_keys, axis=1), np.concatenate(held)
+            last = keys[:, -1]
+            done = int(np.argmax((keys == last[:, None]).all(0)))
+            if done:
+                yield settle(keys[:, :done], fps[:done])
+            held_keys, held, rows = [keys[:, done:]], [fps[done:]], len(fps) - done
+        if held:
+            yield settle(np.concatenate(held_keys, axis=1), np.concatenate(held))
 
     return units.mapInArrow(solve, "a long, b long").distinct()
 

@@ -57,6 +57,23 @@ def test_large_nodes_are_cut_into_runs(documents):
     check(documents, node_rows=5)
 
 
+def test_links_of_nodes_in_any_batches(spark, monkeypatch):
+    """Nodes of one to many members, in batches that cut them anywhere."""
+    x = near(np.random.default_rng(8), 900)
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    want = len({r[2] for r in slow_groups([(i, int(v)) for i, v in enumerate(x)])})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for small, held, rows in ((32, 16384, 512), (1, 1, 7), (3, 40, 11)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "_HELD", held)
+        monkeypatch.setattr(simhash, "small_batches", lambda s, n=rows: s.conf.set(
+            "spark.sql.execution.arrow.maxRecordsPerBatch", str(n)))
+        links = simhash.near_links(fps)
+        roots = {r.node: r.root for r in components(simhash.materialize(links, "links")).collect()}
+        assert len({roots.get(int(v), int(v)) for v in x.view(np.int64)}) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_large_nodes_keep_links_of_a_wider_radius(spark):
     fps = spark.createDataFrame([(0x111 << 48,), (0x111 << 48 ^ 0xFFF << 20,)], "fp long")
     assert simhash.near_links(fps, 12, node_rows=1).count() == 1
