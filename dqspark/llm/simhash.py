@@ -48,6 +48,7 @@ SIMILARITY = 0.8
 #: Byte pairs of a wide print that make its top nodes: at least 0.97 of the pairs at similarity 0.8
 #: agree in one of them, and more above it.
 PAIRS = [(i, i + 32) for i in range(32)] + [(i, i + 16) for i in range(16)]
+FIRST_PAIRS = 8
 #: Differing bits of the first word below a top node, the nearest linked first.
 REACH = (4, 8, 12, 16, 20)
 _BYTES = np.arange(8 * WORDS, dtype=np.intp) * 256
@@ -123,20 +124,21 @@ def _nodes(value_and: np.ndarray, value_or: np.ndarray, size: int):
     return np.bitwise_and.reduceat(value_and, at), np.bitwise_or.reduceat(value_or, at)
 
 
-def forest(fps: np.ndarray, *reach: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, *reach: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all links among the fingerprints of one index node; of several
-    rising numbers of differing bits, what the first one links is settled before the next."""
-    x = np.unique(fps)
-    x = x[np.argsort(gray_rank(x), kind="stable")]
+    rising numbers of differing bits, what the first one links is settled before the next. What has
+    the same ``group`` is linked already."""
+    x, first = np.unique(fps, return_index=True)
+    order = np.argsort(gray_rank(x), kind="stable")
+    x = x[order]
     n, out_a, out_b = len(x), [], []
-    comp = np.arange(n)
+    comp = np.arange(n) if group is None else np.unique(group[first[order]], return_inverse=True)[1]
     starts = np.arange(0, n, LEAF)
     low, high = _nodes(x, x, LEAF)
     mask = ~(low ^ high)
     up_low, up_high = _nodes(low, high, LEAF)
     up_mask = ~(up_low ^ up_high)
-    first, last = comp[starts], np.minimum(starts + LEAF, n) - 1
-    least, most = first.copy(), last.copy()
+    least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     for bits in reach or (BITS,):
         for a, lo in enumerate(starts):
             hi = min(n, lo + LEAF)
@@ -195,7 +197,8 @@ def _runs(keyed: DataFrame, full: DataFrame, bits: int, node_rows: int) -> DataF
                        F.col("a.run") <= F.col("b.run"), apart <= bits])
     pairs = pairs.select("a.seg", "a.val", F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"))
     each = pairs.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b"))))
-    return hot.join(each, ["seg", "val", "run"]).select("seg", "val", "run_a", "run_b", "fp")
+    return hot.join(each, ["seg", "val", "run"]).select(
+        "seg", "val", "run_a", "run_b", *[c for c in keyed.columns if c not in ("seg", "val")])
 
 
 def _segment_values(bits: int) -> list[Column]:
@@ -203,20 +206,22 @@ def _segment_values(bits: int) -> list[Column]:
 
 
 def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
-               values: list[Column] | None = None, reach: tuple[int, ...] = ()) -> DataFrame:
+               values: list[Column] | None = None, reach: tuple[int, ...] = (), grouped: bool = False) -> DataFrame:
     """Edges ``(a, b)`` that connect what links of at most ``bits`` differing bits connect.
 
     ``fps`` holds distinct fingerprints in column ``fp``. The top nodes are those of bits + 1 segments,
     or given ``values`` of its columns; then links join what meets in one of them. Links within the
-    smaller numbers of bits in ``reach`` are preferred.
+    smaller numbers of bits in ``reach`` are preferred. With ``grouped``, fingerprints of the same
+    ``group``, a further column, need no links.
     """
     small_batches(fps.sparkSession)
     values = _segment_values(bits) if values is None else values
     tops = [F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in enumerate(values)]
-    keyed = fps.select("fp", F.explode(F.array(*tops)).alias("k")).select("k.seg", "k.val", "fp")
+    own = ["fp", *(["group"] if grouped else [])]
+    keyed = fps.select(*own, F.explode(F.array(*tops)).alias("k")).select("k.seg", "k.val", *own)
     counts = keyed.groupBy("seg", "val").agg(F.count("*").alias("n"))
     full = materialize(counts.filter(F.col("n") > node_rows), "full")
-    units = keyed.select("seg", "val", F.lit(0).alias("run_a"), F.lit(0).alias("run_b"), "fp")
+    units = keyed.select("seg", "val", F.lit(0).alias("run_a"), F.lit(0).alias("run_b"), *own)
     if not full.isEmpty():
         units = units.join(full, ["seg", "val"], "left_anti").unionByName(
             _runs(keyed, full, bits, node_rows))
@@ -225,7 +230,7 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
 
     steps = (*(r for r in reach if r < bits), bits)
 
-    def settle(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def settle(keys: np.ndarray, fps: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         """Edges of whole units that follow one another; all links of a small one, a forest of others."""
         cuts = np.append(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, len(fps))
         starts = np.concatenate([[0], cuts[:-1]])
@@ -236,10 +241,12 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
         for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
             at = np.nonzero(small[:-d] & (unit[:-d] == unit[d:]))[0]
             at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= bits]
+            at = at[group[at] != group[at + d]] if grouped else at
             out_a.append(fps[at])
             out_b.append(fps[at + d])
         for i in np.nonzero(sizes > SMALL)[0]:
-            a, b = forest(fps[starts[i]:cuts[i]], *steps)
+            some = slice(starts[i], cuts[i])
+            a, b = forest(fps[some], *steps, group=group[some] if grouped else None)
             out_a.append(a)
             out_b.append(b)
         a, b = (np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (out_a, out_b))
@@ -247,24 +254,25 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
 
     def solve(batches):
         """The last unit of what is held may go on in the next batch."""
-        held_keys, held, rows, last = [], [], 0, None
+        held_keys, held, groups, rows, last = [], [], [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in key])
             held_keys.append(keys)
             held.append(batch.column("fp").to_numpy().view(np.uint64))
+            groups.append(batch.column(own[-1]).to_numpy())
             rows += batch.num_rows
             if rows < _HELD or last is not None and (keys[:, -1] == last).all() and (keys[:, 0] == last).all():
                 continue        # too few, or still inside one unit
-            keys, fps = np.concatenate(held_keys, axis=1), np.concatenate(held)
+            keys, fps, group = np.concatenate(held_keys, axis=1), np.concatenate(held), np.concatenate(groups)
             last = keys[:, -1]
             done = int(np.argmax((keys == last[:, None]).all(0)))
             if done:
-                yield settle(keys[:, :done], fps[:done])
-            held_keys, held, rows = [keys[:, done:]], [fps[done:]], len(fps) - done
+                yield settle(keys[:, :done], fps[:done], group[:done])
+            held_keys, held, groups, rows = [keys[:, done:]], [fps[done:]], [group[done:]], len(fps) - done
         if held:
-            yield settle(np.concatenate(held_keys, axis=1), np.concatenate(held))
+            yield settle(np.concatenate(held_keys, axis=1), np.concatenate(held), np.concatenate(groups))
 
     return units.mapInArrow(solve, "a long, b long").distinct()
 
@@ -324,13 +332,15 @@ def _words(prefix: str = "") -> list[str]:
     return [f"{prefix}w{i}" for i in range(1, WORDS)]
 
 
-def measured_links(prints: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``(a, b, apart)``: links below the top nodes of stored prints, with their differing bits."""
+def measured_links(prints: DataFrame, pairs: list[tuple[int, int]], node_rows: int = NODE_ROWS,
+                   grouped: bool = False) -> DataFrame:
+    """``(a, b, apart)``: links of stored prints below the top nodes of the byte pairs, with their differing bits."""
     def byte(i: int) -> Column:
         return F.shiftrightunsigned("fp" if i < 8 else f"w{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255))
 
-    values = [byte(i) * 256 + byte(j) for i, j in PAIRS]
-    found = materialize(near_links(prints, REACH[-1], node_rows, values, REACH), "links")
+    values = [byte(i) * 256 + byte(j) for i, j in pairs]
+    found = materialize(near_links(prints, REACH[-1], node_rows, values, REACH, grouped), "links")
+    prints = prints.select("fp", *_words())
     a = prints.toDF("a", *_words("a_"))
     b = prints.toDF("b", *_words("b_"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -368,9 +378,16 @@ def similar_groups(docs: DataFrame, signed: DataFrame, words: int = WIDE_SHINGLE
     others, those that join two groups are decided by the Jaccard similarity of the shingle sets.
     """
     prints = signed.groupBy("fp").agg(F.min(F.struct(*_words())).alias("w")).select("fp", "w.*")
-    links = measured_links(materialize(prints, "prints"), node_rows)
-    links = materialize(links.filter(F.col("apart") <= expected_bits(similarity, 2.5)), "measured")
-    clear = links.filter(F.col("apart") <= expected_bits(similarity, -2.5)).select("a", "b")
+    prints = materialize(prints, "prints")
+    near = F.col("apart") <= expected_bits(similarity, 2.5)
+    surely = F.col("apart") <= expected_bits(similarity, -2.5)
+    # a large group of copies meets in every node: what the first nodes join surely needs no more links
+    some = materialize(measured_links(prints, PAIRS[:FIRST_PAIRS], node_rows).filter(near), "measured")
+    joined = components(some.filter(surely).select("a", "b")).toDF("fp", "group")
+    prints = prints.join(joined, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    more = measured_links(materialize(prints, "prints"), PAIRS[FIRST_PAIRS:], node_rows, True).filter(near)
+    links = some.unionByName(materialize(more, "measured"))
+    clear = links.filter(surely).select("a", "b")
     first = components(clear)
     left = links.filter(F.col("apart") > expected_bits(similarity, -2.5))
     for end in ("a", "b"):
