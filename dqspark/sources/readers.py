@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from dqspark.session import materialize
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob names anything on its file system."""
@@ -18,41 +20,147 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 CORRUPT = "_corrupt"
 
 
+#: Characters of a record of several lines up to which these are put together.
+RECORD_MOST = 1 << 24
+
+
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` of every line with its file, the start of its split, and its order in the split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"),
+                                         F.col("_metadata.file_block_start").alias("_block"))
+    return lines.withColumn("_id", F.monotonically_increasing_id())
+
+
+def _left_open(sep: str) -> tuple[Column, Column]:
+    """Whether a quote stands open after a line that begins outside of quotes, and after one inside.
+
+    A quote opens at the start of a field only; a doubled one inside is a character.
+    """
+    s = f"\\x{{{ord(sep):x}}}"
+    inner = r'[^"]*+(?:""[^"]*+)*+'
+    fields = f'(?:(?:"{inner}"[^{s}]*+|[^"{s}][^{s}]*+|){s})*+'
+    line = F.col("value")
+    quoted = F.contains(line, F.lit('"'))
+    return (quoted & line.rlike(f'^{fields}"{inner}\\z'),
+            ~quoted | line.rlike(f'^{inner}\\z') | line.rlike(f'^{inner}"[^{s}]*+{s}{fields}"{inner}\\z'))
+
+
+def _compose(df: DataFrame, part: Sequence[str], order: str) -> DataFrame:
+    """Add ``_known`` and ``_odd``: what the steps up to each row, in order, make of a starting state.
+
+    A step sets the state (``_set`` is not NULL), or turns it (``_flip``), or leaves it. After all of them it is
+    ``_known``, or where nothing set it, the starting state, turned if ``_odd``.
+    """
+    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_turns", F.sum(F.when(F.col("_set").isNull() & F.col("_flip"), 1).otherwise(0)).over(upto))
+    df = df.withColumn("_last", F.last(F.when(
+        F.col("_set").isNotNull(), F.struct("_set", "_turns")), True).over(upto))
+    df = df.withColumn("_odd", (F.col("_turns") - F.coalesce("_last._turns", F.lit(0))) % 2 == 1)
+    return df.withColumn("_known", F.col("_last._set") != F.col("_odd")).drop("_turns", "_last", "_set", "_flip")
+
+
+def _joined_lines(lines: DataFrame, sep: str) -> DataFrame:
+    """Records ``(value, _path, _block, _id)`` of placed lines, quoted line breaks inside, at their first line.
+
+    Every line sets, turns or leaves the state "inside quotes". Composing the lines of a split, and the splits of
+    a file (one short row each), gives every line its state, so no file passes through one task. Only lines of
+    records of several lines are grouped. A record that is never closed, or is longer than
+    ``RECORD_MOST``, is given back line by line.
+    """
+    split, outside, inside = ["_path", "_block"], *_left_open(sep)
+    state = lines.select("*", outside.alias("_from_out"), inside.alias("_from_in"))
+    same = F.col("_from_out") == F.col("_from_in")
+    state = state.withColumn("_set", F.when(same, F.col("_from_out"))).withColumn("_flip", F.col("_from_out") & ~same)
+    state = _compose(state, split, "_id")
+    ends = state.groupBy(*split).agg(F.max_by(F.struct("_known", "_odd"), "_id").alias("_e"))
+    ends = _compose(ends.select(*split, F.col("_e._known").alias("_set"), F.col("_e._odd").alias("_flip")), ["_path"], "_block")
+    after = F.coalesce("_known", "_odd")                              # a file begins outside of quotes
+    ends = ends.select(*split, F.lag(after, 1, False).over(Window.partitionBy("_path").orderBy("_block")).alias("_start"))
+    order = Window.partitionBy(*split).orderBy("_id")
+    state = state.withColumn("_was", F.lag(F.struct("_known", "_odd")).over(order)).join(ends, split)
+    begins = F.coalesce("_was._known", F.col("_start") != F.coalesce("_was._odd", F.lit(False)))
+    state = state.withColumn("_inside", begins).withColumn(
+        "_open", F.when(F.col("_inside"), F.col("_from_in")).otherwise(F.col("_from_out")))
+    # a line inside belongs to the last line before it that begins outside, be it in an earlier split
+    head = F.when(~F.col("_inside"), F.struct(F.col("_block").alias("block"), F.col("_id").alias("id")))
+    state = state.withColumn("_head", F.last(head, True).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = state.groupBy(*split).agg(F.max_by("_head", "_id").alias("_head"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*split, F.last("_head", True).over(earlier).alias("_before"))
+    state = state.join(last, split).select(
+        "value", *split, "_id", "_inside", "_open", F.coalesce("_head", "_before").alias("_head"))
+    state = materialize(state, "quoted-lines")
+
+    place = ["value", *split, "_id"]
+    alone = state.filter("not _inside and not _open").select(*place)
+    several = state.filter("_inside or _open")
+    at = F.struct("_block", "_id")
+    whole = several.groupBy("_path", "_head").agg(
+        F.sum(F.length("value") + 1).alias("_chars"), F.max_by("_open", at).alias("_unclosed"))
+    several = several.join(whole, ["_path", "_head"])
+    fits = ~F.col("_unclosed") & (F.col("_chars") <= RECORD_MOST)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))), lambda x: x["value"])
+    joined = several.filter(fits).groupBy("_path", "_head").agg(F.array_join(texts, "\n").alias("value")).select(
+        "value", "_path", F.col("_head.block").alias("_block"), F.col("_head.id").alias("_id"))
+    return alone.unionByName(joined).unionByName(several.filter(~fits).select(*place))
+
+
+def _records(lines: DataFrame, sep: str) -> DataFrame:
+    """Records of placed lines. Where no line leaves a quote open, lines are records, and nothing is shuffled."""
+    broken = not lines.filter(_left_open(sep)[0]).isEmpty()
+    return (_joined_lines(lines, sep) if broken else lines).filter("trim(value) <> ''")
+
+
+def _csv(record: str, schema: StructType, sep: str, **options: str) -> Column:
+    return F.from_csv(record, _ddl(schema), {"sep": sep, "escape": '"', **options})
+
+
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|") -> DataFrame | None:
     """A headerless delimited file with declared names and types; None when it is absent.
 
-    One record is one line. ``_corrupt`` keeps the whole line where a field does not fit its type
-    or the number of fields is wrong, and is NULL elsewhere, so no value is lost unseen. Lines are
-    parsed whole whatever columns are read later.
+    A quoted field may hold separators, doubled quotes and line breaks (read as ``\\n``); files stay
+    splittable. ``_corrupt`` keeps the whole record where a field does not fit its type or the number of
+    fields is wrong, and is NULL elsewhere, so no value is lost unseen. A quote that is never closed
+    breaks its own line only. Records are parsed whole whatever columns are read later.
     """
     if not path_exists(spark, path):
         return None
     declared = StructType.fromDDL(schema)
     if CORRUPT not in declared.names:
         declared = declared.add(CORRUPT, StringType())
-    row = F.from_csv("value", _ddl(declared), {
-        "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    return lines.select(row.alias("r")).select("r.*")
+    row = _csv("value", declared, sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return _records(_placed_lines(spark, path), sep).select(row.alias("r")).select("r.*")
 
 
 def read_contract(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with header whose column names and order must equal the declared schema.
 
-    One record is one line. A line that breaks the schema in any column stops the job that reads.
+    The first line of every file is its header; a later line equal to it is data. Quoted line breaks are
+    as in ``read_delimited``. A record that breaks the schema in any column stops the job that reads.
     """
     wanted = StructType.fromDDL(schema)
-    lines = spark.read.text(path)
-    head = lines.first()                                              # reads the first line only
+    lines = _placed_lines(spark, path)
+    head = lines.select("value").first()                              # reads the first line only
     found = [] if head is None else spark.range(1).select(
         F.from_csv(F.lit(head["value"]), ", ".join(f"c{i} string" for i in range(len(wanted) + 1))).alias("r")
     ).first()["r"]
     found = [x for x in found if x is not None]
     if found != wanted.names:
         raise ValueError(f"columns of {path} are {found}, the contract says {wanted.names}")
-    row = F.from_csv("value", _ddl(wanted), {"mode": "FAILFAST"})
-    body = lines.filter((F.col("value") != head["value"]) & (F.trim("value") != ""))
-    return body.select(row.alias("r")).select("r.*")
+    is_head = F.col("value") == head["value"]
+    first = lines.groupBy("_path").agg(F.min(F.when(F.col("_block") == 0, F.col("_id"))).alias("_id"),
+                                       F.min(F.when(is_head & (F.col("_block") == 0), F.col("_id"))).alias("_head"),
+                                       F.count_if(is_head).alias("_n"))
+    seen = first.agg(F.bool_and(F.col("_head").eqNullSafe(F.col("_id"))).alias("all"), F.max("_n").alias("n")).first()
+    if not seen["all"]:
+        raise ValueError(f"a file of {path} begins with another line than {head['value']!r}")
+    if seen["n"] == 1:
+        body = lines.filter(~is_head)
+    else:
+        body = lines.join(first.select("_path", "_id"), ["_path", "_id"], "left_anti")
+    row = _csv("value", wanted, ",", mode="FAILFAST")
+    return _records(body, ",").select(row.alias("r")).select("r.*")
 
 
 def _ddl(schema: StructType) -> str:

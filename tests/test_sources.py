@@ -1,9 +1,14 @@
+import csv
+import io
+import random
+
 import pytest
 from plain_rows import rows
 
 from dqspark.plans.brokerage import BROKERAGE
 from dqspark.sources.load import load_brokerage, load_shop
 from dqspark.sources.manifest import load_manifest, read_shards, shard_counts, write_shard
+from dqspark.sources import readers
 from dqspark.sources.readers import (read_actions_xml, read_contract, read_delimited,
                                      read_fixed_width_lines)
 
@@ -162,6 +167,76 @@ def test_decimal_contract_and_broken_lines(spark, tmp_path):
         read_contract(spark, str(tmp_path / "P.csv"), schema).select("b").collect()
 
 
+@pytest.fixture
+def cut(spark):
+    """Cuts files into splits of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def set_size(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+    yield set_size
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+QUOTED = '1|"a\nb"\n2|"say ""hi""|x"\n3|12" pipe\n4|"\n\n""|\n5|""\n"\n6|plain\n'
+
+
+@pytest.mark.parametrize("size", [1, 3, 13, 1000])
+def test_quoted_line_breaks_survive_any_cut(spark, tmp_path, cut, size):
+    (tmp_path / "Q.txt").write_text(QUOTED)
+    cut(size)
+    df = read_delimited(spark, str(tmp_path / "Q.txt"), "a int, b string")
+    want = [(1, "a\nb", None), (2, 'say "hi"|x', None), (3, '12" pipe', None),
+            (4, '\n\n"|\n5|"\n', None), (6, "plain", None)]
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_quoted_records_equal_a_plain_parser(spark, tmp_path, cut, seed):
+    rng = random.Random(seed)
+    wanted = []
+    for name in ("a.txt", "b.txt"):           # states do not run on from one file into the next
+        made = [(str(i), "".join(rng.choice('x"|\n') for _ in range(rng.randint(1, 9))), name) for i in range(40)]
+        text = io.StringIO()
+        csv.writer(text, delimiter="|", lineterminator="\n").writerows(made)
+        (tmp_path / name).write_text(text.getvalue())
+        wanted += made
+    cut(rng.choice([5, 17, 64]))
+    df = read_delimited(spark, str(tmp_path / "*.txt"), "id string, text string, file string")
+    assert sorted(map(tuple, df.collect())) == sorted((*w, None) for w in wanted)
+
+
+def test_open_quotes_and_long_records_break_their_lines_only(spark, tmp_path, monkeypatch):
+    (tmp_path / "O.txt").write_text('1|"a\nb"\n2|"never\n3|c\n4|d\n')
+    df = read_delimited(spark, str(tmp_path / "O.txt"), "a int, b string")
+    got = {r["a"]: (r["b"], r["_corrupt"]) for r in df.collect()}
+    assert got[1] == ("a\nb", None) and got[3] == ("c", None) and got[4] == ("d", None) and 2 in got
+    monkeypatch.setattr(readers, "RECORD_MOST", 4)
+    df = read_delimited(spark, str(tmp_path / "O.txt"), "a int, b string")
+    assert df.filter("_corrupt is not null").count() >= 1 and df.count() == 5
+
+
+def test_lines_without_open_quotes_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "P.txt").write_text('1|"a"\n2|b "c"\n')
+    plan = read_delimited(spark, str(tmp_path / "P.txt"), "a int, b string")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_only_the_first_line_of_a_file_is_its_header(spark, tmp_path, cut, size):
+    (tmp_path / "h1.csv").write_text('a,b\n1,"x\ny"\na,b\n')
+    (tmp_path / "h2.csv").write_text('a,b\n2,z\n')
+    cut(size)
+    df = read_contract(spark, str(tmp_path / "h*.csv"), "a string, b string")
+    assert rows(df) == [("1", "x\ny"), ("2", "z"), ("a", "b")]
+    (tmp_path / "h3.csv").write_text('b,a\n2,z\na,b\n')
+    with pytest.raises(ValueError, match="begins with another line"):
+        read_contract(spark, str(tmp_path / "h*.csv"), "a string, b string")
+
+
 def test_lineage_builds_without_the_xml(spark, tmp_path):
     (tmp_path / "DailyMarket.txt").write_text("2000-01-03|AAA|11,5|12|11|50.0\n2000-01-03|AAA|11|12|11|50\n")
     raw, manifest = load_brokerage(spark, str(tmp_path))
