@@ -106,6 +106,47 @@ def raw_contract(spark, sf_dir):
         F.date_format(F.max("ordered_at"), "yyyy-MM-dd").alias("newest"))
 
 
+_TEXTS = """count(*) n_records, cast(sum(length(body)) as bigint) n_chars,
+    cast(sum(length(body) - length(replace(body, chr(10), ''))) as bigint) n_breaks,
+    max(md5(body)) largest, min(md5(body)) least"""
+
+
+def _texts(df, by: str):
+    body = F.coalesce("body", F.lit(""))
+    return df.groupBy(by).agg(
+        F.count("*").alias("n_records"), F.sum(F.length(body)).alias("n_chars"),
+        F.sum(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).alias("n_breaks"),
+        F.max(F.md5(body)).alias("largest"), F.min(F.md5(body)).alias("least"))
+
+
+@query(f"""select lang, {_TEXTS} from
+    (select lang, coalesce(replace(text, chr(13), ''), '') body from documents) group by 1""")
+def raw_line_breaks(spark, sf_dir):
+    """Whole texts as quoted fields: line breaks, separators and quotes inside."""
+    folder = _folder(spark)
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(_line("|", F.col("doc_id"), quoted, F.col("lang"))) \
+        .write.text(f"{folder}/Texts.txt")
+    return _texts(read_delimited(spark, f"{folder}/Texts.txt", "id bigint, body string, lang string"), "lang")
+
+
+@query(f"""select origin, {_TEXTS} from (select case when doc_id % 50 = 7 then 'origin' else source end origin,
+    case when doc_id % 50 = 7 then 'body' else coalesce(replace(text, chr(13), ''), '') end body
+    from documents) group by 1""")
+def raw_contract_breaks(spark, sf_dir):
+    """A file of Spark's own writer; every fiftieth record equals the header and is data."""
+    folder = _folder(spark)
+    like_head = F.col("doc_id") % 50 == 7
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.when(like_head, "id").otherwise(F.col("doc_id").cast("string")).alias("id"),
+        F.when(like_head, "body").otherwise(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))).alias("body"),
+        F.when(like_head, "origin").otherwise(F.col("source")).alias("origin")) \
+        .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/texts.csv")
+    return _texts(read_contract(spark, f"{folder}/texts.csv", "id string, body string, origin string"), "origin")
+
+
 def _wire_folder(spark, sf_dir) -> str:
     folder = _folder(spark)
     raw_tables(spark, sf_dir)["raw_finwire"].select(F.col("line").alias("value")).write.text(f"{folder}/FINWIRE")
