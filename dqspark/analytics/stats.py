@@ -5,30 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import cumulate, hash_number
+from dqspark.session import materialize
 
 #: Differences of one comparison up to which all sign assignments are counted: 2^25 sums a half.
 FLIP_LIMIT = 50
 EXACT = "decimal(28,15)"
 
 
+#: Differences of a comparison up to which they travel as one array (8 bytes each); resamples that meet it at once.
+DRAW_ARRAY = 1 << 16
+DRAW_BLOCK = 50
+
+
+def _draw(seed: str, n: Column, resample: Column, j: Column) -> Column:
+    return F.pmod(hash_number(F.concat_ws("|", F.lit(seed), resample.cast("string"), j.cast("string"))), n)
+
+
+def _means_of_arrays(values: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """Resampled means of short comparisons: each block of resamples meets the array of differences in one
+    task, so a draw is a look-up, and only arrays are shuffled, one for each block."""
+    lists = values.groupBy("comparison").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("_h", "campaign", "diff"))), lambda x: x["diff"].cast("double")).alias("d"))
+    blocks = -(-resamples // DRAW_BLOCK)
+    met = lists.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("comparison", "_b")
+    first = F.col("_b") * DRAW_BLOCK
+    met = met.withColumn("resample", F.explode(F.sequence(
+        first, F.least(first + (DRAW_BLOCK - 1), F.lit(resamples - 1)))))
+    n = F.size("d").cast("long")
+    drawn = F.transform(F.sequence(F.lit(0), F.size("d") - 1), lambda j: F.get(
+        F.col("d"), _draw(seed, n, F.col("resample"), j).cast("int")))
+    some = F.filter(drawn, lambda x: x.isNotNull())
+    total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x)
+    return met.select("comparison", "resample", F.try_divide(total, F.size(some)).alias("mean"))
+
+
+def _means_of_joins(values: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """Resampled means of long comparisons: the draw index is the join key, so the draws of one comparison
+    spread over all tasks. A difference's position comes from running counts."""
+    placed = cumulate(values.withColumn("_c", F.lit(1)), ["comparison"], ["_h", "campaign"], sums={"_pos": "_c"})
+    placed = placed.select("comparison", (F.col("_pos") - 1).alias("_i"), "diff", F.col("_pos_total").alias("n"))
+    draws = placed.select("comparison", "n", F.col("_i").alias("_j")).withColumn(
+        "resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.withColumn("_i", _draw(seed, F.col("n"), F.col("resample"), F.col("_j")))
+    met = draws.join(placed.select("comparison", "_i", "diff"), ["comparison", "_i"])
+    return met.groupBy("comparison", "resample").agg(F.avg("diff").alias("mean"))
+
+
 def bootstrap_means(diffs: DataFrame, resamples: int = 10_000, seed: str = "0") -> DataFrame:
     """(comparison, resample, mean): means of n draws with replacement.
 
-    Draw j of resample r of a comparison takes the difference at index sha256(seed, r, j) mod n.
-    The draw index is the join key, so the draws of one comparison spread over all tasks. The
-    position of a difference is its campaign's rank, found from running counts.
+    Draw j of resample r of a comparison takes the difference at index sha256(seed, r, j) mod n, in the order
+    of the campaigns' hashes. NULL differences are drawn, and count in no mean; rows without campaign are
+    left out. Comparisons of more than ``DRAW_ARRAY`` differences go another way to the same draws.
     """
-    placed = diffs.select("comparison", "campaign", "diff").withColumn("_c", F.lit(1))
-    placed = placed.withColumn("_h", hash_number(F.col("campaign").cast("string")))
-    placed = cumulate(placed, ["comparison"], ["_h", "campaign"], sums={"_pos": "_c"})
-    values = placed.select("comparison", (F.col("_pos") - 1).alias("_i"), "diff",
-                           F.col("_pos_total").alias("n"))
-    draws = values.select("comparison", "n", F.col("_i").alias("_j")).withColumn(
-        "resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    text = F.concat_ws("|", F.lit(seed), F.col("resample").cast("string"), F.col("_j").cast("string"))
-    draws = draws.withColumn("_i", F.pmod(hash_number(text), F.col("n")))
-    met = draws.join(values.select("comparison", "_i", "diff"), ["comparison", "_i"])
-    return met.groupBy("comparison", "resample").agg(F.avg("diff").alias("mean"))
+    values = diffs.filter("campaign is not null").select(
+        "comparison", "campaign", "diff", hash_number(F.col("campaign").cast("string")).alias("_h"))
+    sized = values.groupBy("comparison").agg(F.count(F.lit(1)).alias("_n"))
+    long = materialize(sized.filter(F.col("_n") > DRAW_ARRAY).select("comparison"), "long-comparisons")
+    if long.isEmpty():
+        return _means_of_arrays(values, resamples, seed)
+    same = [F.col("comparison").eqNullSafe(F.col("_long"))]
+    long = long.toDF("_long")
+    return _means_of_arrays(values.join(long, same, "left_anti"), resamples, seed).unionByName(
+        _means_of_joins(values.join(long, same, "left_semi"), resamples, seed))
 
 
 def bootstrap_ci(diffs: DataFrame, resamples: int = 10_000, seed: str = "0") -> DataFrame:

@@ -210,3 +210,19 @@ def test_same_plan_everywhere_is_one_class(spark):
                                for c in (1, 2, 3)], "action string, cell int, nrd double")
     cost = spark.createDataFrame([("x", 5), ("y", 2), ("odd", 1)], "action string, cost int")
     assert rows(ra.equivalent_actions(m, cost)) == [("odd", "odd", 1), ("x", "y", 2), ("y", "y", 2)]
+
+
+def test_resampling_by_arrays_and_by_joins_draws_the_same(spark, monkeypatch):
+    data = [(c, f"k{i}", None if i == 3 else (i * 7 % 11) / 8.0) for c, n in (("a", 9), ("b", 4), ("c", 1))
+            for i in range(n)] + [("b", None, 100.0)]
+    df = spark.createDataFrame(data, "comparison string, campaign string, diff double")
+    monkeypatch.setattr(stats, "DRAW_BLOCK", 7)
+
+    def means():
+        return {(r["comparison"], r["resample"]): round(r["mean"], 12) if r["mean"] is not None else None
+                for r in stats.bootstrap_means(df, 60, "z").collect()}
+    arrays = means()
+    monkeypatch.setattr(stats, "DRAW_ARRAY", 0)
+    assert len(arrays) == 180 and means() == arrays
+    monkeypatch.setattr(stats, "DRAW_ARRAY", 4)              # one comparison by joins, two by arrays
+    assert means() == arrays
