@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.scalars import ratio
-from dqspark.functions.skew import key_counts, mark
+from dqspark.functions.skew import key_counts, mark, within
+from dqspark.session import materialize
 
 # The shapes, in the order policies are applied.
 SHAPES = ("duplicate_shape", "numeric_shape", "null_shape", "fk_shape")
@@ -109,6 +111,25 @@ def key_profile(df: DataFrame, rule: Rule, band: Sequence | None = None,
     return grouped.withColumn("duplicate_shape", F.expr("if(_n > 1, _n, 0)"))
 
 
+def hit_keys(df: DataFrame, rule: Rule, band: Sequence | None = None, parent: DataFrame | None = None) -> DataFrame:
+    """Keys, which may repeat, of the rows that a value or reference shape fires on.
+
+    Rows are filtered where they stand; only distinct references meet the parent.
+    """
+    fires = reduce(lambda a, b: a | b, row_flags(rule, band).values())
+    keys = df.filter(fires).select(*rule.key)
+    if rule.fk is not None:
+        col, _, parent_col = rule.fk
+        orphans = orphan_values(df, col, parent, parent_col, rule.parent_null_guard).select(col)
+        keys = keys.union(within(df, materialize(orphans, "orphans"), [col]).select(*rule.key))
+    return keys
+
+
+def several_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of several rows; rows with NULL parts count by them."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+
+
 def _verdict(multi: str) -> Column:
     fired = ", ".join(f"if({s} > 0, '{s}', null)" for s in SHAPES)
     return F.expr(

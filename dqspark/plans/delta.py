@@ -14,19 +14,19 @@ alone; the counts of fires are counts over those few rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqspark.functions.skew import within, without
+from dqspark.functions.skew import any_null, within, without
 from dqspark.operators.damage import nrd, sink_base, sink_damage
 from dqspark.operators.dispositions import route_live, route_snapshot, route_verdict
 from dqspark.operators.injection import (
     Injection, check_hits, inject, marked_targets, replay, require_hits, same_keys)
-from dqspark.operators.signals import Rule, key_profile
-from dqspark.plans.lineage import Lineage, Node, Plan, Run, Tables
+from dqspark.operators.signals import Rule, hit_keys, several_keys
+from dqspark.plans.lineage import Cut, Lineage, Node, Plan, Run, Tables
 from dqspark.session import materialize
 
 
@@ -63,8 +63,10 @@ class DeltaRun(Run):
 
 
 class _Branch:
-    def __init__(self, lineage: Lineage, clean: Tables, bands: Mapping):
-        self.lineage, self.clean, self.bands = lineage, clean, bands
+    def __init__(self, lineage: Lineage, clean: Tables, bands: Mapping, fires: dict, loci: set):
+        self.lineage, self.clean, self.bands, self.fires, self.loci = lineage, clean, bands, fires, loci
+        #: What the tables below see of a changed table, where that is less than its change.
+        self.seen: dict[str, Change] = {}
         self.run = DeltaRun(dict(clean))
         self.feeds = {p for n in lineage.nodes for p in n.parents}
 
@@ -74,14 +76,30 @@ class _Branch:
 
     def put(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame) -> None:
         """The rows of the keys in a table, stored where others are built from it."""
-        change = Change(own, keys, added)
-        if name in self.feeds:
-            gone = within(self.clean[name], keys, own).withColumn("_new", F.lit(False))
-            both = materialize(gone.unionByName(added.withColumn("_new", F.lit(True))), name)
-            change = Change(own, keys, both.filter("_new").drop("_new"), both.filter("not _new").drop("_new"))
+        change = self._stored(name, own, keys, added) if name in self.feeds else Change(own, keys, added)
         self.run.changes[name] = change
         self.run.tables[name] = change.applied(self.clean[name])
 
+    def _stored(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame) -> Change:
+        gone = within(self.clean[name], keys, own).withColumn("_new", F.lit(False))
+        both = materialize(gone.unionByName(added.withColumn("_new", F.lit(True))), name)
+        return Change(own, keys, both.filter("_new").drop("_new"), both.filter("not _new").drop("_new"))
+
+    def _unread(self, node: Node, change: Change, cut: Cut) -> bool:
+        """Whether nothing reads what the lookup fills in, so that only the number of rows matters."""
+        below = [n for n in self.lineage.nodes if node.name in n.parents]
+        return bool(cut.fills and cut.columns == change.own and below and node.name not in self.loci
+                    and node.name not in self.lineage.sinks
+                    and all(set(cut.fills) <= set(n.ignores.get(node.name, ())) for n in below))
+
+    @staticmethod
+    def _recounted(change: Change) -> DataFrame:
+        """Keys under which a left lookup finds another number of rows; none counts as one."""
+        rows = change.removed.select(*change.own, F.lit(1).alias("_o"), F.lit(0).alias("_n")).union(
+            change.added.select(*change.own, F.lit(0), F.lit(1)))
+        rows = rows.filter(~any_null(change.own)).groupBy(*change.own).agg(F.sum("_o").alias("_o"), F.sum("_n").alias("_n"))
+        return rows.filter("greatest(_o, 1) <> greatest(_n, 1)").select(*change.own)
+
     def inject(self, name: str, specs: Sequence[Injection], strict: bool, planned: bool) -> None:
         """Errors change the rows of their target keys."""
         table, change, own = self.run.tables[name], self.run.changes.get(name), specs[0].key
@@ -103,7 +121,11 @@ class _Branch:
             self.put(name, own, keys, change.added)
 
     def _hit_keys(self, name: str, policy: Mapping[str, str], routing: str, targets: DataFrame | None) -> DataFrame:
-        """Keys that a shape which the routing looks at fires on, or that hold several rows."""
+        """Keys that a shape which the routing looks at fires on, or that hold several rows.
+
+        Those of a changed key count anyway, and all other keys hold their clean rows. So the clean table
+        is searched, once for all branches that share ``fires``.
+        """
         rule = self.lineage.rules[name]
         if targets is not None:
             return targets.select(*rule.key)
@@ -114,12 +136,23 @@ class _Branch:
             rule = Rule(rule.key, rule.numeric if "numeric_shape" in used else None,
                         rule.null if "null_shape" in used else None,
                         *((rule.fk, rule.fk_payload) if "fk_shape" in used else (None, None)), rule.parent_null_guard)
-        parent = self.run.tables[rule.fk[1]] if rule.fk else None
-        profile = key_profile(self.run.tables[name], rule, self.bands.get(name), parent)
-        fires = [F.col(s) > 0 for s in ("numeric_shape", "null_shape", "fk_shape")]
-        if routing != "live" or "duplicate_shape" in used:
-            fires.append(F.col("_n") > 1)
-        return profile.filter(reduce(lambda a, b: a | b, fires)).select(*rule.key)
+        several = routing != "live" or "duplicate_shape" in used
+        band, parent = self.bands.get(name), rule.fk[1] if rule.fk else None
+        at = name, rule, str(band)
+        if parent in self.run.changes:          # other rows may be orphans now
+            found = materialize(hit_keys(self.run.tables[name], rule, band, self.run.tables[parent]), "fires")
+        elif at in self.fires:
+            found = self.fires[at]
+        else:
+            found = materialize(hit_keys(self.clean[name], rule, band, self.clean[parent] if parent else None), "fires")
+            self.fires[at] = found
+        return found.union(self._twins(name)) if several else found
+
+    def _twins(self, name: str) -> DataFrame:
+        """Keys of several rows of the clean table."""
+        if name not in self.fires:
+            self.fires[name] = materialize(several_keys(self.clean[name], self.lineage.rules[name].key), "twins")
+        return self.fires[name]
 
     def act(self, name: str, policy: Mapping[str, str], routing: str, targets: DataFrame | None = None) -> bool:
         """Route the policy over the rows of the keys that fire; returns whether it suppresses."""
@@ -158,27 +191,41 @@ class _Branch:
             self.put_whole(node.name, node.build(self.run.tables))
             return
         own, keys, same = cuts[0].own, [], None
-        for cut, (p, change) in zip(cuts, changed.items()):
+        below = {p: self.seen.get(p, c) for p, c in changed.items()}
+        for cut, (p, change) in zip(cuts, below.items()):
             if cut.columns == change.own:
                 keys.append(change.keys)
                 same = p if len(changed) == 1 else None
             else:
                 keys.append(change.values(cut.columns))
         keys = reduce(DataFrame.union, keys)
-        tables = dict(self.run.tables)
-        for t, cols in {t: cols for cut in cuts for t, cols in cut.tables.items()}.items():
-            tables[t] = changed[t].added if t == same else within(self.run.tables[t], keys, cols)
-        self.put(node.name, own, keys, node.build(tables))
+        tables = {**self.run.tables, **{p: c.applied(self.clean[p]) for p, c in self.seen.items()}}
+        reached = {t: cols for cut in cuts for t, cols in cut.tables.items()}
+
+        def build(keys: DataFrame, added: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+            return node.build({**tables, **{
+                t: added(below[t].added) if t == same else within(tables[t], keys, cols) for t, cols in reached.items()}})
+
+        if same and self._unread(node, below[same], cuts[0]):
+            # the whole change is there for who reads it, and is not computed for the tables below
+            few = materialize(self._recounted(below[same]), "recounted")
+            self.seen[node.name] = self._stored(node.name, own, few, build(few, lambda df: within(df, few, reached[same])))
+            change = self.run.changes[node.name] = Change(own, keys, build(keys))
+            self.run.tables[node.name] = change.applied(self.clean[node.name])
+            return
+        self.put(node.name, own, keys, build(keys))
 
 
 def delta_run(lineage: Lineage, clean: Tables, injections: Sequence[Injection], plan: Plan,
               bands: Mapping | None = None, *, with_errors: bool = True, scope: str = "cone",
-              routing: str | None = None, oracle: bool = False, strict: bool = True) -> DeltaRun:
+              routing: str | None = None, oracle: bool = False, strict: bool = True,
+              fires: dict | None = None) -> DeltaRun:
     """The tables of a branch, as ``lineage.protected_run`` gives them with counting, and their changes.
 
-    A shape that fires nowhere leaves its table, and what is built from it alone, as it is.
+    A shape that fires nowhere leaves its table, and what is built from it alone, as it is. Branches over one
+    snapshot may share ``fires``, a dictionary that is filled with the keys that fire on its tables.
     """
-    branch = _Branch(lineage, clean, bands or {})
+    branch = _Branch(lineage, clean, bands or {}, {} if fires is None else fires, {*plan, *(s.node for s in injections)})
     run, order = branch.run, lineage.names()
     specs = {}
     for s in injections if with_errors else ():
@@ -224,6 +271,7 @@ def responses(lineage: Lineage, clean: Tables, families: Mapping[str, tuple], ba
     share the sizes of the clean sinks.
     """
     sizes, rows = materialize(sink_base(clean, lineage.sinks), "base"), None
+    options = {"fires": {}, **options}
     for name, (injections, node, shape, acts) in families.items():
         for act in (None, *acts):
             plan = {node: {shape: act}} if act else {}
@@ -240,12 +288,13 @@ def responses(lineage: Lineage, clean: Tables, families: Mapping[str, tuple], ba
 
 
 def measure(lineage: Lineage, clean: Tables, campaign: str, injections: Sequence[Injection],
-            plans: Mapping[str, Plan], bands: Mapping, **options) -> DataFrame:
+            plans: Mapping[str, Plan], bands: Mapping, sizes: DataFrame | None = None, **options) -> DataFrame:
     """Measurement rows of one campaign: per plan the damage with errors, relative to doing
-    nothing (``nrd``), and the damage the same plan does to clean data."""
+    nothing (``nrd``), and the damage the same plan does to clean data. ``sizes`` is the stored ``sink_base``."""
+    options = {"fires": {}, **options}
     base = delta_run(lineage, clean, injections, {}, bands, **options)
     sinks = lineage.sinks
-    sizes = materialize(sink_base(clean, sinks), "base")
+    sizes = materialize(sink_base(clean, sinks), "base") if sizes is None else sizes
 
     def mean(run: DeltaRun, label: str, role: str) -> DataFrame:
         per_sink = sink_damage(clean, run.tables, sinks, changes=run.changes, base=sizes)

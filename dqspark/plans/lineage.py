@@ -20,27 +20,32 @@ Plan = Mapping[str, Mapping[str, str]]     # table -> {shape or verdict: disposi
 class Cut:
     """How a changed parent reaches a node: values of the parent's ``columns`` are those of the node's
     columns ``own``, and the node's rows of some values follow from the rows of these values of
-    ``tables`` (parent: columns by place), with all other parents whole."""
+    ``tables`` (parent: columns by place), with all other parents whole. ``fills`` names the columns that
+    a left lookup in the parent gives: nothing else in the node depends on it but the number of rows."""
 
     columns: tuple[str, ...]
     own: tuple[str, ...]
     tables: Mapping[str, tuple[str, ...]]
+    fills: tuple[str, ...] = ()
 
 
-def cut(columns: str, *tables: str, **renamed: str) -> Cut:
+def cut(columns: str, *tables: str, fills: tuple[str, ...] = (), **renamed: str) -> Cut:
     """A cut by ``columns`` (separated by spaces) that hold the same values in the node and in
     ``tables``; ``renamed`` gives the columns of parents that name them otherwise."""
     own = tuple(columns.split())
     given = {t: own for t in tables} | {t: tuple(c.split()) for t, c in renamed.items()}
-    return Cut(next(iter(given.values())), own, given)
+    return Cut(next(iter(given.values())), own, given, fills)
 
 
 @dataclass(frozen=True)
 class Node:
+    """A table, and which columns of its parents it does not read (``ignores``)."""
+
     name: str
     parents: tuple[str, ...]
     build: Callable[[Tables], DataFrame]
     cuts: Mapping[str, Cut] = field(default_factory=dict)
+    ignores: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

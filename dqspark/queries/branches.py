@@ -29,21 +29,21 @@ def query(sql: str | None):
     return add
 
 
-def _branch(spark, sf_dir, specs=c.mixed, plan=None, **options):
-    clean = star_tables(spark, sf_dir)
+def _branch(spark, sf_dir, specs=c.mixed, plan=None, stored=False, **options):
+    clean = (_stored if stored else star_tables)(spark, sf_dir)
     run = delta_run(STAR, clean, specs(clean["stg_orders"]), plan or {},
                     c.order_bands(clean) if plan else {}, **options)
     return clean, run
 
 
-def _per_sink(clean, run):
-    return dm.sink_damage(clean, run.tables, STAR.sinks, changes=run.changes)
+def _per_sink(clean, run, sizes=None):
+    return dm.sink_damage(clean, run.tables, STAR.sinks, changes=run.changes, base=sizes)
 
 
 def _stored(spark, sf_dir):
-    """The clean snapshot as written tables: several branches are compared with it."""
+    """The clean snapshot as written tables: a branch reads it many times, with its facts as whole tables."""
     clean = star_tables(spark, sf_dir)
-    return STAR.store(clean, c.TOUCHED + ["stg_orders", "fact_order"])
+    return STAR.store(clean, c.TOUCHED + ["stg_orders", "fact_order", "fact_lineitem"])
 
 
 MIXED = c.branch_ctes(c.sql_mixed(), "mixed")
@@ -53,7 +53,7 @@ DETAIL = ("mart_order_detail", "mart_order_detail_d", ["orderkey"],
 
 @query(with_sql(MIXED + [c.sql_sinks()], "select * from sinks"))
 def damage_exact(spark, sf_dir):
-    clean, run = _branch(spark, sf_dir)
+    clean, run = _branch(spark, sf_dir, stored=True)
     return _per_sink(clean, run)
 
 
@@ -96,7 +96,7 @@ def _distances(sink: str, dirty: str) -> str:
 
 @query(with_sql(MIXED, " union all ".join(_distances(s, s + "_d") for s in c.TOUCHED)))
 def damage_distances(spark, sf_dir):
-    clean, run = _branch(spark, sf_dir)
+    clean, run = _branch(spark, sf_dir, stored=True)
     sinks = {n: STAR.sinks[n] for n in c.TOUCHED}
     return dm.sink_damage(clean, run.tables, sinks, variants=True).select(
         "sink", F.round("damage_value_weighted", 12).alias("damage_value_weighted"),
@@ -107,7 +107,7 @@ def damage_distances(spark, sf_dir):
                 "select kind, round(avg(damage), 12) damage from sinks group by 1 union all "
                 "select 'all', round(avg(damage), 12) from sinks"))
 def damage_macro_by_kind(spark, sf_dir):
-    clean, run = _branch(spark, sf_dir)
+    clean, run = _branch(spark, sf_dir, stored=True)
     per_sink = _per_sink(clean, run)
     return dm.macro_damage(per_sink).select("kind", F.round("damage", 12).alias("damage"))
 
@@ -146,7 +146,7 @@ _MEANS = [c.sql_sinks("_d", "s_base"), c.sql_sinks("_p", "s_prot"),
 
 @query(with_sql(BRANCH + [c.sql_sinks("_p")], "select * from sinks"))
 def protected_branch(spark, sf_dir):
-    clean, run = _branch(spark, sf_dir, plan={"stg_orders": c.CONDITIONAL})
+    clean, run = _branch(spark, sf_dir, plan={"stg_orders": c.CONDITIONAL}, stored=True)
     return _per_sink(clean, run)
 
 
@@ -171,7 +171,7 @@ _TIGHT = """tight as materialized (select * from stg_orders where total_price <=
 @query(with_sql(c.branch_ctes([_TIGHT], "tight") + [c.sql_sinks()],
                 "select round(avg(damage), 12) clean_collateral, bool_and(damage = 0) safe from sinks"))
 def clean_collateral(spark, sf_dir):
-    clean = star_tables(spark, sf_dir)
+    clean = _stored(spark, sf_dir)
     low, high = c.order_bands(clean)["stg_orders"]
     run = delta_run(STAR, clean, c.mixed(clean["stg_orders"]),
                         {"stg_orders": {"numeric_shape": "quarantine"}},
@@ -197,9 +197,10 @@ _PARTS = [f"only_num as materialized ({c.sql_numeric('stg_orders', 'position <=
 def damage_components(spark, sf_dir):
     clean = _stored(spark, sf_dir)
     specs, out = c.mixed(clean["stg_orders"]), None
+    sizes = materialize(dm.sink_base(clean, STAR.sinks), "base")
     for name, part in (("mixed", specs), ("num_only", specs[:1]), ("dup_only", specs[1:])):
         run = delta_run(STAR, clean, part, {})
-        row = _per_sink(clean, run).agg(F.avg("damage").alias("damage")) \
+        row = _per_sink(clean, run, sizes).agg(F.avg("damage").alias("damage")) \
             .select(F.lit(name).alias("component"), "damage", F.lit(1).alias("_one"))
         out = row if out is None else out.unionByName(row)
     out = materialize(out, "components")
@@ -301,10 +302,12 @@ def margin_policy_grid(spark, sf_dir):
     clean = _stored(spark, sf_dir)
     orders, out = clean["stg_orders"], None
     specs = c.mixed(orders)
+    sizes, shared = materialize(dm.sink_base(clean, STAR.sinks), "base"), {}
     for m in MARGINS:
         bands = derive_bands({"stg_orders": orders}, {"stg_orders": c.ORDERS_RULE}, m)
         fires = margin_sweep(orders, "total_price", [m]).select("margin", F.col("fired").alias("clean_fires"))
-        rows = measure(STAR, clean, "mixed", specs, {a: {"stg_orders": p} for a, p in ARMS.items()}, bands)
+        rows = measure(STAR, clean, "mixed", specs, {a: {"stg_orders": p} for a, p in ARMS.items()}, bands,
+                       sizes, fires=shared)
         rows = rows.withColumn("margin", F.lit(m)).join(fires, "margin").select(
             "margin", F.col("plan").alias("arm"), "clean_fires", F.round("nrd", 9).alias("nrd"),
             F.round("clean_absolute_damage", 12).alias("clean_collateral"))
@@ -349,8 +352,10 @@ def measured_policy(spark, sf_dir):
     targets = c.order_targets(clean["stg_orders"])
     specs = {"shifts": [c.numeric(targets)], "copies": [c.duplicate(targets)]}
     bands, out = c.order_bands(clean), None
+    sizes, fires = materialize(dm.sink_base(clean, STAR.sinks), "base"), {}
     for fam, (shape, acts) in FAMILIES.items():
-        rows = measure(STAR, clean, fam, specs[fam], {a: {"stg_orders": {shape: a}} for a in acts}, bands)
+        rows = measure(STAR, clean, fam, specs[fam], {a: {"stg_orders": {shape: a}} for a in acts}, bands, sizes,
+                       fires=fires)
         rows = rows.select(F.col("campaign").alias("family"), F.lit(c.K).alias("k"), F.lit("stg_orders").alias("node"),
                            F.col("plan").alias("disposition"), "nrd")
         out = rows if out is None else out.unionByName(rows)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from dqspark.operators.damage import sink_base, sink_damage
 from dqspark.operators.injection import Injection, inject_all
-from dqspark.operators.signals import Rule, derive_bands
+from dqspark.operators.signals import Rule, derive_bands, hit_keys, key_profile
 from dqspark.operators.targets import pick_targets, pin, split_targets
+from dqspark.plans import delta
 from dqspark.plans.delta import delta_run
 from dqspark.plans.lineage import Lineage, Node, Sink, cut, protected_run
 from dqspark.plans.star import STAR, sources
@@ -133,3 +134,62 @@ def test_few_jobs_before_the_damage(spark, star, bands):
     spark.sparkContext.setJobGroup(None, None)
     print("jobs", jobs)
     assert jobs <= 40
+
+
+def test_branches_share_what_fires_on_the_clean_table(star, bands, monkeypatch):
+    """A second branch does not search the clean orders again, also where other rows were changed."""
+    searched = []
+    real = delta.hit_keys
+
+    def counted(df, *args):
+        searched.append(df)
+        return real(df, *args)
+
+    monkeypatch.setattr(delta, "hit_keys", counted)
+    specs, fires = cases.four_shapes(star["stg_orders"]), {}
+    for with_errors in (True, False):
+        part = delta_run(STAR, star, specs, {"stg_orders": ALL}, bands, with_errors=with_errors, fires=fires)
+        full = protected_run(STAR, star, specs, {"stg_orders": ALL}, bands, with_errors=with_errors)
+        assert part.fired == full.fired
+        assert rows(part.tables["stg_orders"]) == rows(full.tables["stg_orders"])
+    assert len(searched) == 1 and searched[0] is star["stg_orders"]
+
+
+def test_a_few_hit_keys_do_not_move_the_table(star, bands):
+    """The keys that fire are stored before they meet the table, so Spark knows that they are few."""
+    specs = cases.mixed(star["stg_orders"])
+    part = delta_run(STAR, star, specs, {"stg_orders": ALL}, bands)
+    plan = part.tables["stg_orders"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    moved = Rule(("orderkey",), "total_price", "total_price", ("custkey", "stg_customer", "custkey"))
+    tight = (0.0, bands["stg_orders"][1] / 4)
+    got = hit_keys(star["stg_orders"], moved, tight, star["stg_customer"])
+    want = key_profile(star["stg_orders"], moved, tight, star["stg_customer"]).filter(
+        "numeric_shape + null_shape + fk_shape > 0")
+    assert rows(got.distinct()) == rows(want.select("orderkey")) and got.count() > 0
+
+
+def test_lines_move_without_the_names_of_their_parts(spark, star):
+    """The join with parts comes last, and a count by part needs no further shuffle."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = STAR.node("fact_lineitem").build(star)
+        plan = STAR.node("mart_part_report").build({"fact_lineitem": lines})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_lookups_that_nothing_reads_do_not_move_lines(star, bands):
+    """Orders that go only blank a column of their lines, which no table below reads: the reports by part and
+    date stay without reading a line again, and the lines themselves are those of the full run."""
+    specs = cases.mixed(star["stg_orders"])
+    tight = {"stg_orders": (0.0, bands["stg_orders"][1] / 4)}
+    for plan, with_errors in (({"stg_orders": {"numeric_shape": "quarantine"}}, False), ({}, True)):
+        full = protected_run(STAR, star, specs, plan, tight, with_errors=with_errors, keep=materialize)
+        part = delta_run(STAR, star, specs, plan, tight, with_errors=with_errors)
+        for name in ("fact_lineitem", "mart_part_report", "mart_daily_ship", "mart_order_year"):
+            assert rows(part.tables[name], *full.tables[name].columns) == rows(full.tables[name])
+        assert part.changes["fact_order"].added.count() > 0 or not with_errors
+        assert (part.changes["mart_part_report"].keys.count() == 0) == (not with_errors)
