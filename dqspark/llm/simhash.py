@@ -12,15 +12,15 @@ links, at most one edge for each of its fingerprints, so a large group of copies
 with more than ``NODE_ROWS`` fingerprints is cut into runs by Gray rank; its work is one unit per
 pair of runs whose shared bits allow a link. Nothing is dropped at any size.
 
-Copies at a Jaccard similarity of 0.8 differ in about ten of 64 bits, a radius at which segments of one
-print select nothing. ``similar_groups`` therefore takes prints of 512 bits of the distinct shingles: pairs of
-their bytes are the masked patterns of the top nodes, the first 64 bits are indexed below each, the
-nearest first, and the links found there are measured on all 512 bits, where the similarity asked
-for lies far from chance.
+Copies at a Jaccard similarity of 0.8 differ in about ten of 64 bits, a radius at which segments of a
+print select nothing and no print is exact. ``similar_groups`` therefore compares the sets of shingles
+themselves, where their first shingles in a common order meet (prefix filtering with positions, sizes and
+parity bitmaps).
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
@@ -45,12 +45,14 @@ _CHUNK = 1 << 15
 WORDS = 8
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-#: Byte pairs of a wide print that make its top nodes: at least 0.97 of the pairs at similarity 0.8
-#: agree in one of them, and more above it.
-PAIRS = [(i, i + 32) for i in range(32)] + [(i, i + 16) for i in range(16)]
-FIRST_PAIRS = 8
-#: Differing bits of the first word below a top node, the nearest linked first.
-REACH = (4, 8, 12, 16, 20)
+#: Bands of each of two rounds, which choose the sets a set is compared with first; shingles that are put last
+#: in the order, as the commonest; shingles counted at once.
+FEW = 8
+COMMON = 1 << 18
+_BLOCK = 1 << 21
+_BANDS, _ODD = [f"band{i}" for i in range(2 * FEW)], [f"odd{i}" for i in range(WORDS)]
+_MIX = np.arange(1, 2 * FEW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+_TOP = np.uint64(2**64 - 1)
 _BYTES = np.arange(8 * WORDS, dtype=np.intp) * 256
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -124,49 +126,45 @@ def _nodes(value_and: np.ndarray, value_or: np.ndarray, size: int):
     return np.bitwise_and.reduceat(value_and, at), np.bitwise_or.reduceat(value_or, at)
 
 
-def forest(fps: np.ndarray, *reach: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all links among the fingerprints of one index node; of several
-    rising numbers of differing bits, what the first one links is settled before the next. What has
-    the same ``group`` is linked already."""
-    x, first = np.unique(fps, return_index=True)
-    order = np.argsort(gray_rank(x), kind="stable")
-    x = x[order]
+def forest(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all links among the fingerprints of one index node."""
+    x = np.unique(fps)
+    x = x[np.argsort(gray_rank(x), kind="stable")]
     n, out_a, out_b = len(x), [], []
-    comp = np.arange(n) if group is None else np.unique(group[first[order]], return_inverse=True)[1]
+    comp = np.arange(n)
     starts = np.arange(0, n, LEAF)
     low, high = _nodes(x, x, LEAF)
     mask = ~(low ^ high)
     up_low, up_high = _nodes(low, high, LEAF)
     up_mask = ~(up_low ^ up_high)
     least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-    for bits in reach or (BITS,):
-        for a, lo in enumerate(starts):
-            hi = min(n, lo + LEAF)
-            up = np.nonzero(np.bitwise_count((up_low ^ low[a]) & up_mask & mask[a]) <= bits)[0]
-            leaf = (up[:, None] * LEAF + np.arange(LEAF)).ravel()
-            leaf = leaf[(leaf >= a) & (leaf < len(starts))]
-            leaf = leaf[np.bitwise_count((low[leaf] ^ low[a]) & mask[leaf] & mask[a]) <= bits]
-            if least[a] == most[a]:
-                leaf = leaf[(least[leaf] != least[a]) | (most[leaf] != least[a])]
-            changed = False
-            for part in range(0, len(leaf), 256):
-                some = leaf[part:part + 256]
-                j = (starts[some][:, None] + np.arange(LEAF)).ravel()
-                j = j[j < n]
-                near = np.bitwise_count(x[lo:hi, None] ^ x[None, j]) <= bits
-                near &= comp[lo:hi, None] != comp[None, j]
-                for r in np.nonzero(near.any(1))[0]:
-                    own, others = comp[lo + r], j[near[r]]
-                    others = others[comp[others] != own]
-                    if not len(others):
-                        continue
-                    joined, pick = np.unique(comp[others], return_index=True)
-                    out_a.append(np.full(len(pick), x[lo + r]))
-                    out_b.append(x[others[pick]])
-                    comp[np.isin(comp, np.append(joined, own))] = min(own, joined[0])
-                    changed = True
-            if changed:
-                least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+    for a, lo in enumerate(starts):
+        hi = min(n, lo + LEAF)
+        up = np.nonzero(np.bitwise_count((up_low ^ low[a]) & up_mask & mask[a]) <= bits)[0]
+        leaf = (up[:, None] * LEAF + np.arange(LEAF)).ravel()
+        leaf = leaf[(leaf >= a) & (leaf < len(starts))]
+        leaf = leaf[np.bitwise_count((low[leaf] ^ low[a]) & mask[leaf] & mask[a]) <= bits]
+        if least[a] == most[a]:
+            leaf = leaf[(least[leaf] != least[a]) | (most[leaf] != least[a])]
+        changed = False
+        for part in range(0, len(leaf), 256):
+            some = leaf[part:part + 256]
+            j = (starts[some][:, None] + np.arange(LEAF)).ravel()
+            j = j[j < n]
+            near = np.bitwise_count(x[lo:hi, None] ^ x[None, j]) <= bits
+            near &= comp[lo:hi, None] != comp[None, j]
+            for r in np.nonzero(near.any(1))[0]:
+                own, others = comp[lo + r], j[near[r]]
+                others = others[comp[others] != own]
+                if not len(others):
+                    continue
+                joined, pick = np.unique(comp[others], return_index=True)
+                out_a.append(np.full(len(pick), x[lo + r]))
+                out_b.append(x[others[pick]])
+                comp[np.isin(comp, np.append(joined, own))] = min(own, joined[0])
+                changed = True
+        if changed:
+            least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     none = np.empty(0, np.uint64)
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
@@ -198,39 +196,31 @@ def _runs(keyed: DataFrame, full: DataFrame, bits: int, node_rows: int) -> DataF
     pairs = pairs.select("a.seg", "a.val", F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"))
     each = pairs.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b"))))
     return hot.join(each, ["seg", "val", "run"]).select(
-        "seg", "val", "run_a", "run_b", *[c for c in keyed.columns if c not in ("seg", "val")])
+        "seg", "val", "run_a", "run_b", "fp")
 
 
 def _segment_values(bits: int) -> list[Column]:
     return [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in _segments(bits)]
 
 
-def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
-               values: list[Column] | None = None, reach: tuple[int, ...] = (), grouped: bool = False) -> DataFrame:
+def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges ``(a, b)`` that connect what links of at most ``bits`` differing bits connect.
 
-    ``fps`` holds distinct fingerprints in column ``fp``. The top nodes are those of bits + 1 segments,
-    or given ``values`` of its columns; then links join what meets in one of them. Links within the
-    smaller numbers of bits in ``reach`` are preferred. With ``grouped``, fingerprints of the same
-    ``group``, a further column, need no links.
+    ``fps`` holds distinct fingerprints in column ``fp``. The top nodes are those of bits + 1 segments.
     """
     small_batches(fps.sparkSession)
-    values = _segment_values(bits) if values is None else values
-    tops = [F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in enumerate(values)]
-    own = ["fp", *(["group"] if grouped else [])]
-    keyed = fps.select(*own, F.explode(F.array(*tops)).alias("k")).select("k.seg", "k.val", *own)
+    tops = [F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in enumerate(_segment_values(bits))]
+    keyed = fps.select("fp", F.explode(F.array(*tops)).alias("k")).select("k.seg", "k.val", "fp")
     counts = keyed.groupBy("seg", "val").agg(F.count("*").alias("n"))
     full = materialize(counts.filter(F.col("n") > node_rows), "full")
-    units = keyed.select("seg", "val", F.lit(0).alias("run_a"), F.lit(0).alias("run_b"), *own)
+    units = keyed.select("seg", "val", F.lit(0).alias("run_a"), F.lit(0).alias("run_b"), "fp")
     if not full.isEmpty():
         units = units.join(full, ["seg", "val"], "left_anti").unionByName(
             _runs(keyed, full, bits, node_rows))
     key = ["seg", "val", "run_a", "run_b"]
     units = units.repartition(*key).sortWithinPartitions(*key)
 
-    steps = (*(r for r in reach if r < bits), bits)
-
-    def settle(keys: np.ndarray, fps: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    def settle(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         """Edges of whole units that follow one another; all links of a small one, a forest of others."""
         cuts = np.append(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, len(fps))
         starts = np.concatenate([[0], cuts[:-1]])
@@ -241,12 +231,10 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
         for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
             at = np.nonzero(small[:-d] & (unit[:-d] == unit[d:]))[0]
             at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= bits]
-            at = at[group[at] != group[at + d]] if grouped else at
             out_a.append(fps[at])
             out_b.append(fps[at + d])
         for i in np.nonzero(sizes > SMALL)[0]:
-            some = slice(starts[i], cuts[i])
-            a, b = forest(fps[some], *steps, group=group[some] if grouped else None)
+            a, b = forest(fps[starts[i]:cuts[i]], bits)
             out_a.append(a)
             out_b.append(b)
         a, b = (np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (out_a, out_b))
@@ -254,25 +242,24 @@ def near_links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS,
 
     def solve(batches):
         """The last unit of what is held may go on in the next batch."""
-        held_keys, held, groups, rows, last = [], [], [], 0, None
+        held_keys, held, rows, last = [], [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in key])
             held_keys.append(keys)
             held.append(batch.column("fp").to_numpy().view(np.uint64))
-            groups.append(batch.column(own[-1]).to_numpy())
             rows += batch.num_rows
             if rows < _HELD or last is not None and (keys[:, -1] == last).all() and (keys[:, 0] == last).all():
                 continue        # too few, or still inside one unit
-            keys, fps, group = np.concatenate(held_keys, axis=1), np.concatenate(held), np.concatenate(groups)
+            keys, fps = np.concatenate(held_keys, axis=1), np.concatenate(held)
             last = keys[:, -1]
             done = int(np.argmax((keys == last[:, None]).all(0)))
             if done:
-                yield settle(keys[:, :done], fps[:done], group[:done])
-            held_keys, held, groups, rows = [keys[:, done:]], [fps[done:]], [group[done:]], len(fps) - done
+                yield settle(keys[:, :done], fps[:done])
+            held_keys, held, rows = [keys[:, done:]], [fps[done:]], len(fps) - done
         if held:
-            yield settle(np.concatenate(held_keys, axis=1), np.concatenate(held), np.concatenate(groups))
+            yield settle(np.concatenate(held_keys, axis=1), np.concatenate(held))
 
     return units.mapInArrow(solve, "a long, b long").distinct()
 
@@ -306,51 +293,40 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS,
 
 
 def wide_signatures(docs: DataFrame, words: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, other, fp, w1, ...)`` of every row: the wide print in words, the first named ``fp``."""
-    names = ["fp", *[f"w{i}" for i in range(1, WORDS)]]
+    """``(doc_id, other, fp, n, band0, ..., odd0, ...)`` of every row: ``fp`` names its set of shingles and ``n`` is
+    the size of the set; bands are minima of the set in several orders; a bit of ``odd`` tells whether an odd number of hashes
+    falls on it, so two sets differ in no fewer hashes than bits."""
+    names = [*_BANDS, *_ODD]
+
+    def longs_of(x):
+        mins = (x[:, None] * _MIX).min(0, initial=_TOP)
+        odd = np.bincount((x % np.uint64(64 * WORDS)).astype(np.intp), minlength=64 * WORDS).astype(np.uint8) & 1
+        return np.concatenate([mins, np.packbits(odd, bitorder="little").view(np.uint64)])
 
     def make():
         def work(batch):
-            prints = np.array([wide_print(shingle_hashes(t, words)) for t in texts(batch)], np.uint64)
+            sets = [_set(t, words) for t in texts(batch)]
+            found = np.array([longs_of(x) for x in sets], np.uint64)
             return {"doc_id": batch.column("doc_id"), "other": batch.column("other"),
-                    **{c: longs(prints[:, i].view(np.int64)) for i, c in enumerate(names)}}
+                    "fp": longs([_name(x) for x in sets]), "n": longs([len(x) for x in sets]),
+                    **{c: longs(found[:, i].view(np.int64)) for i, c in enumerate(names)}}
         return work
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _other().alias("other")),
-                       make, "doc_id long, other long, " + ", ".join(f"{c} long" for c in names))
-
-
-def expected_bits(similarity: float, deviations: float) -> int:
-    """Differing bits of the wide prints of two sets of equal size with a Jaccard ``similarity``, moved by
-    so many standard deviations."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WORDS
-    return int(n * share + deviations * np.sqrt(n * share * (1 - share)))
-
+                       make, "doc_id long, other long, fp long, n long, " + ", ".join(f"{c} long" for c in names))
 
-def _words(prefix: str = "") -> list[str]:
-    return [f"{prefix}w{i}" for i in range(1, WORDS)]
 
+def _set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
-def measured_links(prints: DataFrame, pairs: list[tuple[int, int]], node_rows: int = NODE_ROWS,
-                   grouped: bool = False) -> DataFrame:
-    """``(a, b, apart)``: links of stored prints below the top nodes of the byte pairs, with their differing bits."""
-    def byte(i: int) -> Column:
-        return F.shiftrightunsigned("fp" if i < 8 else f"w{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255))
 
-    values = [byte(i) * 256 + byte(j) for i, j in pairs]
-    found = materialize(near_links(prints, REACH[-1], node_rows, values, REACH, grouped), "links")
-    prints = prints.select("fp", *_words())
-    a = prints.toDF("a", *_words("a_"))
-    b = prints.toDF("b", *_words("b_"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for x, y in zip(_words("a_"), _words("b_")):
-        apart = apart + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    return found.join(a, "a").join(b, "b").select("a", "b", apart.alias("apart"))
+def _name(x: np.ndarray) -> int:
+    """Hash of a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED)).view(np.int64))
 
 
 def shingle_sets(docs: DataFrame, fps: DataFrame, signed: DataFrame, words: int) -> DataFrame:
-    """``(fp, set)``: the distinct shingle hashes of one text of every first word in ``fps``."""
+    """``(fp, set)``: the distinct shingle hashes that every name in ``fps`` stands for."""
     key = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
     own = signed.join(fps, "fp", "left_semi").groupBy("fp").agg(
         F.min(F.struct(*key, F.col("other").alias("_other"))).alias("k")).select("fp", "k.*")
@@ -359,9 +335,9 @@ def shingle_sets(docs: DataFrame, fps: DataFrame, signed: DataFrame, words: int)
     def make():
         def work(batch):
             # rows that repeat an id may hold other texts
-            found = [shingle_hashes(t, words) for t in texts(batch)]
-            sets = [np.unique(h).view(np.int64) if int(wide_print(h)[0]) == fp % (1 << 64) else None
-                    for h, fp in zip(found, batch.column("fp").to_pylist())]
+            found = [_set(t, words) for t in texts(batch)]
+            sets = [x.view(np.int64) if _name(x) == fp else None
+                    for x, fp in zip(found, batch.column("fp").to_pylist())]
             return {"fp": batch.column("fp"), "set": pa.array(sets, pa.list_(pa.int64()))}
         return work
 
@@ -369,38 +345,147 @@ def shingle_sets(docs: DataFrame, fps: DataFrame, signed: DataFrame, words: int)
     return made.filter("set is not null").dropDuplicates(["fp"])
 
 
-def similar_groups(docs: DataFrame, signed: DataFrame, words: int = WIDE_SHINGLE, similarity: float = SIMILARITY,
-                   node_rows: int = NODE_ROWS) -> DataFrame:
-    """``(fp, root)`` for every ``fp`` of the stored wide signatures of ``docs`` that is similar to another.
+def common_shingles(docs: DataFrame, words: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, ascending, and their places by rising number of texts.
+
+    Texts are counted in blocks, and a shingle that a block holds once is not passed on. At most ``most`` are
+    returned, the commonest. They only decide the order in which shingles are compared.
+    """
+    small_batches(docs.sparkSession)
+
+    def count(held):
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"shingle": longs(x[n > 1].view(np.int64)), "n": longs(n[n > 1])})
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for t in texts(batch):
+                held.append(_set(t, words))
+                rows += len(held[-1])
+                if rows >= _BLOCK:
+                    yield count(held)
+                    held, rows = [], 0
+        if held:
+            yield count(held)
+
+    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = materialize(found.filter("n >= 8"), "common")
+    least, total = 64, 0
+    for r in sorted(found.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["power"]
+    kept = found.filter(F.floor(F.log2("n")) >= least).toPandas()
+    x, n = kept["shingle"].to_numpy().view(np.uint64), kept["n"].to_numpy()
+    places = np.empty(len(x), np.int64)
+    places[np.lexsort((x, n))] = np.arange(1, len(x) + 1)
+    order = np.argsort(x)
+    return x[order], places[order]
+
+
+def _probe(n, share: Fraction):
+    """Shingles, in a common order, among which a set of ``n`` meets every smaller one of that similarity."""
+    return n + 1 - (n * share.numerator + share.denominator - 1) // share.denominator
+
+
+def prefixes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """``(fp, n, head)`` of every set of shingles: its first ones, rare before common, by which similar sets meet."""
+    common, places = common_shingles(docs, words)
 
-    Rows with the same first word are one group from the start: unrelated texts share 64 bits with a
-    probability of 2^-64. Links of prints far nearer than ``similarity`` demands hold at once. Of the
-    others, those that join two groups are decided by the Jaccard similarity of the shingle sets.
+    def make():
+        def head(x):
+            k = _probe(len(x), share) if len(x) else 0
+            if len(common):
+                at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                x = x[np.argsort(np.where(common[at] == x, places[at], 0), kind="stable")]
+            return x[:k].view(np.int64)
+
+        def work(batch):
+            sets = [_set(t, words) for t in texts(batch)]
+            return {"fp": longs([_name(x) for x in sets]), "n": longs([len(x) for x in sets]),
+                    "head": pa.array([head(x) for x in sets], pa.list_(pa.int64()))}
+        return work
+
+    return map_batches(docs.select("text"), make, "fp long, n long, head array<long>").dropDuplicates(["fp"])
+
+
+def star_pairs(prints: DataFrame, bands: list[str]) -> DataFrame:
+    """``(a, b)``: every set with one set of another ``group`` for each of its bands. The one chosen differs from
+    band to band; the pairs are at most as many as the bands for each set."""
+    rows = prints.select("fp", "group", F.posexplode(F.array(*bands)).alias("band", "value"))
+    first = rows.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("fp", "value"), "fp", "group")).alias("k"),
+                                              F.count("*").alias("rows")).filter("rows > 1")
+    first = materialize(first.select("band", "value", F.col("k.fp").alias("first"), F.col("k.group").alias("of")), "first")
+    met = rows.join(first, ["band", "value"]).filter("group <> of")
+    return met.select(F.greatest("fp", "first").alias("a"), F.least("fp", "first").alias("b")).distinct()
+
+
+def prefix_pairs(heads: DataFrame, share: Fraction) -> DataFrame:
+    """``(a, b)``: all pairs of sets of different ``group`` that may be similar, of ``(fp, n, head, group)``.
+
+    Of two similar sets, the first common shingle lies in the head of the larger one and, as the common part
+    is a still larger share of the smaller, nearer to the start of that one; what follows it must suffice.
     """
-    prints = signed.groupBy("fp").agg(F.min(F.struct(*_words())).alias("w")).select("fp", "w.*")
-    prints = materialize(prints, "prints")
-    near = F.col("apart") <= expected_bits(similarity, 2.5)
-    surely = F.col("apart") <= expected_bits(similarity, -2.5)
-    # a large group of copies meets in every node: what the first nodes join surely needs no more links
-    some = materialize(measured_links(prints, PAIRS[:FIRST_PAIRS], node_rows).filter(near), "measured")
-    joined = components(some.filter(surely).select("a", "b")).toDF("fp", "group")
-    prints = prints.join(joined, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    more = measured_links(materialize(prints, "prints"), PAIRS[FIRST_PAIRS:], node_rows, True).filter(near)
-    links = some.unionByName(materialize(more, "measured"))
-    clear = links.filter(surely).select("a", "b")
-    first = components(clear)
-    left = links.filter(F.col("apart") > expected_bits(similarity, -2.5))
+    p, q = share.numerator, share.denominator
+    rows = heads.select("fp", "n", "group", F.posexplode("head").alias("pos", "shingle"))
+    several = rows.groupBy("shingle").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y")
+    rows = materialize(rows.join(materialize(several.select("shingle"), "several"), "shingle"), "met")
+    a, b = rows.alias("a"), rows.filter(f"pos <= n - (2 * {p} * n + {p + q - 1}) div {p + q}").alias("b")
+    return a.join(b, F.expr(f"""a.shingle = b.shingle and a.group <> b.group and (a.n > b.n or a.n = b.n and a.fp > b.fp)
+        and a.n * {p} <= b.n * {q} and least(a.n - a.pos, b.n - b.pos) * {p + q} >= {p} * (a.n + b.n)""")).select(
+        F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+
+
+def possible_pairs(pairs: DataFrame, prints: DataFrame, share: Fraction) -> DataFrame:
+    """The ``pairs(a, b)`` without those whose sets differ in too many hashes, as their ``odd`` bits tell."""
     for end in ("a", "b"):
-        left = left.join(first.toDF(end, f"root_{end}"), end, "left")
-    left = left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    left = materialize(left.select("a", "b"), "open")
-    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        pairs = pairs.join(prints.select("fp", "n", *_ODD).toDF(end, f"{end}_n", *[f"{end}_{c}" for c in _ODD]), end)
+    apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _ODD)
+    p, q = share.numerator, share.denominator
+    return pairs.filter(f"({apart}) * {p + q} <= (a_n + b_n) * {q - p}").select("a", "b")
+
+
+def similar_links(pairs: DataFrame, docs: DataFrame, signed: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """The stored ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``share`` at least."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = materialize(shingle_sets(docs, ends, signed, words), "sets")
-    met = left.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    either = F.size("set_a") + F.size("set_b") - both
-    links = clear.unionByName(met.filter(both >= similarity * either).select("a", "b"))
-    return components(links).withColumnRenamed("node", "fp")
+    met = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    met = met.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"),
+                     (F.size("set_a") + F.size("set_b")).alias("all"))
+    p, q = share.numerator, share.denominator
+    return met.filter(F.col("both") * (p + q) >= F.col("all") * p).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, signed: DataFrame, words: int = WIDE_SHINGLE, similarity: float = SIMILARITY,
+                   node_rows: int = NODE_ROWS) -> DataFrame:
+    """``(fp, root)`` for every ``fp`` of the stored wide signatures of ``docs`` that is similar to another and not
+    the root itself.
+
+    Exact, up to equal 64-bit hashes: all pairs of sets that a similarity allows by their first shingles are
+    compared, but for those that are one group already. So that a large group of near copies makes few pairs,
+    every set is compared with a few others first, twice. No unit of work is a group, so ``node_rows`` has no effect.
+    """
+    share = Fraction(str(similarity))
+    prints = materialize(signed.drop("doc_id", "other").dropDuplicates(["fp"]), "prints")
+    links, joined = None, prints.select("fp", F.col("fp").alias("group"))
+    for bands in (_BANDS[:FEW], _BANDS[FEW:]):
+        links, joined = _linked(star_pairs(prints.join(joined, "fp"), bands), links, prints, docs, signed, words, share)
+    heads = materialize(prefixes(docs, words, share), "heads")
+    pairs = prefix_pairs(heads.join(joined, "fp"), share)
+    links, joined = _linked(pairs, links, prints, docs, signed, words, share)
+    return joined.filter("fp <> group").select("fp", F.col("group").alias("root"))
+
+
+def _linked(pairs: DataFrame, links: DataFrame | None, prints: DataFrame, docs: DataFrame, signed: DataFrame, words: int,
+            share: Fraction) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those of the pairs that are similar, and the ``group`` of every print."""
+    pairs = materialize(possible_pairs(pairs, prints, share), "pairs")
+    more = materialize(similar_links(pairs, docs, signed, words, share), "similar")
+    links = links.unionByName(more) if links else more
+    joined = prints.select("fp").join(components(links).toDF("fp", "group"), "fp", "left")
+    return links, materialize(joined.select("fp", F.coalesce("group", "fp").alias("group")), "groups")
 
 
 def keep_one_similar(docs: DataFrame, words: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -214,3 +214,38 @@ def test_similar_odd_rows_and_small_nodes(spark, odd, empty):
             out.setdefault(r.root, set()).add(r.fp)
         return sorted(map(sorted, out.values()))
     assert parts(a) == parts(b) != []
+
+
+def test_similar_groups_lose_no_pair(spark):
+    """Pairs just above the similarity asked for, pairs just below it, among texts that share a long passage."""
+    import random
+    rng = random.Random(5)
+    line = " ".join(f"common{i}" for i in range(40))
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        at = rng.randrange(1, 99)
+        cut = rng.choice((8, 10, 11, 12, 14, 30))
+        copy = words[:-cut] + [f"x{rng.randrange(10**6)}" for _ in range(cut)]
+        for text in (words, copy):
+            rows.append((len(rows), " ".join(text[:at] + [line] * (i % 2) + text[at:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    pairs = near_pairs(sets)
+    signed = simhash.materialize(simhash.wide_signatures(docs), "signed")
+    groups = simhash.similar_groups(docs, signed)
+    root = {r.doc_id: r.root for r in signed.join(groups, "fp", "left").selectExpr(
+        "doc_id", "coalesce(root, fp) root").collect()}
+    assert 100 < len(pairs) < 300 and [p for p in pairs if root[p[0]] != root[p[1]]] == []
+    assert len(set(root.values())) == len(rows) - len(pairs)
+
+
+def test_prefixes_hold_the_pairs_that_the_first_round_leaves(spark, monkeypatch):
+    """A chain of texts, an order that puts most shingles last, and no first round."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[6 * i:6 * i + 100])) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    star = simhash.star_pairs
+    monkeypatch.setattr(simhash, "star_pairs", lambda *args: star(*args).limit(0))
+    assert len(simhash.common_shingles(docs, 5)[0]) > 50
+    assert simhash.keep_one_similar(docs).collect()[0].doc_id == 0
