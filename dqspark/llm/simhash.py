@@ -45,12 +45,14 @@ _CHUNK = 1 << 15
 WORDS = 8
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
+#: Words of the parity bitmap, which tells sets of up to some 4,600 shingles apart.
+ODD_WORDS = 32
 #: Bands of each of two rounds, which choose the sets a set is compared with first; shingles that are put last
 #: in the order, as the commonest; shingles counted at once.
 FEW = 8
 COMMON = 1 << 18
 _BLOCK = 1 << 21
-_BANDS, _ODD = [f"band{i}" for i in range(2 * FEW)], [f"odd{i}" for i in range(WORDS)]
+_BANDS, _ODD = [f"band{i}" for i in range(2 * FEW)], [f"odd{i}" for i in range(ODD_WORDS)]
 _MIX = np.arange(1, 2 * FEW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
 _TOP = np.uint64(2**64 - 1)
 _BYTES = np.arange(8 * WORDS, dtype=np.intp) * 256
@@ -300,7 +302,7 @@ def wide_signatures(docs: DataFrame, words: int = WIDE_SHINGLE) -> DataFrame:
 
     def longs_of(x):
         mins = (x[:, None] * _MIX).min(0, initial=_TOP)
-        odd = np.bincount((x % np.uint64(64 * WORDS)).astype(np.intp), minlength=64 * WORDS).astype(np.uint8) & 1
+        odd = np.bincount((x % np.uint64(64 * ODD_WORDS)).astype(np.intp), minlength=64 * ODD_WORDS).astype(np.uint8) & 1
         return np.concatenate([mins, np.packbits(odd, bitorder="little").view(np.uint64)])
 
     def make():
