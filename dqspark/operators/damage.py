@@ -74,19 +74,28 @@ def changes_per_key(clean: DataFrame, dirty: DataFrame, key: Sequence[str],
 
 def sink_base(clean: Mapping[str, DataFrame], sinks: Mapping) -> DataFrame:
     """``(sink, n_clean, twins)``: rows of every clean sink, and how many pairs of rows of one key are
-    unequal in it. Branches over one snapshot share it; store it once."""
+    unequal in it. Branches over one snapshot share it; store it once. Rows are only compared in sinks
+    that hold keys of several rows."""
     out = None
     for name, sink in sinks.items():
         df, key = clean[name], list(sink.key)
-        double = key_counts(df, key).filter("_n > 1").select(*key)
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("n_clean"),
+            F.count_if(~any_null(key) & (F.col("_n") > 1)).alias("doubles"))
+        row = sizes.select(F.lit(name).alias("sink"), "n_clean", "doubles")
+        out = row if out is None else out.unionByName(row)
+    out = materialize(out, "sizes")
+    twins = None
+    for name in [r["sink"] for r in out.filter("doubles > 0").select("sink").collect()]:
+        df, key = clean[name], list(sinks[name].key)
+        double = materialize(key_counts(df, key).filter("_n > 1").select(*key), "doubles")
         groups = _digested(within(df, double, key), key).groupBy(*key, "_v1", "_v2").agg(F.count("*").alias("n"))
         per_key = groups.groupBy(*key).agg(F.expr("sum(n) as nc"), F.expr("sum(n * n) as squares"))
-        size = df.agg(F.count(F.lit(1)).alias("n_clean")).withColumn("twins", F.lit(0).cast("long"))
-        pairs = per_key.agg(F.expr("coalesce(sum(nc * nc - squares), 0) as twins")).select(F.lit(0).cast("long").alias("n_clean"), "twins")
-        row = size.unionByName(pairs).agg(F.sum("n_clean").alias("n_clean"), F.sum("twins").alias("twins")).select(
-            F.lit(name).alias("sink"), "n_clean", "twins")
-        out = row if out is None else out.unionByName(row)
-    return out
+        row = per_key.agg(F.expr("coalesce(sum(nc * nc - squares), 0) as twins")).select(F.lit(name).alias("sink"), "twins")
+        twins = row if twins is None else twins.unionByName(row)
+    if twins is None:
+        return out.select("sink", "n_clean", F.lit(0).cast("long").alias("twins"))
+    return out.join(twins, "sink", "left").select("sink", "n_clean", F.coalesce("twins", F.lit(0)).alias("twins"))
 
 
 def _patched(clean: Mapping, changes: Mapping, sinks: Mapping, form: str, base: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ class DeltaRun(Run):
 class _Branch:
     def __init__(self, lineage: Lineage, clean: Tables, bands: Mapping, fires: dict, loci: set):
         self.lineage, self.clean, self.bands, self.fires, self.loci = lineage, clean, bands, fires, loci
+        self.lean = getattr(clean, "lean", {})
         #: What the tables below see of a changed table, where that is less than its change.
         self.seen: dict[str, Change] = {}
         self.run = DeltaRun(dict(clean))
@@ -74,17 +75,31 @@ class _Branch:
         self.run.changes[name] = WHOLE
         self.run.tables[name] = materialize(table, name) if name in self.feeds else table
 
-    def put(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame) -> None:
+    def put(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame,
+            gone: DataFrame | None = None) -> None:
         """The rows of the keys in a table, stored where others are built from it."""
-        change = self._stored(name, own, keys, added) if name in self.feeds else Change(own, keys, added)
+        change = self._stored(name, own, keys, added, gone) if name in self.feeds else Change(own, keys, added)
         self.run.changes[name] = change
         self.run.tables[name] = change.applied(self.clean[name])
 
-    def _stored(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame) -> Change:
-        gone = within(self.clean[name], keys, own).withColumn("_new", F.lit(False))
-        both = materialize(gone.unionByName(added.withColumn("_new", F.lit(True))), name)
+    def _stored(self, name: str, own: tuple[str, ...], keys: DataFrame, added: DataFrame,
+                gone: DataFrame | None = None) -> Change:
+        gone = within(self.clean[name], keys, own) if gone is None else gone
+        both = materialize(gone.withColumn("_new", F.lit(False)).unionByName(added.withColumn("_new", F.lit(True))), name)
         return Change(own, keys, both.filter("_new").drop("_new"), both.filter("not _new").drop("_new"))
 
+    def _read(self, node: Node) -> dict[str, DataFrame]:
+        """The parents of a node of which it reads less than all."""
+        out = {}
+        for p in node.parents:
+            change = self.seen.get(p, self.run.changes.get(p))
+            table = self.lean.get((node.name, p))
+            if table is None and p in self.seen:
+                table = self.clean[p]
+            if table is not None and not (change and change.whole):
+                out[p] = change.applied(table) if change else table
+        return out
+
     def _unread(self, node: Node, change: Change, cut: Cut) -> bool:
         """Whether nothing reads what the lookup fills in, so that only the number of rows matters."""
         below = [n for n in self.lineage.nodes if node.name in n.parents]
@@ -188,7 +203,7 @@ class _Branch:
         changed = {p: self.run.changes[p] for p in node.parents if p in self.run.changes}
         cuts = [node.cuts.get(p) for p in changed]
         if any(c is None for c in cuts) or any(c.whole for c in changed.values()) or len({c.own for c in cuts}) > 1:
-            self.put_whole(node.name, node.build(self.run.tables))
+            self.put_whole(node.name, node.build({**self.run.tables, **self._read(node)}))
             return
         own, keys, same = cuts[0].own, [], None
         below = {p: self.seen.get(p, c) for p, c in changed.items()}
@@ -199,9 +214,15 @@ class _Branch:
             else:
                 keys.append(change.values(cut.columns))
         keys = reduce(DataFrame.union, keys)
-        tables = {**self.run.tables, **{p: c.applied(self.clean[p]) for p, c in self.seen.items()}}
+        tables = {**self.run.tables, **self._read(node)}
         reached = {t: cols for cut in cuts for t, cols in cut.tables.items()}
 
+        def gone(keys: DataFrame) -> DataFrame | None:
+            """The clean rows of the keys, of a table that is not stored from those of its parents."""
+            if not any(p == node.name for _, p in self.lean):
+                return None
+            return node.build({**self.clean, **{t: within(self.clean[t], keys, cols) for t, cols in reached.items()}})
+
         def build(keys: DataFrame, added: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
             return node.build({**tables, **{
                 t: added(below[t].added) if t == same else within(tables[t], keys, cols) for t, cols in reached.items()}})
@@ -209,11 +230,12 @@ class _Branch:
         if same and self._unread(node, below[same], cuts[0]):
             # the whole change is there for who reads it, and is not computed for the tables below
             few = materialize(self._recounted(below[same]), "recounted")
-            self.seen[node.name] = self._stored(node.name, own, few, build(few, lambda df: within(df, few, reached[same])))
+            self.seen[node.name] = self._stored(
+                node.name, own, few, build(few, lambda df: within(df, few, reached[same])), gone(few))
             change = self.run.changes[node.name] = Change(own, keys, build(keys))
             self.run.tables[node.name] = change.applied(self.clean[node.name])
             return
-        self.put(node.name, own, keys, build(keys))
+        self.put(node.name, own, keys, build(keys), gone(keys))
 
 
 def delta_run(lineage: Lineage, clean: Tables, injections: Sequence[Injection], plan: Plan,

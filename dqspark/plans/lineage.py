@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from dqspark.functions.skew import within
 from dqspark.operators.dispositions import route_live, route_snapshot, route_verdict
 from dqspark.operators.injection import Injection, inject, require_hits
-from dqspark.operators.signals import Rule
+from dqspark.operators.signals import Rule, several_keys
 from dqspark.session import materialize
 
 Tables = Mapping[str, DataFrame]
@@ -55,6 +56,15 @@ class Sink:
     values: tuple[str, ...]
 
 
+class Snapshot(dict):
+    """Stored tables. ``lean`` holds, by (node, parent), a parent that is not stored as the node reads it:
+    with the rows and columns of the parent, where ignored columns may hold anything."""
+
+    def __init__(self, tables: Tables):
+        super().__init__(tables)
+        self.lean: dict[tuple[str, str], DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Lineage:
     """Nodes in topological order, the rules deployed at them, and the scored sinks."""
@@ -87,18 +97,38 @@ class Lineage:
         return tables
 
     def store(self, tables: Tables, names: Sequence[str] | None = None,
-              files: int | None = None) -> dict[str, DataFrame]:
+              files: int | None = None) -> Snapshot:
         """Write the named tables (default all) and return the tables reading them back; tables
-        above are built from the written ones."""
+        above are built from the written ones.
+
+        A lookup of which a table above reads no column decides only how often its rows stand there, so
+        for that table it meets the rows of keys that occur several times, not the whole lookup.
+        """
         names = set(self.names() if names is None else names)
-        out = {t: df for t, df in tables.items() if t not in self.names()}
+        out = Snapshot({t: df for t, df in tables.items() if t not in self.names()})
+        twins: dict[tuple, DataFrame] = {}
         for n in self.nodes:
             if n.name in tables:
-                out[n.name] = n.build(out)
+                for p in set(n.parents) - names:
+                    few = self._few(n, p, out, twins)
+                    if few:
+                        out.lean[n.name, p] = self.node(p).build({**out, **few})
+                out[n.name] = n.build({**out, **{p: df for (m, p), df in out.lean.items() if m == n.name}})
                 if n.name in names:
                     out[n.name] = materialize(out[n.name], n.name, files)
         return out
 
+    def _few(self, node: Node, parent: str, tables: Tables, twins: dict[tuple, DataFrame]) -> dict[str, DataFrame]:
+        """What may stand for the lookups of a parent whose columns a node ignores."""
+        cuts = self.node(parent).cuts if parent in self.names() else {}
+        ignored = set(node.ignores.get(parent, ()))
+        out = {q: c for q, c in cuts.items() if c.fills and ignored.issuperset(c.fills)}
+        for q, c in out.items():
+            if (q, c.columns) not in twins:
+                keys = materialize(several_keys(tables[q], c.columns), "twins")
+                twins[q, c.columns] = materialize(within(tables[q], keys, c.columns), "twins")
+        return {q: twins[q, c.columns] for q, c in out.items()}
+
     def descendants(self, names: Sequence[str]) -> list[str]:
         """Tables below ``names`` in topological order."""
         reached = set(names)

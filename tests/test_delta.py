@@ -193,3 +193,44 @@ def test_lookups_that_nothing_reads_do_not_move_lines(star, bands):
             assert rows(part.tables[name], *full.tables[name].columns) == rows(full.tables[name])
         assert part.changes["fact_order"].added.count() > 0 or not with_errors
         assert (part.changes["mart_part_report"].keys.count() == 0) == (not with_errors)
+
+
+def test_lines_that_are_not_stored_meet_only_the_repeated_orders_and_parts(spark, bands):
+    raw = sources(spark, SF)
+    raw["orders"] = raw["orders"].unionByName(raw["orders"].filter("o_orderkey < 30"))
+    raw["part"] = raw["part"].unionByName(raw["part"].filter("p_partkey < 9").withColumn("p_brand", F.lit("other")))
+    lost = raw["lineitem"].filter("l_orderkey between 20 and 60").withColumns(
+        {"l_shipdate": F.lit(None).cast("timestamp_ntz"), "l_partkey": F.expr("if(l_orderkey % 2 = 0, l_partkey, null)")})
+    raw["lineitem"] = raw["lineitem"].unionByName(lost)
+    whole = STAR.store(STAR.build(raw))
+    thin = STAR.store(STAR.build(raw), [*STAR.sinks, "stg_orders", "fact_order"])
+    assert not whole.lean
+    assert set(thin.lean) == {(m, "fact_lineitem") for m in ("mart_part_report", "mart_daily_ship")}
+    plan = thin.lean["mart_part_report", "fact_lineitem"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_custkey" not in plan                      # the lines do not meet the whole orders
+    for name in STAR.sinks:
+        assert rows(thin[name]) == rows(whole[name])
+    lines = whole["fact_lineitem"]
+    assert rows(thin["mart_daily_ship"].select("ship_date", "n_parts")) == rows(
+        lines.groupBy("ship_date").agg(F.count_distinct("partkey").alias("n_parts")))
+    specs = [*cases.mixed(thin["stg_orders"]), cases.delete(cases.order_targets(thin["stg_orders"], 5, "delta.thin"))]
+    a = same(STAR, thin, specs, {}, bands, strict=False)
+    b = delta_run(STAR, whole, specs, {}, bands, strict=False)
+    assert a.changes.keys() == b.changes.keys()
+    for name in STAR.sinks:
+        assert rows(a.tables[name]) == rows(b.tables[name])
+    same(STAR, thin, specs, {"stg_orders": ALL}, bands, strict=False)
+    parts = pin(pick_targets(thin["stg_part"], ("partkey",), 5, "delta"))
+    copies = Injection("stg_part", "duplicate_rows", parts, ("partkey",))
+    same(STAR, thin, [copies], {"stg_part": {"duplicate_shape": "dedup"}}, bands, strict=False)
+    same(STAR, thin, [copies], {}, bands, strict=False)
+
+
+def test_sink_base_compares_rows_only_where_keys_repeat(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (None, 1), (None, 2)], "k int, v int")
+    more = df.union(spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "k int, v int"))
+    sinks = {n: Sink(("k",), "row_preserving", ("v",)) for n in ("once", "more")}
+    got = sink_base({"once": df, "more": more}, sinks)
+    assert sorted(map(tuple, got.collect())) == [("more", 7, 4), ("once", 4, 0)]
+    plan = sink_base({"once": df}, {"once": sinks["once"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "xxhash64" not in plan
