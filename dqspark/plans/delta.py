@@ -193,7 +193,8 @@ class _Branch:
             raise ValueError(f"unknown routing {routing}")
         self.run.fired[name], self.run.acted[name] = state.fired, state.acted
         if partial and (change or state.acted):
-            self.put(name, own, keys, state.df)
+            # without an earlier change the rows found are the clean rows of their keys
+            self.put(name, own, keys, state.df, None if change else small)
         elif state.acted:
             self.put_whole(name, state.df)
         return state.suppressed

@@ -234,3 +234,15 @@ def test_sink_base_compares_rows_only_where_keys_repeat(spark):
     assert sorted(map(tuple, got.collect())) == [("more", 7, 4), ("once", 4, 0)]
     plan = sink_base({"once": df}, {"once": sinks["once"]})._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "xxhash64" not in plan
+
+
+def test_rows_that_a_tight_rule_finds_are_searched_once(star, bands, monkeypatch):
+    low, high = bands["stg_orders"]
+    searched, within = [], delta.within
+    monkeypatch.setattr(delta, "within", lambda df, keys, cols: searched.append(df) or within(df, keys, cols))
+    run = delta_run(STAR, star, cases.mixed(star["stg_orders"]), {"stg_orders": {"numeric_shape": "quarantine"}},
+                    {**bands, "stg_orders": (low, high / 4)}, with_errors=False)
+    assert run.acted["stg_orders"] and sum(df is star["stg_orders"] for df in searched) == 1
+    gone = star["stg_orders"].filter(F.col("total_price") > high / 4)
+    assert rows(run.changes["stg_orders"].removed) == rows(gone)
+    assert run.changes["stg_orders"].added.isEmpty()
