@@ -15,9 +15,12 @@ alone; the counts of fires are counts over those few rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from dqspark.functions.skew import any_null, within, without
@@ -30,6 +33,11 @@ from dqspark.plans.lineage import Cut, Lineage, Node, Plan, Run, Tables
 from dqspark.session import materialize
 
 
+#: Branches of one snapshot that run at the same time; most of a branch is short jobs one after another.
+BRANCHES = 4
+_SEARCH = Lock()
+
+
 @dataclass(frozen=True)
 class Change:
     """In place of the rows of ``keys`` (values of the columns ``own``, which may repeat) stand the rows
@@ -156,18 +164,20 @@ class _Branch:
         at = name, rule, str(band)
         if parent in self.run.changes:          # other rows may be orphans now
             found = materialize(hit_keys(self.run.tables[name], rule, band, self.run.tables[parent]), "fires")
-        elif at in self.fires:
-            found = self.fires[at]
         else:
-            found = materialize(hit_keys(self.clean[name], rule, band, self.clean[parent] if parent else None), "fires")
-            self.fires[at] = found
+            with _SEARCH:       # branches that run at the same time search once
+                if at not in self.fires:
+                    self.fires[at] = materialize(
+                        hit_keys(self.clean[name], rule, band, self.clean[parent] if parent else None), "fires")
+                found = self.fires[at]
         return found.union(self._twins(name)) if several else found
 
     def _twins(self, name: str) -> DataFrame:
         """Keys of several rows of the clean table."""
-        if name not in self.fires:
-            self.fires[name] = materialize(several_keys(self.clean[name], self.lineage.rules[name].key), "twins")
-        return self.fires[name]
+        with _SEARCH:
+            if name not in self.fires:
+                self.fires[name] = materialize(several_keys(self.clean[name], self.lineage.rules[name].key), "twins")
+            return self.fires[name]
 
     def act(self, name: str, policy: Mapping[str, str], routing: str, targets: DataFrame | None = None) -> bool:
         """Route the policy over the rows of the keys that fire; returns whether it suppresses."""
@@ -293,18 +303,22 @@ def responses(lineage: Lineage, clean: Tables, families: Mapping[str, tuple], ba
     families: name -> (injections, node, shape, dispositions). Each branch is the policy of one entry; all
     share the sizes of the clean sinks.
     """
-    sizes, rows = materialize(sink_base(clean, lineage.sinks), "base"), None
+    sizes = materialize(sink_base(clean, lineage.sinks), "base")
     options = {"fires": {}, **options}
-    for name, (injections, node, shape, acts) in families.items():
-        for act in (None, *acts):
-            plan = {node: {shape: act}} if act else {}
-            run = delta_run(lineage, clean, injections, plan, bands, **options)
-            row = sink_damage(clean, run.tables, lineage.sinks, changes=run.changes, base=sizes).agg(
-                F.avg("damage").alias("damage")).select(
-                F.lit(name).alias("family"), F.lit(node).alias("node"), F.lit(shape).alias("shape"),
-                F.lit(act).cast("string").alias("disposition"), "damage")
-            row = materialize(row, "response")        # short plans: one branch after another
-            rows = row if rows is None else rows.unionByName(row)
+
+    def respond(branch: tuple) -> DataFrame:
+        name, injections, node, shape, act = branch
+        run = delta_run(lineage, clean, injections, {node: {shape: act}} if act else {}, bands, **options)
+        row = sink_damage(clean, run.tables, lineage.sinks, changes=run.changes, base=sizes).agg(
+            F.avg("damage").alias("damage")).select(
+            F.lit(name).alias("family"), F.lit(node).alias("node"), F.lit(shape).alias("shape"),
+            F.lit(act).cast("string").alias("disposition"), "damage")
+        return materialize(row, "response")        # short plans
+
+    branches = [(f, injections, node, shape, act) for f, (injections, node, shape, acts) in families.items()
+                for act in (None, *acts)]
+    with ThreadPoolExecutor(BRANCHES) as pool:
+        rows = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(sizes.sparkSession)(respond), branches))
     base = rows.filter("disposition is null").select("family", F.col("damage").alias("_base"))
     return rows.filter("disposition is not null").join(base, "family").select(
         "family", "node", "shape", "disposition", nrd("damage", "_base").alias("nrd"))

@@ -37,7 +37,7 @@ _PART_SINKS = ("mart_part_report", "mart_daily_ship", "mart_part_master")
 
 def _snapshot(spark, sf_dir):
     clean = star_tables(spark, sf_dir)
-    return STAR.store(clean, [*STAR.sinks, *NODES, "stg_customer", "stg_lineitem", "dim_part", "fact_order", "fact_lineitem"])
+    return STAR.store(clean, [*STAR.sinks, *NODES, "stg_customer", "stg_lineitem", "dim_part", "fact_order"])
 
 
 def _injections(clean):

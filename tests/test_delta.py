@@ -1,5 +1,7 @@
 """Delta runs give the tables of full runs, on every sink, with fewer jobs."""
 
+from threading import Barrier
+
 import pytest
 from plain_rows import rows
 from pyspark.sql import functions as F
@@ -246,3 +248,16 @@ def test_rows_that_a_tight_rule_finds_are_searched_once(star, bands, monkeypatch
     gone = star["stg_orders"].filter(F.col("total_price") > high / 4)
     assert rows(run.changes["stg_orders"].removed) == rows(gone)
     assert run.changes["stg_orders"].added.isEmpty()
+
+
+def test_branches_of_a_snapshot_run_at_the_same_time(spark, monkeypatch):
+    clean = TWINS.store(TWINS.build({"raw": spark.createDataFrame([(i, i % 4, i % 3) for i in range(30)], "k int, g int, v int")}))
+    spec = Injection("items", "numeric_add", pin(spark.createDataFrame([(3,), (11,)], "k int")), ("k",), ("v",), 500)
+    families = {"shifts": ([spec], "items", "numeric_shape", ("quarantine", "null_out"))}
+    want = rows(delta.responses(TWINS, clean, families, {"items": (0, 100)}))
+    met, run = Barrier(3), delta.delta_run
+    monkeypatch.setattr(delta, "delta_run", lambda *a, **o: (met.wait(30), run(*a, **o))[1])
+    assert rows(delta.responses(TWINS, clean, families, {"items": (0, 100)})) == want
+    monkeypatch.setattr(delta, "delta_run", run)
+    monkeypatch.setattr(delta, "BRANCHES", 1)
+    assert rows(delta.responses(TWINS, clean, families, {"items": (0, 100)})) == want and len(want) == 2
