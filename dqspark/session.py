@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+#: A query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -40,9 +42,11 @@ def materialize(df: DataFrame, name: str = "node", files: int | None = None) ->
     """Write ``df`` once and read it back; ``files`` spreads a table whose source is one block.
 
     A written table keeps column pruning, filter push-down and size statistics for the plans
-    above it, and survives the loss of executors.
+    above it, and survives the loss of executors. As nothing reads the shuffles below it again, they
+    go when it is written, instead of when the driver next collects its garbage.
     """
     spark = df.sparkSession
+    spark.conf.set(CLEANUP, "true")
     path = f"{shared_dir(spark)}/dqspark/{name}-{uuid.uuid4().hex}"
     (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
