@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqspark.functions.scalars import micros, rounded
 from dqspark.functions.skew import lookup_join
@@ -25,6 +25,13 @@ def _exact(rows: DataFrame, keys: tuple, means: dict[str, tuple[str, int]],
     return held.select(*keys, *[c.alias(n) for n, c in out.items()], *rest)
 
 
+def _new_pairs(rows: DataFrame, key: str, other: str) -> DataFrame:
+    """``rows`` with ``_new``, true on one row of every pair of ``key`` and ``other``, so that distinct values are counted
+    without a hash table of all pairs. The pairs lie where the join by ``other`` has put them, and are sorted there."""
+    pair = Window.partitionBy(other, key).orderBy(key)
+    return rows.withColumn("_new", F.col(other).isNotNull() & (F.row_number().over(pair) == 1))
+
+
 def stg_company(t: Tables) -> DataFrame:
     return latest(slice_records(t["raw_finwire"], "CMP", COMPANY), ["cik"], "pts").select(
         *COMPANY, "pts")
@@ -129,14 +136,16 @@ def mart_security_report(t: Tables) -> DataFrame:
 
 
 def mart_market_daily(t: Tables) -> DataFrame:
-    return _exact(t["fact_market_history"], ("market_date",), {"avg_close": ("close_price", 4)}, {},
-                  {"total_volume": F.sum("volume"), "n_symbols": F.count_distinct("symbol")})
+    rows = _new_pairs(t["fact_market_history"], "market_date", "symbol")
+    return _exact(rows, ("market_date",), {"avg_close": ("close_price", 4)}, {},
+                  {"total_volume": F.sum("volume"), "n_symbols": F.count_if("_new")})
 
 
 def mart_customer_report(t: Tables) -> DataFrame:
-    return _exact(t["fact_trade"].filter("customer_id is not null"), ("customer_id",),
+    rows = _new_pairs(t["fact_trade"].filter("customer_id is not null"), "customer_id", "symbol")
+    return _exact(rows, ("customer_id",),
                   {"avg_trade_price": ("trade_price", 4)}, {"total_trade_value": ("trade_value", 2)},
-                  {"n_trades": F.count(F.lit(1)), "n_symbols": F.count_distinct("symbol")}).select(
+                  {"n_trades": F.count(F.lit(1)), "n_symbols": F.count_if("_new")}).select(
         "customer_id", "n_trades", "total_trade_value", "avg_trade_price", "n_symbols")
 
 
