@@ -261,6 +261,13 @@ def _action_schema() -> StructType:
 _OPEN, _CLOSE = "<!--", "-->"
 
 
+def _last_mark() -> Column:
+    """Whether the last comment mark of a chunk opens one; NULL without a mark."""
+    plain = F.regexp_replace("value", r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    mark = F.regexp_extract(plain, f"(?s)^.*({_OPEN}|{_CLOSE})", 1)
+    return F.when(mark != "", mark == _OPEN)
+
+
 def _open_before(raw: DataFrame) -> DataFrame:
     """Add ``_open``: whether a comment stands open where a chunk begins.
 
@@ -268,9 +275,7 @@ def _open_before(raw: DataFrame) -> DataFrame:
     earlier splits reach a split by a window over these rows, and inside a split the chunks are
     looked through in order, so no file passes through one task.
     """
-    plain = F.regexp_replace("value", r"(?s)<!\[CDATA\[.*?\]\]>", "")
-    mark = F.regexp_extract(plain, f"(?s)^.*({_OPEN}|{_CLOSE})", 1)
-    raw = raw.withColumn("_mark", F.when(mark != "", mark == _OPEN))
+    raw = raw.withColumn("_mark", _last_mark())
     ends = raw.groupBy("_path", "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_id"))).alias("_end"))
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("_path", "_block", F.last("_end", True).over(earlier).alias("_start"))
@@ -279,9 +284,9 @@ def _open_before(raw: DataFrame) -> DataFrame:
     return met.withColumn("_open", F.coalesce("_last", "_start", F.lit(False))).drop("_last", "_start", "_mark")
 
 
-def _without_comments() -> Column:
-    """The text of a chunk that stands in no comment."""
-    text = F.when(F.col("_open"), F.when(F.instr("value", _CLOSE) == 0, F.lit("")).otherwise(
+def _without_comments(opened: Column) -> Column:
+    """The text of a chunk that stands in no comment; ``opened``: one stands open where it begins."""
+    text = F.when(opened, F.when(F.instr("value", _CLOSE) == 0, F.lit("")).otherwise(
         F.regexp_replace("value", f"(?s)^.*?{_CLOSE}", ""))).otherwise(F.col("value"))
     return F.regexp_replace(text, f"(?s){_OPEN}.*?(?:{_CLOSE}|$)", "")
 
@@ -295,15 +300,18 @@ def read_actions_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     ``action_seq`` numbers the actions in document order, files in path order. A document is read
     as text cut at the ends of its actions, so one large document is many tasks; an action that is
     not well-formed raises. Actions in comments are none; an action must not hold a commented end of
-    another, and CDATA sections must not hold ends of actions.
+    another, and CDATA sections must not hold ends of actions. One scan looks for comments that reach over
+    the end of an action; without any, the actions of a split are not put in order.
     """
     if not path_exists(spark, path):
         return None
     chunks = spark.read.option("lineSep", _END).text(path)
-    parts = F.filter(F.split(_without_comments(), f"(?={_START})"), lambda x: x.rlike(f"^{_START}"))
+    across = not chunks.filter(_last_mark()).isEmpty()
+    text = _without_comments(F.col("_open") if across else F.lit(False))
+    parts = F.filter(F.split(text, f"(?={_START})"), lambda x: x.rlike(f"^{_START}"))
     closed = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_START}[^>]*/>\s*$"), x).otherwise(
         F.concat(x, F.lit(_END))))
-    placed = numbered(chunks, closed, _open_before)
+    placed = numbered(chunks, closed, _open_before if across else None)
     per_file = placed.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))     # one row per file
     earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))

@@ -279,3 +279,17 @@ def test_result_shards(spark, tmp_path):
     write_shard(spark.createDataFrame([("b", None, "technical_failure")], schema), folder, "2")
     got = shard_counts(read_shards(spark, folder, schema)).first()
     assert (got["shards"], got["rows"], got["failures"]) == (2, 2, 1)
+
+
+def test_actions_without_open_comments_are_not_sorted(spark, tmp_path):
+    action = '<TPCDI:Action ActionType="ADDACCT"><Customer C_ID="{0}"><Account CA_ID="a{0}"/></Customer></TPCDI:Action>\n'
+    inside = action.replace("<Customer", "<!-- none --><Customer")
+    (tmp_path / "plain.xml").write_text("".join(inside.format(i) for i in range(9)))
+    (tmp_path / "across.xml").write_text("".join(action.format(i) for i in range(3)) + "<!-- " + action.format(3) + " -->"
+                                         + action.format(4))
+    for name, ids, windows in (("plain", [*range(9)], False), ("across", [0, 1, 2, 4], True)):
+        accounts = read_actions_xml(spark, str(tmp_path / f"{name}.xml"))[1]
+        assert [tuple(r) for r in accounts.select("action_seq", "ca_id").orderBy("action_seq").collect()] == [
+            (i + 1, f"a{k}") for i, k in enumerate(ids)]
+        plan = accounts._jdf.queryExecution().optimizedPlan().toString()
+        assert ("row_number" in plan) == windows
