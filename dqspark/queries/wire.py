@@ -15,7 +15,6 @@ from dqspark.operators.targets import pick_targets, pin, split_targets
 from dqspark.plans.brokerage import BROKERAGE
 from dqspark.plans.delta import delta_run
 from dqspark.queries.common import damage_sql, plain, read, with_sql
-from dqspark.session import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -227,6 +226,8 @@ def query(sql: str):
 
 
 _KEY = ["cik", "fin_year", "fin_qtr"]
+#: What several tables read, each of them far shorter than lines and trades.
+_STORED = ("stg_company", "stg_security", "stg_financial", "dim_company", "dim_security", "fact_financials")
 _COLUMNS = "cik, fin_year, fin_qtr, revenue, earnings, eps, assets, liabilities"
 _TARGETS = """wt as materialized (select *, row_number() over (order by h, cik, fin_year, fin_qtr) p from
     (select cik, fin_year, fin_qtr, sha256('wire.mixed|' || cik || '|' || fin_year || '|' || fin_qtr) h
@@ -258,9 +259,8 @@ _DAMAGE = " union all ".join(
 @query(with_sql([*BASE, _TARGETS, _DIRTY, *_BRANCH, *_UNTOUCHED], _DAMAGE))
 def wire_protected_branch(spark, sf_dir):
     """Twenty shifted and twenty copied quarterly records; copies are merged, shifts withheld."""
-    clean = wire_tables(spark, sf_dir)
     node = "stg_financial"
-    clean[node] = materialize(clean[node], node)
+    clean = BROKERAGE.store(wire_tables(spark, sf_dir), _STORED)
     targets = pin(pick_targets(clean[node], _KEY, 40, "wire.mixed"))
     first, second = split_targets(targets, 20)
     specs = [Injection(node, "numeric_add", first, tuple(_KEY), ("revenue",), 1e12),
